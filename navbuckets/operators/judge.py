@@ -95,9 +95,12 @@ def snippet(els: str = "els") -> Column:
                            SNIPPET_TOTAL_CAP), els)
 
 
-def prompt(url: Column, signals: Column, snippet_col: Column, branch: Column) -> Column:
+def prompt(url: Column, signals: Column, snippet_col: Column | None, branch: Column) -> Column:
     """Prompt text for a constrained choice; the answer must be one of the branch's two."""
     choices = F.when(branch == "structural", F.lit("next OR pageselect")).otherwise(F.lit("loadmore OR scrolldown"))
+    if snippet_col is None:
+        return F.format_string("Address: %s\nSignals detected so far: %s\n\nReturn ONLY: %s",
+                               url, F.array_join(signals, "; "), choices)
     return F.format_string(
         "Address: %s\nSignals detected so far: %s\n\nDecide how this listing is paged.\n\nHTML Snippet:\n%s\n\n"
         "Return ONLY: %s",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import with_dom
+from navbuckets.functions.dom import fence, with_dom
 from navbuckets.operators import behavior, judge
 from navbuckets.operators.rules import add_evidence, add_rule_columns
 
@@ -51,7 +51,7 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
     d = with_dom(pages.select(*keep, html_col), html_col)
     d = add_rule_columns(d)
-    return add_evidence(d, rule_set).select(*keep, "ev")
+    return add_evidence(d, rule_set).select(*keep, fence(F.col("ev")).alias("ev"))
 
 
 def merge_frames(frame_ev: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observa
         d = d.select("*", F.lit(None).cast("string").alias("verdict_structural"),
                      F.lit(None).cast("string").alias("verdict_behavioral"))
     dec = decide(F.col("ev"), behavior.measurement_struct(), F.col("verdict_structural"), F.col("verdict_behavioral"))
-    out = d.select("page_id", "url", F.col("ev"), dec.alias("d"))
+    out = d.select("page_id", "url", F.col("ev"), fence(dec).alias("d"))
     return out.select(
         "page_id", "url", F.col("d.branch").alias("branch"), F.col("d.bucket").alias("bucket"),
         F.col("d.bucket_source").alias("bucket_source"),

@@ -72,3 +72,255 @@ def q_page_signals(spark, sf):
                           lambda s: F.concat(s["rule_id"], F.lit(": "), s["message"]))
     return ev.select("page_id", F.size("ev.signals").alias("n_signals"),
                      F.array_join(ordered, " | ").alias("signals_text"))
+
+
+# --------------------------------------------------------------------------- URLs
+from navbuckets.functions.urls import normalize_url, url_compare_key, url_features  # noqa: E402
+from navbuckets.operators import admission, attempts as att, behavior, elements as E, judge, report  # noqa: E402
+from navbuckets.plans.classify import merge_frames  # noqa: E402
+from navbuckets.session import materialize, scratch_path  # noqa: E402
+from navbuckets.sources import io  # noqa: E402
+
+URL_COL = "companyUrl"
+
+
+def _page_of(row_id: str = "row_id"):
+    return F.expr(f"{row_id} div 2").alias("page_id")
+
+
+@query("url_list_scan")
+def q_url_list_scan(spark, sf):
+    path = scratch_path(spark, "url-list-csv")
+    fx.url_list(spark, sf).write.option("header", True).csv(path)
+    return io.read_url_list(spark, path, columns=["row_id", "companyName", "companyUrl", "flow"])
+
+
+@query("url_column_content")
+def q_url_column_content(spark, sf):
+    df = fx.url_list(spark, sf).toDF("row_id", "name", "address", "flow")
+    chosen = io.find_url_column(df)
+    flags = io.url_column_flags(df)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
+                              F.col(f"`{c}`").alias("has_http")) for i, c in enumerate(df.columns)])
+    return flags.select(F.inline(rows)).withColumn("chosen", F.col("column_name") == F.lit(chosen))
+
+
+@query("url_normalize")
+def q_url_normalize(spark, sf):
+    u = F.col(URL_COL)
+    return fx.url_list(spark, sf).select("row_id", normalize_url(u, "http").alias("url_http"),
+                                         normalize_url(u, "strict").alias("url_strict"))
+
+
+@query("url_admission")
+def q_url_admission(spark, sf):
+    return admission.url_admission(fx.url_list(spark, sf), URL_COL).select("row_id", URL_COL, "url_norm", "status")
+
+
+@query("pending_rows")
+def q_pending_rows(spark, sf):
+    return admission.pending_rows(fx.url_list(spark, sf), URL_COL).select("row_id", "url_norm", "is_retry")
+
+
+@query("completed_rows")
+def q_completed_rows(spark, sf):
+    return admission.completed_rows(fx.url_list(spark, sf)).select("row_id", "flow")
+
+
+@query("resume_pending")
+def q_resume_pending(spark, sf):
+    ul = fx.url_list(spark, sf)
+    return admission.resume_pending(ul.drop("flow"), ul, URL_COL).select("row_id", "url_norm")
+
+
+def _page_buckets(spark, sf):
+    return classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+                          verdicts=fx.verdicts(spark, sf)).select("page_id", "bucket")
+
+
+@query("resume_merge")
+def q_resume_merge(spark, sf):
+    ul = fx.url_list(spark, sf)
+    todo = admission.resume_pending(ul.drop("flow"), ul, URL_COL)
+    done = ul.filter(~admission.flow_state("flow").rlike(admission.PENDING_RE)).select("row_id", "flow")
+    new = todo.select("row_id", _page_of()).join(_page_buckets(spark, sf), "page_id", "left") \
+              .select("row_id", F.col("bucket").alias("flow"))
+    return admission.resume_merge(done, new).select("row_id", "flow")
+
+
+def _results(spark, sf):
+    adm = admission.url_admission(fx.url_list(spark, sf), URL_COL)
+    pb = _page_buckets(spark, sf).withColumnRenamed("bucket", "page_bucket")
+    j = adm.select("*", _page_of()).join(pb, "page_id", "left")
+    return j.withColumn("bucket", F.coalesce(F.col("bucket"), F.col("page_bucket")))
+
+
+@query("result_projection")
+def q_result_projection(spark, sf):
+    return io.result_projection(_results(spark, sf), URL_COL)
+
+
+@query("result_full")
+def q_result_full(spark, sf):
+    return _results(spark, sf).select("row_id", "companyName", URL_COL, F.col("bucket").alias("flow"))
+
+
+@query("url_features")
+def q_url_features(spark, sf):
+    return fx.table(spark, sf, "pages").select("page_id", *url_features(F.col("url")))
+
+
+@query("url_compare_key")
+def q_url_compare_key(spark, sf):
+    return fx.observations(spark, sf).select("page_id", "phase", url_compare_key(F.col("current_url")).alias("url_key"))
+
+
+# --------------------------------------------------------------------------- elements
+@query("element_count")
+def q_element_count(spark, sf):
+    return E.element_count(fx.overlay_pages(spark, sf))
+
+
+@query("element_displayed")
+def q_element_displayed(spark, sf):
+    return E.elements(fx.overlay_pages(spark, sf)).select("page_id", "pos", "tag", "displayed")
+
+
+@query("interactive_elements")
+def q_interactive_elements(spark, sf):
+    return E.interactive_elements(fx.overlay_pages(spark, sf)).select(
+        "page_id", "pos", "tag", "first_text", "full_text", "displayed")
+
+
+@query("containers")
+def q_containers(spark, sf):
+    return E.containers(fx.overlay_pages(spark, sf))
+
+
+@query("link_labels")
+def q_link_labels(spark, sf):
+    return E.links(fx.overlay_pages(spark, sf)).select("page_id", "pos", "link_type", "href", "text")
+
+
+@query("visible_links")
+def q_visible_links(spark, sf):
+    return E.links(fx.overlay_pages(spark, sf)).select("page_id", "pos", "link_type", "visible")
+
+
+# --------------------------------------------------------------------------- frames
+@query("frame_scan")
+def q_frame_scan(spark, sf):
+    return io.frames_from_srcdoc(fx.framed_pages(spark, sf))
+
+
+@query("frame_merge")
+def q_frame_merge(spark, sf):
+    frames = io.frames_from_srcdoc(fx.framed_pages(spark, sf))
+    m = merge_frames(page_evidence(frames.select("page_id", "frame_idx", "html")))
+    ordered = F.transform(F.array_sort(F.col("ev.signals")), lambda s: s["message"])
+    return m.select("page_id", F.col("ev.has_links").alias("has_links"), F.col("ev.next").alias("next_ind"),
+                    F.col("ev.pageselect").alias("pageselect_ind"), F.col("ev.frame").alias("frame"),
+                    F.array_join(ordered, " | ").alias("signals_text"))
+
+
+# --------------------------------------------------------------------------- behaviour
+@query("scroll_confirm")
+def q_scroll_confirm(spark, sf):
+    ms = behavior.measurement_summary(fx.observations(spark, sf))
+    return ms.select("page_id", behavior.scroll_try(behavior.measurement_struct()).alias("scroll_try"))
+
+
+@query("loadmore_confirm")
+def q_loadmore_confirm(spark, sf):
+    ev = _ev(spark, sf).select("page_id", F.col("ev.loadmore.kind").alias("lm_kind"))
+    ms = behavior.measurement_summary(fx.observations(spark, sf))
+    ms = ms.select("page_id", behavior.click_grew(behavior.measurement_struct()).alias("click_grew"))
+    j = ev.join(ms, "page_id", "left")
+    return j.select("page_id", "lm_kind", "click_grew",
+                    (F.col("lm_kind").isNotNull() & F.coalesce(F.col("click_grew"), F.lit(False))).alias("confirmed"))
+
+
+# --------------------------------------------------------------------------- decisions
+def _classified(spark, sf, with_inputs: bool = True, saved: bool = False):
+    if with_inputs:
+        c = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+                           verdicts=fx.verdicts(spark, sf))
+    else:
+        c = classify_pages(fx.overlay_pages(spark, sf))
+    # audit queries that filter the classification read it back from a reliable checkpoint
+    return materialize(c) if saved else c
+
+
+@query("decide_structural")
+def q_decide_structural(spark, sf):
+    return _classified(spark, sf, saved=True).filter(F.col("branch") == "structural").select(
+        "page_id", "bucket", "bucket_source")
+
+
+@query("decide_behavioral")
+def q_decide_behavioral(spark, sf):
+    return _classified(spark, sf, saved=True).filter(F.col("branch") == "behavioral").select(
+        "page_id", "bucket", "bucket_source")
+
+
+@query("decision_reason")
+def q_decision_reason(spark, sf):
+    return _classified(spark, sf, with_inputs=False).select("page_id", "bucket", "reason")
+
+
+# --------------------------------------------------------------------------- judge
+@query("judge_queue")
+def q_judge_queue(spark, sf):
+    c = _classified(spark, sf, with_inputs=False, saved=True).filter(F.col("bucket_source").isin("judge", "fallback"))
+    return c.select("page_id", "url", "branch",
+                    judge.prompt(F.col("url"), F.col("signals"), None, F.col("branch")).alias("prompt"))
+
+
+@query("judge_snippet")
+def q_judge_snippet(spark, sf):
+    from navbuckets.functions.dom import with_dom
+
+    d = with_dom(fx.overlay_pages(spark, sf).select("page_id", "html"))
+    return d.select("page_id", judge.snippet().alias("snippet"))
+
+
+@query("judge_constrained")
+def q_judge_constrained(spark, sf):
+    return judge.page_verdicts(fx.verdicts(spark, sf))
+
+
+@query("judge_url_only")
+def q_judge_url_only(spark, sf):
+    return judge.url_only_verdicts(fx.verdicts(spark, sf))
+
+
+# --------------------------------------------------------------------------- attempts
+@query("error_taxonomy")
+def q_error_taxonomy(spark, sf):
+    a = fx.attempts(spark, sf).filter(F.col("error_message").isNotNull())
+    return a.select("page_id", "attempt", att.error_status(F.col("error_message")).alias("status"),
+                    att.error_label(F.col("error_message")).alias("label"))
+
+
+@query("resolve_attempts")
+def q_resolve_attempts(spark, sf):
+    return att.resolve_attempts(fx.attempts(spark, sf), fx.verdicts(spark, sf))
+
+
+# --------------------------------------------------------------------------- reports
+def _attempt_results(spark, sf):
+    adm = admission.url_admission(fx.url_list(spark, sf), URL_COL)
+    res = att.resolve_attempts(fx.attempts(spark, sf), fx.verdicts(spark, sf)).select(
+        "page_id", F.col("bucket").alias("attempt_bucket"))
+    j = adm.select("*", _page_of()).join(res, "page_id", "left")
+    return j.withColumn("bucket", F.coalesce(F.col("bucket"), F.col("attempt_bucket")))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    return report.run_summary(_attempt_results(spark, sf), fx.attempts(spark, sf))
+
+
+@query("progress_count")
+def q_progress_count(spark, sf):
+    return report.progress_count(_attempt_results(spark, sf))

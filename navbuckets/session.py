@@ -52,3 +52,11 @@ def ensure_dir(path: str) -> str:
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
+
+
+def materialize(df):
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss; never a
+    local checkpoint). Used before exploding per-row DOM arrays for audit tables: it cuts the
+    lineage so the optimizer plans the explode over a plain scan of the saved arrays."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

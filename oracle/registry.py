@@ -32,3 +32,195 @@ O["page_signals"] = _EV + (",\nsr AS (SELECT rid, count(*) AS n_signals, string_
                            "FROM sg GROUP BY rid)\n"
                            "SELECT p.page_id, coalesce(sr.n_signals, 0)::INT AS n_signals, coalesce(sr.signals_text, '') AS signals_text "
                            "FROM pg p LEFT JOIN sr ON sr.rid = p.rid")
+
+# --------------------------------------------------------------------------- URLs
+from navbuckets.functions import text as _T  # noqa: E402
+from navbuckets.operators import attempts as _A  # noqa: E402
+from navbuckets.sources import io as _IO  # noqa: E402
+
+q, strip, inlist, decode = P.q, P.strip, P.inlist, P.decode
+
+
+def _blank(u):
+    return f"({u} IS NULL OR lower({strip(u)}) IN ('', 'nan'))"
+
+
+def _norm(u, strict=False):
+    s = strip(u)
+    has = f"(starts_with({s}, 'http://') OR starts_with({s}, 'https://'))" if strict else f"starts_with({s}, 'http')"
+    return f"CASE WHEN {has} THEN {s} ELSE 'https://' || {s} END"
+
+
+_UL = f"ul AS ({fx.URL_LIST_SQL})"
+_PEND = f"regexp_matches(lower({strip(chr(99) + 'oalesce(flow, ' + q('nan') + ')')}), '^(error.*|nan|)$')"
+_ADM = (f"ua0 AS (SELECT *, {_blank('companyUrl')} AS blank FROM ul),\n"
+        f"ua1 AS (SELECT *, CASE WHEN NOT blank THEN {_norm('companyUrl')} END AS url_norm FROM ua0),\n"
+        "ua AS (SELECT *, CASE WHEN blank THEN 'invalid_url' "
+        "WHEN row_id = min(row_id) OVER (PARTITION BY url_norm) THEN 'admitted' ELSE 'duplicate_in_input' END AS status "
+        "FROM ua1)")
+
+O["url_list_scan"] = None  # rows-only (a CSV written and read back by Spark)
+O["url_column_content"] = (
+    f"WITH {_UL}, f AS (SELECT " + ", ".join(
+        f"coalesce(bool_or(contains(CAST({c} AS VARCHAR), 'http')), false) AS {a}"
+        for c, a in [("row_id", "c1"), ("companyName", "c2"), ("companyUrl", "c3"), ("flow", "c4")]) + " FROM ul),\n"
+    "r AS (SELECT 1 AS ordinal, 'row_id' AS column_name, c1 AS has_http FROM f UNION ALL "
+    "SELECT 2, 'name', c2 FROM f UNION ALL SELECT 3, 'address', c3 FROM f UNION ALL SELECT 4, 'flow', c4 FROM f)\n"
+    "SELECT ordinal, column_name, has_http, ordinal = coalesce((SELECT min(ordinal) FROM r WHERE has_http), 1) AS chosen FROM r")
+O["url_normalize"] = (f"WITH {_UL} SELECT row_id, {_norm('companyUrl')} AS url_http, "
+                      f"{_norm('companyUrl', True)} AS url_strict FROM ul")
+O["url_admission"] = f"WITH {_UL}, {_ADM} SELECT row_id, companyUrl, url_norm, status FROM ua"
+O["pending_rows"] = (f"WITH {_UL} SELECT row_id, {_norm('companyUrl', True)} AS url_norm, true AS is_retry FROM ul "
+                     f"WHERE NOT {_blank('companyUrl')} AND {_PEND}")
+O["completed_rows"] = f"WITH {_UL} SELECT row_id, flow FROM ul WHERE length(coalesce(flow, 'nan')) > 0"
+_RP = (f"todo AS (SELECT row_id, {_norm('companyUrl', True)} AS url_norm FROM ul WHERE NOT {_blank('companyUrl')}),\n"
+       f"done AS (SELECT row_id, {_norm('companyUrl', True)} AS k FROM ul WHERE NOT {_PEND}),\n"
+       "pend AS (SELECT t.* FROM todo t WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.row_id = t.row_id AND d.k = t.url_norm))")
+O["resume_pending"] = f"WITH {_UL}, {_RP} SELECT row_id, url_norm FROM pend"
+
+_CLS = P.classify_sql(fx.OVERLAY_PAGES_SQL, fx.OBSERVATIONS_SQL, fx.VERDICTS_SQL)
+O["resume_merge"] = (_CLS + f",\n{_UL}, {_RP},\n"
+                     "nw AS (SELECT p.row_id, dec.bucket AS flow FROM pend p LEFT JOIN dec ON dec.page_id = p.row_id // 2),\n"
+                     f"od AS (SELECT row_id, flow FROM ul WHERE NOT {_PEND} AND row_id NOT IN (SELECT row_id FROM nw))\n"
+                     "SELECT row_id, flow FROM od UNION ALL SELECT row_id, flow FROM nw")
+_RES = (_CLS + f",\n{_UL}, {_ADM},\n"
+        "rs AS (SELECT ua.*, coalesce(CASE WHEN status <> 'admitted' THEN status END, dec.bucket) AS bucket "
+        "FROM ua LEFT JOIN dec ON dec.page_id = ua.row_id // 2)")
+O["result_projection"] = _RES + "\nSELECT row_id, companyUrl, bucket FROM rs"
+O["result_full"] = _RES + "\nSELECT row_id, companyName, companyUrl, bucket AS flow FROM rs"
+_HOST = r"lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), ''))"
+O["url_features"] = (
+    "SELECT page_id, regexp_matches(coalesce(url, ''), '[?&]page=') AS has_page_param, "
+    "contains(coalesce(url, ''), '&p=') AS has_p_param, contains(coalesce(url, ''), '/page/') AS has_page_path, "
+    "contains(coalesce(url, ''), '/careers/') AS has_careers_path, contains(coalesce(url, ''), '/jobs/') AS has_jobs_path, "
+    f"(ends_with({_HOST}, 'greenhouse.io') OR ends_with({_HOST}, 'lever.co') OR contains({_HOST}, 'workday')) AS is_ats_host, "
+    f"{_HOST} AS host FROM pages")
+O["url_compare_key"] = (f"SELECT page_id, phase, regexp_replace(split_part(current_url, '#', 1), '/+$', '') AS url_key "
+                        f"FROM ({fx.OBSERVATIONS_SQL}) o")
+
+# --------------------------------------------------------------------------- elements
+_DOM = "WITH " + P.dom_ctes(P.pages_input(fx.OVERLAY_PAGES_SQL))
+O["element_count"] = _DOM + ("\nSELECT p.page_id, CAST(count(e.pos) AS INTEGER) AS n_elements "
+                             "FROM pg p LEFT JOIN el e ON e.rid = p.rid GROUP BY p.page_id")
+O["element_displayed"] = _DOM + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, tag, displayed FROM el"
+O["interactive_elements"] = _DOM + (f"\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, tag, first_text, full_text, "
+                                    f"displayed FROM el WHERE tag IN {inlist(['a', 'button', 'span'])}")
+_CN = "CASE WHEN length(coalesce(cls, '')) > 0 THEN cls WHEN id IS NOT NULL THEN id ELSE 'None' END"
+O["containers"] = _DOM + (f"\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, tag, {_CN} AS name, "
+                          f"{P.r4_container()} AS range_container, {P.r8_container()} AS number_container, displayed, "
+                          f"CAST(length(text) AS INTEGER) AS text_len FROM el "
+                          f"WHERE {P.r4_container()} OR {P.r8_container()}")
+O["link_labels"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, label AS link_type, href, ltxt AS text FROM lk"
+O["visible_links"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, label AS link_type, visible FROM lk"
+
+# --------------------------------------------------------------------------- frames
+_FRAMES = (f"SELECT page_id, -1 AS frame_idx, html FROM ({fx.FRAMED_PAGES_SQL}) fp UNION ALL "
+           f"SELECT page_id, CAST(frame_idx AS INTEGER), {decode('raw')} AS html FROM ("
+           f"SELECT page_id, unnest(regexp_extract_all(html, {q(_IO.SRCDOC_RE)}, 1)) AS raw, "
+           f"generate_subscripts(regexp_extract_all(html, {q(_IO.SRCDOC_RE)}, 1), 1) - 1 AS frame_idx "
+           f"FROM ({fx.FRAMED_PAGES_SQL}) fq) x")
+O["frame_scan"] = _FRAMES
+O["frame_merge"] = (
+    "WITH " + P.dom_ctes(f"SELECT page_id * 1000 + frame_idx + 1 AS rid, page_id, frame_idx, html FROM ({_FRAMES}) fr")
+    + "," + P.evidence_ctes("intended") + """,
+fe AS (SELECT p.page_id, p.frame_idx, e.* FROM pg p JOIN ev e ON e.rid = p.rid),
+mn AS (SELECT * FROM fe WHERE frame_idx = -1),
+cf AS (SELECT page_id, min(frame_idx) AS cf FROM fe WHERE frame_idx >= 0 AND has_links GROUP BY page_id),
+mg AS (SELECT m.page_id, m.rid, NOT m.has_links AND c.cf IS NOT NULL AS use, c.cf, m.has_links AS mh, m."next" AS mn,
+              m.pageselect AS mp FROM mn m LEFT JOIN cf c ON c.page_id = m.page_id),
+mg2 AS (SELECT g.*, f."next" AS cn, f.pageselect AS cp, f.rid AS crid FROM mg g
+        LEFT JOIN fe f ON f.page_id = g.page_id AND f.frame_idx = g.cf),
+ss AS (SELECT g.page_id, s.ord, s.sub, s.msg FROM mg2 g JOIN sg s ON s.rid = g.rid
+       UNION ALL SELECT g.page_id, s.ord + 1000, s.sub, 'Iframe ' || CAST(g.cf AS VARCHAR) || ': ' || s.msg
+       FROM mg2 g JOIN sg s ON s.rid = g.crid WHERE g.use),
+st AS (SELECT page_id, string_agg(msg, ' | ' ORDER BY ord, sub, msg) AS signals_text FROM ss GROUP BY page_id)
+SELECT g.page_id, g.mh OR g.use AS has_links, g.mn OR (g.use AND g.cn) AS next_ind,
+       g.mp OR (g.use AND g.cp) AS pageselect_ind, CASE WHEN g.use THEN CAST(g.cf AS INTEGER) END AS frame,
+       coalesce(st.signals_text, '') AS signals_text
+FROM mg2 g LEFT JOIN st ON st.page_id = g.page_id""")
+
+# --------------------------------------------------------------------------- behaviour
+_MS = "WITH " + P.measurement_ctes(fx.OBSERVATIONS_SQL)
+_SCROLL = ("CASE WHEN coalesce((h_scroll1 > h_baseline + 400 OR n_scroll1 > n_baseline + 8) AND u_scroll1 = u_baseline, false) "
+           "THEN 1 WHEN coalesce((h_scroll2 > h_baseline + 400 OR n_scroll2 > n_baseline + 8) AND u_scroll2 = u_baseline, "
+           "false) THEN 2 END")
+_GREW = ("CASE WHEN h_click_before IS NOT NULL AND h_click_after IS NOT NULL THEN coalesce(h_click_after > h_click_before "
+         "+ 200 OR n_click_after > n_click_before + 5, false) END")
+O["scroll_confirm"] = _MS + f"\nSELECT page_id, CAST({_SCROLL} AS INTEGER) AS scroll_try FROM ms"
+O["loadmore_confirm"] = (_EV + "," + P.measurement_ctes(fx.OBSERVATIONS_SQL) + f""",
+lc AS (SELECT p.page_id, CASE WHEN lm IS NULL THEN NULL WHEN split_part(lm, '|', 1) = 'button' THEN 'button' ELSE 'link' END
+              AS lm_kind, {_GREW} AS click_grew
+       FROM pg p JOIN ev e ON e.rid = p.rid LEFT JOIN ms ON ms.page_id = p.page_id)
+SELECT page_id, lm_kind, click_grew, lm_kind IS NOT NULL AND coalesce(click_grew, false) AS confirmed FROM lc""")
+
+# --------------------------------------------------------------------------- decisions
+O["decide_structural"] = _CLS + "\nSELECT page_id, bucket, bucket_source FROM dec WHERE branch = 'structural'"
+O["decide_behavioral"] = _CLS + "\nSELECT page_id, bucket, bucket_source FROM dec WHERE branch = 'behavioral'"
+_CLS0 = P.classify_sql(fx.OVERLAY_PAGES_SQL, None, None)
+O["decision_reason"] = _CLS0 + ("\nSELECT page_id, bucket, 'Final decision: ' || bucket || '. Signals: [' || all_msgs || ']' "
+                                "AS reason FROM dec")
+
+# --------------------------------------------------------------------------- judge
+O["judge_queue"] = _CLS0 + ("\nSELECT page_id, url, branch, 'Address: ' || url || chr(10) || 'Signals detected so far: ' || "
+                            "all_msgs || chr(10) || chr(10) || 'Return ONLY: ' || CASE WHEN branch = 'structural' THEN "
+                            "'next OR pageselect' ELSE 'loadmore OR scrolldown' END AS prompt FROM dec "
+                            "WHERE bucket_source IN ('judge', 'fallback')")
+O["judge_snippet"] = None  # rows-only
+O["judge_constrained"] = "WITH " + P.verdict_ctes(fx.VERDICTS_SQL) + "\nSELECT page_id, verdict_structural, verdict_behavioral FROM vd"
+_UV = f"""uv0 AS (SELECT page_id, arg_min(answer, attempt) AS answer FROM ({fx.VERDICTS_SQL}) v WHERE kind = 'url_only'
+               GROUP BY page_id),
+uv1 AS (SELECT *, contains(answer, '|') AS has_bar,
+               lower({strip("CASE WHEN contains(answer, '|') THEN split_part(answer, '|', 1) ELSE answer END")}) AS typ FROM uv0),
+uv AS (SELECT page_id, answer,
+              CASE WHEN answer IS NULL THEN NULL WHEN typ IN {inlist(['next', 'pageselect', 'loadmore', 'scrolldown'])}
+                   THEN typ ELSE 'next' END AS judge_bucket,
+              CASE WHEN answer IS NULL THEN NULL WHEN typ IN {inlist(['next', 'pageselect', 'loadmore', 'scrolldown'])}
+                   THEN 'judge_url' ELSE 'judge_default' END AS judge_source,
+              CASE WHEN has_bar THEN {strip(chr(114) + "egexp_extract(answer, '(?s)^[^|]*\\|(.*)$', 1)")}
+                   ELSE 'AI fallback classification' END AS judge_reason FROM uv1)"""
+O["judge_url_only"] = f"WITH {_UV}\nSELECT page_id, answer, judge_bucket, judge_source, judge_reason FROM uv"
+
+# --------------------------------------------------------------------------- attempts
+_M = "lower(coalesce(error_message, ''))"
+_STATUS = (f"CASE WHEN contains({_M}, 'timeout') OR contains({_M}, 'timed out') THEN 'partial' "
+           f"WHEN contains({_M}, 'dns_probe_finished_nxdomain') OR contains({_M}, 'unknown_error') THEN 'error: invalid_url' "
+           f"WHEN contains({_M}, 'receiving message') OR contains({_M}, 'renderer') THEN 'partial' "
+           "ELSE 'error: page_load_failed' END")
+O["error_taxonomy"] = (f"SELECT page_id, attempt, {_STATUS} AS status, 'error: ' || substring(error_message, 1, 50) AS label "
+                       f"FROM ({fx.ATTEMPTS_SQL}) a WHERE error_message IS NOT NULL")
+_RA = f"""atm AS (SELECT * FROM ({fx.ATTEMPTS_SQL}) a0 WHERE attempt <= 3),
+ag AS (SELECT page_id,
+         arg_min(outcome, attempt) FILTER (WHERE outcome IS NOT NULL AND NOT starts_with(outcome, 'error:')) AS success,
+         min(attempt) FILTER (WHERE outcome IS NOT NULL AND NOT starts_with(outcome, 'error:')) AS success_attempt,
+         CAST(count(*) AS INTEGER) AS n_attempts FROM atm GROUP BY page_id),
+al AS (SELECT page_id, outcome IS NULL AS raised, error_message, coalesce(outcome, error_message) AS err FROM atm
+       QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY attempt DESC) = 1),
+{_UV},
+ra AS (SELECT g.page_id,
+         CASE WHEN success IS NOT NULL THEN success WHEN uv.judge_bucket IS NOT NULL THEN uv.judge_bucket
+              WHEN l.raised THEN 'error: ' || substring(coalesce(l.error_message, ''), 1, 50)
+              ELSE 'error: timeout_max_retries' END AS bucket,
+         CASE WHEN success IS NOT NULL THEN 'attempt ' || CAST(success_attempt AS VARCHAR)
+              WHEN uv.judge_bucket IS NOT NULL THEN uv.judge_source ELSE 'error' END AS bucket_source,
+         g.n_attempts, CASE WHEN success IS NULL THEN l.err END AS last_error
+       FROM ag g JOIN al l ON l.page_id = g.page_id LEFT JOIN uv ON uv.page_id = g.page_id)"""
+O["resolve_attempts"] = f"WITH {_RA}\nSELECT page_id, bucket, bucket_source, n_attempts, last_error FROM ra"
+_AR = (f"WITH {_RA}, {_UL}, {_ADM},\n"
+       "rs AS (SELECT ua.*, coalesce(CASE WHEN status <> 'admitted' THEN status END, ra.bucket) AS bucket "
+       "FROM ua LEFT JOIN ra ON ra.page_id = ua.row_id // 2)")
+O["run_summary"] = _AR + f""",
+el_t AS (SELECT epoch(max(ts)) - epoch(min(ts)) AS el FROM ({fx.ATTEMPTS_SQL}) z)
+SELECT count(*) FILTER (WHERE status = 'admitted') AS total_admitted,
+       count(*) FILTER (WHERE bucket IS NOT NULL AND NOT starts_with(bucket, 'error')) AS successful,
+       count(*) FILTER (WHERE starts_with(bucket, 'error')) AS errors,
+       count(*) FILTER (WHERE status = 'invalid_url') AS invalid_urls,
+       count(*) FILTER (WHERE status = 'duplicate_in_input') AS duplicates,
+       count(DISTINCT url_norm) AS distinct_urls,
+       (SELECT CAST(floor(el) AS BIGINT) FROM el_t) AS elapsed_sec,
+       CASE WHEN count(*) FILTER (WHERE status = 'admitted') > 0 THEN
+            CAST(floor((SELECT el FROM el_t) * 1000 / count(*) FILTER (WHERE status = 'admitted')) AS BIGINT) END
+            AS avg_ms_per_url
+FROM rs"""
+O["progress_count"] = _AR + "\nSELECT count(bucket) AS completed, count(*) AS total FROM rs"
+
+O = {k: v for k, v in O.items() if v is not None}
