@@ -49,7 +49,7 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
     ``keep`` lists extra input columns to carry (default: every column but the HTML).
     """
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
-    d = with_dom(pages.select(*keep, html_col), html_col)
+    d = with_dom(spread(pages.select(*keep, html_col)), html_col)
     d = add_rule_columns(d)
     return add_evidence(d, rule_set).select(*keep, fence(F.col("ev")).alias("ev"))
 
@@ -143,6 +143,19 @@ def decide(ev: Column, m: Column, v_struct: Column, v_behav: Column) -> Column:
     )
 
 
+def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Hash-partition by page when the input has fewer partitions than the session's shuffle
+    partitions (e.g. one large file): HTML is heavy, so spread it before the per-page work.
+    The result is partitioned by page, which is also what the later per-page joins need.
+    Inputs with many files (the cluster case) are left as they are: no extra shuffle."""
+    if pages.isStreaming:
+        return pages
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if pages.rdd.getNumPartitions() < n:
+        return pages.repartition(n, key)
+    return pages
+
+
 def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observations: DataFrame | None = None,
                    verdicts: DataFrame | None = None, rule_set: str = "intended") -> DataFrame:
     """Classify every page: ``page_id, url, branch, bucket, bucket_source, next, pageselect,

@@ -324,3 +324,63 @@ def q_run_summary(spark, sf):
 @query("progress_count")
 def q_progress_count(spark, sf):
     return report.progress_count(_attempt_results(spark, sf))
+
+
+# --------------------------------------------------------------------------- streaming
+from navbuckets.streaming import stream as S  # noqa: E402
+
+
+def _stage_parquet(spark, df, name):
+    """Write a derived batch input once, so a file stream can read it."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return path, df.schema
+
+
+def _classified_stream(spark, sf):
+    pages = S.pages_stream(spark, sf).select("page_id", "url", F.expr(fx.overlay_expr()).alias("html"))
+    return S.classify_stream(pages, fx.observations(spark, sf), fx.verdicts(spark, sf))
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf):
+    ul = fx.url_list(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("row_id")))
+    path, schema = _stage_parquet(spark, ul, "url-list")
+    out, ck = S.stream_folder(spark, "stream-dedup")
+    d = S.dedup_stream(S.file_stream(spark, path, schema), URL_COL, event_time="ts")
+    S.run_to_end(d.select("row_id", "url_norm").writeStream.format("parquet").outputMode("append"), out, ck)
+    return spark.read.parquet(out).select("url_norm")
+
+
+@query("stream_classify")
+def q_stream_classify(spark, sf):
+    out, ck = S.stream_folder(spark, "stream-classify")
+    c = _classified_stream(spark, sf).select("page_id", "url", "branch", "bucket", "bucket_source", "reason")
+    S.run_to_end(c.writeStream.format("parquet").outputMode("append"), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_results")
+def q_stream_results(spark, sf):
+    out, ck = S.stream_folder(spark, "stream-results")
+    c = _classified_stream(spark, sf).filter(F.length("bucket") > 0).select("page_id", "bucket")
+    S.run_to_end(c.writeStream.format("parquet").outputMode("append"), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_attempts")
+def q_stream_attempts(spark, sf):
+    path, schema = _stage_parquet(spark, fx.attempts(spark, sf), "attempts")
+    out, ck = S.stream_folder(spark, "stream-attempts")
+    r = S.resolve_attempts_stream(S.file_stream(spark, path, schema), fx.verdicts(spark, sf))
+    S.run_to_end(r.writeStream.format("parquet").outputMode("append"), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_progress")
+def q_stream_progress(spark, sf):
+    out, ck = S.stream_folder(spark, "stream-progress")
+    q = S.progress_stream(_classified_stream(spark, sf), out).option("checkpointLocation", ck) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination(S.STREAM_TIMEOUT_SEC)
+    return spark.read.parquet(out).groupBy("bucket").agg(F.sum("n").alias("n"))

@@ -224,3 +224,11 @@ FROM rs"""
 O["progress_count"] = _AR + "\nSELECT count(bucket) AS completed, count(*) AS total FROM rs"
 
 O = {k: v for k, v in O.items() if v is not None}
+
+# --------------------------------------------------------------------------- streaming (stream result = batch result)
+O["stream_dedup"] = (f"WITH {_UL} SELECT DISTINCT {_norm('companyUrl')} AS url_norm FROM ul "
+                     f"WHERE NOT {_blank('companyUrl')}")
+O["stream_classify"] = O["classify_pages"]
+O["stream_results"] = _CLS + "\nSELECT page_id, bucket FROM dec WHERE length(bucket) > 0"
+O["stream_attempts"] = O["resolve_attempts"]
+O["stream_progress"] = _CLS + "\nSELECT bucket, count(*) AS n FROM dec GROUP BY bucket"
