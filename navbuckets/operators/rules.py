@@ -258,3 +258,27 @@ def loadmore_candidate(els: str = "els") -> Column:
             cands.append(F.when(F.coalesce(first["displayed"], F.lit(False)),
                                 F.struct(F.lit(kind).alias("kind"), F.lit(kw).alias("keyword"))))
     return F.coalesce(*cands)
+
+
+def rule_entries() -> list[tuple[str, str]]:
+    """(rule_id, entry) for the keyword/symbol rules, in catalogue and list order."""
+    return ([("R2", k) for k in NEXT_KEYWORDS] + [("R5", s) for s in NEXT_SYMBOLS]
+            + [("R6", k) for k in PAGESELECT_KEYWORDS] + [("R7", s) for s in PAGESELECT_SYMBOLS])
+
+
+def first_hits(iels: str = "_iels") -> Column:
+    """Per keyword/symbol rule entry, the position of the first displayed matching
+    a/button/span (unguarded: what each entry alone would find). ARRAY<STRUCT<rule_id, entry, first_pos>>."""
+    def pred(rule: str, x: str):
+        if rule == "R2":
+            return lambda e: e["displayed"] & ~e["top"] & (e["ft"].contains(x) | e["ar"].contains(x))
+        if rule == "R5":
+            return lambda e: e["displayed"] & ~e["top"] & (e["full"].contains(x) | e["aria"].contains(x))
+        if rule == "R6":
+            return lambda e: e["displayed"] & (e["ft"].contains(x) | e["ar"].contains(x))
+        return lambda e: e["displayed"] & e["full"].contains(x)
+
+    items = [F.struct(F.lit(r).alias("rule_id"), F.lit(x).alias("entry"),
+                      F.array_min(F.transform(F.filter(iels, pred(r, x)), lambda e: e["pos"])).alias("first_pos"))
+             for r, x in rule_entries()]
+    return F.filter(F.array(*items), lambda h: h["first_pos"].isNotNull())

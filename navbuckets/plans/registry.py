@@ -384,3 +384,29 @@ def q_stream_progress(spark, sf):
         .trigger(availableNow=True).start()
     q.awaitTermination(S.STREAM_TIMEOUT_SEC)
     return spark.read.parquet(out).groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+# --------------------------------------------------------------------------- user rules (J6), first hits
+@query("custom_rules")
+def q_custom_rules(spark, sf):
+    from navbuckets.operators.rules import LOADMORE_KEYWORDS
+
+    rules = spark.createDataFrame([(f"LM{i}{t[0]}", t, k) for i, k in enumerate(LOADMORE_KEYWORDS)
+                                   for t in ("button", "a")], "rule_id string, tag string, needle string")
+    return E.custom_rules(E.elements(fx.overlay_pages(spark, sf)), rules)
+
+
+@query("first_hit_per_rule")
+def q_first_hit_per_rule(spark, sf):
+    from navbuckets.functions.dom import with_dom
+    from navbuckets.operators.rules import add_rule_columns, first_hits
+
+    d = add_rule_columns(with_dom(spread_pages(fx.overlay_pages(spark, sf).select("page_id", "html"))))
+    d = materialize(d.select("page_id", first_hits().alias("h")))
+    return d.select("page_id", F.inline("h"))
+
+
+def spread_pages(df):
+    from navbuckets.plans.classify import spread
+
+    return spread(df)

@@ -232,3 +232,29 @@ O["stream_classify"] = O["classify_pages"]
 O["stream_results"] = _CLS + "\nSELECT page_id, bucket FROM dec WHERE length(bucket) > 0"
 O["stream_attempts"] = O["resolve_attempts"]
 O["stream_progress"] = _CLS + "\nSELECT bucket, count(*) AS n FROM dec GROUP BY bucket"
+
+# --------------------------------------------------------------------------- user rules (J6), first hits
+from navbuckets.operators import rules as _R  # noqa: E402
+
+_RULES = " UNION ALL ".join(f"SELECT {q('LM' + str(i) + t[0])} AS rule_id, {q(t)} AS tag, {q(k)} AS needle"
+                            for i, k in enumerate(_R.LOADMORE_KEYWORDS) for t in ("button", "a"))
+O["custom_rules"] = _DOM + (f",\nru AS ({_RULES})\nSELECT e.rid AS page_id, r.rule_id, CAST(min(e.pos) AS INTEGER) AS first_pos, "
+                            f"count(*) AS n_hits FROM el e JOIN ru r ON r.tag = e.tag "
+                            f"WHERE e.displayed AND contains({P.alow('e.first_text')}, lower(r.needle)) "
+                            f"GROUP BY e.rid, r.rule_id")
+
+
+def _fh(rule, x):
+    if rule == "R2":
+        cond = f"displayed AND NOT top AND (contains(ft, {q(x)}) OR contains(ar, {q(x)}))"
+    elif rule == "R5":
+        cond = f"displayed AND NOT top AND (contains(full0, {q(x)}) OR contains(aria0, {q(x)}))"
+    elif rule == "R6":
+        cond = f"displayed AND (contains(ft, {q(x)}) OR contains(ar, {q(x)}))"
+    else:
+        cond = f"displayed AND contains(full0, {q(x)})"
+    return (f"SELECT rid AS page_id, {q(rule)} AS rule_id, {q(x)} AS entry, CAST(min(pos) AS INTEGER) AS first_pos "
+            f"FROM ie WHERE {cond} GROUP BY rid")
+
+
+O["first_hit_per_rule"] = _EV + "\n" + " UNION ALL ".join(_fh(r, x) for r, x in _R.rule_entries())
