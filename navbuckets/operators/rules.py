@@ -145,7 +145,12 @@ def add_rule_columns(d, els: str = "els", toks: str = "_toks"):
     links = F.filter("_iels", lambda e: e["label"].isNotNull())
     visible = F.transform(links, lambda l: l.withField("visible", F.exists(
         "_iels", lambda x: (x["tag"] == "a") & (x["href"] == l["href"]) & x["displayed"])))
-    d = keep(d.withColumn("_links", pin(visible, "_iels")), "_links")
+    if "_ext_links" in d.columns:  # precomputed tagged links replace R0/R1
+        visible = F.coalesce(F.col("_ext_links"), F.array().cast(
+            "array<struct<pos:int,label:string,ltxt:string,href:string,visible:boolean>>"))
+        d = keep(d.withColumn("_links", visible), "_links")
+    else:
+        d = keep(d.withColumn("_links", pin(visible, "_iels")), "_links")
     d = d.withColumn("_range_text", F.lower(F.array_join(
         F.transform(F.filter(els, r4_container), lambda e: _s(e["full_text"])), " ")))
     d = d.withColumn("_body_text", F.lower(body_text(els, toks)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navbuckets.functions.dom import fence, with_dom
+from navbuckets.functions.text import py_strip
 from navbuckets.operators import behavior, judge
 from navbuckets.operators.rules import add_evidence, add_rule_columns
 
@@ -43,13 +44,23 @@ EVIDENCE_COLS = ["has_links", "next", "pageselect", "r2", "r3", "r4", "r5", "r6"
 
 
 def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str] | None = None,
-                  html_col: str = "html") -> DataFrame:
+                  html_col: str = "html", links: DataFrame | None = None) -> DataFrame:
     """Per row (page or frame): ``ev`` evidence struct; the HTML and arrays are dropped.
 
     ``keep`` lists extra input columns to carry (default: every column but the HTML).
+    ``links(page_id[, frame_idx], pos, link_type, text, href, displayed)``: precomputed tagged
+    links that replace the rule-based tagging (R0) and its visibility check (R1).
     """
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
-    d = with_dom(spread(pages.select(*keep, html_col)), html_col)
+    src = spread(pages.select(*keep, html_col))
+    if links is not None:
+        keys = ["page_id"] + (["frame_idx"] if "frame_idx" in keep and "frame_idx" in links.columns else [])
+        per_page = links.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+            F.col("pos").cast("int").alias("pos"), F.col("link_type").alias("label"),
+            F.lower(py_strip(F.coalesce(F.col("text"), F.lit("")))).alias("ltxt"),
+            F.col("href").alias("href"), F.coalesce(F.col("displayed"), F.lit(False)).alias("visible")))).alias("_ext_links"))
+        src = src.join(per_page, keys, "left")
+    d = with_dom(src, html_col)
     d = add_rule_columns(d)
     return add_evidence(d, rule_set).select(*keep, fence(F.col("ev")).alias("ev"))
 
@@ -157,7 +168,8 @@ def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observations: DataFrame | None = None,
-                   verdicts: DataFrame | None = None, rule_set: str = "intended") -> DataFrame:
+                   verdicts: DataFrame | None = None, rule_set: str = "intended",
+                   links: DataFrame | None = None) -> DataFrame:
     """Classify every page: ``page_id, url, branch, bucket, bucket_source, next, pageselect,
     signals, reason``.
 
@@ -165,12 +177,13 @@ def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observa
       replaces the page HTML by the main document (-1) plus its iframes when given.
     * ``observations`` -- before/after measurements (R11/R12); pages without rows fall back.
     * ``verdicts(page_id, kind, branch, attempt, answer)`` -- judge answers (J3).
+    * ``links`` -- precomputed tagged links (exact tagger output) instead of rule-based R0.
     """
     base = pages.select("page_id", "url")
     if frames is None:
-        ev = page_evidence(pages.select("page_id", "url", "html"), rule_set)
+        ev = page_evidence(pages.select("page_id", "url", "html"), rule_set, links=links)
     else:
-        fev = page_evidence(frames.select("page_id", "frame_idx", "html"), rule_set)
+        fev = page_evidence(frames.select("page_id", "frame_idx", "html"), rule_set, links=links)
         ev = base.join(merge_frames(fev), "page_id", "left")
     cols = [F.col("page_id"), F.col("url"), F.col("ev")]
     d = ev.select(*cols)

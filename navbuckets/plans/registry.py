@@ -410,3 +410,13 @@ def spread_pages(df):
     from navbuckets.plans.classify import spread
 
     return spread(df)
+
+
+@query("classify_with_links")
+def q_classify_with_links(spark, sf):
+    """D4 with a precomputed links table (here: the audit link table of the same pages)."""
+    links = E.links(fx.overlay_pages(spark, sf)).select(
+        "page_id", "pos", "link_type", "text", "href", F.col("visible").alias("displayed"))
+    res = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+                         verdicts=fx.verdicts(spark, sf), links=links)
+    return res.select("page_id", "url", "branch", "bucket", "bucket_source", "reason")

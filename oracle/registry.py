@@ -258,3 +258,5 @@ def _fh(rule, x):
 
 
 O["first_hit_per_rule"] = _EV + "\n" + " UNION ALL ".join(_fh(r, x) for r, x in _R.rule_entries())
+
+O["classify_with_links"] = O["classify_pages"]
