@@ -41,6 +41,8 @@ BLOCK_TAGS = ["address", "article", "aside", "blockquote", "br", "dd", "div", "d
               "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
               "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section",
               "table", "tbody", "td", "th", "thead", "tr", "ul"]
+# Tags whose texts are computed eagerly (besides elements with a class or id).
+TEXT_TAGS = ["a", "button", "span", "div", "nav", "ul", "footer", "body"]
 # Attributes the rules read, exposed as element fields.
 ATTR_FIELDS = {"cls": "class", "id": "id", "aria": "aria-label", "href": "href", "rel": "rel",
                "typ": "type", "dai": "data-automation-id", "role": "role", "style": "style"}
@@ -116,7 +118,8 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``_toks`` (token array), ``_n`` and ``els`` (element array) to each row.
 
     Element struct: pos, end, tag, attrs, cls, id, aria, href, rel, typ, dai, role, style,
-    first_text, full_text, text, own_hidden, displayed.
+    first_text, own_hidden, full_text, text (null where no rule reads them), cw (class words),
+    displayed.
     """
     d = keep(df.withColumn("_toks", tokens(clean_html(F.col(html_col)))), "_toks")
     d = d.withColumn("_n", F.size("_toks"))
@@ -186,22 +189,19 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
     def attr(e: Column, name: str) -> Column:
         return F.try_element_at(F.filter(e["pairs"], lambda p: p["k"] == name), F.lit(1))["v"]
 
-    def texts(e: Column) -> list[Column]:
-        rng = F.slice("_toks", e["pos"], e["end"] - e["pos"])
-        inner = F.slice("_toks", e["pos"] + 1, e["end"] - e["pos"] - 1)
-        full = F.array_join(F.transform(rng, lambda t: t["txt"]), "")
-        rendered = py_strip(F.concat(e["first_text"], F.array_join(
-            F.transform(inner, lambda t: F.concat(t["sep"], t["txt"])), "")))
-        return [full.alias("full_text"), rendered.alias("text")]
-
     els1 = F.transform("_els0", lambda e: F.struct(
         e["pos"].alias("pos"), e["end"].alias("end"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
         *[attr(e, a).alias(f) for f, a in ATTR_FIELDS.items()],
         e["first_text"].alias("first_text"),
-        *texts(e),
         e["attrs"].rlike(HIDDEN_RE).alias("own_hidden"),
     ))
-    d = keep(d.withColumn("_els1", pin(els1, "_toks")), "_els1")
+    d = keep(d.withColumn("_els1", els1), "_els1")
+    # Texts only for elements a rule can read (the rest on demand: ``full_text_of``/``text_of``).
+    els2 = F.transform("_els1", lambda e: e.withField(
+        "full_text", F.when(needs_text(e), full_text_of(e))).withField(
+        "text", F.when(needs_text(e), text_of(e))).withField(
+        "cw", F.split(F.coalesce(e["cls"], F.lit("")), r"\s+")))
+    d = keep(d.withColumn("_els1", pin(els2, "_toks")), "_els1")
     d = d.withColumn("_hid", F.transform(F.filter("_els1", lambda e: e["own_hidden"]),
                                          lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"))))
     els = F.transform("_els1", lambda e: e.withField(
@@ -213,6 +213,32 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
     return d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid")
 
 
+def needs_text(e: Column) -> Column:
+    """Elements whose texts the rules read: interactive tags, containers by tag, the body, and
+    anything with a class or id (class/id-based containers)."""
+    return e["tag"].isin(TEXT_TAGS) | e["cls"].isNotNull() | e["id"].isNotNull()
+
+
+def full_text_of(e: Column, toks: str = "_toks") -> Column:
+    """``textContent``: the text of every token in the element's range. Reads ``toks``
+    inside a lambda: the caller's projection must ``pin`` it."""
+    rng = F.slice(toks, e["pos"], e["end"] - e["pos"])
+    return F.array_join(F.transform(rng, lambda t: t["txt"]), "")
+
+
+def text_of(e: Column, toks: str = "_toks") -> Column:
+    """Rendered text: block-level boundaries become newlines; stripped."""
+    inner = F.slice(toks, e["pos"] + 1, e["end"] - e["pos"] - 1)
+    return py_strip(F.concat(e["first_text"], F.array_join(
+        F.transform(inner, lambda t: F.concat(t["sep"], t["txt"])), "")))
+
+
+def with_texts(els: str = "els", toks: str = "_toks") -> Column:
+    """``els`` with both texts filled for every element (audit tables)."""
+    return pin(F.transform(els, lambda e: e.withField("full_text", F.coalesce(e["full_text"], full_text_of(e, toks)))
+                           .withField("text", F.coalesce(e["text"], text_of(e, toks)))), toks)
+
+
 def body_text(els: str = "els", toks: str = "_toks") -> Column:
     """``document.body.textContent``: full text of the first ``body`` element, else all text."""
     body = F.try_element_at(F.filter(els, lambda e: e["tag"] == "body"), F.lit(1))["full_text"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import with_dom
+from navbuckets.functions.dom import with_dom, with_texts
 from navbuckets.session import materialize
 from navbuckets.operators.rules import (
     INTERACTIVE_TAGS, add_rule_columns, container_name, r4_container, r8_container,
@@ -18,7 +18,7 @@ from navbuckets.operators.rules import (
 
 def elements(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``elements(page_id, pos, end, tag, attrs, cls, id, aria, href, ..., first_text, full_text, text, displayed)``."""
-    d = materialize(with_dom(pages.select(*keep, "html")).select(*keep, "els"))
+    d = materialize(with_dom(pages.select(*keep, "html")).select(*keep, with_texts().alias("els")))
     return d.select(*keep, F.inline("els"))
 
 

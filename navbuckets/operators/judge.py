@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import pin
+from navbuckets.functions.dom import full_text_of, pin, text_of
 from navbuckets.functions.text import py_strip
 
 # The branch choices, the URL-only vocabulary and reason texts.
@@ -66,7 +66,7 @@ def _snippet_container(e: Column) -> Column:
 
     c = e["tag"].isin(SNIPPET_CONTAINER_TAGS) | (F.coalesce(e["role"], F.lit("")) == "navigation")
     for w in SNIPPET_CLASS_WORDS:
-        c = c | class_word(e["cls"], w)
+        c = c | class_word(e, w)
     for p in SNIPPET_CLASS_PARTS:
         c = c | F.coalesce(e["cls"], F.lit("")).contains(p)
     return c
@@ -81,10 +81,11 @@ def snippet(els: str = "els") -> Column:
 
     def item(e: Column) -> Column:
         parent = F.try_element_at(F.filter(els, lambda q: (q["pos"] < e["pos"]) & (e["pos"] < q["end"])), F.lit(-1))
-        html = F.substring(F.concat(F.lit("<"), e["tag"], e["attrs"], F.lit(">"), F.coalesce(e["full_text"], F.lit(""))),
-                           1, SNIPPET_HTML_CAP)
+        html = F.substring(F.concat(F.lit("<"), e["tag"], e["attrs"], F.lit(">"),
+                                    F.coalesce(e["full_text"], full_text_of(e))), 1, SNIPPET_HTML_CAP)
+        ptext = F.when(parent.isNotNull(), F.coalesce(parent["text"], text_of(parent)))
         return F.concat(html, F.lit(" (Parent: "),
-                        F.substring(F.coalesce(parent["text"], F.lit("")), 1, SNIPPET_PARENT_CAP), F.lit(")"))
+                        F.substring(F.coalesce(ptext, F.lit("")), 1, SNIPPET_PARENT_CAP), F.lit(")"))
 
     def per_container(c: Column) -> Column:
         inside = F.filter(els, lambda e: e["tag"].isin(SNIPPET_TAGS) & (c["pos"] < e["pos"]) & (e["pos"] < c["end"]))
@@ -92,7 +93,7 @@ def snippet(els: str = "els") -> Column:
         return F.array_join(F.transform(last, item), "\n")
 
     return pin(F.substring(F.array_join(F.transform(chosen, per_container), CONTAINER_SEPARATOR), 1,
-                           SNIPPET_TOTAL_CAP), els)
+                           SNIPPET_TOTAL_CAP), els, "_toks")
 
 
 def prompt(url: Column, signals: Column, snippet_col: Column | None, branch: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import alow, body_text, keep, pin
+from navbuckets.functions.dom import alow, body_text, keep, pin, text_of
 from navbuckets.functions.text import first_match, has_one_and_two, py_strip
 
 # ---------------------------------------------------------------------------
@@ -68,9 +68,9 @@ def _s(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def class_word(cls: Column, word: str) -> Column:
-    """CSS ``.word``: a whole class token (case-sensitive)."""
-    return F.array_contains(F.split(_s(cls), r"\s+"), word)
+def class_word(e: Column, word: str) -> Column:
+    """CSS ``.word``: a whole class token (case-sensitive); ``e.cw`` holds the split class."""
+    return F.array_contains(e["cw"], word)
 
 
 def platform_selector(e: Column, sel: str) -> Column:
@@ -78,10 +78,10 @@ def platform_selector(e: Column, sel: str) -> Column:
     preds = {
         PLATFORM_SELECTORS[0]: (e["tag"] == "button") & _s(e["aria"]).contains("Next"),
         PLATFORM_SELECTORS[1]: (e["tag"] == "button") & _s(e["aria"]).contains("next"),
-        PLATFORM_SELECTORS[2]: class_word(e["cls"], "wd-paginator-next-button"),
+        PLATFORM_SELECTORS[2]: class_word(e, "wd-paginator-next-button"),
         PLATFORM_SELECTORS[3]: _s(e["dai"]) == "pageNext",
-        PLATFORM_SELECTORS[4]: class_word(e["cls"], "next-page-button"),
-        PLATFORM_SELECTORS[5]: class_word(e["cls"], "sf-pagination-next"),
+        PLATFORM_SELECTORS[4]: class_word(e, "next-page-button"),
+        PLATFORM_SELECTORS[5]: class_word(e, "sf-pagination-next"),
     }
     return preds[sel]
 
@@ -102,7 +102,7 @@ def link_label(e: Column) -> Column:
 def r4_container(e: Column) -> Column:
     c = e["tag"].isin(R4_CONTAINER_TAGS)
     for w in R4_CONTAINER_CLASS_WORDS:
-        c = c | class_word(e["cls"], w)
+        c = c | class_word(e, w)
     for p in R4_CONTAINER_CLASS_PARTS:
         c = c | _s(e["cls"]).contains(p)
     for p in R4_CONTAINER_ID_PARTS:
@@ -115,7 +115,7 @@ def r8_container(e: Column) -> Column:
     for p in R8_CONTAINER_CLASS_PARTS:
         c = c | _s(e["cls"]).contains(p)
     for w in R8_CONTAINER_CLASS_WORDS:
-        c = c | class_word(e["cls"], w)
+        c = c | class_word(e, w)
     for p in R8_CONTAINER_ID_PARTS:
         c = c | _s(e["id"]).contains(p)
     return c
@@ -226,12 +226,15 @@ def add_evidence(d, rule_set: str = "intended", els: str = "els"):
 
         def near(e: Column) -> Column:
             up = F.filter(els, lambda q: (q["pos"] < e["pos"]) & (e["pos"] < q["end"]))
-            ok = lambda a: (F.length(a["text"]) < R9_MAX_LEN) & has_one_and_two(a["text"])
+            def ok(a: Column) -> Column:
+                t = F.coalesce(a["text"], text_of(a))
+                return (F.length(t) < R9_MAX_LEN) & has_one_and_two(t)
+
             return F.coalesce(ok(F.try_element_at(up, F.lit(-1))), F.lit(False)) | F.coalesce(
                 ok(F.try_element_at(up, F.lit(-2))), F.lit(False))
 
         r9_hit = pin(F.exists(els, lambda e: e["tag"].isin(NEIGHBOURHOOD_TAGS) & e["displayed"]
-                              & ((e["first_text"] == "1") | (e["full_text"] == "1")) & near(e)), els)
+                              & ((e["first_text"] == "1") | (e["full_text"] == "1")) & near(e)), els, "_toks")
         d = d.withColumn("_r9", F.when(col("_p8"), F.lit(False)).otherwise(F.coalesce(r9_hit, F.lit(False))))
         d = d.withColumn("_next", col("_n3") | col("_r5").isNotNull()).withColumn("_psel", col("_p8") | col("_r9"))
     sigs = [col("_sig1"),
