@@ -72,17 +72,6 @@ def keep(d: DataFrame, *names: str) -> DataFrame:
     return d
 
 
-def fence(c: Column) -> Column:
-    """Optimization fence around a finished per-row result (``rand(0) >= 0`` is always true).
-
-    A filter written on the result (e.g. ``branch = 'structural'``) is then evaluated on the
-    finished column instead of being pushed below it with the whole evidence expression
-    substituted in -- which would compute the evidence twice and bloat the plan.
-    Filters on input columns belong before the call (and reach the parquet scan there).
-    """
-    return F.when(F.rand(0) >= 0, c)
-
-
 def clean_html(html: Column) -> Column:
     return F.regexp_replace(html, CLEAN_RE, "")
 
