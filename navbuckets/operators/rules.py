@@ -142,6 +142,9 @@ def add_rule_columns(d, els: str = "els", toks: str = "_toks"):
         link_label(e).alias("label"), F.lower(py_strip(_s(e["full_text"]))).alias("ltxt"),
     ))
     d = keep(d.withColumn("_iels", iels), "_iels")
+    d = keep(d.withColumn("_lmels", F.transform(F.filter(els, lambda e: e["tag"].isin("a", "button")), lambda e: F.struct(
+        e["pos"].alias("pos"), e["tag"].alias("tag"), e["displayed"].alias("displayed"),
+        alow(e["first_text"]).alias("ft")))), "_lmels")
     links = F.filter("_iels", lambda e: e["label"].isNotNull())
     visible = F.transform(links, lambda l: l.withField("visible", F.exists(
         "_iels", lambda x: (x["tag"] == "a") & (x["href"] == l["href"]) & x["displayed"])))
@@ -249,20 +252,21 @@ def add_evidence(d, rule_set: str = "intended", els: str = "els"):
     ev = F.struct(
         col("_has_links").alias("has_links"), col("_next").alias("next"), col("_psel").alias("pageselect"),
         *[col(f"_r{i}").alias(f"r{i}") for i in range(2, 10)],
-        loadmore_candidate(els).alias("loadmore"),
+        loadmore_candidate().alias("loadmore"),
         F.concat(*sigs).alias("signals"),
     )
     return d.withColumn("ev", ev)
 
 
-def loadmore_candidate(els: str = "els") -> Column:
+def loadmore_candidate(els: str = "_lmels") -> Column:
     """Per keyword the first ``button`` then the first ``a`` whose first text holds it;
-    only that first node is tested for display. STRUCT<kind, keyword> or null."""
+    only that first node is tested for display. STRUCT<kind, keyword> or null.
+    Reads ``_lmels`` (a/button elements with their ASCII-lower-cased first text)."""
     cands = []
     for kw in LOADMORE_KEYWORDS:
         for tag, kind in (("button", "button"), ("a", "link")):
             first = F.try_element_at(F.filter(els, (lambda t, k: lambda e: (e["tag"] == t)
-                                                    & alow(e["first_text"]).contains(k))(tag, kw)), F.lit(1))
+                                                    & e["ft"].contains(k))(tag, kw)), F.lit(1))
             cands.append(F.when(F.coalesce(first["displayed"], F.lit(False)),
                                 F.struct(F.lit(kind).alias("kind"), F.lit(kw).alias("keyword"))))
     return F.coalesce(*cands)
