@@ -7,9 +7,11 @@ to report rows/s at a larger input.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,8 +24,13 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 REPLICAS = int(os.environ.get("BENCH_REPLICAS", "4"))
 
 
+EVENT_DIR = tempfile.mkdtemp(prefix="navbuckets-bench-events-")  # local bench only
+
+
 def session() -> SparkSession:
     return (SparkSession.builder.master(f"local[{CPUS}]").appName("navbuckets-bench")
+            .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", EVENT_DIR)
+            .config("spark.eventLog.compress", "false")
             .config("spark.ui.enabled", "false")
             .config("spark.sql.shuffle.partitions", str(max(8, int(CPUS) * 2)))
             .config("spark.sql.adaptive.enabled", "true")
@@ -34,12 +41,34 @@ def session() -> SparkSession:
             .getOrCreate())
 
 
-def run(df) -> float:
+def run(df, name: str = "warmup") -> float:
+    df.sparkSession.sparkContext.setJobGroup(name, name)
     t = time.time()
     df.write.format("noop").mode("overwrite").save()
     return time.time() - t
 
 
+def shuffle_bytes() -> dict:
+    """Shuffle bytes written per query (job group), read from the event log."""
+    stage_group, out = {}, {}
+    for path in glob.glob(os.path.join(EVENT_DIR, "**", "events_*"), recursive=True) + \
+            glob.glob(os.path.join(EVENT_DIR, "local-*")):
+        with open(path) as f:
+            for line in f:
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    g = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = g
+                elif kind == "SparkListenerTaskEnd":
+                    g = stage_group.get(ev.get("Stage ID"))
+                    m = (ev.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                    if g:
+                        out[g] = out.get(g, 0) + int(m.get("Shuffle Bytes Written", 0))
+    return out
+
+
 def main() -> None:
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,10 +88,10 @@ def main() -> None:
 
     n_pages = fx.table(spark, SF_DIR, "pages").count()
     times = {}
-    times["classify_pages"] = run(classify(SF_DIR))
-    times[f"classify_pages_x{REPLICAS}"] = run(classify(SF_DIR, REPLICAS))
+    times["classify_pages"] = run(classify(SF_DIR), "classify_pages")
+    times[f"classify_pages_x{REPLICAS}"] = run(classify(SF_DIR, REPLICAS), f"classify_pages_x{REPLICAS}")
     for name in ["url_admission", "resolve_attempts", "frame_merge", "rule_number_adjacent", "run_summary"]:
-        times[name] = run(Q[name](spark, SF_DIR))
+        times[name] = run(Q[name](spark, SF_DIR), name)
     total = sum(times.values())
     out = {
         "metric": "total_query_time",
@@ -75,8 +104,12 @@ def main() -> None:
         "classify_rows_per_sec_replicated": round(n_pages * REPLICAS / times[f"classify_pages_x{REPLICAS}"], 1),
         "cpus": int(CPUS),
     }
-    print(json.dumps(out))
     spark.stop()
+    try:
+        out["shuffle_bytes"] = {k: v for k, v in shuffle_bytes().items() if k in times}
+    except Exception as e:  # noqa: BLE001 - the timing line must still be printed
+        out["shuffle_bytes_error"] = str(e)[:200]
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
