@@ -60,3 +60,28 @@ def materialize(df):
     lineage so the optimizer plans the explode over a plain scan of the saved arrays."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``navbuckets`` importable in Python workers (needed only by the Pandas-backed
+    streaming state function). Zips the package once per SparkContext and ``addPyFile``s it;
+    on a cluster the same happens with ``--py-files`` / an installed wheel."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="navbuckets-pyfiles-"), "navbuckets.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("navbuckets", os.path.relpath(full, pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

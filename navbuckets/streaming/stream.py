@@ -20,7 +20,7 @@ from navbuckets.functions.urls import is_blank_url, normalize_url
 from navbuckets.operators import attempts as att
 from navbuckets.operators.judge import url_only_verdicts
 from navbuckets.plans.classify import classify_pages
-from navbuckets.session import ensure_dir, scratch_path
+from navbuckets.session import ensure_dir, scratch_path, ship_package
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 STREAM_TIMEOUT_SEC = 600
@@ -129,6 +129,7 @@ def resolve_attempts_stream(attempts: DataFrame, verdicts: DataFrame | None = No
     a = a.select("page_id", "attempt", "outcome", "error_message", "judge_bucket", "judge_source")
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    ship_package(attempts.sparkSession)
     return a.groupBy("page_id").applyInPandasWithState(
         _resolve_group, RESOLVED_SCHEMA, ATTEMPT_STATE, "append", GroupStateTimeout.NoTimeout)
 
