@@ -200,3 +200,24 @@ def verdicts(spark, sf_dir):
 
 def attempts(spark, sf_dir):
     return derive(spark, sf_dir, ATTEMPTS_SQL, ("events",))
+
+
+# Measurements from the event log: per user the first three events by (ts, event_id) are the
+# baseline and the two scroll readings; height = value * 100, element count from event_id,
+# and a 'view' event reads the URL with a fragment (same page), a 'signup' one with a query.
+EVENT_OBSERVATIONS_SQL = """
+SELECT user_id AS page_id,
+       CASE rn WHEN 1 THEN 'baseline' WHEN 2 THEN 'scroll1' ELSE 'scroll2' END AS phase,
+       CAST(floor(value * 100) AS BIGINT) AS height,
+       CAST(300 + event_id % 20 AS BIGINT) AS n_elements,
+       concat('https://shop.example/u/', CAST(user_id AS STRING),
+              CASE event_type WHEN 'view' THEN '#top' WHEN 'signup' THEN '?step=2' ELSE '' END) AS current_url,
+       CAST(ts AS TIMESTAMP) AS observed_at
+FROM (SELECT event_id, ts, user_id, event_type, value,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) e
+WHERE rn <= 3
+"""
+
+
+def event_observations(spark, sf_dir):
+    return derive(spark, sf_dir, EVENT_OBSERVATIONS_SQL, ("events",))

@@ -420,3 +420,10 @@ def q_classify_with_links(spark, sf):
     res = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
                          verdicts=fx.verdicts(spark, sf), links=links)
     return res.select("page_id", "url", "branch", "bucket", "bucket_source", "reason")
+
+
+@query("scroll_confirm_events")
+def q_scroll_confirm_events(spark, sf):
+    """R11 on measurements derived from the event log (uneven readings per key)."""
+    ms = behavior.measurement_summary(fx.event_observations(spark, sf))
+    return ms.select("page_id", behavior.scroll_try(behavior.measurement_struct()).alias("scroll_try"))

@@ -260,3 +260,6 @@ def _fh(rule, x):
 O["first_hit_per_rule"] = _EV + "\n" + " UNION ALL ".join(_fh(r, x) for r, x in _R.rule_entries())
 
 O["classify_with_links"] = O["classify_pages"]
+
+O["scroll_confirm_events"] = ("WITH " + P.measurement_ctes(fx.EVENT_OBSERVATIONS_SQL)
+                              + f"\nSELECT page_id, CAST({_SCROLL} AS INTEGER) AS scroll_try FROM ms")

@@ -52,3 +52,14 @@ def test_url_only_answers(spark):
            for r in df.select(*judge.parse_url_only(F.col("answer"))).collect()]
     assert got == [("loadmore", "judge_url", "modern site"), ("next", "judge_default", "few roles"),
                    ("next", "judge_default", "AI fallback classification"), ("next", "judge_url", "x|y")]
+
+
+def test_hot_url_keeps_first_row_only(spark):
+    # a third of all rows share one URL: one admitted row, the rest duplicates, nothing dropped
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit("https://hot/x"))
+                               .otherwise(F.concat(F.lit("https://u/"), F.col("id").cast("string"))).alias("url"))
+    out = admission.url_admission(df.repartition(7), "url")
+    counts = {r.status: r.n for r in out.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {"admitted": 2 * n // 3 + 1, "duplicate_in_input": n // 3 - 1}
+    assert out.filter("url = 'https://hot/x' AND status = 'admitted'").first().row_id == 0
