@@ -110,7 +110,8 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
     first_text, own_hidden, full_text, text (null where no rule reads them), cw (class words),
     displayed.
     """
-    d = keep(df.withColumn("_toks", tokens(clean_html(F.col(html_col)))), "_toks")
+    # a missing snapshot is an empty document (no elements): the page falls back
+    d = keep(df.withColumn("_toks", tokens(clean_html(F.coalesce(F.col(html_col), F.lit(""))))), "_toks")
     d = d.withColumn("_n", F.size("_toks"))
 
     # Nesting per tag name: ranks of opens and closes give a depth level per entry.

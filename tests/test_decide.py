@@ -45,3 +45,9 @@ def test_structural_verdict_constrained_to_branch(spark):
     assert (r.branch, r.bucket, r.bucket_source) == ("structural", "next", "fallback")
     r = run(spark, [], body=hidden, verdicts=[(1, "page", "structural", 1, " PageSelect ")])
     assert (r.bucket, r.bucket_source) == ("pageselect", "judge")
+
+
+def test_missing_snapshot_falls_back(spark):
+    pages = spark.createDataFrame([(1, "https://a.com", None)], "page_id long, url string, html string")
+    r = classify_pages(pages).collect()[0]
+    assert (r.branch, r.bucket, r.bucket_source) == ("behavioral", "scrolldown", "fallback")
