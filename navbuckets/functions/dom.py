@@ -168,11 +168,11 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
         t["tag"].alias("tag"),
         t["attrs"].alias("attrs"),
         t["txt"].alias("first_text"),
-        F.zip_with(
+        F.when(F.length(t["attrs"]) > 1, F.zip_with(  # '' or '/': no attributes to parse
             F.transform(F.regexp_extract_all(t["attrs"], F.lit(ATTR_PAIR_RE), 1), lambda s: F.lower(s)),
             F.transform(F.regexp_extract_all(t["attrs"], F.lit(ATTR_PAIR_RE), 2), _unquote_value),
             lambda k, v: F.struct(k.alias("k"), v.alias("v")),
-        ).alias("pairs"),
+        )).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("pairs"),
     ))
     d = keep(d.withColumn("_els0", pin(base, "_ends", "_toks")), "_els0")
 
@@ -183,7 +183,7 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
         e["pos"].alias("pos"), e["end"].alias("end"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
         *[attr(e, a).alias(f) for f, a in ATTR_FIELDS.items()],
         e["first_text"].alias("first_text"),
-        e["attrs"].rlike(HIDDEN_RE).alias("own_hidden"),
+        ((F.length(e["attrs"]) > 1) & e["attrs"].rlike(HIDDEN_RE)).alias("own_hidden"),
     ))
     d = keep(d.withColumn("_els1", els1), "_els1")
     # Texts only for elements a rule can read (the rest on demand: ``full_text_of``/``text_of``).
