@@ -155,16 +155,22 @@ def decide(ev: Column, m: Column, v_struct: Column, v_behav: Column) -> Column:
 
 
 def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hash-partition by page when the input has fewer partitions than the session's shuffle
-    partitions (e.g. one large file): HTML is heavy, so spread it before the per-page work.
-    The result is partitioned by page, which is also what the later per-page joins need.
-    Inputs with many files (the cluster case) are left as they are: no extra shuffle."""
+    """Hash-partition by page when the input has fewer partitions than the cluster has cores
+    (e.g. one large file in one row group), so the per-page work uses every core. The target
+    is the shuffle-partition count (at least the core count), which is also the distribution
+    the later per-page joins need. Inputs with at least one split per core -- the cluster case
+    for large data -- are left as they are: the HTML is never shuffled for nothing."""
     if pages.isStreaming:
         return pages
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    if pages.rdd.getNumPartitions() < n:
-        return pages.repartition(n, key)
-    return pages
+    spark = pages.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (connect): leave the input as it is
+        return pages
+    if pages.rdd.getNumPartitions() >= cores:
+        return pages
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
+    return pages.repartition(n, key)
 
 
 def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observations: DataFrame | None = None,

@@ -27,3 +27,13 @@ def test_side_inputs_are_aggregated_before_the_shuffle(spark):
     plan = _plan(spark)
     # measurements and verdicts: partial aggregate -> exchange -> final aggregate
     assert plan.count("partial_max(") >= 1 and plan.count("partial_min(") >= 1
+
+
+def test_spread_only_when_under_parallel(spark):
+    from navbuckets.plans.classify import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(1000).withColumnRenamed("id", "page_id").repartition(cores)
+    assert spread(many) is many                      # one split per core: HTML never shuffled
+    one = spark.range(10).withColumnRenamed("id", "page_id").coalesce(1)
+    assert "hashpartitioning(page_id" in spread(one)._jdf.queryExecution().executedPlan().toString()
