@@ -92,7 +92,8 @@ def _page_of(row_id: str = "row_id"):
 def q_url_list_scan(spark, sf):
     path = scratch_path(spark, "url-list-csv")
     fx.url_list(spark, sf).write.option("header", True).csv(path)
-    return io.read_url_list(spark, path, columns=["row_id", "companyName", "companyUrl", "flow"])
+    df = io.read_url_list(spark, path, columns=["row_id", "companyName", "companyUrl", "flow"])
+    return io.assign_row_ids(df, "line_no")
 
 
 @query("url_column_content")

@@ -93,3 +93,24 @@ def result_projection(results: DataFrame, url_col: str, row_id: str = "row_id")
     """The URL column renamed to ``companyUrl`` (original, unnormalized text) and ``bucket``."""
     r = results.withColumnRenamed(url_col, "companyUrl") if url_col != "companyUrl" else results
     return r.select(row_id, "companyUrl", "bucket")
+
+
+def assign_row_ids(df: DataFrame, col: str = "row_id") -> DataFrame:
+    """Dense, stable ``row_id`` (0..n-1) in input order (file split, then position).
+
+    The rows are first saved with their partition and ``monotonically_increasing_id`` (a
+    reliable checkpoint, so a recomputation cannot renumber them); per-partition counts give
+    each partition's offset. Only the offsets -- one row per partition, a size bounded by the
+    partition count -- are broadcast; no global sort, no single-task window over the rows."""
+    from pyspark.sql import Window
+
+    from navbuckets.session import materialize
+
+    d = materialize(df.withColumn("_pid", F.spark_partition_id())
+                      .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = d.join(F.broadcast(offs), "_pid").withColumn(
+        col, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    return out.drop("_pid", "_mid", "_off")

@@ -61,3 +61,21 @@ def test_stream_restart_does_not_repeat_work(spark):
     n1 = spark.read.parquet(out).count()
     S.run_to_end(res.writeStream.format("parquet").outputMode("append"), out, ck)  # restart, same checkpoint
     assert spark.read.parquet(out).count() == n1 == fx.table(spark, sf, "pages").count()
+
+
+def test_assign_row_ids_dense_in_file_order(spark):
+    d = tempfile.mkdtemp(prefix="nb-ids-") + "/csv"
+    spark.range(0, 500).select(F.col("id").cast("string").alias("v")).repartition(4).sortWithinPartitions("v") \
+        .write.option("header", True).csv(d)
+    df = io.read_url_list(spark, d, columns=["v"])
+    got = io.assign_row_ids(df).orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(500))
+    expected = [line for f in sorted(glob.glob(d + "/part-*.csv")) for line in open(f).read().splitlines()[1:]]
+    # input order = file order then position (Spark lists files sorted by path)
+    assert sorted(r.v for r in got) == sorted(expected)
+
+
+def test_null_tokens(spark):
+    p = _csv("companyName,companyUrl\nA,N/A\nB,None\nC,https://c\n")
+    rows = io.read_url_list(spark, p, columns=["companyName", "companyUrl"], null_tokens=io.NULL_TOKENS).collect()
+    assert [r.companyUrl for r in rows] == [None, None, "https://c"]
