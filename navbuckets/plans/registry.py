@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from navbuckets.functions.urls import normalize_url, url_compare_key, url_features
+from navbuckets.operators import admission, attempts as att, behavior, elements as E, judge, report
 from navbuckets.plans import fixtures as fx
-from navbuckets.plans.classify import classify_pages, page_evidence
+from navbuckets.plans.classify import classify_pages, merge_frames, page_evidence, spread
+from navbuckets.session import materialize, scratch_path
+from navbuckets.sources import io
+from navbuckets.streaming import stream as S
 
 Q = {}
 
@@ -75,11 +80,6 @@ def q_page_signals(spark, sf):
 
 
 # --------------------------------------------------------------------------- URLs
-from navbuckets.functions.urls import normalize_url, url_compare_key, url_features  # noqa: E402
-from navbuckets.operators import admission, attempts as att, behavior, elements as E, judge, report  # noqa: E402
-from navbuckets.plans.classify import merge_frames  # noqa: E402
-from navbuckets.session import materialize, scratch_path  # noqa: E402
-from navbuckets.sources import io  # noqa: E402
 
 URL_COL = "companyUrl"
 
@@ -328,7 +328,6 @@ def q_progress_count(spark, sf):
 
 
 # --------------------------------------------------------------------------- streaming
-from navbuckets.streaming import stream as S  # noqa: E402
 
 
 def _stage_parquet(spark, df, name):
@@ -402,17 +401,11 @@ def q_first_hit_per_rule(spark, sf):
     from navbuckets.functions.dom import with_dom
     from navbuckets.operators.rules import add_rule_columns, first_hits
 
-    d = add_rule_columns(with_dom(spread_pages(fx.overlay_pages(spark, sf).select("page_id", "html"))))
+    d = add_rule_columns(with_dom(spread(fx.overlay_pages(spark, sf).select("page_id", "html"))))
     d = materialize(d.select("page_id", first_hits().alias("h")))
     return d.select("page_id", F.inline("h"))
 
 
-def spread_pages(df):
-    from navbuckets.plans.classify import spread
-
-    return spread(df)
-
-
 @query("classify_with_links")
 def q_classify_with_links(spark, sf):
     """D4 with a precomputed links table (here: the audit link table of the same pages)."""
