@@ -37,3 +37,14 @@ def run_summary(results: DataFrame, attempts: DataFrame | None = None, status_co
 def progress_count(results: DataFrame) -> DataFrame:
     """Rows with a bucket so far, and all rows."""
     return results.agg(F.count("bucket").alias("completed"), F.count(F.lit(1)).alias("total"))
+
+
+def observe_progress(results: DataFrame, name: str = "progress"):
+    """A6 as metrics: attach ``completed`` / ``total`` to the DataFrame's own run (no extra
+    job). Returns ``(observed_df, observation)``; read ``observation.get`` after an action.
+    On a stream use a string name and read ``query.lastProgress['observedMetrics']``."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    out = results.observe(obs, F.count("bucket").alias("completed"), F.count(F.lit(1)).alias("total"))
+    return out, obs

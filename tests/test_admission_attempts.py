@@ -63,3 +63,12 @@ def test_hot_url_keeps_first_row_only(spark):
     counts = {r.status: r.n for r in out.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {"admitted": 2 * n // 3 + 1, "duplicate_in_input": n // 3 - 1}
     assert out.filter("url = 'https://hot/x' AND status = 'admitted'").first().row_id == 0
+
+
+def test_observe_progress(spark):
+    from navbuckets.operators.report import observe_progress
+
+    df = spark.createDataFrame([("next",), (None,), ("error: x",)], "bucket string")
+    out, obs = observe_progress(df)
+    out.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"completed": 2, "total": 3}
