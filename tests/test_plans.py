@@ -37,3 +37,20 @@ def test_spread_only_when_under_parallel(spark):
     assert spread(many) is many                      # one split per core: HTML never shuffled
     one = spark.range(10).withColumnRenamed("id", "page_id").coalesce(1)
     assert "hashpartitioning(page_id" in spread(one)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_inputs_need_no_shuffle(spark):
+    """Inputs bucketed by page_id (same count): the per-page joins and aggregations co-locate."""
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="nb-bucketed-")
+    n = 8
+    for name, df in [("nb_pages", fx.overlay_pages(spark, SF)), ("nb_obs", fx.observations(spark, SF)),
+                     ("nb_verdicts", fx.verdicts(spark, SF))]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        df.write.bucketBy(n, "page_id").option("path", f"{base}/{name}").saveAsTable(name)
+    res = classify_pages(spark.table("nb_pages"), observations=spark.table("nb_obs"),
+                         verdicts=spark.table("nb_verdicts"))
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert res.count() == spark.table("nb_pages").count()
