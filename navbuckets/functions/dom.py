@@ -72,6 +72,19 @@ def keep(d: DataFrame, *names: str) -> DataFrame:
     return d
 
 
+def fence(c: Column) -> Column:
+    """Predicate-pushdown fence around a finished per-row result.
+
+    ``spark_partition_id() >= 0`` is always true, but it is non-deterministic and Catalyst
+    never pushes a filter through a projection holding one (``rand() >= 0`` would not do: the
+    optimizer knows rand's range and removes the test). Without the fence a filter on a result
+    is substituted down through every projection of the DOM pipeline, where the pinned arrays
+    (referenced twice by design) make the condition grow exponentially -- planning stalls and
+    the filter would recompute the DOM. Filters on input columns belong before the call.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def clean_html(html: Column) -> Column:
     return F.regexp_replace(html, CLEAN_RE, "")
 
@@ -200,7 +213,8 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
     ))
     d = keep(d, "_hid")
     d = keep(d.withColumn("els", pin(els, "_hid")), "els")
-    return d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid")
+    d = d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid")
+    return d.withColumn("els", fence(F.col("els")))
 
 
 def needs_text(e: Column) -> Column:

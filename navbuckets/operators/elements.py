@@ -1,7 +1,7 @@
 """Element / link audit tables (P5, P6, P8, R0, R1, S5/A4) exploded from the per-row DOM.
 
 The main path never explodes; these tables are for inspection and user rules (J6). The
-explode is a narrow Generate: no shuffle.
+explode is a narrow Generate over the fenced DOM arrays: no shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navbuckets.functions.dom import with_dom, with_texts
-from navbuckets.session import materialize
 from navbuckets.operators.rules import (
     INTERACTIVE_TAGS, add_rule_columns, container_name, r4_container, r8_container,
 )
@@ -18,7 +17,7 @@ from navbuckets.operators.rules import (
 
 def elements(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``elements(page_id, pos, end, tag, attrs, cls, id, aria, href, ..., first_text, full_text, text, displayed)``."""
-    d = materialize(with_dom(pages.select(*keep, "html")).select(*keep, with_texts().alias("els")))
+    d = with_dom(pages.select(*keep, "html")).select(*keep, with_texts().alias("els"))
     return d.select(*keep, F.inline("els"))
 
 
@@ -37,19 +36,19 @@ def containers(pages: DataFrame) -> DataFrame:
     """Elements that are range-text (R4) or number-group (R8) containers."""
     d = with_dom(pages.select("page_id", "html"))
     c = F.filter("els", lambda e: r4_container(e) | r8_container(e))
-    d = materialize(d.select("page_id", F.transform(c, lambda e: F.struct(
+    d = d.select("page_id", F.transform(c, lambda e: F.struct(
         e["pos"].alias("pos"), e["tag"].alias("tag"), container_name(e).alias("name"),
         r4_container(e).alias("range_container"), r8_container(e).alias("number_container"),
-        e["displayed"].alias("displayed"), F.length(e["text"]).alias("text_len"))).alias("c")))
+        e["displayed"].alias("displayed"), F.length(e["text"]).alias("text_len"))).alias("c"))
     return d.select("page_id", F.inline("c"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """R0 + R1: labelled links ``(page_id, pos, link_type, href, text, displayed, visible)``."""
     d = add_rule_columns(with_dom(pages.select("page_id", "html")))
-    d = materialize(d.select("page_id", F.transform("_links", lambda l: F.struct(
+    d = d.select("page_id", F.transform("_links", lambda l: F.struct(
         l["pos"].alias("pos"), l["label"].alias("link_type"), l["href"].alias("href"), l["ltxt"].alias("text"),
-        l["displayed"].alias("displayed"), l["visible"].alias("visible"))).alias("l")))
+        l["displayed"].alias("displayed"), l["visible"].alias("visible"))).alias("l"))
     return d.select("page_id", F.inline("l"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import with_dom
+from navbuckets.functions.dom import fence, with_dom
 from navbuckets.functions.text import py_strip
 from navbuckets.operators import behavior, judge
 from navbuckets.operators.rules import add_evidence, add_rule_columns
@@ -62,7 +62,8 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
         src = src.join(per_page, keys, "left")
     d = with_dom(src, html_col)
     d = add_rule_columns(d)
-    return add_evidence(d, rule_set).select(*keep, "ev")
+    # fenced: a later filter on a result is evaluated here, not pushed into the DOM pipeline
+    return add_evidence(d, rule_set).select(*keep, fence(F.col("ev")).alias("ev"))
 
 
 def merge_frames(frame_ev: DataFrame) -> DataFrame:

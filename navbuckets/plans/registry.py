@@ -13,7 +13,7 @@ from navbuckets.functions.urls import normalize_url, url_compare_key, url_featur
 from navbuckets.operators import admission, attempts as att, behavior, elements as E, judge, report
 from navbuckets.plans import fixtures as fx
 from navbuckets.plans.classify import classify_pages, merge_frames, page_evidence, spread
-from navbuckets.session import materialize, scratch_path
+from navbuckets.session import scratch_path
 from navbuckets.sources import io
 from navbuckets.streaming import stream as S
 
@@ -242,25 +242,24 @@ def q_loadmore_confirm(spark, sf):
 
 
 # --------------------------------------------------------------------------- decisions
-def _classified(spark, sf, with_inputs: bool = True, saved: bool = False):
+def _classified(spark, sf, with_inputs: bool = True):
     if with_inputs:
         c = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
                            verdicts=fx.verdicts(spark, sf))
     else:
         c = classify_pages(fx.overlay_pages(spark, sf))
-    # audit queries that filter the classification read it back from a reliable checkpoint
-    return materialize(c) if saved else c
+    return c
 
 
 @query("decide_structural")
 def q_decide_structural(spark, sf):
-    return _classified(spark, sf, saved=True).filter(F.col("branch") == "structural").select(
+    return _classified(spark, sf).filter(F.col("branch") == "structural").select(
         "page_id", "bucket", "bucket_source")
 
 
 @query("decide_behavioral")
 def q_decide_behavioral(spark, sf):
-    return _classified(spark, sf, saved=True).filter(F.col("branch") == "behavioral").select(
+    return _classified(spark, sf).filter(F.col("branch") == "behavioral").select(
         "page_id", "bucket", "bucket_source")
 
 
@@ -272,7 +271,7 @@ def q_decision_reason(spark, sf):
 # --------------------------------------------------------------------------- judge
 @query("judge_queue")
 def q_judge_queue(spark, sf):
-    c = _classified(spark, sf, with_inputs=False, saved=True).filter(F.col("bucket_source").isin("judge", "fallback"))
+    c = _classified(spark, sf, with_inputs=False).filter(F.col("bucket_source").isin("judge", "fallback"))
     return c.select("page_id", "url", "branch",
                     judge.prompt(F.col("url"), F.col("signals"), None, F.col("branch")).alias("prompt"))
 
@@ -402,8 +401,7 @@ def q_first_hit_per_rule(spark, sf):
     from navbuckets.operators.rules import add_rule_columns, first_hits
 
     d = add_rule_columns(with_dom(spread(fx.overlay_pages(spark, sf).select("page_id", "html"))))
-    d = materialize(d.select("page_id", first_hits().alias("h")))
-    return d.select("page_id", F.inline("h"))
+    return d.select("page_id", F.inline(first_hits()))
 
 
 @query("classify_with_links")

@@ -54,3 +54,15 @@ def test_bucketed_inputs_need_no_shuffle(spark):
     plan = res._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert res.count() == spark.table("nb_pages").count()
+
+
+def test_filter_on_results_plans_fast(spark):
+    """The fences keep result filters from being pushed into the DOM pipeline."""
+    import time
+
+    res = classify_pages(fx.overlay_pages(spark, SF)).filter("branch = 'structural' AND next")
+    t = time.time()
+    plan = res._jdf.queryExecution().optimizedPlan().toString()
+    assert time.time() - t < 30
+    assert plan.count("<, -1)") == 1        # the page is still tokenized once
+    assert res.count() > 0
