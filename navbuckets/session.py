@@ -56,8 +56,8 @@ def ensure_dir(path: str) -> str:
 
 def materialize(df):
     """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss; never a
-    local checkpoint). Used before exploding per-row DOM arrays for audit tables: it cuts the
-    lineage so the optimizer plans the explode over a plain scan of the saved arrays."""
+    local checkpoint). Used where later steps need the very same rows again, e.g. dense row
+    ids computed from partition ids and positions."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
