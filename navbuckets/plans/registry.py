@@ -419,3 +419,16 @@ def q_scroll_confirm_events(spark, sf):
     """R11 on measurements derived from the event log (uneven readings per key)."""
     ms = behavior.measurement_summary(fx.event_observations(spark, sf))
     return ms.select("page_id", behavior.scroll_try(behavior.measurement_struct()).alias("scroll_try"))
+
+
+@query("judge_prompt")
+def q_judge_prompt(spark, sf):
+    """J2 + P10: the full prompt (signals and the page snippet cut at 3,000) for ambiguous pages."""
+    from navbuckets.functions.dom import with_dom
+
+    pages = fx.overlay_pages(spark, sf)
+    snip = with_dom(spread(pages.select("page_id", "html"))).select("page_id", judge.snippet().alias("snippet"))
+    c = _classified(spark, sf, with_inputs=False).filter(F.col("bucket_source").isin("judge", "fallback"))
+    j = c.join(snip, "page_id")
+    return j.select("page_id", "branch",
+                    judge.prompt(F.col("url"), F.col("signals"), F.col("snippet"), F.col("branch")).alias("prompt"))
