@@ -51,3 +51,14 @@ def test_missing_snapshot_falls_back(spark):
     pages = spark.createDataFrame([(1, "https://a.com", None)], "page_id long, url string, html string")
     r = classify_pages(pages).collect()[0]
     assert (r.branch, r.bucket, r.bucket_source) == ("behavioral", "scrolldown", "fallback")
+
+
+def test_frames_path(spark):
+    from navbuckets.sources.io import frames_from_srcdoc
+
+    html = page('<iframe srcdoc="&lt;p&gt;none&lt;/p&gt;"></iframe>'
+                '<iframe srcdoc="&lt;a href=&quot;?page=2&quot;&gt;Next&lt;/a&gt;"></iframe>')
+    pages = spark.createDataFrame([(1, "https://a.com", html)], "page_id long, url string, html string")
+    r = classify_pages(pages, frames=frames_from_srcdoc(pages)).collect()[0]
+    assert (r.branch, r.bucket) == ("structural", "next")
+    assert any(s.startswith("Iframe 1: link: found NEXT") for s in r.signals)
