@@ -432,3 +432,12 @@ def q_judge_prompt(spark, sf):
     j = c.join(snip, "page_id")
     return j.select("page_id", "branch",
                     judge.prompt(F.col("url"), F.col("signals"), F.col("snippet"), F.col("branch")).alias("prompt"))
+
+
+@query("classify_url_list")
+def q_classify_url_list(spark, sf):
+    """The CLI flow: URL list -> admission -> classification of the captured pages by URL."""
+    from navbuckets.plans.run import classify_url_list
+
+    return classify_url_list(fx.url_list(spark, sf).drop("flow"), fx.overlay_pages(spark, sf),
+                             observations=fx.observations(spark, sf), verdicts=fx.verdicts(spark, sf))

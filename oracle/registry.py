@@ -263,3 +263,13 @@ O["classify_with_links"] = O["classify_pages"]
 
 O["scroll_confirm_events"] = ("WITH " + P.measurement_ctes(fx.EVENT_OBSERVATIONS_SQL)
                               + f"\nSELECT page_id, CAST({_SCROLL} AS INTEGER) AS scroll_try FROM ms")
+
+O["classify_url_list"] = (_CLS + f",\n{_UL}, {_ADM},\n"
+                          f"bu AS (SELECT {_norm('url')} AS url_norm, arg_min(bucket, page_id) AS bucket, "
+                          "arg_min(bucket_source, page_id) AS bucket_source, "
+                          "arg_min('Final decision: ' || bucket || '. Signals: [' || all_msgs || ']', page_id) AS reason "
+                          "FROM dec GROUP BY 1)\n"
+                          "SELECT ua.row_id, ua.companyUrl, ua.url_norm, ua.status, bu.bucket, bu.bucket_source, bu.reason "
+                          "FROM ua LEFT JOIN bu ON bu.url_norm = ua.url_norm WHERE ua.status = 'admitted' "
+                          "UNION ALL SELECT row_id, companyUrl, url_norm, status, status, 'admission', NULL "
+                          "FROM ua WHERE status <> 'admitted'")
