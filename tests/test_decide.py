@@ -62,3 +62,17 @@ def test_frames_path(spark):
     r = classify_pages(pages, frames=frames_from_srcdoc(pages)).collect()[0]
     assert (r.branch, r.bucket) == ("structural", "next")
     assert any(s.startswith("Iframe 1: link: found NEXT") for s in r.signals)
+
+
+def test_classify_url_list(spark):
+    from navbuckets.plans.run import classify_url_list
+
+    urls = spark.createDataFrame([(0, "A", "a.com/jobs"), (1, "B", " https://a.com/jobs"), (2, "C", None),
+                                  (3, "D", "https://b.com/careers")],
+                                 "row_id long, companyName string, companyUrl string")
+    pages = spark.createDataFrame([(10, "https://a.com/jobs", page('<a href="?page=2">Next</a>')),
+                                   (11, "https://a.com/jobs", page("<p>later copy</p>"))],
+                                  "page_id long, url string, html string")
+    got = {r.row_id: (r.status, r.bucket) for r in classify_url_list(urls, pages).collect()}
+    assert got == {0: ("admitted", "next"), 1: ("duplicate_in_input", "duplicate_in_input"),
+                   2: ("invalid_url", "invalid_url"), 3: ("admitted", None)}
