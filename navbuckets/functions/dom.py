@@ -90,7 +90,7 @@ def clean_html(html: Column) -> Column:
 
 
 def tokens(clean: Column) -> Column:
-    """ARRAY<STRUCT<pos, tag, close, attrs, txt, sep>> in document order."""
+    """ARRAY<STRUCT<pos, tag, close, attrs, txt, sep, rtxt>> in document order."""
 
     def tok(t: Column, i: Column) -> Column:
         first = i == 0
@@ -107,7 +107,10 @@ def tokens(clean: Column) -> Column:
             F.when(tag.isin(BLOCK_TAGS) | close.isin(BLOCK_TAGS), F.lit("\n")).otherwise(F.lit("")).alias("sep"),
         )
 
-    return F.transform(F.split(clean, "<"), tok)
+    def with_rtxt(x: Column) -> Column:  # rendered piece (separator + text), built once per token
+        return x.withField("rtxt", F.concat(x["sep"], x["txt"]))
+
+    return F.transform(F.transform(F.split(clean, "<"), tok), with_rtxt)
 
 
 def _unquote_value(v: Column) -> Column:
@@ -233,8 +236,7 @@ def full_text_of(e: Column, toks: str = "_toks") -> Column:
 def text_of(e: Column, toks: str = "_toks") -> Column:
     """Rendered text: block-level boundaries become newlines; stripped."""
     inner = F.slice(toks, e["pos"] + 1, e["end"] - e["pos"] - 1)
-    return py_strip(F.concat(e["first_text"], F.array_join(
-        F.transform(inner, lambda t: F.concat(t["sep"], t["txt"])), "")))
+    return py_strip(F.concat(e["first_text"], F.array_join(F.transform(inner, lambda t: t["rtxt"]), "")))
 
 
 def with_texts(els: str = "els", toks: str = "_toks") -> Column:
