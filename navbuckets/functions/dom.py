@@ -41,6 +41,8 @@ BLOCK_TAGS = ["address", "article", "aside", "blockquote", "br", "dd", "div", "d
               "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
               "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section",
               "table", "tbody", "td", "th", "thead", "tr", "ul"]
+# Above this many hidden ranges on a page, coverage is counted with sorts instead of scans.
+HIDDEN_SCAN_MAX = 16
 # Tags whose texts are computed eagerly (besides elements with a class or id).
 TEXT_TAGS = ["a", "button", "span", "div", "nav", "ul", "footer", "body"]
 # Attributes the rules read, exposed as element fields.
@@ -210,16 +212,38 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
     d = keep(d.withColumn("_els1", pin(els2, "_toks")), "_els1")
     d = d.withColumn("_hid", F.transform(F.filter("_els1", lambda e: e["own_hidden"]),
                                          lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"))))
-    els = F.transform("_els1", lambda e: e.withField(
+    d = keep(d, "_hid")
+    # Covered by a hidden range (h.pos < pos < h.end)? Few hidden ranges: test each one. Many:
+    # count covering ranges exactly with two sorts -- (#starts before pos) - (#ends at or
+    # before pos) -- so the cost is O((n + h) log(n + h)) instead of O(n * h).
+    d = d.withColumn("_hcov", F.when(F.size("_hid") > HIDDEN_SCAN_MAX, _covered_counts("_els1", "_hid")))
+    direct = F.transform("_els1", lambda e: e.withField(
         "displayed",
         ~e["own_hidden"] & ~F.exists("_hid", lambda h: (h["pos"] < e["pos"]) & (e["pos"] < h["end"])),
     ))
-    d = keep(d, "_hid")
-    d = keep(d.withColumn("els", pin(els, "_hid")), "els")
-    d = d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid")
+    counted = F.zip_with("_els1", "_hcov", lambda e, c: e.withField("displayed", ~e["own_hidden"] & (c == 0)))
+    els = F.when(F.col("_hcov").isNull(), direct).otherwise(counted)
+    d = keep(d.withColumn("els", pin(els, "_hid", "_els1")), "els")
+    d = d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid", "_hcov")
     return d.withColumn("els", fence(F.col("els")))
 
 
+def _covered_counts(els: str, hid: str) -> Column:
+    """Per element (in document order): how many hidden ranges strictly cover its position."""
+    def ranks(boundary: str, boundary_first: bool) -> Column:
+        # kinds order entries at the same position: element before a start (strict start),
+        # an end before the element (a range ending at pos does not cover it)
+        bk, ek = (0, 1) if boundary_first else (1, 0)
+        mixed = F.array_sort(F.concat(
+            F.transform(hid, lambda h: F.struct(h[boundary].alias("p"), F.lit(bk).alias("k"))),
+            F.transform(els, lambda e: F.struct(e["pos"].alias("p"), F.lit(ek).alias("k")))))
+        at = F.filter(F.transform(mixed, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"))),
+                      lambda x: x["k"] == ek)
+        return F.transform(at, lambda x, j: x["i"] - j)  # boundaries sorted before element j
+
+    return F.zip_with(ranks("pos", False), ranks("end", True), lambda s, e: s - e)
+
+
 def needs_text(e: Column) -> Column:
     """Elements whose texts the rules read: interactive tags, containers by tag, the body, and
     anything with a class or id (class/id-based containers)."""

@@ -46,3 +46,14 @@ def test_page_is_tokenized_once_in_the_plan(spark):
     df = spark.createDataFrame([(1, "u", page('<a href="?page=2">Next</a>'))], "page_id long, url string, html string")
     plan = classify_pages(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<, -1)") == 1
+
+
+def test_many_hidden_ranges_use_counting_path(spark):
+    # > HIDDEN_SCAN_MAX hidden ranges: the sort-based coverage count must agree with the rule
+    hidden = "".join(f'<div style="display:none"><span>h{i}</span></div>' for i in range(40))
+    html = page(hidden + '<div><span>shown</span></div><div hidden><p><a href="x">deep</a></p></div>')
+    els = _els(spark, html)
+    spans = {e["full_text"]: e["displayed"] for e in els if e["tag"] == "span"}
+    assert spans["shown"] is True and not any(spans[f"h{i}"] for i in range(40))
+    assert [e["displayed"] for e in els if e["tag"] == "a"] == [False]
+    assert all(e["displayed"] for e in els if e["tag"] in ("html", "body", "article"))
