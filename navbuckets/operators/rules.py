@@ -53,6 +53,8 @@ R8_CONTAINER_CLASS_PARTS = ["pagination", "paging", "pager", "page"]
 R8_CONTAINER_CLASS_WORDS = ["active", "current"]
 R8_CONTAINER_ID_PARTS = ["page"]
 R8_MAX_LEN = 400
+# Above this many (tagged link x displayed anchor) pairs, link visibility is counted with sorts.
+VISIBLE_SCAN_MAX = 4096
 R9_MAX_LEN = 200
 # Rule catalogue: id -> (order, indicator).
 CATALOGUE = {
@@ -146,18 +148,39 @@ def add_rule_columns(d, els: str = "els", toks: str = "_toks"):
         e["pos"].alias("pos"), e["tag"].alias("tag"), e["displayed"].alias("displayed"),
         alow(e["first_text"]).alias("ft")))), "_lmels")
     links = F.filter("_iels", lambda e: e["label"].isNotNull())
-    visible = F.transform(links, lambda l: l.withField("visible", F.exists(
-        "_iels", lambda x: (x["tag"] == "a") & (x["href"] == l["href"]) & x["displayed"])))
+    d = d.withColumn("_lk0", links).withColumn("_anch", F.transform(
+        F.filter("_iels", lambda x: (x["tag"] == "a") & x["displayed"] & x["href"].isNotNull()), lambda x: x["href"]))
+    d = keep(d, "_lk0", "_anch")
+    scan = F.transform("_lk0", lambda l: l.withField("visible", F.array_contains("_anch", l["href"])))
+    counted = F.zip_with("_lk0", _href_matches("_lk0", "_anch"), lambda l, c: l.withField("visible", c > 0))
+    visible = F.when(F.size("_lk0") * F.size("_anch") > VISIBLE_SCAN_MAX, counted).otherwise(scan)
     if "_ext_links" in d.columns:  # precomputed tagged links replace R0/R1
         visible = F.coalesce(F.col("_ext_links"), F.array().cast(
             "array<struct<pos:int,label:string,ltxt:string,href:string,visible:boolean>>"))
         d = keep(d.withColumn("_links", visible), "_links")
     else:
-        d = keep(d.withColumn("_links", pin(visible, "_iels")), "_links")
+        d = keep(d.withColumn("_links", pin(visible, "_lk0", "_anch")), "_links")
     d = d.withColumn("_range_text", F.lower(F.array_join(
         F.transform(F.filter(els, r4_container), lambda e: _s(e["full_text"])), " ")))
     d = d.withColumn("_body_text", F.lower(body_text(els, toks)))
-    return d
+    return d.drop("_lk0", "_anch")
+
+
+def _href_matches(links: str, anchors: str) -> Column:
+    """Per tagged link (in document order): how many displayed anchors share its href, counted
+    with sorts -- (#anchors with href <= h) - (#anchors with href < h) -- not a links x anchors scan."""
+    def le_or_lt(anchor_first: bool) -> Column:
+        ak, lk = (0, 1) if anchor_first else (1, 0)
+        mixed = F.array_sort(F.concat(
+            F.transform(anchors, lambda h: F.struct(h.alias("h"), F.lit(ak).alias("k"), F.lit(-1).alias("j"))),
+            F.transform(links, lambda l, j: F.struct(l["href"].alias("h"), F.lit(lk).alias("k"), j.alias("j")))))
+        at = F.filter(F.transform(mixed, lambda x, i: F.struct(x["k"].alias("k"), x["j"].alias("j"), i.alias("i"))),
+                      lambda x: x["k"] == lk)
+        return F.transform(at, lambda x, r: F.struct(x["j"].alias("j"), (x["i"] - r).alias("n")))
+
+    both = F.zip_with(le_or_lt(True), le_or_lt(False),
+                      lambda a, b: F.struct(a["j"].alias("j"), (a["n"] - b["n"]).alias("c")))
+    return F.transform(F.array_sort(both), lambda x: x["c"])  # back to document order (by j)
 
 
 def _sig(ord_: int, rule: str, msg: Column, sub: Column | None = None) -> Column:
