@@ -59,3 +59,16 @@ def test_loadmore_button_before_link_and_first_node_only(spark):
 def test_as_written_rule_set_skips_later_rules(spark):
     e = ev(spark, "<p>Showing page 1 of 10</p><span>Last</span>", rule_set="as_written")
     assert e["r4"] is False and e["r6"] is None
+
+
+def test_link_visibility_counting_path(spark):
+    from navbuckets.operators.elements import links
+
+    shown = "".join(f'<a href="?page={i}">{i}</a>' for i in range(1, 71))                 # 70 PAGE links
+    hidden = '<a href="?page=999" style="display:none">999</a>'                               # hidden only
+    dup = '<a href="?page=5" style="display:none">5</a>'                                       # hidden twin of a shown href
+    df = spark.createDataFrame([(1, page(shown + hidden + dup))], "page_id long, html string")
+    vis = {(r.href, r.displayed): r.visible for r in links(df).collect()}
+    assert vis[("?page=999", False)] is False
+    assert vis[("?page=5", False)] is True and vis[("?page=5", True)] is True
+    assert all(v for (h, shown_), v in vis.items() if shown_)
