@@ -8,7 +8,7 @@ from navbuckets.plans.fixtures import TABLES
 from tools_compare import frame_hash
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["classify_pages", "url_admission", "resolve_attempts", "frame_merge", "run_summary", "stream_attempts",
+NAMES = ["classify_pages", "classify_url_list", "url_admission", "resolve_attempts", "frame_merge", "run_summary", "stream_attempts",
          "containers"]
 
 
