@@ -75,8 +75,9 @@ def _snippet_container(e: Column) -> Column:
 def snippet(els: str = "els") -> Column:
     """P10: last 30 interactive elements per paginator container (else the body),
     each as '<tag attrs>text' cut at 300 plus the parent text cut at 50; cut at 3500."""
-    conts = F.filter(els, _snippet_container)
-    body = F.filter(els, lambda e: e["tag"] == "body")
+    indexed = F.transform(els, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    conts = F.filter(indexed, lambda x: _snippet_container(x["e"]))
+    body = F.filter(indexed, lambda x: x["e"]["tag"] == "body")
     chosen = F.when(F.size(conts) > 0, conts).otherwise(body)
 
     def item(e: Column) -> Column:
@@ -87,8 +88,12 @@ def snippet(els: str = "els") -> Column:
         return F.concat(html, F.lit(" (Parent: "),
                         F.substring(F.coalesce(ptext, F.lit("")), 1, SNIPPET_PARENT_CAP), F.lit(")"))
 
-    def per_container(c: Column) -> Column:
-        inside = F.filter(els, lambda e: e["tag"].isin(SNIPPET_TAGS) & (c["pos"] < e["pos"]) & (e["pos"] < c["end"]))
+    def per_container(x: Column) -> Column:
+        # the elements inside a container are the next m elements after it, m = opening tags
+        # in its token range: a slice, not a scan of the whole page
+        c = x["e"]
+        m = F.size(F.filter(F.slice("_toks", c["pos"] + 1, c["end"] - c["pos"] - 1), lambda t: t["tag"] != ""))
+        inside = F.filter(F.slice(els, x["i"] + 2, m), lambda e: e["tag"].isin(SNIPPET_TAGS))
         last = F.slice(inside, F.greatest(F.size(inside) - SNIPPET_LAST_N + 1, F.lit(1)), SNIPPET_LAST_N)
         return F.array_join(F.transform(last, item), "\n")
 
