@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.llm.textkernel import ALNUM_WORDS, Words, pieces, sha256_hex, text_buffers
+from navbuckets.llm.textkernel import ALNUM_WORDS, HashTable, Words, pieces, text_buffers
 
 BLOCK_WORDS = 2_000_000
 #: fixed value: the word rule of the contract, after lower-casing A-Z
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _CAPITALS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_SHARD = "row long, item_id string, item_pos long, length long, doc_pos long"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,11 +53,7 @@ class TestBlock:
         self.first = np.concatenate([[0], np.cumsum(lengths)])
         self.item = np.repeat(np.arange(len(items)), lengths)
         self.left = self.first[1:][self.item] - np.arange(len(self.flat))  # words to the item's end
-        # a direct table on the low hash bits; entries sharing them are told apart by search
-        self.bits = max(10, int(len(self.vocab)).bit_length() + 4)
-        low = (self.vocab & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[low] = True
+        self.table = HashTable(self.vocab)
         self.lead = int(min(3, self.need.min(initial=3)))
         self.base = np.int64(len(self.vocab) + 1)
         leads = self.pack(self.flat, np.flatnonzero(self.left >= self.lead), self.lead)
@@ -66,15 +61,7 @@ class TestBlock:
         self.deep = int(lengths.max(initial=0))
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int64)
-        if not len(self.vocab):
-            return out
-        maybe = np.flatnonzero(self.table[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)])
-        at = np.searchsorted(self.vocab, hashes[maybe])
-        at[at == len(self.vocab)] = 0
-        same = self.vocab[at] == hashes[maybe]
-        out[maybe[same]] = at[same] + 1
-        return out
+        return self.table.find(hashes) + 1
 
     def pack(self, flat, at, n):
         """``n`` (at most 3) words from each position as one integer (ids are under 2**21)."""
@@ -281,7 +268,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
                     spans, names = [None] * len(counts), [None] * len(counts)
                     order = np.argsort(row, kind="stable")
                     rows, start = np.unique(row[order], return_index=True)
-                    for r, part in zip(rows, np.split(order, start[1:]), strict=True):
+                    for r, part in zip(rows, np.split(order, start[1:]), strict=False):  # no rows: one empty part
                         spans[r] = _covered(where[part], length[part], int(counts[r])).tolist()
                         names[r] = sorted({block.ids[i] for i in np.unique(block.item[suffix[part]])} - {None})
                     yield pa.RecordBatch.from_arrays([

@@ -62,11 +62,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
 
 
 class Words:
-    """Words of several texts: byte spans, 64-bit hashes, and the word range of each text."""
+    """Words of several texts: byte spans, 64-bit hashes, and the word range of each text.
 
-    __slots__ = ("starts", "ends", "hashes", "first", "low")
+    ``prefixes``: lengths in bytes; ``prefix[k]`` are the hashes of the words' first k bytes
+    (0 for words that are not longer).
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word_byte: np.ndarray):
+    __slots__ = ("starts", "ends", "hashes", "first", "prefix")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word_byte: np.ndarray, prefixes=()):
         low = LOWER[data]
         inside = is_word_byte[low]
         if not is_word_byte[65]:  # capitals are lower-cased before the rule applies
@@ -82,13 +86,17 @@ class Words:
         lengths = np.diff(np.append(at, len(kept)))
         self.ends = self.starts + lengths
         self.first = np.searchsorted(self.starts, offsets)
-        self.low = low
+        self.prefix = {k: np.zeros(len(at), np.uint64) for k in prefixes}
         if len(at):
             powers = np.ones(int(lengths.max()) + 1, np.uint64)
             powers[1:] = _MULT
             powers = np.multiply.accumulate(powers)
             place = np.arange(len(kept)) - np.repeat(at, lengths)
-            self.hashes = mix(np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * powers[place], at))
+            value = (kept.astype(np.uint64) + np.uint64(1)) * powers[place]
+            self.hashes = mix(np.add.reduceat(value, at))
+            for k in prefixes:
+                head = mix(np.add.reduceat(np.where(place < k, value, np.uint64(0)), at) + np.uint64(k << 56))
+                self.prefix[k] = np.where(lengths > k, head, np.uint64(0))
         else:
             self.hashes = np.zeros(0, np.uint64)
 
@@ -104,5 +112,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class HashTable:
+    """Exact lookup of 64-bit hashes in a small sorted set: a direct table on the low bits
+    skips most keys, a binary search settles the rest."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys.astype(np.uint64))
+        self.mask = np.uint64((1 << max(10, len(self.keys).bit_length() + 4)) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[(self.keys & self.mask).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each hash in ``keys``, -1 if absent."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.keys):
+            some = np.flatnonzero(self.maybe[(hashes & self.mask).astype(np.int64)])
+            at = np.searchsorted(self.keys, hashes[some])
+            at[at == len(self.keys)] = 0
+            same = self.keys[at] == hashes[some]
+            out[some[same]] = at[same]
+        return out
+
+
 def sha256_hex(data) -> str:
     return hashlib.sha256(data).hexdigest()
