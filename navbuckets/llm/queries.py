@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navbuckets.llm.common import table
+from navbuckets.llm import langid, toxicity
+from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
 from navbuckets.llm.topk import exact_topk, quantized
 
@@ -19,13 +20,30 @@ def op1_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held = crc_mod("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = crc_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf, "labels").where(~held))
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 Q = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
 }
 
 O = {  # noqa: E741
