@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from navbuckets.session import materialize
 
-__all__ = ["table", "crc_mod", "materialize", "components"]
+__all__ = ["table", "crc_mod", "extended", "materialize", "components"]
+
+
+def extended(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with further columns (``schema.add`` would change ``df``'s own)."""
+    return StructType([*df.schema.fields, *[StructField(n, DataType.fromDDL(k)) for n, k in kinds.items()]])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

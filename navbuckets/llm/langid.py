@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navbuckets.llm.common import extended
 from navbuckets.llm.textkernel import LOWER, pieces, text_buffers
 
 BITS = 15
@@ -131,7 +132,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     und = docs.select(*dict.fromkeys([*keep, "text"]), letters.alias("__letters"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(docs.select(*keep), lang_pred="string", score="double")
     if not model.labels:
         return und.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

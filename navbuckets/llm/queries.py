@@ -6,10 +6,11 @@ the digest columns from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navbuckets.llm import langid, toxicity
+from navbuckets.llm import bpe, langid, tokencount, toxicity
 from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
 from navbuckets.llm.topk import exact_topk, quantized
@@ -39,11 +40,25 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokencount.token_counts(table(spark, sf, "documents"), path, limit=512, keep=["doc_id"])
+
+
+def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path, keep=["doc_id"]), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 Q = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op8_token_counts": op8_token_counts,
+    "op10_bpe": op10_bpe,
 }
 
 O = {  # noqa: E741

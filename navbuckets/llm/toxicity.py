@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navbuckets.llm.common import extended
 from navbuckets.llm.textkernel import ALNUM_WORDS, HashTable, Words, byte_class, pieces, text_buffers
 
 #: fixed value: lengths in bytes of the word prefixes that are features
@@ -169,7 +170,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                                                  names=keep + ["score"])
 
     source = docs.select(*dict.fromkeys([*keep, "text"]))
-    return source.mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
+    return source.mapInArrow(run, extended(docs.select(*keep), score="double"))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
