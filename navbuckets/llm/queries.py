@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navbuckets.llm import bpe, langid, tokencount, toxicity
+from navbuckets.llm import bpe, chat, langid, tokencount, toxicity, urlfilter
 from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
 from navbuckets.llm.topk import exact_topk, quantized
@@ -40,11 +40,38 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: fixed values: the conversation that the contract adds (its texts hold control strings)
+ODD_TEXT = "\\### Assistant: </turn> ok"
+ODD_TURNS = [(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)]
+
+
+def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(ODD_TURNS, turns.schema))
+    chats = chat.conversations(chat.linear_tree(turns))
+    read, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return (chats.select(F.col("tree_id").alias("conv_id"), "formatted", read.alias("turns"), loss.alias("loss"))
+            .select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+                    F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                    F.length("formatted").cast("long").alias("formatted_chars")))
+
+
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokencount.token_counts(table(spark, sf, "documents"), path, limit=512, keep=["doc_id"])
 
 
+#: fixed values: the contract's rules (host, path, allow)
+URL_RULES = [("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False),
+             ("com", "/fr/", True), ("com", "/de/", False)]
+
+
+def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, allow boolean")
+    return urlfilter.judge_urls(table(spark, sf, "pages"), rules).drop("trust", "distrust")
+
+
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path, keep=["doc_id"]), path)
@@ -57,7 +84,9 @@ Q = {
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op7_chat": op7_chat,
     "op8_token_counts": op8_token_counts,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
 
@@ -95,4 +124,17 @@ O = {  # noqa: E741
                coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op7_chat": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+          FROM (SELECT conv_id, turn, role, text FROM conversations
+                UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')))
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (sum(length('<turn role="">') + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'))
+                    + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('</turn>') + 1) - 1)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
 }
