@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navbuckets.llm import bpe, chat, langid, tokencount, toxicity, urlfilter
+from navbuckets.llm import bpe, chat, langid, pii, tokencount, toxicity, urlfilter
 from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
 from navbuckets.llm.topk import exact_topk, quantized
@@ -40,6 +40,14 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.detect(table(spark, sf, "documents").select("doc_id", "text"))
+    kinds = F.col("base_spans")["kind"]
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count, F.sha2(pii.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
 #: fixed values: the conversation that the contract adds (its texts hold control strings)
 ODD_TEXT = "\\### Assistant: </turn> ok"
 ODD_TURNS = [(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)]
@@ -84,6 +92,7 @@ Q = {
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op7_chat": op7_chat,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
