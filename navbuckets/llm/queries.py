@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from navbuckets.llm import bpe, chat, langid, pii, tokencount, toxicity, urlfilter
 from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
+from navbuckets.llm.jaccard import similar_components
 from navbuckets.llm.topk import exact_topk, quantized
 
 
@@ -48,6 +49,10 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
                         pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_components(table(spark, sf, "documents").select("doc_id", "text"), size=3, num=90, den=100)
+
+
 #: fixed values: the conversation that the contract adds (its texts hold control strings)
 ODD_TEXT = "\\### Assistant: </turn> ok"
 ODD_TURNS = [(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)]
@@ -93,6 +98,7 @@ Q = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_chat": op7_chat,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
@@ -146,4 +152,19 @@ O = {  # noqa: E741
                (sum(length('<turn role="">') + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'))
                     + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('</turn>') + 1) - 1)::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+            ELSE array_to_string(w[p : p + 2], ' ') END AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id AS id, doc_id AS reach FROM d UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.reach)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(reach) AS m FROM r GROUP BY id) ON id = d.doc_id""",
 }
