@@ -24,19 +24,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 from navbuckets.llm.common import extended
 from navbuckets.llm.textkernel import pieces
 
-#: fixed value: the pre-splitting pattern of byte-level BPE
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: fixed value: Unicode white space
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: a text falls into such units whatever stands around them: a white-space run with the
 #: non-space run behind it. Before white space that follows a non-space character every
-#: match of ``SPLIT`` ends, and no match looks further back.
+#: match of byte-level pre-splitting ends, and no match looks further back.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 MEMO = 400_000
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
@@ -123,7 +121,7 @@ class Automaton:
         self.next = Transitions(self.trie)
         self.token = np.array([-1 if e is None else e for e in self.emit], np.int64)
         self.table = Transitions()  # the arcs decided so far, for batched lookups
-        self.split = regex.compile(SPLIT)
+        self.presplit = ByteLevel(add_prefix_space=False, use_regex=True)
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.units: dict[str, bytes] = {}
 
@@ -173,6 +171,11 @@ class Automaton:
                     return True
         return False
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, as the library's pre-splitter cuts them (Unicode versions differ
+        between regular expression engines, so its own engine decides)."""
+        return [text[a:b] for _, (a, b) in self.presplit.pre_tokenize_str(text)]
+
     def arc(self, u: int, v: int) -> bool:
         """Is there an arc v out of the state behind u."""
         return not self._clash(u, v, self.never)
@@ -248,13 +251,13 @@ class Automaton:
                     if p in self.special:
                         parts.append((n, p))
                     else:
-                        parts += [(n, word) for word in self.split.findall(p)]
-            elif unit[0] in _SPACES:
+                        parts += [(n, word) for word in self.split(p)]
+            elif unit[0] in _SPACES and unit[-1] not in _SPACES:
                 plain.append(n)
-            else:  # the start of a text: nothing stands before it
-                parts += [(n, word) for word in self.split.findall(unit)]
+            else:  # the start of a text or white space at its end: nothing stands beside it
+                parts += [(n, word) for word in self.split(unit)]
         ends = np.cumsum([len(units[n]) for n in plain])
-        found = self.split.findall("".join([units[n] for n in plain]))
+        found = self.split("".join([units[n] for n in plain]))
         place = np.searchsorted(ends, np.cumsum([len(f) for f in found]), side="left")
         parts += zip([plain[k] for k in place], found, strict=True)
         fresh = sorted({word for _, word in parts if word not in self.special})

@@ -192,7 +192,7 @@ def shard_matches(piece: pa.RecordBatch, block: TestBlock):
     return counts, [x[ok] for x in (row, suffix, length, where)]
 
 
-def test_blocks(items: DataFrame, window: int, block_words: int = BLOCK_WORDS):
+def item_blocks(items: DataFrame, window: int, block_words: int = BLOCK_WORDS):
     """The test set in blocks of bounded size, streamed through the driver one at a time. An
     item of more words than a block is cut into overlapping parts that hold all its windows."""
     held, size = [], 0
@@ -213,7 +213,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The operator's own output: (doc_id, item_id, item_pos, doc_pos, length), one row per test
     suffix and location of its longest verbatim match of at least a window; positions count words."""
     passes = []
-    for block in test_blocks(items, window):
+    for block in item_blocks(items, window):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -247,7 +247,7 @@ def _covered(where: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return turn
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
 
     A word is hit if it lies in an occurrence of ``window`` consecutive words of an item (or
@@ -257,7 +257,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row long, n_words long, spans array<long>, items array<string>"
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in test_blocks(items, window)]
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, window, block_words)]
     passes = []
     for shared in blocks:
         def run(batches, shared=shared):
