@@ -87,10 +87,20 @@ def train(bags, steps: int = 300, rate: float = 0.1, l1: float = 5e-5, min_docs:
     label = np.array([b[0] for b in bags], np.float64)
     weight = np.array([b[1] for b in bags], np.float64)
     weight /= weight.sum()
-    hashes, word = np.unique(np.concatenate([b[2] for b in bags]), return_inverse=True)
+    # rare features go before anything is sorted: a bucket's document count bounds its features'
+    room = np.zeros(1 << 22, np.int32)
+    for b in bags:
+        room[np.unique(b[2] & np.uint64(len(room) - 1))] += 1
     sizes = np.concatenate([b[3] for b in bags]).astype(np.int64)
     bag = np.repeat(np.arange(len(bags)), [len(b[3]) for b in bags])
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    kept, sentence, base = [], [], 0
+    for b in bags:
+        often = room[b[2] & np.uint64(len(room) - 1)] >= min_docs
+        kept.append(b[2][often])
+        sentence.append(np.repeat(np.arange(base, base + len(b[3])), b[3])[often])
+        base += len(b[3])
+    hashes, word = np.unique(np.concatenate(kept), return_inverse=True)
+    sentence = np.concatenate(sentence)
     seen = np.unique(bag[sentence] * len(hashes) + word) % max(1, len(hashes))
     vocab = np.flatnonzero(np.bincount(seen, minlength=len(hashes)) >= min_docs)
     slot = np.full(len(hashes), -1)
