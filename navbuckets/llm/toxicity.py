@@ -87,7 +87,7 @@ def train(bags, steps: int = 300, rate: float = 0.1, l1: float = 5e-5, min_docs:
     label = np.array([b[0] for b in bags], np.float64)
     weight = np.array([b[1] for b in bags], np.float64)
     weight /= weight.sum()
-    # rare features go before anything is sorted: a bucket's document count bounds its features'
+    # rare features go before anything is sorted: a bucket's document count bounds its features
     room = np.zeros(1 << 22, np.int32)
     for b in bags:
         room[np.unique(b[2] & np.uint64(len(room) - 1))] += 1
