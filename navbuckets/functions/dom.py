@@ -1,7 +1,7 @@
 """Static DOM model of a page snapshot, built per row with built-in array functions.
 
-A page's HTML is cleaned (comments, script and style removed) and split once on '<'.
-Token k (1-based ``pos``) is ``name attrs>text``; an opening tag gives ``tag``, a closing
+A page's HTML is cleaned (comments, script and style removed) and cut once into tokens at each
+'<' outside quoted attribute values. Token k (1-based ``pos``) is ``name attrs>text``; an opening tag gives ``tag``, a closing
 tag gives ``close``. Each opening tag becomes an *element* whose range ``[pos, end)``
 is found by nesting per tag name:
 
@@ -28,23 +28,31 @@ from navbuckets.functions.text import ascii_lower, decode_entities, py_strip
 # ---------------------------------------------------------------------------
 # Markup patterns and tag classes.
 CLEAN_RE = r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
-TAG_RE = r"^([A-Za-z][A-Za-z0-9]*)"
-CLOSE_RE = r"^/([A-Za-z][A-Za-z0-9]*)"
-ATTRS_RE = r"^[A-Za-z][A-Za-z0-9]*([^>]*)>"
-TEXT_RE = r"(?s)^[^>]*>(.*)"
+# A token: markup whose quoted values may hold < and >, and the text behind it; markup that does
+# not end so is cut at the next <. Possessive loops: long tags need no stack.
+_QUOTED = r"""(?:(?:"[^"]*+"|'[^']*+')[^"'<>]*+)*+"""
+TOKEN_RE = r"""<(?:[A-Za-z/!?][^"'<>]*+""" + _QUOTED + r""">)?[^<]*+"""
+HEAD_RE = r"""^[A-Za-z/!?][^"'<>]*+""" + _QUOTED + ">"
+TAG_RE = r"^([A-Za-z][^\s/>]*)"
+CLOSE_RE = r"^/([A-Za-z][^\s/>]*)"
+ATTRS_RE = r"(?s)^[A-Za-z][^\s/>]*(.*)>$"
+LOOSE_ATTRS_RE = r"^[A-Za-z][^\s/>]*([^>]*)>"
+LOOSE_TEXT_RE = r"(?s)^[^>]*>(.*)"
 MARKUP_START_RE = r"^[A-Za-z/!?]"
 ATTR_PAIR_RE = r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-HIDDEN_RE = r"""(?i)(^|\s)hidden(\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|type\s*=\s*["']?hidden"""
+QUOTED_RE = r""""[^"]*"|'[^']*'"""
+HIDDEN_NAME_RE = r"(?i)(^|\s)hidden(\s|=|/|$)"
+HIDDEN_STYLE_RE = r"(?i)display\s*:\s*none|visibility\s*:\s*hidden"
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
              "param", "source", "track", "wbr"]
 BLOCK_TAGS = ["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt",
               "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
               "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section",
               "table", "tbody", "td", "th", "thead", "tr", "ul"]
-# Above this many hidden ranges on a page, coverage is counted with sorts instead of scans.
-HIDDEN_SCAN_MAX = 16
 # Tags whose texts are computed eagerly (besides elements with a class or id).
 TEXT_TAGS = ["a", "button", "span", "div", "nav", "ul", "footer", "body"]
+# Tags whose first text child the rules read.
+FIRST_TEXT_TAGS = ["a", "button", "span", "div"]
 # Attributes the rules read, exposed as element fields.
 ATTR_FIELDS = {"cls": "class", "id": "id", "aria": "aria-label", "href": "href", "rel": "rel",
                "typ": "type", "dai": "data-automation-id", "role": "role", "style": "style"}
@@ -99,12 +107,16 @@ def tokens(clean: Column) -> Column:
         markup = t.rlike(MARKUP_START_RE)
         tag = F.when(first, F.lit("")).otherwise(F.lower(F.regexp_extract(t, TAG_RE, 1)))
         close = F.when(first, F.lit("")).otherwise(F.lower(F.regexp_extract(t, CLOSE_RE, 1)))
-        raw_txt = F.when(first | ~markup, t).otherwise(F.regexp_extract(t, TEXT_RE, 1))
+        head = F.regexp_extract(t, HEAD_RE, 0)
+        whole = F.length(head) > 0
+        raw_txt = F.when(first | ~markup, t).when(whole, F.substring(t, F.length(head) + 1, F.length(t))).otherwise(
+            F.regexp_extract(t, LOOSE_TEXT_RE, 1))
+        attrs = F.when(whole, F.regexp_extract(head, ATTRS_RE, 1)).otherwise(F.regexp_extract(t, LOOSE_ATTRS_RE, 1))
         return F.struct(
             (i + 1).alias("pos"),
             tag.alias("tag"),
             close.alias("close"),
-            F.when(first, F.lit("")).otherwise(F.regexp_extract(t, ATTRS_RE, 1)).alias("attrs"),
+            F.when(first, F.lit("")).otherwise(attrs).alias("attrs"),
             decode_entities(raw_txt).alias("txt"),
             F.when(tag.isin(BLOCK_TAGS) | close.isin(BLOCK_TAGS), F.lit("\n")).otherwise(F.lit("")).alias("sep"),
         )
@@ -112,7 +124,9 @@ def tokens(clean: Column) -> Column:
     def with_rtxt(x: Column) -> Column:  # rendered piece (separator + text), built once per token
         return x.withField("rtxt", F.concat(x["sep"], x["txt"]))
 
-    return F.transform(F.transform(F.split(clean, "<"), tok), with_rtxt)
+    cut = F.concat(F.array(F.regexp_extract(clean, "^[^<]*", 0)), F.transform(
+        F.regexp_extract_all(clean, F.lit(TOKEN_RE), F.lit(0)), lambda t: F.substring(t, F.lit(2), F.length(t))))
+    return F.transform(F.transform(cut, tok), with_rtxt)
 
 
 def _unquote_value(v: Column) -> Column:
@@ -201,28 +215,25 @@ def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
         e["pos"].alias("pos"), e["end"].alias("end"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
         *[attr(e, a).alias(f) for f, a in ATTR_FIELDS.items()],
         e["first_text"].alias("first_text"),
-        ((F.length(e["attrs"]) > 1) & e["attrs"].rlike(HIDDEN_RE)).alias("own_hidden"),
+        _own_hidden(e["attrs"], attr(e, "style"), attr(e, "type")).alias("own_hidden"),
     ))
     d = keep(d.withColumn("_els1", els1), "_els1")
     # Texts only for elements a rule can read (the rest on demand: ``full_text_of``/``text_of``).
     els2 = F.transform("_els1", lambda e: e.withField(
         "full_text", F.when(needs_text(e), full_text_of(e))).withField(
         "text", F.when(needs_text(e), text_of(e))).withField(
-        "cw", F.split(F.coalesce(e["cls"], F.lit("")), r"\s+")))
+        "cw", F.split(F.coalesce(e["cls"], F.lit("")), r"\s+")).withField(
+        "first_text", F.when(e["tag"].isin(FIRST_TEXT_TAGS) & (e["first_text"] == ""), first_child_text(e)).otherwise(e["first_text"])))
     d = keep(d.withColumn("_els1", pin(els2, "_toks")), "_els1")
     d = d.withColumn("_hid", F.transform(F.filter("_els1", lambda e: e["own_hidden"]),
                                          lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"))))
     d = keep(d, "_hid")
-    # Covered by a hidden range (h.pos < pos < h.end)? Few hidden ranges: test each one. Many:
-    # count covering ranges exactly with two sorts -- (#starts before pos) - (#ends at or
-    # before pos) -- so the cost is O((n + h) log(n + h)) instead of O(n * h).
-    d = d.withColumn("_hcov", F.when(F.size("_hid") > HIDDEN_SCAN_MAX, _covered_counts("_els1", "_hid")))
-    direct = F.transform("_els1", lambda e: e.withField(
-        "displayed",
-        ~e["own_hidden"] & ~F.exists("_hid", lambda h: (h["pos"] < e["pos"]) & (e["pos"] < h["end"])),
-    ))
+    # Covered by a hidden range (h.pos < pos < h.end)? Covering ranges are counted with two
+    # sorts -- (#starts before pos) - (#ends at or before pos) -- in O((n + h) log(n + h)).
+    d = d.withColumn("_hcov", F.when(F.size("_hid") > 0, _covered_counts("_els1", "_hid")))
+    plain = F.transform("_els1", lambda e: e.withField("displayed", ~e["own_hidden"]))
     counted = F.zip_with("_els1", "_hcov", lambda e, c: e.withField("displayed", ~e["own_hidden"] & (c == 0)))
-    els = F.when(F.col("_hcov").isNull(), direct).otherwise(counted)
+    els = F.when(F.col("_hcov").isNull(), plain).otherwise(counted)
     d = keep(d.withColumn("els", pin(els, "_hid", "_els1")), "els")
     d = d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid", "_hcov")
     return d.withColumn("els", fence(F.col("els")))
@@ -244,6 +255,28 @@ def _covered_counts(els: str, hid: str) -> Column:
     return F.zip_with(ranks("pos", False), ranks("end", True), lambda s, e: s - e)
 
 
+def _own_hidden(attrs: Column, style: Column, kind: Column) -> Column:
+    """A ``hidden`` attribute (its name, outside quoted values), an inline style that hides, or
+    ``type=hidden``."""
+    names = F.regexp_replace(attrs, QUOTED_RE, "''")
+    return (F.length(attrs) > 1) & (names.rlike(HIDDEN_NAME_RE) | F.coalesce(style.rlike(HIDDEN_STYLE_RE), F.lit(False))
+                                    | F.coalesce(F.lower(F.trim(kind)) == "hidden", F.lit(False)))
+
+
+def first_child_text(e: Column, toks: str = "_toks") -> Column:
+    """The first text child of an element whose opening tag has no text right behind it: the first
+    token of its range with text at the element's own depth. Reads ``toks``: ``pin`` it."""
+    inner = F.slice(toks, e["pos"] + 1, F.greatest(e["end"] - e["pos"] - 1, F.lit(0)))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("found"))
+
+    def step(a: Column, t: Column) -> Column:
+        depth = a["depth"] + F.when((t["tag"] != "") & ~t["tag"].isin(VOID_TAGS), 1).when(t["close"] != "", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when(a["found"].isNull() & (depth == 0) & (t["txt"] != ""), t["txt"])
+                        .otherwise(a["found"]).alias("found"))
+
+    return F.coalesce(F.aggregate(inner, start, step)["found"], F.lit(""))
+
+
 def needs_text(e: Column) -> Column:
     """Elements whose texts the rules read: interactive tags, containers by tag, the body, and
     anything with a class or id (class/id-based containers)."""

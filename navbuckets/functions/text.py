@@ -19,6 +19,8 @@ ENTITIES = [
     ("&lsaquo;", "‹"), ("&#8249;", "‹"), ("&#x2039;", "‹"),
     ("&rarr;", "→"), ("&#8594;", "→"), ("&#x2192;", "→"),
     ("&larr;", "←"), ("&#8592;", "←"), ("&#x2190;", "←"),
+    ("&ndash;", "–"), ("&#8211;", "–"), ("&#x2013;", "–"), ("&mdash;", "—"), ("&#8212;", "—"), ("&#x2014;", "—"),
+    ("&hellip;", "…"), ("&#8230;", "…"), ("&#x2026;", "…"),
     ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"),
     ("&amp;", "&"), ("&#38;", "&"),
     ("\u00a0", " "),

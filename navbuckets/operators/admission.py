@@ -26,8 +26,11 @@ def url_admission(df: DataFrame, url_col: str, row_id: str = "row_id", scheme_ch
     u = F.col(url_col)
     d = df.withColumn("_blank", is_blank_url(u)) \
           .withColumn("url_norm", F.when(~F.col("_blank"), normalize_url(u, scheme_check)))
-    firsts = d.filter(F.col("url_norm").isNotNull()).groupBy("url_norm").agg(F.min(row_id).alias("_first"))
-    j = d.join(firsts, "url_norm", "left")
+    named = d.filter(~F.col("_blank"))
+    firsts = named.groupBy("url_norm").agg(F.min(row_id).alias("_first"))
+    # blank rows have no key: they go round the join instead of meeting in one partition
+    j = named.join(firsts, "url_norm").unionByName(
+        d.filter("_blank").withColumn("_first", F.lit(None).cast(df.schema[row_id].dataType)))
     status = (F.when(F.col("_blank"), F.lit(INVALID))
               .when(F.col(row_id) == F.col("_first"), F.lit("admitted")).otherwise(F.lit(DUPLICATE)))
     return j.withColumn("status", status) \

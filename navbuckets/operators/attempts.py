@@ -48,8 +48,9 @@ def error_status(message: Column, stop_failed: Column | None = None, handler_fai
 
 
 def error_label(message: Column) -> Column:
-    """P13: 'error: ' + the first 50 characters of the message."""
-    return F.concat(F.lit(ERROR_PREFIX), F.substring(F.coalesce(message, F.lit("")), 1, ERROR_MSG_CAP))
+    """P13: 'error: ' + the first 50 characters of the message; without a message 'error: unknown'."""
+    return F.when(message.isNull(), F.lit(LABEL_UNKNOWN)).otherwise(
+        F.concat(F.lit(ERROR_PREFIX), F.substring(message, 1, ERROR_MSG_CAP)))
 
 
 def is_error(bucket: Column, worker: bool = True) -> Column:
@@ -60,7 +61,7 @@ def is_error(bucket: Column, worker: bool = True) -> Column:
 def resolve_attempts(attempts: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Per page the first successful outcome among the first three attempts; otherwise the
     URL-only judge verdict; otherwise 'error: timeout_max_retries' when the last attempt
-    returned an error, or 'error: ' + message[:50] when it raised.
+    returned an error, or 'error: ' + message[:50] when it raised ('error: unknown' without one).
 
     Output: page_id, bucket, bucket_source, n_attempts, last_error.
     """

@@ -52,22 +52,16 @@ def links(pages: DataFrame) -> DataFrame:
     return d.select("page_id", F.inline("l"))
 
 
-# Fixed value: largest rule table that is broadcast (it is user-supplied and small; beyond
-# this size the rule join is a normal shuffle join on the tag).
-MAX_BROADCAST_RULES = 10000
-
 
 def custom_rules(elements_df: DataFrame, rules: DataFrame) -> DataFrame:
     """User rules ``(rule_id, tag, needle)`` matched against displayed elements whose
     ASCII-lower-cased first text contains the needle. An equi-join on ``tag`` (never a cross
-    join); the rule table is broadcast only after its row count is checked.
+    join); Spark broadcasts the rule table only if its measured size allows it.
 
     Output: page_id, rule_id, first_pos, n_hits (per page and rule)."""
     from navbuckets.functions.dom import alow
 
     r = rules.select("rule_id", "tag", F.lower(F.col("needle")).alias("needle"))
-    if r.count() <= MAX_BROADCAST_RULES:
-        r = F.broadcast(r)
     e = elements_df.filter("displayed").select("page_id", "pos", "tag", alow(F.col("first_text")).alias("ft"))
     j = e.join(r, "tag").filter(F.col("ft").contains(F.col("needle")))
     return j.groupBy("page_id", "rule_id").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_hits"))

@@ -101,13 +101,41 @@ def snippet(els: str = "els") -> Column:
                            SNIPPET_TOTAL_CAP), els, "_toks")
 
 
+# What each answer means, for the prompt (own wording).
+CHOICE_GUIDE = {
+    "next": "a control that leads from one result page to the following one, without page numbers to pick from",
+    "pageselect": "numbered or first/last controls with which a visitor picks a result page",
+    "loadmore": "a button or link that appends further results to the list in place",
+    "scrolldown": "further results appear by themselves when the page is scrolled",
+}
+
+
 def prompt(url: Column, signals: Column, snippet_col: Column | None, branch: Column) -> Column:
     """Prompt text for a constrained choice; the answer must be one of the branch's two."""
-    choices = F.when(branch == "structural", F.lit("next OR pageselect")).otherwise(F.lit("loadmore OR scrolldown"))
-    if snippet_col is None:
-        return F.format_string("Address: %s\nSignals detected so far: %s\n\nReturn ONLY: %s",
-                               url, F.array_join(signals, "; "), choices)
-    return F.format_string(
-        "Address: %s\nSignals detected so far: %s\n\nDecide how this listing is paged.\n\nHTML Snippet:\n%s\n\n"
-        "Return ONLY: %s",
-        url, F.array_join(signals, "; "), F.substring(snippet_col, 1, PROMPT_SNIPPET_CAP), choices)
+
+    def options(br: str) -> Column:
+        return F.lit("".join(f"- {c}: {CHOICE_GUIDE[c]}\n" for c in BRANCH_CHOICES[br]))
+
+    guide = F.when(branch == "structural", options("structural")).otherwise(options("behavioral"))
+    lines = [F.lit("How does this job listing reveal further results? Answer with one word from the list.\n"), guide,
+             F.lit("Evidence from "), url, F.lit(": "), F.array_join(signals, "; ")]
+    if snippet_col is not None:
+        lines += [F.lit("\nMarkup of its paging area:\n"), F.substring(snippet_col, 1, PROMPT_SNIPPET_CAP)]
+    return F.concat(*lines)
+
+
+def url_only_prompt(url: Column, error: Column) -> Column:
+    """The question for a page that could not be loaded; the answer is ``TYPE | reason``."""
+    return F.concat(
+        F.lit("This listing could not be loaded, so judge by its address alone. Answer as TYPE | reason, with TYPE one of:\n"
+              + "".join(f"- {c}: {CHOICE_GUIDE[c]}\n" for c in URL_ONLY_BUCKETS)),
+        F.lit("Address: "), url, F.lit("\nLast error: "), F.coalesce(error, F.lit("none")))
+
+
+def url_only_queue(resolved: DataFrame, pages: DataFrame) -> DataFrame:
+    """The prompts of pages whose attempts all failed and that have no URL-only verdict yet.
+
+    ``resolved`` is ``resolve_attempts``' output; ``pages(page_id, url)``. Output: page_id, url, prompt."""
+    failed = resolved.filter(F.col("bucket_source") == "error").select("page_id", "last_error")
+    return failed.join(pages.select("page_id", "url"), "page_id").select(
+        "page_id", "url", url_only_prompt(F.col("url"), F.col("last_error")).alias("prompt"))

@@ -53,8 +53,6 @@ R8_CONTAINER_CLASS_PARTS = ["pagination", "paging", "pager", "page"]
 R8_CONTAINER_CLASS_WORDS = ["active", "current"]
 R8_CONTAINER_ID_PARTS = ["page"]
 R8_MAX_LEN = 400
-# Above this many (tagged link x displayed anchor) pairs, link visibility is counted with sorts.
-VISIBLE_SCAN_MAX = 4096
 R9_MAX_LEN = 200
 # Rule catalogue: id -> (order, indicator).
 CATALOGUE = {
@@ -151,9 +149,7 @@ def add_rule_columns(d, els: str = "els", toks: str = "_toks"):
     d = d.withColumn("_lk0", links).withColumn("_anch", F.transform(
         F.filter("_iels", lambda x: (x["tag"] == "a") & x["displayed"] & x["href"].isNotNull()), lambda x: x["href"]))
     d = keep(d, "_lk0", "_anch")
-    scan = F.transform("_lk0", lambda l: l.withField("visible", F.array_contains("_anch", l["href"])))
-    counted = F.zip_with("_lk0", _href_matches("_lk0", "_anch"), lambda l, c: l.withField("visible", c > 0))
-    visible = F.when(F.size("_lk0") * F.size("_anch") > VISIBLE_SCAN_MAX, counted).otherwise(scan)
+    visible = F.zip_with("_lk0", _href_matches("_lk0", "_anch"), lambda l, c: l.withField("visible", c > 0))
     if "_ext_links" in d.columns:  # precomputed tagged links replace R0/R1
         visible = F.coalesce(F.col("_ext_links"), F.array().cast(
             "array<struct<pos:int,label:string,ltxt:string,href:string,visible:boolean>>"))
@@ -183,6 +179,12 @@ def _href_matches(links: str, anchors: str) -> Column:
     return F.transform(F.array_sort(both), lambda x: x["c"])  # back to document order (by j)
 
 
+def signal_text(code: str, *args) -> Column:
+    """The one template of all signals: a rule or step code with its arguments, ``code(a,b)``."""
+    parts = [a if isinstance(a, Column) else F.lit(a) for a in args]
+    return F.concat(F.lit(f"{code}("), F.concat_ws(",", *parts), F.lit(")"))
+
+
 def _sig(ord_: int, rule: str, msg: Column, sub: Column | None = None) -> Column:
     return F.struct(F.lit(ord_).alias("rule_ord"), (sub if sub is not None else F.lit(0)).cast("int").alias("sub"),
                     F.lit(rule).alias("rule_id"), msg.alias("message"))
@@ -218,8 +220,8 @@ def add_evidence(d, rule_set: str = "intended", els: str = "els"):
     d = d.withColumn("_has_links", F.size(links) > 0) \
         .withColumn("_n1", F.exists(links, lambda l: l["visible"] & (l["label"] == "NEXT"))) \
         .withColumn("_p1", F.exists(links, lambda l: l["visible"] & (l["label"] == "PAGE"))) \
-        .withColumn("_sig1", F.transform(vis, lambda l: _sig(10, "R1", F.concat(
-            F.lit("link: found "), l["label"], F.lit(" link '"), l["ltxt"], F.lit("'")), l["pos"])))
+        .withColumn("_sig1", F.transform(vis, lambda l: _sig(
+            10, "R1", signal_text("R1", l["label"], l["ltxt"]), l["pos"])))
     d = d.withColumn("_r2", F.when(col("_n1"), F.when(kw_hit(NEXT_KEYWORDS[0]), F.lit(NEXT_KEYWORDS[0]))).otherwise(
         first_match([(k, kw_hit(k)) for k in NEXT_KEYWORDS])))
     d = d.withColumn("_r3", first_match([(s, F.exists(els, (lambda sel: lambda e: e["displayed"]
@@ -264,14 +266,14 @@ def add_evidence(d, rule_set: str = "intended", els: str = "els"):
         d = d.withColumn("_r9", F.when(col("_p8"), F.lit(False)).otherwise(F.coalesce(r9_hit, F.lit(False))))
         d = d.withColumn("_next", col("_n3") | col("_r5").isNotNull()).withColumn("_psel", col("_p8") | col("_r9"))
     sigs = [col("_sig1"),
-            _opt(col("_r2"), 20, "R2", F.concat(F.lit("rule: next keyword/aria '"), col("_r2"), F.lit("'"))),
-            _opt(col("_r3"), 30, "R3", F.concat(F.lit("rule: next via platform selector '"), col("_r3"), F.lit("'"))),
-            _opt(F.when(col("_r4"), F.lit("x")), 40, "R4", F.lit("rule: range pattern (page x of y)")),
-            _opt(col("_r5"), 50, "R5", F.concat(F.lit("rule: next symbol '"), col("_r5"), F.lit("'"))),
-            _opt(col("_r6"), 60, "R6", F.concat(F.lit("rule: pageselect keyword '"), col("_r6"), F.lit("'"))),
-            _opt(col("_r7"), 70, "R7", F.concat(F.lit("rule: pageselect symbol '"), col("_r7"), F.lit("'"))),
-            _opt(col("_r8"), 80, "R8", F.concat(F.lit("rule: '1' and '2' in container '"), col("_r8"), F.lit("'"))),
-            _opt(F.when(col("_r9"), F.lit("x")), 90, "R9", F.lit("rule: '1' and '2' in local neighborhood"))]
+            _opt(col("_r2"), 20, "R2", signal_text("R2", col("_r2"))),
+            _opt(col("_r3"), 30, "R3", signal_text("R3", col("_r3"))),
+            _opt(F.when(col("_r4"), F.lit("x")), 40, "R4", signal_text("R4")),
+            _opt(col("_r5"), 50, "R5", signal_text("R5", col("_r5"))),
+            _opt(col("_r6"), 60, "R6", signal_text("R6", col("_r6"))),
+            _opt(col("_r7"), 70, "R7", signal_text("R7", col("_r7"))),
+            _opt(col("_r8"), 80, "R8", signal_text("R8", col("_r8"))),
+            _opt(F.when(col("_r9"), F.lit("x")), 90, "R9", signal_text("R9"))]
     ev = F.struct(
         col("_has_links").alias("has_links"), col("_next").alias("next"), col("_psel").alias("pageselect"),
         *[col(f"_r{i}").alias(f"r{i}") for i in range(2, 10)],

@@ -14,37 +14,10 @@ from pyspark.sql import functions as F
 from navbuckets.functions.dom import fence, with_dom
 from navbuckets.functions.text import py_strip
 from navbuckets.operators import behavior, judge
-from navbuckets.operators.rules import add_evidence, add_rule_columns
-
-# ---------------------------------------------------------------------------
-# Decision step messages (neutral wording, reference order).
-MSG_STRUCTURAL = "branch: structural (paginator links found)"
-MSG_S_NEXT = "structural: next rules matched"
-MSG_S_PAGE = "structural: pageselect rules matched"
-MSG_S_AMBIGUOUS = "structural: ambiguous, consulting judge"
-MSG_S_FALLBACK = "structural fallback: ambiguous, defaulting to next"
-MSG_BEHAVIORAL = "branch: behavioral (no paginator links)"
-MSG_B_TESTING = "behavioral: testing scrolldown first"
-MSG_B_SCROLL1 = "behavioral: scrolldown confirmed (try 1)"
-MSG_B_SCROLL2 = "behavioral: scrolldown confirmed (try 2)"
-MSG_B_NO1 = "scroll try 1: no growth"
-MSG_B_NO2 = "scroll try 2: still no growth"
-MSG_B_TEST_LM = "behavioral: scrolldown failed, testing loadmore"
-MSG_B_NO_LM = "behavioral: no loadmore button found"
-MSG_B_LM_OK = "behavioral: loadmore confirmed (content grew after click)"
-MSG_B_LM_NO = "loadmore clicked but no content increase"
-MSG_B_LM_UNMEASURED = "loadmore found but the click was not measured"
-MSG_B_AMBIGUOUS = "behavioral: ambiguous, consulting judge"
-MSG_B_FALLBACK = "behavioral fallback: defaulting to scrolldown"
-MSG_JUDGE = "judge decided: "
-FRAME_PREFIX = "Iframe "
-# ---------------------------------------------------------------------------
-
-EVIDENCE_COLS = ["has_links", "next", "pageselect", "r2", "r3", "r4", "r5", "r6", "r7", "r8", "r9"]
-
+from navbuckets.operators.rules import add_evidence, add_rule_columns, signal_text
 
 def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str] | None = None,
-                  html_col: str = "html", links: DataFrame | None = None) -> DataFrame:
+                  html_col: str = "html", links: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Per row (page or frame): ``ev`` evidence struct; the HTML and arrays are dropped.
 
     ``keep`` lists extra input columns to carry (default: every column but the HTML).
@@ -52,7 +25,7 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
     links that replace the rule-based tagging (R0) and its visibility check (R1).
     """
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
-    src = spread(pages.select(*keep, html_col))
+    src = spread(pages.select(*keep, html_col), partitions)
     if links is not None:
         keys = ["page_id"] + (["frame_idx"] if "frame_idx" in keep and "frame_idx" in links.columns else [])
         per_page = links.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
@@ -68,7 +41,7 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
 
 def merge_frames(frame_ev: DataFrame) -> DataFrame:
     """A3: main document (frame_idx -1) alone when it has links; else OR it with the
-    lowest-index frame that has links; that frame's signals get the prefix 'Iframe i: '.
+    lowest-index frame that has links; that frame's signals get the prefix 'frame(i) '.
 
     One aggregation by page over small evidence rows (no HTML)."""
     f = frame_ev
@@ -81,7 +54,7 @@ def merge_frames(frame_ev: DataFrame) -> DataFrame:
     m, c = F.col("m"), F.col("c")
     use = ~F.coalesce(m["has_links"], F.lit(False)) & c.isNotNull()
     fsig = F.transform(c["ev"]["signals"], lambda s: s.withField(
-        "message", F.concat(F.lit(FRAME_PREFIX), c["i"].cast("string"), F.lit(": "), s["message"]))
+        "message", F.concat(signal_text("frame", c["i"].cast("string")), F.lit(" "), s["message"]))
         .withField("rule_ord", s["rule_ord"] + 1000))
     ev = m.withField("has_links", F.coalesce(m["has_links"], F.lit(False)) | use) \
         .withField("next", m["next"] | (use & c["ev"]["next"])) \
@@ -91,31 +64,17 @@ def merge_frames(frame_ev: DataFrame) -> DataFrame:
     return g.select("page_id", *[x for x in g.columns if x not in ("page_id", "m", "c")], ev.alias("ev"))
 
 
-def _arr(*items: Column) -> Column:
-    return F.array(*items)
-
-
-def _when_arr(cond: Column, *msgs) -> Column:
-    vals = [m if isinstance(m, Column) else F.lit(m) for m in msgs]
-    return F.when(cond, F.array(*vals)).otherwise(F.array().cast("array<string>"))
-
-
 def decide(ev: Column, m: Column, v_struct: Column, v_behav: Column) -> Column:
     """D1 + D2 + D3: STRUCT<branch, bucket, bucket_source, signals ARRAY<STRING>, reason>."""
     structural = ev["has_links"]
     # D1
     s_valid = v_struct.isNotNull()
-    s_bucket = (F.when(ev["next"], "next").when(ev["pageselect"], "pageselect")
-                .when(s_valid, v_struct).otherwise("next"))
-    s_source = (F.when(ev["next"] | ev["pageselect"], "rule").when(s_valid, "judge").otherwise("fallback"))
-    s_msgs = F.concat(
-        _arr(F.lit(MSG_STRUCTURAL)),
-        _when_arr(ev["next"], MSG_S_NEXT),
-        _when_arr(~ev["next"] & ev["pageselect"], MSG_S_PAGE),
-        _when_arr(~ev["next"] & ~ev["pageselect"], MSG_S_AMBIGUOUS),
-        _when_arr(~ev["next"] & ~ev["pageselect"] & s_valid, F.concat(F.lit(MSG_JUDGE), v_struct)),
-        _when_arr(~ev["next"] & ~ev["pageselect"] & ~s_valid, MSG_S_FALLBACK),
-    )
+    s_rule = F.when(ev["next"], F.lit("next")).when(ev["pageselect"], F.lit("pageselect"))
+    s_bucket = F.coalesce(s_rule, v_struct, F.lit("next"))
+    s_source = F.when(s_rule.isNotNull(), "rule").when(s_valid, "judge").otherwise("fallback")
+    # D3: each step is (code, outcome); a null step did not happen
+    s_steps = [signal_text("branch", "structural"), signal_text("rules", F.coalesce(s_rule, F.lit("none"))),
+               F.when(s_rule.isNull(), F.when(s_valid, signal_text("judge", v_struct)).otherwise(signal_text("default", "next")))]
     # D2
     st = behavior.scroll_try(m)
     cand = ev["loadmore"]
@@ -126,57 +85,39 @@ def decide(ev: Column, m: Column, v_struct: Column, v_behav: Column) -> Column:
                 .when(b_valid, v_behav).otherwise("scrolldown"))
     b_source = F.when(st.isNotNull() | lm_ok, "rule").when(b_valid, "judge").otherwise("fallback")
     no_scroll = st.isNull()
-    cand_msg = F.concat(F.lit("loadmore: "), cand["kind"], F.lit(" found '"), cand["keyword"], F.lit("'"))
-    b_msgs = F.concat(
-        _arr(F.lit(MSG_BEHAVIORAL), F.lit(MSG_B_TESTING)),
-        _when_arr(st == 1, MSG_B_SCROLL1),
-        _when_arr(F.coalesce(st, F.lit(0)) != 1, MSG_B_NO1),
-        _when_arr(st == 2, MSG_B_SCROLL2),
-        _when_arr(no_scroll, MSG_B_NO2, MSG_B_TEST_LM),
-        _when_arr(no_scroll & cand.isNotNull(), cand_msg),
-        _when_arr(no_scroll & cand.isNull(), MSG_B_NO_LM),
-        _when_arr(no_scroll & lm_ok, MSG_B_LM_OK),
-        _when_arr(no_scroll & cand.isNotNull() & (grew == F.lit(False)), MSG_B_LM_NO),
-        _when_arr(no_scroll & cand.isNotNull() & grew.isNull(), MSG_B_LM_UNMEASURED),
-        _when_arr(no_scroll & ~lm_ok, MSG_B_AMBIGUOUS),
-        _when_arr(no_scroll & ~lm_ok & b_valid, F.concat(F.lit(MSG_JUDGE), v_behav)),
-        _when_arr(no_scroll & ~lm_ok & ~b_valid, MSG_B_FALLBACK),
-    )
+    b_steps = [
+        signal_text("branch", "behavioral"),
+        signal_text("scroll", "1", F.when(st == 1, "grew").otherwise("flat")),
+        F.when(F.coalesce(st, F.lit(0)) != 1, signal_text("scroll", "2", F.when(st == 2, "grew").otherwise("flat"))),
+        F.when(no_scroll, F.when(cand.isNull(), signal_text("loadmore", "none")).otherwise(
+            signal_text("loadmore", cand["kind"], cand["keyword"]))),
+        F.when(no_scroll & cand.isNotNull(), signal_text(
+            "click", F.when(grew.isNull(), "unmeasured").when(grew, "grew").otherwise("flat"))),
+        F.when(no_scroll & ~lm_ok, F.when(b_valid, signal_text("judge", v_behav)).otherwise(signal_text("default", "scrolldown"))),
+    ]
     ev_msgs = F.transform(F.array_sort(ev["signals"]), lambda s: s["message"])
-    signals = F.concat(ev_msgs, F.when(structural, s_msgs).otherwise(b_msgs))
+    steps = F.when(structural, F.array(*s_steps)).otherwise(F.array(*b_steps))
+    signals = F.concat(ev_msgs, F.filter(steps, lambda x: x.isNotNull()))
     bucket = F.when(structural, s_bucket).otherwise(b_bucket)
     return F.struct(
         F.when(structural, "structural").otherwise("behavioral").alias("branch"),
         bucket.alias("bucket"),
         F.when(structural, s_source).otherwise(b_source).alias("bucket_source"),
         signals.alias("signals"),
-        F.concat(F.lit("Final decision: "), bucket, F.lit(". Signals: ["), F.array_join(signals, "; "),
-                 F.lit("]")).alias("reason"),
+        F.concat(bucket, F.lit(" <- "), F.array_join(signals, "; ")).alias("reason"),
     )
 
 
-def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hash-partition by page when the input has fewer partitions than the cluster has cores
-    (e.g. one large file in one row group), so the per-page work uses every core. The target
-    is the shuffle-partition count (at least the core count), which is also the distribution
-    the later per-page joins need. Inputs with at least one split per core -- the cluster case
-    for large data -- are left as they are: the HTML is never shuffled for nothing."""
-    if pages.isStreaming:
-        return pages
-    spark = pages.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext (connect): leave the input as it is
-        return pages
-    if pages.rdd.getNumPartitions() >= cores:
-        return pages
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
-    return pages.repartition(n, key)
+def spread(pages: DataFrame, partitions: int | None, key: str = "page_id") -> DataFrame:
+    """Hash-partition the pages when the caller asks for it (``partitions``), which is worth a
+    shuffle of the HTML only if the input has fewer splits than the cluster has cores, e.g. one
+    large file in one row group. It is also the distribution that the per-page joins need."""
+    return pages if partitions is None or pages.isStreaming else pages.repartition(partitions, key)
 
 
 def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observations: DataFrame | None = None,
                    verdicts: DataFrame | None = None, rule_set: str = "intended",
-                   links: DataFrame | None = None) -> DataFrame:
+                   links: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Classify every page: ``page_id, url, branch, bucket, bucket_source, next, pageselect,
     signals, reason``.
 
@@ -185,12 +126,13 @@ def classify_pages(pages: DataFrame, *, frames: DataFrame | None = None, observa
     * ``observations`` -- before/after measurements (R11/R12); pages without rows fall back.
     * ``verdicts(page_id, kind, branch, attempt, answer)`` -- judge answers (J3).
     * ``links`` -- precomputed tagged links (exact tagger output) instead of rule-based R0.
+    * ``partitions`` -- hash-partition the pages first (see ``spread``); the default leaves them.
     """
     base = pages.select("page_id", "url")
     if frames is None:
-        ev = page_evidence(pages.select("page_id", "url", "html"), rule_set, links=links)
+        ev = page_evidence(pages.select("page_id", "url", "html"), rule_set, links=links, partitions=partitions)
     else:
-        fev = page_evidence(frames.select("page_id", "frame_idx", "html"), rule_set, links=links)
+        fev = page_evidence(frames.select("page_id", "frame_idx", "html"), rule_set, links=links, partitions=partitions)
         ev = base.join(merge_frames(fev), "page_id", "left")
     cols = [F.col("page_id"), F.col("url"), F.col("ev")]
     d = ev.select(*cols)

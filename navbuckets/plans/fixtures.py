@@ -25,7 +25,6 @@ OVERLAY = [
     '<div><span>1</span></div><div><span>2</span></div>',
     '',
 ]
-NO_LINK_FRAME = "<p>frame without links</p>"
 # ---------------------------------------------------------------------------
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -139,14 +138,15 @@ SELECT page_id, 'url_only', CAST(NULL AS STRING), 1,
 FROM pages WHERE page_id % 4 <> 3
 """
 
-# Attempt log: per events.user_id the first three events by (ts, event_id); 'error' events
-# are failed attempts (event_id % 3 = 0: raised, else returned 'error: page_load_failed').
+# Attempt log from every event: per events.user_id, three events in a row by (ts, event_id) are
+# the attempts of one page (the last page of a user may have one or two). 'error' events are
+# failed attempts (event_id % 3 = 0: raised, else returned 'error: page_load_failed').
 ATTEMPTS_SQL = """
-SELECT user_id AS page_id, CAST(rn AS INT) AS attempt,
+SELECT user_id + 1000000 * CAST(floor((rn - 1) / 3) AS BIGINT) AS page_id, CAST((rn - 1) % 3 + 1 AS INT) AS attempt,
        CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'error: page_load_failed' END
             ELSE CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 'next' WHEN 1 THEN 'pageselect'
                                                        WHEN 2 THEN 'loadmore' ELSE 'scrolldown' END END AS outcome,
-       CASE WHEN event_type = 'error' THEN CASE event_id % 4
+       CASE WHEN event_type = 'error' AND event_id % 5 <> 0 THEN CASE event_id % 4
             WHEN 0 THEN 'Timed out receiving message from renderer'
             WHEN 1 THEN 'unknown error: net::ERR_NAME_NOT_RESOLVED (DNS_PROBE_FINISHED_NXDOMAIN)'
             WHEN 2 THEN 'renderer crashed'
@@ -154,7 +154,6 @@ SELECT user_id AS page_id, CAST(rn AS INT) AS attempt,
        ts
 FROM (SELECT event_id, ts, user_id, event_type, value,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) e
-WHERE rn <= 3
 """
 
 
@@ -202,12 +201,12 @@ def attempts(spark, sf_dir):
     return derive(spark, sf_dir, ATTEMPTS_SQL, ("events",))
 
 
-# Measurements from the event log: per user the first three events by (ts, event_id) are the
-# baseline and the two scroll readings; height = value * 100, element count from event_id,
+# Measurements from every event: per user, three events in a row by (ts, event_id) are the
+# baseline and the two scroll readings of one page; height = value * 100, element count from event_id,
 # and a 'view' event reads the URL with a fragment (same page), a 'signup' one with a query.
 EVENT_OBSERVATIONS_SQL = """
-SELECT user_id AS page_id,
-       CASE rn WHEN 1 THEN 'baseline' WHEN 2 THEN 'scroll1' ELSE 'scroll2' END AS phase,
+SELECT user_id + 1000000 * CAST(floor((rn - 1) / 3) AS BIGINT) AS page_id,
+       CASE (rn - 1) % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'scroll1' ELSE 'scroll2' END AS phase,
        CAST(floor(value * 100) AS BIGINT) AS height,
        CAST(300 + event_id % 20 AS BIGINT) AS n_elements,
        concat('https://shop.example/u/', CAST(user_id AS STRING),
@@ -215,7 +214,6 @@ SELECT user_id AS page_id,
        CAST(ts AS TIMESTAMP) AS observed_at
 FROM (SELECT event_id, ts, user_id, event_type, value,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) e
-WHERE rn <= 3
 """
 
 

@@ -27,20 +27,29 @@ def query(name):
     return deco
 
 
+def _parts(spark: SparkSession) -> int:
+    """The test tables are one file in one row group: the queries ask for a spread over the cores."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(fx.overlay_pages(spark, sf), _parts(spark))
+
+
 def _ev(spark: SparkSession, sf: str, rule_set: str = "intended") -> DataFrame:
-    return page_evidence(fx.overlay_pages(spark, sf).select("page_id", "html"), rule_set)
+    return page_evidence(_pages(spark, sf).select("page_id", "html"), rule_set)
 
 
 @query("classify_pages")
 def q_classify_pages(spark, sf):
-    res = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+    res = classify_pages(_pages(spark, sf), observations=fx.observations(spark, sf),
                          verdicts=fx.verdicts(spark, sf))
     return res.select("page_id", "url", "branch", "bucket", "bucket_source", "reason")
 
 
 @query("classify_as_written")
 def q_classify_as_written(spark, sf):
-    res = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+    res = classify_pages(_pages(spark, sf), observations=fx.observations(spark, sf),
                          verdicts=fx.verdicts(spark, sf), rule_set="as_written")
     return res.select("page_id", "url", "branch", "bucket", "bucket_source", "reason")
 
@@ -73,8 +82,7 @@ def q_loadmore_candidate(spark, sf):
 def q_page_signals(spark, sf):
     """Each page's evidence signals in rule order, as one ordered text."""
     ev = _ev(spark, sf)
-    ordered = F.transform(F.array_sort(F.col("ev.signals")),
-                          lambda s: F.concat(s["rule_id"], F.lit(": "), s["message"]))
+    ordered = F.transform(F.array_sort(F.col("ev.signals")), lambda s: s["message"])
     return ev.select("page_id", F.size("ev.signals").alias("n_signals"),
                      F.array_join(ordered, " | ").alias("signals_text"))
 
@@ -135,7 +143,7 @@ def q_resume_pending(spark, sf):
 
 
 def _page_buckets(spark, sf):
-    return classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+    return classify_pages(_pages(spark, sf), observations=fx.observations(spark, sf),
                           verdicts=fx.verdicts(spark, sf)).select("page_id", "bucket")
 
 
@@ -179,33 +187,33 @@ def q_url_compare_key(spark, sf):
 # --------------------------------------------------------------------------- elements
 @query("element_count")
 def q_element_count(spark, sf):
-    return E.element_count(fx.overlay_pages(spark, sf))
+    return E.element_count(_pages(spark, sf))
 
 
 @query("element_displayed")
 def q_element_displayed(spark, sf):
-    return E.elements(fx.overlay_pages(spark, sf)).select("page_id", "pos", "tag", "displayed")
+    return E.elements(_pages(spark, sf)).select("page_id", "pos", "tag", "displayed")
 
 
 @query("interactive_elements")
 def q_interactive_elements(spark, sf):
-    return E.interactive_elements(fx.overlay_pages(spark, sf)).select(
+    return E.interactive_elements(_pages(spark, sf)).select(
         "page_id", "pos", "tag", "first_text", "full_text", "displayed")
 
 
 @query("containers")
 def q_containers(spark, sf):
-    return E.containers(fx.overlay_pages(spark, sf))
+    return E.containers(_pages(spark, sf))
 
 
 @query("link_labels")
 def q_link_labels(spark, sf):
-    return E.links(fx.overlay_pages(spark, sf)).select("page_id", "pos", "link_type", "href", "text")
+    return E.links(_pages(spark, sf)).select("page_id", "pos", "link_type", "href", "text")
 
 
 @query("visible_links")
 def q_visible_links(spark, sf):
-    return E.links(fx.overlay_pages(spark, sf)).select("page_id", "pos", "link_type", "visible")
+    return E.links(_pages(spark, sf)).select("page_id", "pos", "link_type", "visible")
 
 
 # --------------------------------------------------------------------------- frames
@@ -217,7 +225,7 @@ def q_frame_scan(spark, sf):
 @query("frame_merge")
 def q_frame_merge(spark, sf):
     frames = io.frames_from_srcdoc(fx.framed_pages(spark, sf))
-    m = merge_frames(page_evidence(frames.select("page_id", "frame_idx", "html")))
+    m = merge_frames(page_evidence(frames.select("page_id", "frame_idx", "html"), partitions=_parts(spark)))
     ordered = F.transform(F.array_sort(F.col("ev.signals")), lambda s: s["message"])
     return m.select("page_id", F.col("ev.has_links").alias("has_links"), F.col("ev.next").alias("next_ind"),
                     F.col("ev.pageselect").alias("pageselect_ind"), F.col("ev.frame").alias("frame"),
@@ -244,10 +252,10 @@ def q_loadmore_confirm(spark, sf):
 # --------------------------------------------------------------------------- decisions
 def _classified(spark, sf, with_inputs: bool = True):
     if with_inputs:
-        c = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+        c = classify_pages(_pages(spark, sf), observations=fx.observations(spark, sf),
                            verdicts=fx.verdicts(spark, sf))
     else:
-        c = classify_pages(fx.overlay_pages(spark, sf))
+        c = classify_pages(_pages(spark, sf))
     return c
 
 
@@ -280,7 +288,7 @@ def q_judge_queue(spark, sf):
 def q_judge_snippet(spark, sf):
     from navbuckets.functions.dom import with_dom
 
-    d = with_dom(fx.overlay_pages(spark, sf).select("page_id", "html"))
+    d = with_dom(_pages(spark, sf).select("page_id", "html"))
     return d.select("page_id", judge.snippet().alias("snippet"))
 
 
@@ -307,6 +315,21 @@ def q_resolve_attempts(spark, sf):
     return att.resolve_attempts(fx.attempts(spark, sf), fx.verdicts(spark, sf))
 
 
+@query("judge_url_queue")
+def q_judge_url_queue(spark, sf):
+    log = fx.attempts(spark, sf)
+    pages = log.select("page_id", F.concat(F.lit("https://jobs.example/list/"), F.col("page_id").cast("string")).alias("url")).distinct()
+    return judge.url_only_queue(att.resolve_attempts(log, fx.verdicts(spark, sf)), pages)
+
+
+@query("reprocess_count")
+def q_reprocess_count(spark, sf):
+    """A10: rows to be retried, and rows a forced run would take."""
+    rows = admission.pending_rows(fx.url_list(spark, sf), URL_COL, force=True)
+    return rows.agg(F.count(F.when(admission.flow_state().rlike(admission.PENDING_RE), 1)).alias("n_retry"),
+                    F.count(F.lit(1)).alias("n_forced"))
+
+
 # --------------------------------------------------------------------------- reports
 def _attempt_results(spark, sf):
     adm = admission.url_admission(fx.url_list(spark, sf), URL_COL)
@@ -369,19 +392,21 @@ def q_stream_results(spark, sf):
 
 @query("stream_attempts")
 def q_stream_attempts(spark, sf):
-    path, schema = _stage_parquet(spark, fx.attempts(spark, sf), "attempts")
+    """T3 on a log split by attempt number, so every page's attempts span micro-batches."""
+    path = scratch_path(spark, "attempts")
+    log = fx.attempts(spark, sf)
+    for n in (2, 3, 1):  # not in order: a later attempt may be read first
+        log.where(F.col("attempt") == n).coalesce(1).write.mode("append").parquet(path)
     out, ck = S.stream_folder(spark, "stream-attempts")
-    r = S.resolve_attempts_stream(S.file_stream(spark, path, schema), fx.verdicts(spark, sf))
-    S.run_to_end(r.writeStream.format("parquet").outputMode("append"), out, ck)
-    return spark.read.parquet(out)
+    r = S.resolve_attempts_stream(S.file_stream(spark, path, log.schema), fx.verdicts(spark, sf))
+    S.run_to_end(S.upsert_writer(r, out), None, ck)
+    return S.latest(spark, out, "page_id")
 
 
 @query("stream_progress")
 def q_stream_progress(spark, sf):
     out, ck = S.stream_folder(spark, "stream-progress")
-    q = S.progress_stream(_classified_stream(spark, sf), out).option("checkpointLocation", ck) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination(S.STREAM_TIMEOUT_SEC)
+    S.run_to_end(S.progress_stream(_classified_stream(spark, sf), out), None, ck)
     return spark.read.parquet(out).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -392,7 +417,7 @@ def q_custom_rules(spark, sf):
 
     rules = spark.createDataFrame([(f"LM{i}{t[0]}", t, k) for i, k in enumerate(LOADMORE_KEYWORDS)
                                    for t in ("button", "a")], "rule_id string, tag string, needle string")
-    return E.custom_rules(E.elements(fx.overlay_pages(spark, sf)), rules)
+    return E.custom_rules(E.elements(_pages(spark, sf)), rules)
 
 
 @query("first_hit_per_rule")
@@ -400,16 +425,16 @@ def q_first_hit_per_rule(spark, sf):
     from navbuckets.functions.dom import with_dom
     from navbuckets.operators.rules import add_rule_columns, first_hits
 
-    d = add_rule_columns(with_dom(spread(fx.overlay_pages(spark, sf).select("page_id", "html"))))
+    d = add_rule_columns(with_dom(_pages(spark, sf).select("page_id", "html")))
     return d.select("page_id", F.inline(first_hits()))
 
 
 @query("classify_with_links")
 def q_classify_with_links(spark, sf):
     """D4 with a precomputed links table (here: the audit link table of the same pages)."""
-    links = E.links(fx.overlay_pages(spark, sf)).select(
+    links = E.links(_pages(spark, sf)).select(
         "page_id", "pos", "link_type", "text", "href", F.col("visible").alias("displayed"))
-    res = classify_pages(fx.overlay_pages(spark, sf), observations=fx.observations(spark, sf),
+    res = classify_pages(_pages(spark, sf), observations=fx.observations(spark, sf),
                          verdicts=fx.verdicts(spark, sf), links=links)
     return res.select("page_id", "url", "branch", "bucket", "bucket_source", "reason")
 
@@ -426,8 +451,8 @@ def q_judge_prompt(spark, sf):
     """J2 + P10: the full prompt (signals and the page snippet cut at 3,000) for ambiguous pages."""
     from navbuckets.functions.dom import with_dom
 
-    pages = fx.overlay_pages(spark, sf)
-    snip = with_dom(spread(pages.select("page_id", "html"))).select("page_id", judge.snippet().alias("snippet"))
+    pages = _pages(spark, sf)
+    snip = with_dom(pages.select("page_id", "html")).select("page_id", judge.snippet().alias("snippet"))
     c = _classified(spark, sf, with_inputs=False).filter(F.col("bucket_source").isin("judge", "fallback"))
     j = c.join(snip, "page_id")
     return j.select("page_id", "branch",
@@ -439,5 +464,5 @@ def q_classify_url_list(spark, sf):
     """The CLI flow: URL list -> admission -> classification of the captured pages by URL."""
     from navbuckets.plans.run import classify_url_list
 
-    return classify_url_list(fx.url_list(spark, sf).drop("flow"), fx.overlay_pages(spark, sf),
+    return classify_url_list(fx.url_list(spark, sf).drop("flow"), _pages(spark, sf),
                              observations=fx.observations(spark, sf), verdicts=fx.verdicts(spark, sf))

@@ -28,10 +28,12 @@ def classify_url_list(urls: DataFrame, pages: DataFrame, *, url_col: str | None
     """
     col = url_col or find_url_column(urls.drop(row_id))
     adm = url_admission(urls, col, row_id, scheme_check)
-    cls = classify_pages(pages, observations=observations, verdicts=verdicts)
-    by_url = cls.select(normalize_url(F.col("url"), scheme_check).alias("url_norm"),
-                        F.struct("page_id", "bucket", "bucket_source", "reason").alias("p")) \
-        .groupBy("url_norm").agg(F.min("p").alias("p"))
+    wanted = adm.filter(F.col("status") == "admitted").select("url_norm")
+    # narrow columns first: only the first page of each admitted URL is read in full and classified
+    chosen = (pages.select("page_id", normalize_url(F.col("url"), scheme_check).alias("url_norm"))
+              .join(wanted, "url_norm", "left_semi").groupBy("url_norm").agg(F.min("page_id").alias("page_id")))
+    cls = classify_pages(pages.join(chosen.select("page_id"), "page_id", "left_semi"), observations=observations, verdicts=verdicts)
+    by_url = cls.join(chosen, "page_id").select("url_norm", F.struct("page_id", "bucket", "bucket_source", "reason").alias("p"))
     admitted = adm.filter(F.col("status") == "admitted").join(by_url, "url_norm", "left")
     out_cols = [F.col(row_id), F.col(col).alias("companyUrl"), "url_norm", "status"]
     matched = admitted.select(*out_cols, F.col("p.bucket").alias("bucket"),

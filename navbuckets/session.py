@@ -28,11 +28,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "nav
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set (a shared file system path). Only when it is
-    unset, as in local tests, we set one under the local temp folder.
+    On a cluster it must be set (a shared file system path), else this raises. Only in a local
+    session, where driver and executors are one process, an unset one becomes a temp folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="navbuckets-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -60,28 +63,3 @@ def materialize(df):
     ids computed from partition ids and positions."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-_SHIPPED: set = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``navbuckets`` importable in Python workers (needed only by the Pandas-backed
-    streaming state function). Zips the package once per SparkContext and ``addPyFile``s it;
-    on a cluster the same happens with ``--py-files`` / an installed wheel."""
-    import zipfile
-
-    sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    zpath = os.path.join(tempfile.mkdtemp(prefix="navbuckets-pyfiles-"), "navbuckets.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _dirs, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    z.write(full, os.path.join("navbuckets", os.path.relpath(full, pkg)))
-    sc.addPyFile(zpath)
-    _SHIPPED.add(key)

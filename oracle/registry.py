@@ -11,10 +11,10 @@ _EV = "WITH " + P.dom_ctes(P.pages_input(fx.OVERLAY_PAGES_SQL)) + "," + P.eviden
 
 O["classify_pages"] = (P.classify_sql(fx.OVERLAY_PAGES_SQL, fx.OBSERVATIONS_SQL, fx.VERDICTS_SQL)
                        + "\nSELECT page_id, url, branch, bucket, bucket_source, "
-                         "'Final decision: ' || bucket || '. Signals: [' || all_msgs || ']' AS reason FROM dec")
+                         "bucket || ' <- ' || all_msgs AS reason FROM dec")
 O["classify_as_written"] = (P.classify_sql(fx.OVERLAY_PAGES_SQL, fx.OBSERVATIONS_SQL, fx.VERDICTS_SQL, "as_written")
                             + "\nSELECT page_id, url, branch, bucket, bucket_source, "
-                              "'Final decision: ' || bucket || '. Signals: [' || all_msgs || ']' AS reason FROM dec")
+                              "bucket || ' <- ' || all_msgs AS reason FROM dec")
 
 for _name, _field in [("rule_next_keyword", "r2"), ("rule_platform_selector", "r3"), ("rule_range_text", "r4"),
                       ("rule_next_symbol", "r5"), ("rule_first_last", "r6"), ("rule_double_arrow", "r7"),
@@ -26,9 +26,7 @@ O["frame_indicators"] = _EV + ('\nSELECT p.page_id, e.has_links, e."next" AS nex
 O["loadmore_candidate"] = _EV + ("\nSELECT p.page_id, CASE WHEN lm IS NULL THEN NULL WHEN split_part(lm, '|', 1) = 'button' "
                                  "THEN 'button' ELSE 'link' END AS lm_kind, split_part(lm, '|', 2) AS lm_keyword "
                                  "FROM pg p JOIN ev e ON e.rid = p.rid")
-O["page_signals"] = _EV + (",\nsr AS (SELECT rid, count(*) AS n_signals, string_agg(CASE ord WHEN 10 THEN 'R1' WHEN 20 THEN 'R2' "
-                           "WHEN 30 THEN 'R3' WHEN 40 THEN 'R4' WHEN 50 THEN 'R5' WHEN 60 THEN 'R6' WHEN 70 THEN 'R7' "
-                           "WHEN 80 THEN 'R8' ELSE 'R9' END || ': ' || msg, ' | ' ORDER BY ord, sub, msg) AS signals_text "
+O["page_signals"] = _EV + (",\nsr AS (SELECT rid, count(*) AS n_signals, string_agg(msg, ' | ' ORDER BY ord, sub, msg) AS signals_text "
                            "FROM sg GROUP BY rid)\n"
                            "SELECT p.page_id, coalesce(sr.n_signals, 0)::INT AS n_signals, coalesce(sr.signals_text, '') AS signals_text "
                            "FROM pg p LEFT JOIN sr ON sr.rid = p.rid")
@@ -72,6 +70,8 @@ O["url_normalize"] = (f"WITH {_UL} SELECT row_id, {_norm('companyUrl')} AS url_h
 O["url_admission"] = f"WITH {_UL}, {_ADM} SELECT row_id, companyUrl, url_norm, status FROM ua"
 O["pending_rows"] = (f"WITH {_UL} SELECT row_id, {_norm('companyUrl', True)} AS url_norm, true AS is_retry FROM ul "
                      f"WHERE NOT {_blank('companyUrl')} AND {_PEND}")
+O["reprocess_count"] = (f"WITH {_UL} SELECT count(*) FILTER (WHERE {_PEND}) AS n_retry, count(*) AS n_forced FROM ul "
+                        f"WHERE NOT {_blank('companyUrl')}")
 O["completed_rows"] = f"WITH {_UL} SELECT row_id, flow FROM ul WHERE length(coalesce(flow, 'nan')) > 0"
 _RP = (f"todo AS (SELECT row_id, {_norm('companyUrl', True)} AS url_norm FROM ul WHERE NOT {_blank('companyUrl')}),\n"
        f"done AS (SELECT row_id, {_norm('companyUrl', True)} AS k FROM ul WHERE NOT {_PEND}),\n"
@@ -131,7 +131,7 @@ mg AS (SELECT m.page_id, m.rid, NOT m.has_links AND c.cf IS NOT NULL AS use, c.c
 mg2 AS (SELECT g.*, f."next" AS cn, f.pageselect AS cp, f.rid AS crid FROM mg g
         LEFT JOIN fe f ON f.page_id = g.page_id AND f.frame_idx = g.cf),
 ss AS (SELECT g.page_id, s.ord, s.sub, s.msg FROM mg2 g JOIN sg s ON s.rid = g.rid
-       UNION ALL SELECT g.page_id, s.ord + 1000, s.sub, 'Iframe ' || CAST(g.cf AS VARCHAR) || ': ' || s.msg
+       UNION ALL SELECT g.page_id, s.ord + 1000, s.sub, 'frame(' || CAST(g.cf AS VARCHAR) || ') ' || s.msg
        FROM mg2 g JOIN sg s ON s.rid = g.crid WHERE g.use),
 st AS (SELECT page_id, string_agg(msg, ' | ' ORDER BY ord, sub, msg) AS signals_text FROM ss GROUP BY page_id)
 SELECT g.page_id, g.mh OR g.use AS has_links, g.mn OR (g.use AND g.cn) AS next_ind,
@@ -157,14 +157,20 @@ SELECT page_id, lm_kind, click_grew, lm_kind IS NOT NULL AND coalesce(click_grew
 O["decide_structural"] = _CLS + "\nSELECT page_id, bucket, bucket_source FROM dec WHERE branch = 'structural'"
 O["decide_behavioral"] = _CLS + "\nSELECT page_id, bucket, bucket_source FROM dec WHERE branch = 'behavioral'"
 _CLS0 = P.classify_sql(fx.OVERLAY_PAGES_SQL, None, None)
-O["decision_reason"] = _CLS0 + ("\nSELECT page_id, bucket, 'Final decision: ' || bucket || '. Signals: [' || all_msgs || ']' "
+O["decision_reason"] = _CLS0 + ("\nSELECT page_id, bucket, bucket || ' <- ' || all_msgs "
                                 "AS reason FROM dec")
 
 # --------------------------------------------------------------------------- judge
-O["judge_queue"] = _CLS0 + ("\nSELECT page_id, url, branch, 'Address: ' || url || chr(10) || 'Signals detected so far: ' || "
-                            "all_msgs || chr(10) || chr(10) || 'Return ONLY: ' || CASE WHEN branch = 'structural' THEN "
-                            "'next OR pageselect' ELSE 'loadmore OR scrolldown' END AS prompt FROM dec "
-                            "WHERE bucket_source IN ('judge', 'fallback')")
+_G = {"next": "a control that leads from one result page to the following one, without page numbers to pick from",
+      "pageselect": "numbered or first/last controls with which a visitor picks a result page",
+      "loadmore": "a button or link that appends further results to the list in place",
+      "scrolldown": "further results appear by themselves when the page is scrolled"}
+_OPT = {b: "".join(f"- {c}: {_G[c]}\n" for c in cs) for b, cs in {
+    "structural": ["next", "pageselect"], "behavioral": ["loadmore", "scrolldown"], "all": list(_G)}.items()}
+O["judge_queue"] = _CLS0 + (
+    f"\nSELECT page_id, url, branch, {q('How does this job listing reveal further results? Answer with one word from the list.' + chr(10))} || "
+    f"CASE WHEN branch = 'structural' THEN {q(_OPT['structural'])} ELSE {q(_OPT['behavioral'])} END || "
+    "'Evidence from ' || url || ': ' || all_msgs AS prompt FROM dec WHERE bucket_source IN ('judge', 'fallback')")
 O["judge_snippet"] = None  # rows-only
 O["judge_constrained"] = "WITH " + P.verdict_ctes(fx.VERDICTS_SQL) + "\nSELECT page_id, verdict_structural, verdict_behavioral FROM vd"
 _UV = f"""uv0 AS (SELECT page_id, arg_min(answer, attempt) AS answer FROM ({fx.VERDICTS_SQL}) v WHERE kind = 'url_only'
@@ -198,13 +204,17 @@ al AS (SELECT page_id, outcome IS NULL AS raised, error_message, coalesce(outcom
 {_UV},
 ra AS (SELECT g.page_id,
          CASE WHEN success IS NOT NULL THEN success WHEN uv.judge_bucket IS NOT NULL THEN uv.judge_bucket
-              WHEN l.raised THEN 'error: ' || substring(coalesce(l.error_message, ''), 1, 50)
+              WHEN l.raised THEN coalesce('error: ' || substring(l.error_message, 1, 50), 'error: unknown')
               ELSE 'error: timeout_max_retries' END AS bucket,
          CASE WHEN success IS NOT NULL THEN 'attempt ' || CAST(success_attempt AS VARCHAR)
               WHEN uv.judge_bucket IS NOT NULL THEN uv.judge_source ELSE 'error' END AS bucket_source,
          g.n_attempts, CASE WHEN success IS NULL THEN l.err END AS last_error
        FROM ag g JOIN al l ON l.page_id = g.page_id LEFT JOIN uv ON uv.page_id = g.page_id)"""
 O["resolve_attempts"] = f"WITH {_RA}\nSELECT page_id, bucket, bucket_source, n_attempts, last_error FROM ra"
+O["judge_url_queue"] = (f"WITH {_RA},\nru AS (SELECT *, 'https://jobs.example/list/' || page_id AS url FROM ra)\nSELECT page_id, url, " + q(
+    "This listing could not be loaded, so judge by its address alone. Answer as TYPE | reason, with TYPE one of:\n" + _OPT["all"] + "Address: ")
+    + " || url || chr(10) || 'Last error: ' || coalesce(last_error, 'none') AS prompt "
+    "FROM ru WHERE bucket_source = 'error'")
 _AR = (f"WITH {_RA}, {_UL}, {_ADM},\n"
        "rs AS (SELECT ua.*, coalesce(CASE WHEN status <> 'admitted' THEN status END, ra.bucket) AS bucket "
        "FROM ua LEFT JOIN ra ON ra.page_id = ua.row_id // 2)")
@@ -267,7 +277,7 @@ O["scroll_confirm_events"] = ("WITH " + P.measurement_ctes(fx.EVENT_OBSERVATIONS
 O["classify_url_list"] = (_CLS + f",\n{_UL}, {_ADM},\n"
                           f"bu AS (SELECT {_norm('url')} AS url_norm, arg_min(bucket, page_id) AS bucket, "
                           "arg_min(bucket_source, page_id) AS bucket_source, "
-                          "arg_min('Final decision: ' || bucket || '. Signals: [' || all_msgs || ']', page_id) AS reason "
+                          "arg_min(bucket || ' <- ' || all_msgs, page_id) AS reason "
                           "FROM dec GROUP BY 1)\n"
                           "SELECT ua.row_id, ua.companyUrl, ua.url_norm, ua.status, bu.bucket, bu.bucket_source, bu.reason "
                           "FROM ua LEFT JOIN bu ON bu.url_norm = ua.url_norm WHERE ua.status = 'admitted' "

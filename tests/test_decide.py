@@ -61,7 +61,7 @@ def test_frames_path(spark):
     pages = spark.createDataFrame([(1, "https://a.com", html)], "page_id long, url string, html string")
     r = classify_pages(pages, frames=frames_from_srcdoc(pages)).collect()[0]
     assert (r.branch, r.bucket) == ("structural", "next")
-    assert any(s.startswith("Iframe 1: link: found NEXT") for s in r.signals)
+    assert any(s.startswith("frame(1) R1(NEXT,") for s in r.signals)
 
 
 def test_classify_url_list(spark):

@@ -1,5 +1,7 @@
 """Plan-shape checks for the flagship (what would matter on a cluster)."""
 
+from pyspark.sql import functions as F
+
 import re
 
 from navbuckets.plans import fixtures as fx
@@ -29,14 +31,18 @@ def test_side_inputs_are_aggregated_before_the_shuffle(spark):
     assert plan.count("partial_max(") >= 1 and plan.count("partial_min(") >= 1
 
 
-def test_spread_only_when_under_parallel(spark):
-    from navbuckets.plans.classify import spread
+def test_spread_is_explicit_and_planning_runs_no_job(spark):
+    from navbuckets.plans.classify import classify_pages, spread
 
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(1000).withColumnRenamed("id", "page_id").repartition(cores)
-    assert spread(many) is many                      # one split per core: HTML never shuffled
     one = spark.range(10).withColumnRenamed("id", "page_id").coalesce(1)
-    assert "hashpartitioning(page_id" in spread(one)._jdf.queryExecution().executedPlan().toString()
+    assert spread(one, None) is one
+    assert "hashpartitioning(page_id" in spread(one, 4)._jdf.queryExecution().executedPlan().toString()
+    pages = spark.range(50).selectExpr("id as page_id", "'http://a/' || id as url", "'<p>x</p>' as html").groupBy("page_id").agg(
+        F.first("url").alias("url"), F.first("html").alias("html"))
+    spark.sparkContext.setJobGroup("planning", "planning")
+    classify_pages(pages)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_bucketed_inputs_need_no_shuffle(spark):

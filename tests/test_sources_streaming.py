@@ -79,3 +79,34 @@ def test_null_tokens(spark):
     p = _csv("companyName,companyUrl\nA,N/A\nB,None\nC,https://c\n")
     rows = io.read_url_list(spark, p, columns=["companyName", "companyUrl"], null_tokens=io.NULL_TOKENS).collect()
     assert [r.companyUrl for r in rows] == [None, None, "https://c"]
+
+
+def test_stream_attempts_equal_batch_across_micro_batches(spark):
+    """Attempts of a page in several files, out of order; pages with one or two attempts."""
+    from navbuckets.operators.attempts import resolve_attempts
+    from navbuckets.streaming import stream as S
+
+    rows = [(1, 1, None, "timed out"), (1, 2, "next", None), (2, 1, "error: page_load_failed", None), (3, 1, None, None),
+            (4, 1, None, "x" * 80), (4, 2, None, "x" * 80), (4, 3, "error: y", None), (5, 2, "loadmore", None), (5, 1, None, "z")]
+    log = spark.createDataFrame(rows, "page_id long, attempt int, outcome string, error_message string")
+    path = tempfile.mkdtemp(prefix="nb-att-") + "/log"
+    for n in (2, 3, 1):
+        log.where(F.col("attempt") == n).coalesce(1).write.mode("append").parquet(path)
+    out, ck = S.stream_folder(spark, "t3")
+    S.run_to_end(S.upsert_writer(S.resolve_attempts_stream(S.file_stream(spark, path, log.schema)), out), None, ck)
+    got = sorted(map(tuple, S.latest(spark, out, "page_id").collect()))
+    assert got == sorted(map(tuple, resolve_attempts(log).collect()))
+    assert (3, "error: unknown", "error", 1, None) in got
+
+
+def test_stream_failure_is_not_a_result(spark):
+    import pytest
+
+    from navbuckets.streaming import stream as S
+
+    path = tempfile.mkdtemp(prefix="nb-bad-") + "/log"
+    spark.range(3).write.parquet(path)
+    out, ck = S.stream_folder(spark, "bad")
+    bad = S.file_stream(spark, path, spark.range(1).schema).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        S.run_to_end(bad.writeStream.format("parquet").outputMode("append"), out, ck)
