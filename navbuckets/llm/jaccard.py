@@ -39,7 +39,7 @@ _U = np.uint64
 class Bands:
     """Size bands and the numbers that follow from a similarity of ``num / den``."""
 
-    def __init__(self, num: int = 90, den: int = 100, growth: float = 1.3):
+    def __init__(self, num: int = 90, den: int = 100, growth: float = 1.5):
         self.num, self.den = num, den
         lows = [1]
         while lows[-1] < 1 << 40:
@@ -125,64 +125,44 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
-    """(n, f1, f2, rep, keys, bits): one row per distinct non-empty set."""
+def _map_sets(docs: DataFrame, size: int, row, schema: str) -> DataFrame:
+    """``row(ids, sets)`` -> columns, over the shingle sets of every piece of ``docs``."""
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                sets = shingle_sets(piece, size)
-                marks = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                    pa.array([parts(s, bands).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                    pa.array([bit_sketch(s, bands.width(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                    names=["doc_id", "n", "f1", "f2", "keys", "bits"])
+                columns = row(piece.column("doc_id"), shingle_sets(piece, size))
+                yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns.values()],
+                                                 names=list(columns))
 
-    made = docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys binary, bits binary")
-    return made.where("n > 0").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _sizes(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, f1, f2) per row."""
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch):
-                sets = shingle_sets(piece, size)
-                marks = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())],
-                    names=["doc_id", "n", "f1", "f2"])
+    def row(ids, sets):
+        marks = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+        return {"doc_id": ids, "n": np.array([len(s) for s in sets], np.int64),
+                "f1": np.ascontiguousarray(marks[:, 0]), "f2": np.ascontiguousarray(marks[:, 1])}
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return _map_sets(docs, size, row, "doc_id long, n long, f1 long, f2 long")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, set): the shingle hashes as bytes."""
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(piece, size)], pa.binary())],
-                    names=["doc_id", "set"])
+def _keys(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(key, rep): a row per part of each document. Cheaper to make again than to store."""
+    def row(ids, sets):
+        made = [parts(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
+        return {"key": np.concatenate(made), "rep": np.repeat(np.asarray(ids, dtype=np.int64), [len(m) for m in made])}
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    return _map_sets(docs, size, row, "key long, rep long")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, rep): a row per part of each class."""
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                raw = part.column("keys").to_pylist()
-                keys = np.frombuffer(b"".join(raw), np.int64)
-                reps = np.repeat(np.asarray(part.column("rep"), dtype=np.int64), [len(r) // 8 for r in raw])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps)], names=["key", "rep"])
+def _sets(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(doc_id, n, set, bits): the shingle hashes and the bit sketch, as bytes."""
+    def row(ids, sets):
+        return {"doc_id": ids, "n": np.array([len(s) for s in sets], np.int64), "set": pa.array([s.tobytes() for s in sets], pa.binary()),
+                "bits": pa.array([bit_sketch(s, bands.width(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary())}
 
-    return classes.select("rep", "keys").mapInArrow(run, "key long, rep long")
+    return _map_sets(docs, size, row, "doc_id long, n long, set binary, bits binary")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -190,7 +170,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sketches are close enough for a link."""
     def run(batches):
         for batch in batches:
@@ -202,7 +182,7 @@ def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("b" + k))
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("b" + k))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
@@ -263,7 +243,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     """(doc_id, n_shingles, component_id) per row of ``docs(doc_id, text)``: components of the links
     ``den * |A and B| >= num * |A or B|`` between the documents' shingle sets.
 
-    ``component_id`` is the smallest doc_id reachable. Null and empty texts, and texts without words,
+    ``component_id`` is the smallest doc_id reachable (links join all texts of an id). Null and empty texts, and texts without words,
     have an empty set (0) and link with nothing, not even each other; a text of fewer words than
     a shingle has its whole sequence as its one shingle. Rows with the same doc_id are one
     node of the link graph. Rows with a null doc_id take no part (component null). Empty
@@ -272,19 +252,24 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    classes = materialize(_classes(known, bands, size))
-    keys = _keys(classes)
+    marks = materialize(_sizes(docs, size))
+    classes = materialize(marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = _small(reps, reps.count())
+    keys = _keys(known.join(reps, "doc_id", "left_semi"), size, bands)
     buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high"))
                           .where("m > 1 AND low < high"))
-    n_large = buckets.where("m > 2").count()
-    large = _small(buckets.where("m > 2").select("key", "m", "low"), n_large)
-    members = materialize(keys.join(large, "key").select("key", "m", "low", "rep"))
-    star = (buckets.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-            .union(members.where("rep > low").select("low", "rep")).distinct())
-    star = materialize(star)
+    large = buckets.where("m > 2").select("key", "m", "low")
+    members = materialize(keys.join(_small(large, large.count()), "key").select("key", "m", "low", "rep").distinct())
+    star = materialize(buckets.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+                       .union(members.where("rep > low").select("low", "rep")).distinct())
     ids = materialize(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct())
-    sets = materialize(_sets(known.join(_small(ids, ids.count()), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    links = materialize(_verified(_near(star, classes, bands), sets, bands))
+    own = known.join(_small(ids, ids.count()), "doc_id", "left_semi")
+    sets = _sets(own, size, bands)
+    if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids: one row per text
+        sets = sets.dropDuplicates(["doc_id", "set"])
+    sets = materialize(sets)
+    links = materialize(_verified(_near(star, sets, bands), sets, bands).distinct())
     comp = components(links)
 
     # buckets that still hold several components
@@ -295,7 +280,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     sized = (labelled.join(mixed.select("key"), "key").groupBy("key", "comp").agg(F.count("*").alias("c")))
     cores = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("core_comp"), F.max("c").alias("n_core"),
                                      F.sum("c").alias("all"))
-    open_ = (labelled.join(cores, "key").join(classes.select("rep", "n", "bits"), "rep")
+    open_ = (labelled.join(cores, "key").join(sets.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
              .select("key", "rep", "comp", (F.col("comp") == F.col("core_comp")).alias("core"), "n_core",
                      (F.col("all") - F.col("n_core")).alias("n_other"), "n", "bits"))
     more = materialize(_verified(_block_pairs(open_, bands), sets, bands))
@@ -307,7 +292,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
              .join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
              .select("n", "f1", "f2", F.coalesce("component", "rep").alias("id"))
              .join(joined, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component")))
-    rows = _sizes(docs, size).join(final, ["n", "f1", "f2"], "left")
+    rows = marks.join(final, ["n", "f1", "f2"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"),
                        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navbuckets.functions.dom import fence
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 _RUN = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++"
@@ -253,6 +255,8 @@ def detect(docs: DataFrame, models: dict[str, Boosted] | None = None) -> DataFra
     found = found.withColumn("base_spans", F.array_sort(F.concat(*base)))
     # chosen candidates overlap no base span of their kind; two generators may have proposed one twice
     found = found.withColumn("spans", F.array_sort(F.concat("base_spans", F.array_distinct(F.concat(*added)))) if added else F.col("base_spans"))
+    # fenced: a later filter on a result must not be substituted down through all of the above
+    found = found.withColumns({c: fence(F.col(c)) for c in ("base_spans", "spans")})
     return found.drop(*[c for c in found.columns if c.startswith("__")])
 
 
@@ -279,4 +283,4 @@ def redact(docs: DataFrame) -> DataFrame:
         F.element_at(names, s["kind"] + 1)))
     tail = F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text"))
     text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return cut.withColumn("text", text).select(*docs.columns)
+    return cut.withColumn("text", fence(text)).select(*docs.columns)
