@@ -9,22 +9,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from navbuckets.operators import rules
+
 # ---------------------------------------------------------------------------
-# Markup overlay inserted before </article>, chosen by page_id % 12.
-OVERLAY = [
+# Markup overlay inserted before </article>, chosen by page_id modulo their number.
+# The first are mixed cases and near misses; then one case per entry of every rule's list.
+MIXED = [
     '<a href="?page=2">Next</a>',
     '<nav class="pagination"><a href="?page=1">1</a> <a href="?page=2">2</a></nav>',
     '<nav><a href="?page=2" style="display:none">2</a></nav>',
-    '<button aria-label="Next results">x</button>',
-    '<button>Load More</button>',
     '<p>Showing page 1 of 10</p><a href="/page/2">more</a>',
     '<a href="#top">Back to top &rarr;</a>',
     '<a href="?p=9">&raquo;</a>',
     '<a href="?p=9">&gt;&gt;</a>',
     '<a href="/x">Last</a><span>12</span>',
-    '<div><span>1</span></div><div><span>2</span></div>',
+    '<a href="/x" title="a > b">Jobs</a>',
+    '<a-card href="/page/2">x</a-card>',
+    '<a href="?page=2" class="nav hidden md:block" title="no hidden fees">Next</a>',
+    '<a href="?page=2" hidden>Next</a>',
+    '<button><i></i>Load More</button>',
+    '<nav>Results 1 &ndash; 20 of 300</nav>',
+    '<nav><span>1</span> <span>3</span></nav>',
+    '<a href="?p=3">plain</a>',
     '',
 ]
+SELECTOR_CASES = [
+    '<button aria-label="Next results">x</button>', '<button aria-label="go next">x</button>',
+    '<i class="x wd-paginator-next-button">x</i>', '<i data-automation-id="pageNext">x</i>',
+    '<i class="next-page-button">x</i>', '<i class="sf-pagination-next">x</i>',
+]
+RANGE_CASES = ["Results 1 - 20 of 300", "Page 2 of 9", "1 - 20 of 300", "Items per page", "Jump to page"]
+NUMBER_CASES = ['<nav><span>1</span> <span>2</span></nav>', '<ul class="pager"><li>1</li> <li>2</li></ul>',
+                '<b><span>1</span> <span>2</span></b>', '<p><i><span>1</span></i> 2</p>']
+OVERLAY = (
+    MIXED + SELECTOR_CASES + NUMBER_CASES
+    + [f"<p>{t}</p>" for t in RANGE_CASES]
+    + ["<span>" + t.replace("<", "&lt;") + "</span>" for t in dict.fromkeys([*rules.NEXT_KEYWORDS, *rules.NEXT_SYMBOLS, *rules.PAGESELECT_KEYWORDS, *rules.PAGESELECT_SYMBOLS])]
+    + [f"<{tag}>{t.capitalize()}</{tag}>" for t in rules.LOADMORE_KEYWORDS for tag in ("button", "a")]
+)
+CASES = len(OVERLAY)
 # ---------------------------------------------------------------------------
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -42,17 +65,17 @@ def _case(expr: str, snippets: list[str], escape: bool = False) -> str:
 
 
 def overlay_expr(page_id: str = "page_id", html: str = "html") -> str:
-    return f"replace({html}, '</article>', concat({_case(f'{page_id} % 12', OVERLAY)}, '</article>'))"
+    return f"replace({html}, '</article>', concat({_case(f'{page_id} % {CASES}', OVERLAY)}, '</article>'))"
 
 
 OVERLAY_PAGES_SQL = f"SELECT page_id, url, {overlay_expr()} AS html FROM pages"
 
 # Pages whose article also holds iframes with a srcdoc (escaped markup):
-# page_id % 3 = 1 -> one frame (snippet (page_id+3) % 12); = 2 -> a frame without links,
-# then a frame with snippet (page_id+1) % 12; = 0 -> none.
-_IFRAME_ONE = f"concat('<iframe srcdoc=\"', {_case('(page_id + 3) % 12', OVERLAY, escape=True)}, '\"></iframe>')"
+# page_id % 3 = 1 -> one frame (snippet (page_id+3) % CASES); = 2 -> a frame without links,
+# then a frame with snippet (page_id+1) % CASES; = 0 -> none.
+_IFRAME_ONE = f"concat('<iframe srcdoc=\"', {_case(f'(page_id + 3) % {CASES}', OVERLAY, escape=True)}, '\"></iframe>')"
 _IFRAME_TWO = ("concat('<iframe srcdoc=\"&lt;p&gt;frame without links&lt;/p&gt;\"></iframe>', "
-               f"'<iframe srcdoc=\"', {_case('(page_id + 1) % 12', OVERLAY, escape=True)}, '\"></iframe>')")
+               f"'<iframe srcdoc=\"', {_case(f'(page_id + 1) % {CASES}', OVERLAY, escape=True)}, '\"></iframe>')")
 FRAMED_PAGES_SQL = (
     "SELECT page_id, url, replace(" + overlay_expr() + ", '</article>', concat(CASE page_id % 3 "
     f"WHEN 1 THEN {_IFRAME_ONE} WHEN 2 THEN {_IFRAME_TWO} ELSE '' END, '</article>')) AS html FROM pages"
