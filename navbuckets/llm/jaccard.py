@@ -11,8 +11,9 @@ by a 128-bit fingerprint of the set; only one document of a class joins. Each se
   part, image) misses no pair. A set joins its own band and, if a larger partner may lie in
   it, the next one.
 
-Buckets of equal parts are not expanded into pairs. First every member meets its bucket's smallest
-member only; Hamming distance, then the exact sets, decide. Components of these links come next.
+Buckets of equal parts are not expanded into pairs. First every member meets one other set only, the
+smallest member of the buckets it shares most; Hamming distance, then the exact sets, decide.
+Components of these links come next.
 Buckets that still hold several components then compare only pairs of different components,
 as blocks of sketches inside tasks; what passes the Hamming bound is verified exactly. Links
 inside a component cannot change it, so the components are those of all links.
@@ -156,13 +157,13 @@ def _keys(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     return _map_sets(docs, size, row, "key long, rep long")
 
 
-def _sets(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """(doc_id, n, set, bits): the shingle hashes and the bit sketch, as bytes."""
+def _bits(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(doc_id, n, bits): the bit sketches, as bytes."""
     def row(ids, sets):
-        return {"doc_id": ids, "n": np.array([len(s) for s in sets], np.int64), "set": pa.array([s.tobytes() for s in sets], pa.binary()),
+        return {"doc_id": ids, "n": np.array([len(s) for s in sets], np.int64),
                 "bits": pa.array([bit_sketch(s, bands.width(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary())}
 
-    return _map_sets(docs, size, row, "doc_id long, n long, set binary, bits binary")
+    return _map_sets(docs, size, row, "doc_id long, n long, bits binary")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -170,7 +171,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _near(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sketches are close enough for a link."""
     def run(batches):
         for batch in batches:
@@ -182,23 +183,39 @@ def _near(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("b" + k))
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("b" + k))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
-    def run(batches):
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """The distinct pairs (a, b) that are linked, by their whole sets. The sets of one ``a`` and of up
+    to about ``BLOCK`` partners meet in a cell; each partner's set crosses the network once."""
+    pairs = materialize(pairs)
+    cells = F.greatest(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("long")
+    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("c")), "a").select(
+        "a", "b", F.pmod(F.xxhash64("b"), cells).alias("cell"))
+    need = materialize(dealt.select(F.col("b").alias("doc_id"), "a", "cell", F.lit(True).alias("partner")).union(
+        dealt.select("a", "a", "cell", F.lit(False)).distinct()))
+
+    def sets(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                if bands.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
+            for piece in pieces(batch):
+                found = pa.array([s.tobytes() for s in shingle_sets(piece, size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in ("doc_id", "a", "cell", "partner")] + [found],
+                                                 names=["doc_id", "a", "cell", "partner", "set"])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, partner = cell.column("doc_id").to_pylist(), cell.column("partner").to_pylist()
+        own = [np.frombuffer(x, _U) for x in cell.column("set").to_pylist()]
+        heads = [s for s, p in zip(own, partner, strict=True) if not p]
+        hit = sorted({i for i, s, p in zip(ids, own, partner, strict=True) if p and any(
+            bands.linked(len(np.intersect1d(s, h, assume_unique=True)), len(s), len(h)) for h in heads)})
+        a = cell.column("a")[0].as_py()
+        return pa.table([pa.array([a] * len(hit), pa.int64()), pa.array(hit, pa.int64())], names=["a", "b"])
 
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("set").alias("s" + k))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    rows = docs.join(_small(need, need.count()), "doc_id").select("doc_id", "a", "cell", "partner", "text")
+    return (rows.mapInArrow(sets, "doc_id long, a long, cell long, partner boolean, set binary")
+            .groupBy("a", "cell").applyInArrow(compare, "a long, b long"))
 
 
 def _block_pairs(members: DataFrame, bands: Bands) -> DataFrame:
@@ -254,36 +271,34 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     known = docs.where("doc_id IS NOT NULL")
     marks = materialize(_sizes(docs, size))
     classes = materialize(marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
+    if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids: one row per text
+        known = known.dropDuplicates(["doc_id", "text"])
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     reps = _small(reps, reps.count())
     keys = _keys(known.join(reps, "doc_id", "left_semi"), size, bands)
     buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high"))
                           .where("m > 1 AND low < high"))
-    large = buckets.where("m > 2").select("key", "m", "low")
-    members = materialize(keys.join(_small(large, large.count()), "key").select("key", "m", "low", "rep").distinct())
-    star = materialize(buckets.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-                       .union(members.where("rep > low").select("low", "rep")).distinct())
-    ids = materialize(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct())
-    own = known.join(_small(ids, ids.count()), "doc_id", "left_semi")
-    sets = _sets(own, size, bands)
-    if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids: one row per text
-        sets = sets.dropDuplicates(["doc_id", "set"])
-    sets = materialize(sets)
-    links = materialize(_verified(_near(star, sets, bands), sets, bands).distinct())
+    members = materialize(keys.join(_small(buckets.select("key", "low"), buckets.count()), "key").select("key", "low", "rep").distinct())
+    # every set meets first the smallest member with which it shares most buckets
+    shared = members.where("rep > low").groupBy("rep", "low").agg(F.count("*").alias("c"))
+    star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", -F.col("low"))).alias("a")).select("a", F.col("rep").alias("b"))
+    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct())
+    sketches = materialize(_bits(known.join(_small(ids, ids.count()), "doc_id", "left_semi"), size, bands))
+    links = materialize(_verified(_near(star, sketches, bands).distinct(), known, size, bands))
     comp = components(links)
 
     # buckets that still hold several components
     labelled = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "key", "m", "rep", F.coalesce("component", "rep").alias("comp"))
+        "key", "rep", F.coalesce("component", "rep").alias("comp"))
     labelled = materialize(labelled)
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
     sized = (labelled.join(mixed.select("key"), "key").groupBy("key", "comp").agg(F.count("*").alias("c")))
     cores = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("core_comp"), F.max("c").alias("n_core"),
                                      F.sum("c").alias("all"))
-    open_ = (labelled.join(cores, "key").join(sets.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
+    open_ = (labelled.join(cores, "key").join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
              .select("key", "rep", "comp", (F.col("comp") == F.col("core_comp")).alias("core"), "n_core",
                      (F.col("all") - F.col("n_core")).alias("n_other"), "n", "bits"))
-    more = materialize(_verified(_block_pairs(open_, bands), sets, bands))
+    more = materialize(_verified(_block_pairs(open_, bands), known, size, bands))
     lifted = (more.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
               .join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
