@@ -71,9 +71,9 @@ def overlay_expr(page_id: str = "page_id", html: str = "html") -> str:
 OVERLAY_PAGES_SQL = f"SELECT page_id, url, {overlay_expr()} AS html FROM pages"
 
 # Pages whose article also holds iframes with a srcdoc (escaped markup):
-# page_id % 3 = 1 -> one frame (snippet (page_id+3) % CASES); = 2 -> a frame without links,
+# page_id % 3 = 1 -> a frame by src, then one (snippet (page_id+3) % CASES); = 2 -> a frame without links,
 # then a frame with snippet (page_id+1) % CASES; = 0 -> none.
-_IFRAME_ONE = f"concat('<iframe srcdoc=\"', {_case(f'(page_id + 3) % {CASES}', OVERLAY, escape=True)}, '\"></iframe>')"
+_IFRAME_ONE = f"concat('<iframe src=\"/ad\"></iframe><iframe srcdoc=\"', {_case(f'(page_id + 3) % {CASES}', OVERLAY, escape=True)}, '\"></iframe>')"
 _IFRAME_TWO = ("concat('<iframe srcdoc=\"&lt;p&gt;frame without links&lt;/p&gt;\"></iframe>', "
                f"'<iframe srcdoc=\"', {_case(f'(page_id + 1) % {CASES}', OVERLAY, escape=True)}, '\"></iframe>')")
 FRAMED_PAGES_SQL = (

@@ -11,7 +11,8 @@ from navbuckets.functions.text import decode_entities
 # URL column names tried in order (exact, then case-insensitive).
 URL_COLUMNS = ["companyUrl", "url", "link", "Website", "career_page_url", "Website URL"]
 URL_COLUMNS_STRICT = ["companyUrl", "url", "link", "Website", "career_page_url"]
-SRCDOC_RE = r"""(?i)<iframe\b[^>]*\ssrcdoc\s*=\s*"([^"]*)\""""
+IFRAME_RE = r"""(?i)<iframe\b[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+>"""
+SRCDOC_RE = r"""(?i)\ssrcdoc\s*=\s*("[^"]*+"|'[^']*+')"""
 # pandas' default NA tokens (read as null, so such cells become 'invalid_url').
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -24,7 +25,7 @@ def read_url_list(spark: SparkSession, path: str, columns: list[str] | None = No
     ``columns``: the header names when known (an explicit schema, no inference pass).
     ``null_tokens``: cells equal to one of these become null (default: none besides blanks).
     """
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    r = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')  # "" inside quotes
     if columns is not None:
         r = r.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
@@ -68,12 +69,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frames_from_srcdoc(pages: DataFrame) -> DataFrame:
-    """``frames(page_id, frame_idx, html)``: the main document as frame -1, then each
-    ``<iframe srcdoc="...">`` in document order (entities decoded), frames numbered from 0."""
+    """``frames(page_id, frame_idx, html)``: the main document as frame -1, then the ``srcdoc``
+    documents (either quote, entities decoded). All iframes count in document order from 0, also
+    those with a ``src`` only, whose document is not part of the page."""
     main = pages.select("page_id", F.lit(-1).alias("frame_idx"), "html")
-    docs = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SRCDOC_RE), 1)).alias("frame_idx", "raw"))
+    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(IFRAME_RE), F.lit(0))).alias("frame_idx", "tag"))
+    docs = tags.withColumn("raw", F.regexp_extract("tag", SRCDOC_RE, 1)).filter(F.length("raw") > 0)
     sub = docs.select("page_id", F.col("frame_idx").cast("int").alias("frame_idx"),
-                      decode_entities(F.col("raw")).alias("html"))
+                      decode_entities(F.substring(F.col("raw"), F.lit(2), F.length("raw") - 2)).alias("html"))
     return main.unionByName(sub)
 
 
@@ -96,21 +99,22 @@ def result_projection(results: DataFrame, url_col: str, row_id: str = "row_id")
 
 
 def assign_row_ids(df: DataFrame, col: str = "row_id") -> DataFrame:
-    """Dense, stable ``row_id`` (0..n-1) in input order (file split, then position).
+    """Dense, stable ``row_id`` (0..n-1) in input order: file path, position of the split in its
+    file, position in the split (Spark deals splits to partitions by size, not in file order).
 
-    The rows are first saved with their partition and ``monotonically_increasing_id`` (a
-    reliable checkpoint, so a recomputation cannot renumber them); per-partition counts give
-    each partition's offset. Only the offsets -- one row per partition, a size bounded by the
-    partition count -- are broadcast; no global sort, no single-task window over the rows."""
+    The rows are first saved with their split and ``monotonically_increasing_id`` (a reliable
+    checkpoint, so a recomputation cannot renumber them); counts per split give each split's
+    offset. Only the offsets -- one row per split -- are broadcast; no global sort, no
+    single-task window over the rows. Without files behind ``df`` the partitions are the splits."""
     from pyspark.sql import Window
 
     from navbuckets.session import materialize
 
-    d = materialize(df.withColumn("_pid", F.spark_partition_id())
-                      .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = d.join(F.broadcast(offs), "_pid").withColumn(
-        col, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    return out.drop("_pid", "_mid", "_off")
+    split = ["_file", "_start", "_pid"]
+    d = materialize(df.withColumns({"_file": F.input_file_name(), "_start": F.input_file_block_start(),
+                                    "_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
+    counts = d.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = d.join(F.broadcast(offs), split).withColumn(col, F.col("_off") + F.col("_mid") - F.col("_first"))
+    return out.drop(*split, "_mid", "_off", "_first")

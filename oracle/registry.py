@@ -34,7 +34,6 @@ O["page_signals"] = _EV + (",\nsr AS (SELECT rid, count(*) AS n_signals, string_
 # --------------------------------------------------------------------------- URLs
 from navbuckets.functions import text as _T  # noqa: E402
 from navbuckets.operators import attempts as _A  # noqa: E402
-from navbuckets.sources import io as _IO  # noqa: E402
 
 q, strip, inlist, decode = P.q, P.strip, P.inlist, P.decode
 
@@ -114,11 +113,14 @@ O["link_labels"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos,
 O["visible_links"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, label AS link_type, visible FROM lk"
 
 # --------------------------------------------------------------------------- frames
+_IFRAME = r"""(?i)<iframe\b[^"'>]*(?:(?:"[^"]*"|'[^']*')[^"'>]*)*>"""
+_SRCDOC = r"""(?i)\ssrcdoc\s*=\s*("[^"]*"|'[^']*')"""
 _FRAMES = (f"SELECT page_id, -1 AS frame_idx, html FROM ({fx.FRAMED_PAGES_SQL}) fp UNION ALL "
-           f"SELECT page_id, CAST(frame_idx AS INTEGER), {decode('raw')} AS html FROM ("
-           f"SELECT page_id, unnest(regexp_extract_all(html, {q(_IO.SRCDOC_RE)}, 1)) AS raw, "
-           f"generate_subscripts(regexp_extract_all(html, {q(_IO.SRCDOC_RE)}, 1), 1) - 1 AS frame_idx "
-           f"FROM ({fx.FRAMED_PAGES_SQL}) fq) x")
+           f"SELECT page_id, CAST(frame_idx AS INTEGER), {decode('raw[2:-2]')} AS html FROM ("
+           f"SELECT page_id, frame_idx, regexp_extract(tag, {q(_SRCDOC)}, 1) AS raw FROM ("
+           f"SELECT page_id, unnest(regexp_extract_all(html, {q(_IFRAME)})) AS tag, "
+           f"generate_subscripts(regexp_extract_all(html, {q(_IFRAME)}), 1) - 1 AS frame_idx "
+           f"FROM ({fx.FRAMED_PAGES_SQL}) fq) y) x WHERE raw <> ''")
 O["frame_scan"] = _FRAMES
 O["frame_merge"] = (
     "WITH " + P.dom_ctes(f"SELECT page_id * 1000 + frame_idx + 1 AS rid, page_id, frame_idx, html FROM ({_FRAMES}) fr")

@@ -71,8 +71,26 @@ def test_assign_row_ids_dense_in_file_order(spark):
     got = io.assign_row_ids(df).orderBy("row_id").collect()
     assert [r.row_id for r in got] == list(range(500))
     expected = [line for f in sorted(glob.glob(d + "/part-*.csv")) for line in open(f).read().splitlines()[1:]]
-    # input order = file order then position (Spark lists files sorted by path)
-    assert sorted(r.v for r in got) == sorted(expected)
+    assert [r.v for r in got] == expected  # file order, then position
+
+
+def test_row_ids_follow_file_order_not_size(spark):
+    d = tempfile.mkdtemp(prefix="nb-ids2-")
+    for name, n in (("a", 2), ("b", 50), ("c", 7)):
+        with open(f"{d}/{name}.csv", "w") as f:
+            f.write("v\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    got = io.assign_row_ids(io.read_url_list(spark, d, columns=["v"])).orderBy("row_id").collect()
+    assert [r.v for r in got] == [f"{x}{i}" for x, n in (("a", 2), ("b", 50), ("c", 7)) for i in range(n)]
+
+
+def test_quoted_names_and_all_iframes(spark):
+    p = _csv('companyName,companyUrl\n"Acme ""Best"", Inc",https://a.com\n')
+    row = io.read_url_list(spark, p, columns=["companyName", "companyUrl"]).collect()[0]
+    assert (row.companyName, row.companyUrl) == ('Acme "Best", Inc', "https://a.com")
+    html = page("""<iframe src="/x" title="a > b"></iframe><iframe srcdoc="<b>1</b>"></iframe><iframe srcdoc='&lt;i&gt;'></iframe>""")
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    fr = {r.frame_idx: r.html for r in io.frames_from_srcdoc(df).collect()}
+    assert {k: v for k, v in fr.items() if k >= 0} == {1: "<b>1</b>", 2: "<i>"}
 
 
 def test_null_tokens(spark):
