@@ -85,7 +85,8 @@ def main() -> None:
         if replicas > 1:
             pages = pages.select(F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("k"), "*") \
                          .select((F.col("page_id") * replicas + F.col("k")).alias("page_id"), "url", "html")
-        return classify_pages(pages, observations=fx.observations(spark, sf), verdicts=fx.verdicts(spark, sf))
+        return classify_pages(pages, observations=fx.observations(spark, sf), verdicts=fx.verdicts(spark, sf),
+                              partitions=int(CPUS) * 2)  # the test file is one row group
 
     # warm-up (JIT, class loading) on the smallest scale, not timed
     run(classify("/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else classify(SF_DIR))
