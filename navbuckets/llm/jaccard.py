@@ -14,12 +14,12 @@ by a 128-bit fingerprint of the set; only one document of a class joins. Each se
 Buckets of equal parts are not expanded into pairs. First every member meets one other set only, the
 smallest member of the buckets it shares most; Hamming distance, then the exact sets, decide.
 Components of these links come next.
-Buckets that still hold several components then compare only pairs of different components,
-as blocks of sketches inside tasks; what passes the Hamming bound is verified exactly. Links
+Buckets that still hold several components then compare only pairs of different components: small
+ones (up to ``SMALL`` members) by a join, larger ones as blocks of sketches inside tasks; what passes the Hamming bound is verified exactly. Links
 inside a component cannot change it, so the components are those of all links.
 
-Small sides are broadcast only after they have been counted (``BROADCAST_ROWS`` narrow rows);
-beyond that the same joins shuffle.
+Small sides are broadcast only after they have been counted (``BROADCAST_ROWS`` narrow rows, or
+``BROADCAST_BYTES`` of sketches); beyond that the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from navbuckets.llm.common import components, materialize
 from navbuckets.llm.textkernel import SPACE_WORDS, Words, mix, pieces, text_buffers
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 BLOCK = 256
+SMALL = 32  # buckets of up to so many members are paired by a join, at most SMALL / 2 rows a member
 _U = np.uint64
 
 
@@ -61,7 +63,7 @@ class Bands:
     def width(self, n: int) -> int:
         """64-bit words of the bit sketch of a set of ``n``: a power of two, so that a longer one
         folds onto a shorter one."""
-        return 1 << max(0, int(n * 4 // 64).bit_length())
+        return 1 << max(0, int(n * 2 // 64).bit_length())
 
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
@@ -253,7 +255,7 @@ def _block_pairs(members: DataFrame, bands: Bands) -> DataFrame:
         low, high = pair.min(0, initial=np.iinfo(np.int64).max), pair.max(0, initial=np.iinfo(np.int64).min)
         return pa.table([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
 
-    return placed.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return placed.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -284,7 +286,9 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", -F.col("low"))).alias("a")).select("a", F.col("rep").alias("b"))
     ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct())
     sketches = materialize(_bits(known.join(_small(ids, ids.count()), "doc_id", "left_semi"), size, bands))
-    links = materialize(_verified(_near(star, sketches, bands).distinct(), known, size, bands))
+    weight = sketches.agg(F.coalesce(F.sum(F.octet_length("bits") + 32), F.lit(0)).alias("w")).first()["w"]
+    small_sketches = F.broadcast(sketches) if weight <= BROADCAST_BYTES else sketches
+    links = materialize(_verified(_near(star, small_sketches, bands).distinct(), known, size, bands))
     comp = components(links)
 
     # buckets that still hold several components
@@ -295,10 +299,15 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     sized = (labelled.join(mixed.select("key"), "key").groupBy("key", "comp").agg(F.count("*").alias("c")))
     cores = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("core_comp"), F.max("c").alias("n_core"),
                                      F.sum("c").alias("all"))
-    open_ = (labelled.join(cores, "key").join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
+    cores = materialize(cores)
+    few = labelled.join(cores.where(F.col("all") <= SMALL).select("key"), "key")
+    near = _near(few.join(few.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2")), "key")
+                 .where("rep < rep2 AND comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(),
+                 small_sketches, bands)
+    open_ = (labelled.join(cores.where(F.col("all") > SMALL), "key").join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
              .select("key", "rep", "comp", (F.col("comp") == F.col("core_comp")).alias("core"), "n_core",
                      (F.col("all") - F.col("n_core")).alias("n_other"), "n", "bits"))
-    more = materialize(_verified(_block_pairs(open_, bands), known, size, bands))
+    more = materialize(_verified(near.union(_block_pairs(open_, bands)).distinct(), known, size, bands))
     lifted = (more.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
               .join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
