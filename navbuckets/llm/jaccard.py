@@ -116,6 +116,15 @@ def bit_sketch(s: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sketches at the length of the shorter one."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2:]
+    return a, b
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``a`` and ``b``; the longer sketches are folded."""
     while a.shape[1] > b.shape[1]:
@@ -180,8 +189,8 @@ def _near(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
             keep = []
             na, nb = (np.asarray(batch.column(c), dtype=np.int64) for c in ("na", "nb"))
             for i, (x, y) in enumerate(zip(batch.column("ba"), batch.column("bb"), strict=True)):
-                x, y = (np.frombuffer(v.as_py(), _U)[None, :] for v in (x, y))
-                if hamming(x, y)[0, 0] <= bands.differ(int(na[i] + nb[i])):
+                x, y = _folded(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U))
+                if np.bitwise_count(x ^ y).sum(dtype=np.int64) <= bands.differ(int(na[i] + nb[i])):
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
@@ -300,9 +309,10 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     cores = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("core_comp"), F.max("c").alias("n_core"),
                                      F.sum("c").alias("all"))
     cores = materialize(cores)
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows, but work for Python
     few = labelled.join(cores.where(F.col("all") <= SMALL).select("key"), "key")
     near = _near(few.join(few.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2")), "key")
-                 .where("rep < rep2 AND comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(),
+                 .where("rep < rep2 AND comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).repartition(width, "a", "b").distinct(),
                  small_sketches, bands)
     open_ = (labelled.join(cores.where(F.col("all") > SMALL), "key").join(sketches.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
              .select("key", "rep", "comp", (F.col("comp") == F.col("core_comp")).alias("core"), "n_core",
