@@ -36,7 +36,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: non-space run behind it. Before white space that follows a non-space character every
 #: match of byte-level pre-splitting ends, and no match looks further back.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-MEMO = 400_000
+MEMO = 150_000
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 
 
@@ -187,7 +187,7 @@ class Automaton:
         if len(unknown):
             fresh = {k: int(self.arc(*divmod(k, self.top))) for k in unknown.tolist()}
             self.arcs |= fresh
-            if len(self.arcs) > 8 * MEMO:
+            if len(self.arcs) > 3 * MEMO:
                 self.arcs = fresh
             if 2 * len(self.arcs) > len(self.table.key) or self.arcs is fresh:
                 self.table.build(self.arcs)
