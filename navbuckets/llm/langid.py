@@ -6,6 +6,11 @@ sample of labelled documents gives the Nystrom landmarks and trains one-versus-r
 ridge regression on the Nystrom features. Executors turn the sampled texts into fixed-size
 bit vectors (4 KiB each, whatever the text's length); only those reach the driver. Scoring is
 a batched matrix product: presence bits x landmarks, then x class weights.
+
+The best margin says which language is nearest, not whether any is near: one-versus-rest targets
+sum to 2 - K, so with K languages the best score of any text whatever is about 1 / K or more. That
+is told by *familiarity* instead: the share of a text's longest n-grams that are common in the sample
+of the language told, against a bound per language calibrated on rows held out of the count.
 """
 
 from __future__ import annotations
@@ -22,29 +27,62 @@ BITS = 15
 WIDTH = 1 << BITS
 NGRAMS = (1, 2, 3)
 ROWS = 128  # texts per presence matrix
+COMMON = 0.01  # an n-gram is common in a language if this share of its sampled rows (two at least) holds it
+LOSS = 0.001  # share of a language's held-out rows that may lie below its bound of familiarity
+LEAST = 10  # a language with fewer held-out rows has no bound: it rejects nothing
+
+
+def _spots(data: np.ndarray, offsets: np.ndarray):
+    """(size, index of the text, hashed position) of every n-gram, size by size; none spans two texts."""
+    if not len(data):
+        return
+    lengths = np.diff(offsets)
+    low = LOWER[data].astype(np.uint32)
+    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    left = np.repeat(offsets[1:], lengths) - np.arange(len(data))
+    code = np.zeros(len(data), np.uint32)
+    for size in NGRAMS:
+        m = len(data) - size + 1
+        if m <= 0:
+            break
+        code = code[:m] * np.uint32(256) + low[size - 1:]
+        spot = ((code + np.uint32(size << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        whole = left[:m] >= size
+        yield size, text[:m][whole], spot[whole]
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """0/1 matrix (texts x hashed n-grams) of whole texts; n-grams never span two texts."""
     n = len(offsets) - 1
     flags = np.zeros(n * WIDTH, np.uint8)
-    if len(data):
-        lengths = np.diff(offsets)
-        low = LOWER[data].astype(np.uint32)
-        base = np.repeat(np.arange(n, dtype=np.int64) * WIDTH, lengths)
-        left = np.repeat(offsets[1:], lengths) - np.arange(len(data))
-        code = np.zeros(len(data), np.uint32)
-        for size in NGRAMS:
-            m = len(data) - size + 1
-            if m <= 0:
-                break
-            code = code[:m] * np.uint32(256) + low[size - 1:]
-            spot = ((code + np.uint32(size << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-            whole = left[:m] >= size
-            flags[base[:m][whole] + spot[whole]] = 1
+    for _, text, spot in _spots(data, offsets):
+        flags[text * WIDTH + spot] = 1
     return flags.reshape(n, WIDTH)
 
 
+def familiarity(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share of a text's longest n-grams that are common in row ``which`` of ``common``, their number)
+    per text. Every occurrence counts, so the share does not fall with the text's length; shorter
+    n-grams are left out because noise in the same letters has them too."""
+    n = len(offsets) - 1
+    hit, all_ = np.zeros(n), np.zeros(n)
+    for size, text, spot in _spots(data, offsets):
+        if size == max(NGRAMS):
+            hit += np.bincount(text, common[which[text], spot], n)
+            all_ += np.bincount(text, minlength=n)
+    return hit / np.maximum(all_, 1), all_
+
+
+def common_ngrams(bits: np.ndarray, own: np.ndarray, languages: int) -> np.ndarray:
+    """0/1 matrix (languages x hashed n-grams): those that enough rows of the language hold."""
+    out = np.zeros((languages, WIDTH), np.uint8)
+    for k in range(languages):
+        rows = bits[own == k]
+        if len(rows):
+            out[k] = rows.sum(0, dtype=np.int64) >= max(min(2, len(rows)), COMMON * len(rows))
+    return out
+
+
 def _blocks(batch: pa.RecordBatch):
     for piece in pieces(batch):
         for at in range(0, piece.num_rows, ROWS):
@@ -56,6 +94,7 @@ class Model:
 
     def __init__(self, bits: np.ndarray, labels: list[str], landmarks: int, ridge: float):
         self.labels = sorted(set(labels))
+        self.bounds = np.zeros(len(self.labels))
         if not self.labels:
             return
         # landmarks: the same number from each language as far as they go, in sample order
@@ -75,6 +114,7 @@ class Model:
         feature = np.concatenate([self.kernel(bits[a:a + ROWS]) for a in range(0, len(bits), ROWS)]) @ root
         feature = np.hstack([feature, np.ones((len(feature), 1))])
         own = np.array([self.labels.index(x) for x in labels])
+        self.common = common_ngrams(bits, own, len(self.labels))
         target = np.where(own[:, None] == np.arange(len(self.labels)), 1.0, -1.0)
         # every language counts the same, however often it was drawn
         weight = 1.0 / np.bincount(own)[own]
@@ -93,13 +133,23 @@ class Model:
         best = margin.argmax(1)
         return best, np.clip((margin[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(np.float64)
 
+    def familiar(self, data: np.ndarray, offsets: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether texts are near the languages told. Three standard deviations of a share of
+        so few n-grams are allowed for, so short texts go only if they are far off."""
+        share, n = familiarity(data, offsets, self.common, best)
+        bound = self.bounds[best]
+        return share >= bound - 3 * np.sqrt(bound * (1 - bound) / np.maximum(n, 1))
+
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 96, ridge: float = 1e-3,
-        max_languages: int = 200) -> Model:
+        max_languages: int = 200, bounds: bool = False) -> Model:
     """Train on a bounded sample of ``docs(doc_id, text, lang)``: about ``per_language`` rows of each
     language by the hash of their ids, at most ``2 * per_language`` times the number of
     languages (of which the ``max_languages`` most frequent are learned). Rows with a null lang
-    or text, or without a letter, are not used. No rows give a model without languages."""
+    or text, or without a letter, are not used. No rows give a model without languages.
+
+    ``bounds`` calibrates the bounds of familiarity, by a second pass over the sampled texts: each
+    half of a language's rows is held against the n-grams common in the other half."""
     usable = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     sizes = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages).collect()
     if not sizes:
@@ -107,11 +157,42 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 96, ridge: fl
     spread = 1 << 30
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], int(min(1.0, per_language / r["count"]) * spread))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    sample = (usable.where(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw"))
-              .mapInArrow(_packed, "lang string, draw long, bits binary"))
+    drawn = usable.where(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw"))
+    sample = drawn.mapInArrow(_packed, "lang string, draw long, bits binary")
     rows = sample.orderBy("draw", "lang", "bits").limit(2 * per_language * len(sizes)).collect()
     bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.uint8)
-    return Model(bits.reshape(len(rows), WIDTH), [r["lang"] for r in rows], landmarks, ridge)
+    model = Model(bits.reshape(len(rows), WIDTH), [r["lang"] for r in rows], landmarks, ridge)
+    if bounds:
+        _calibrate(model, drawn, bits, [r["lang"] for r in rows], np.array([r["draw"] % 2 for r in rows]))
+    return model
+
+
+def _calibrate(model: Model, drawn: DataFrame, bits: np.ndarray, labels: list[str], half: np.ndarray) -> None:
+    """Set ``model.bounds`` from ``drawn(lang, text, draw)``: of each language the familiarity that all
+    but ``LOSS`` of its held-out rows reach; half their median at least, should rows be mislabelled."""
+    names = model.labels
+    own = np.array([names.index(x) for x in labels])
+    n = len(names)
+    shared = drawn.sparkSession.sparkContext.broadcast(  # row n * h + k: language k, counted without half h
+        np.concatenate([common_ngrams(bits[half != h], own[half != h], n) for h in (0, 1)]))
+
+    def run(batches):
+        at = {x: k for k, x in enumerate(names)}
+        for batch in batches:
+            for block in _blocks(batch):
+                held = np.asarray(block.column("draw"), dtype=np.int64) % 2
+                which = np.array([at.get(x, 0) for x in block.column("lang").to_pylist()], np.int64) + n * held
+                share, _ = familiarity(*text_buffers(block.column("text")), shared.value, which)
+                yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(held), pa.array(share)], names=["lang", "half", "share"])
+
+    seen = {(h, names[k]) for h in (0, 1) for k in np.unique(own[half != h])}  # the other half has rows
+    found = {x: [] for x in names}
+    for r in drawn.mapInArrow(run, "lang string, half long, share double").collect():
+        if (r["half"], r["lang"]) in seen:
+            found[r["lang"]].append(r["share"])
+    for k, x in enumerate(names):
+        if len(found[x]) >= LEAST:
+            model.bounds[k] = max(np.quantile(found[x], LOSS), np.median(found[x]) / 2)
 
 
 def _packed(batches):
@@ -123,18 +204,20 @@ def _packed(batches):
                 names=["lang", "draw", "bits"])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, familiar: bool = False) -> DataFrame:
     """``lang_pred`` and ``score`` from ``text`` alone beside the columns ``keep`` (all).
 
     A null text or one without a letter is ``und`` with score 0; so is every text if the
-    model has no languages. Ties go to the language first in sorted order.
+    model has no languages. Ties go to the language first in sorted order. ``familiar`` adds a
+    column of that name: whether the text is near the language told (``fit`` with ``bounds``);
+    false without a letter, true of all other texts if the model has no languages.
     """
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", *["familiar"] * familiar)]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     und = docs.select(*dict.fromkeys([*keep, "text"]), letters.alias("__letters"))
-    schema = extended(docs.select(*keep), lang_pred="string", score="double")
+    schema = extended(docs.select(*keep), lang_pred="string", score="double", **({"familiar": "boolean"} if familiar else {}))
     if not model.labels:
-        return und.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return und.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.col("__letters").alias("familiar")] * familiar)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -143,10 +226,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         for batch in batches:
             for block in _blocks(batch):
                 known = np.asarray(block.column("__letters").to_numpy(zero_copy_only=False), bool)
-                best, score = model.decide(presence(*text_buffers(block.column("text"))))
+                buffers = text_buffers(block.column("text"))
+                best, score = model.decide(presence(*buffers))
                 lang = np.where(known, names[best], "und")
-                yield pa.RecordBatch.from_arrays(
-                    [block.column(c) for c in keep] + [pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0))],
-                    names=keep + ["lang_pred", "score"])
+                made = [pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0))]
+                if familiar:
+                    made.append(pa.array(known & model.familiar(*buffers, best)))
+                yield pa.RecordBatch.from_arrays([block.column(c) for c in keep] + made, names=schema.names)
 
     return und.mapInArrow(run, schema)
