@@ -366,10 +366,9 @@ def _classified_stream(spark, sf):
 
 @query("stream_dedup")
 def q_stream_dedup(spark, sf):
-    ul = fx.url_list(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("row_id")))
-    path, schema = _stage_parquet(spark, ul, "url-list")
+    path, schema = _stage_parquet(spark, fx.url_list(spark, sf), "url-list")
     out, ck = S.stream_folder(spark, "stream-dedup")
-    d = S.dedup_stream(S.file_stream(spark, path, schema), URL_COL, event_time="ts")
+    d = S.dedup_stream(S.file_stream(spark, path, schema), URL_COL)
     S.run_to_end(d.select("row_id", "url_norm").writeStream.format("parquet").outputMode("append"), out, ck)
     return spark.read.parquet(out).select("url_norm")
 

@@ -1,6 +1,6 @@
 """Structured Streaming versions.
 
-* T1 ``dedup_stream``: each normalized URL taken once (watermark-bounded state).
+* T1 ``dedup_stream``: each normalized URL taken once (state by URL; optionally once per window).
 * T2 ``classify_stream``: the batch classifier on a stream of snapshots -- the evidence is a
   per-row projection, measurements/verdicts are stream-static joins.
 * T3 ``resolve_attempts_stream``: attempts resolved as they arrive by the batch operator's own
@@ -47,8 +47,12 @@ def run_to_end(query_writer, sink: str | None, checkpoint: str):
 
 def dedup_stream(stream: DataFrame, url_col: str, event_time: str | None = None,
                  delay: str = "1 hour") -> DataFrame:
-    """Admitted URLs only, one row per normalized URL. With an event-time column the
-    dedup state is bounded by the watermark (``dropDuplicatesWithinWatermark``)."""
+    """Admitted URLs only, one row per normalized URL, as in batch: the state holds every URL
+    seen for the life of the query.
+
+    ``event_time`` bounds that state instead (``dropDuplicatesWithinWatermark``) and is NOT the
+    batch rule: a URL repeated more than ``delay`` later may be admitted again, and rows older
+    than the watermark are dropped as late, even a URL's first occurrence."""
     d = stream.filter(~is_blank_url(F.col(url_col))).withColumn("url_norm", normalize_url(F.col(url_col)))
     if event_time is None:
         return d.dropDuplicates(["url_norm"])

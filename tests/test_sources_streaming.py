@@ -128,3 +128,25 @@ def test_stream_failure_is_not_a_result(spark):
     bad = S.file_stream(spark, path, spark.range(1).schema).select(F.raise_error(F.lit("broken")).alias("id"))
     with pytest.raises(Exception, match="broken"):
         S.run_to_end(bad.writeStream.format("parquet").outputMode("append"), out, ck)
+
+
+def test_stream_dedup_takes_each_url_once_over_hours_and_files(spark, monkeypatch):
+    """Repeats more than an hour apart and a late first occurrence, one file per micro-batch."""
+    from navbuckets.plans import fixtures as fx
+    from navbuckets.plans import registry
+
+    files = [[(0, "https://a"), (1, "https://b")], [(20_000, "https://c")], [(40_000, " https://a "), (40_001, "c")],
+             [(2, "https://late"), (60_000, "https://b")], [(80_000, "a"), (80_001, "https://late")]]
+    urls = spark.createDataFrame([(i, "n", u, None) for rows in files for i, u in rows],
+                                 "row_id long, companyName string, companyUrl string, flow string")
+
+    def staged(spark, df, name):
+        path = tempfile.mkdtemp(prefix="nb-dedup-") + "/log"
+        for rows in files:
+            df.where(F.col("row_id").isin([i for i, _ in rows])).coalesce(1).write.mode("append").parquet(path)
+        return path, df.schema
+
+    monkeypatch.setattr(fx, "url_list", lambda *_: urls)
+    monkeypatch.setattr(registry, "_stage_parquet", staged)
+    got = sorted(r.url_norm for r in registry.Q["stream_dedup"](spark, "unused").collect())
+    assert got == ["https://a", "https://b", "https://c", "https://late"]
