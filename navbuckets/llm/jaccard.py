@@ -10,6 +10,10 @@ by a 128-bit fingerprint of the set; only one document of a class joins. Each se
   images). By the pigeonhole principle two linked sets agree in a part, so the join on (band,
   part, image) misses no pair. A set joins its own band and, if a larger partner may lie in
   it, the next one.
+* *Empty parts* make no key, as sets that share nothing would meet there. A set of which linked
+  sets differ in fewer shingles than it has filled parts agrees with each of them in a filled
+  part. Any other set also joins by (band, shingle) for the shingles of its *prefix*, its
+  smallest hashes: two linked sets have one in common.
 
 Buckets of equal parts are not expanded into pairs. First every member meets one other set only, the
 smallest member of the buckets it shares most; Hamming distance, then the exact sets, decide.
@@ -60,6 +64,11 @@ class Bands:
         top = int(np.searchsorted(self.lows, n * self.den // self.num, side="right")) - 1
         return [(b, int(self.differ(2 * (int(self.lows[b + 1]) - 1))) + 1) for b in range(own, top + 1)]
 
+    def prefix(self, n: int) -> int:
+        """So many smallest shingles of a set of ``n`` hold one that a linked set has among its own:
+        they have ``num / den * n`` or more in common."""
+        return n + (-n * self.num) // self.den + 1
+
     def width(self, n: int) -> int:
         """64-bit words of the bit sketch of a set of ``n``: a power of two, so that a longer one
         folds onto a shorter one."""
@@ -97,14 +106,19 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def parts(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the parts of a set in all bands that it joins."""
+    """Keys of the filled parts of a set in all bands that it joins, and of its prefix where those
+    alone could miss a linked set."""
     out = []
     for band, count in bands.of(len(s)):
         m = mix(s ^ _U(band * 2654435761 + 1))
         at = ((m >> _U(32)) % _U(count)).astype(np.int64)
         image = np.zeros(count, _U)
         np.bitwise_xor.at(image, at, mix(m))
-        out.append(mix(image + mix(np.arange(count, dtype=_U) + _U(band << 40))))
+        filled = np.bincount(at, minlength=count) > 0
+        out.append(mix(image + mix(np.arange(count, dtype=_U) + _U(band << 40)))[filled])
+        largest = min(int(bands.lows[band + 1]) - 1, len(s) * bands.den // bands.num)
+        if filled.sum() <= bands.differ(len(s) + largest):
+            out.append(mix(s[:bands.prefix(len(s))] ^ mix(np.array([band], _U) + _U(1 << 62))))
     return np.concatenate(out).view(np.int64)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,23 @@ def test_deduplicated_rows(spark):
     assert out.columns == df.columns
     assert rows(out, "doc_id", "text", "n") == rows(spark.createDataFrame([docs[0], docs[2], docs[4], docs[5], docs[6]], df.schema), "doc_id", "text", "n")
     assert jaccard.deduplicated(df.limit(0)).collect() == []
+
+
+def test_parts_keep_linked_sets_and_part_others():
+    """Linked sets of all sizes share a key; sets without a common shingle share none."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64)
+    for num in (50, 80, 90):
+        bands = jaccard.Bands(num, 100)
+        apart, tried = [], 0
+        for n in [*range(1, 60), 113, 170, 400]:
+            for _ in range(20):
+                a = rng.choice(pool, n, replace=False)
+                cut, new = rng.integers(0, n // 5 + 2), rng.integers(0, n // 4 + 2)
+                b = np.unique(np.concatenate([a[cut:], rng.choice(pool, new)]))
+                a = np.unique(a)
+                if len(b) and bands.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                    tried += 1
+                    assert len(np.intersect1d(jaccard.parts(a, bands), jaccard.parts(b, bands)))
+            apart.append(np.unique(jaccard.parts(np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64)), bands)))
+        assert tried > 100 and len(np.unique(np.concatenate(apart))) == sum(map(len, apart))
