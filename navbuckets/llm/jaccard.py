@@ -296,7 +296,8 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     known = docs.where("doc_id IS NOT NULL")
     marks = materialize(_sizes(docs, size))
     classes = materialize(marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids: one row per text
+    repeated = bool(marks.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    if repeated:  # one row per text
         known = known.dropDuplicates(["doc_id", "text"])
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     reps = _small(reps, reps.count())
@@ -311,7 +312,12 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     sketches = materialize(_bits(known.join(_small(ids, ids.count()), "doc_id", "left_semi"), size, bands))
     weight = sketches.agg(F.coalesce(F.sum(F.octet_length("bits") + 32), F.lit(0)).alias("w")).first()["w"]
     small_sketches = F.broadcast(sketches) if weight <= BROADCAST_BYTES else sketches
-    links = materialize(_verified(_near(star, small_sketches, bands).distinct(), known, size, bands))
+    links = _verified(_near(star, small_sketches, bands).distinct(), known, size, bands)
+    if repeated:  # the texts of an id are one node: its classes are linked
+        held = marks.where("doc_id IS NOT NULL").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct()
+        first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        links = links.union(held.join(first, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
+    links = materialize(links)
     comp = components(links)
 
     # buckets that still hold several components
@@ -341,6 +347,9 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
              .select("n", "f1", "f2", F.coalesce("component", "rep").alias("id"))
              .join(joined, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component")))
     rows = marks.join(final, ["n", "f1", "f2"], "left")
+    if repeated:  # texts without words too
+        node = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component").alias("component"))
+        rows = rows.drop("component").join(node, "doc_id", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"),
                        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -181,3 +181,12 @@ def test_parts_keep_linked_sets_and_part_others():
                     assert len(np.intersect1d(jaccard.parts(a, bands), jaccard.parts(b, bands)))
             apart.append(np.unique(jaccard.parts(np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64)), bands)))
         assert tried > 100 and len(np.unique(np.concatenate(apart))) == sum(map(len, apart))
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    docs = [(2, "a b c d"), (3, "x y z w"), (5, "a b c d"), (5, "x y z w"), (5, ""), (6, "p q r s"), (7, "p q r s"), (None, "a b c d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.similar_components(df, 3, 90, 100)
+    assert rows(got.where("doc_id IS NOT NULL"), "doc_id", "n_shingles", "component_id") == sorted(
+        [(2, 2, 2), (3, 2, 2), (5, 2, 2), (5, 2, 2), (5, 0, 2), (6, 2, 6), (7, 2, 6)])
+    assert rows(jaccard.deduplicated(df, 3, 90, 100).where("doc_id IS NOT NULL"), "doc_id") == [(2,), (6,)]
