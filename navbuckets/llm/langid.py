@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from navbuckets.llm.common import extended
@@ -97,13 +97,13 @@ class Model:
         self.bounds = np.zeros(len(self.labels))
         if not self.labels:
             return
-        # landmarks: the same number from each language as far as they go, in sample order
+        # landmarks: the same number from each language as far as they go, one at least, in sample order
         turn = {}
         rank = []
         for lab in labels:
             turn[lab] = turn.get(lab, 0) + 1
             rank.append(turn[lab])
-        chosen = np.argsort(np.array(rank), kind="stable")[:landmarks]
+        chosen = np.argsort(np.array(rank), kind="stable")[:max(landmarks, len(self.labels))]
         marks = bits[chosen].astype(np.float32)
         scale = 1 / np.sqrt(np.maximum(marks.sum(1), 1))
         self.marks = np.ascontiguousarray((marks * scale[:, None]).T)
@@ -142,24 +142,29 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 96, ridge: float = 1e-3,
-        max_languages: int = 200, bounds: bool = False) -> Model:
-    """Train on a bounded sample of ``docs(doc_id, text, lang)``: about ``per_language`` rows of each
-    language by the hash of their ids, at most ``2 * per_language`` times the number of
-    languages (of which the ``max_languages`` most frequent are learned). Rows with a null lang
-    or text, or without a letter, are not used. No rows give a model without languages.
+        max_rows: int = 8000, bounds: bool = False) -> Model:
+    """Train on a bounded sample of ``docs(doc_id, text, lang)``: of each language about ``per_language``
+    rows by the hash of their ids, at most twice as many. Every lang value is learned: with so many
+    that this would be more than ``max_rows``, there are fewer rows of each, but one at least, which
+    is also a landmark. Rows with a null lang or text, or without a letter, are not used. No rows
+    give a model without languages.
 
     ``bounds`` calibrates the bounds of familiarity, by a second pass over the sampled texts: each
     half of a language's rows is held against the n-grams common in the other half."""
     usable = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    sizes = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages).collect()
-    if not sizes:
-        return Model(np.zeros((0, WIDTH), np.uint8), [], landmarks, ridge)
     spread = 1 << 30
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], int(min(1.0, per_language / r["count"]) * spread))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    drawn = usable.where(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min(draw).alias("first")).collect()
+    if not sizes:
+        return Model(np.zeros((0, WIDTH), np.uint8), [], landmarks, ridge)
+    each = max(1, min(per_language, max_rows // len(sizes)))
+    share = [(r["lang"], max(int(min(1.0, each / r["rows"]) * spread), r["first"] + 1)) for r in sizes]
+    share = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
+    drawn = usable.select("lang", "text", draw.alias("draw")).join(share, "lang").where("draw < share").select("lang", "text", "draw")
     sample = drawn.mapInArrow(_packed, "lang string, draw long, bits binary")
-    rows = sample.orderBy("draw", "lang", "bits").limit(2 * per_language * len(sizes)).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
+    rows = sample.withColumn("rank", rank).where(F.col("rank") <= 2 * each).collect()
+    rows.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
     bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.uint8)
     model = Model(bits.reshape(len(rows), WIDTH), [r["lang"] for r in rows], landmarks, ridge)
     if bounds:

@@ -110,3 +110,14 @@ def test_redaction_equals_brute_force(spark):
     docs = [(1, "x q@r.st y +1 (555) 555-1234 é 1.2.3.4"), (2, "none"), (3, None)]
     out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {1: "x [EMAIL] y [PHONE] é [IP]", 2: "none", 3: None}
+
+
+def test_every_language_is_learned_however_many(spark):
+    """More languages than the 200 once learned, a large one among them; each is told again."""
+    word = lambda k: chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k)
+    docs = [(k, word(k) * 4, f"l{k:03}") for k in range(230)] + [(1000 + i, word(0) * 4, "l000") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_rows=300)
+    assert model.labels == sorted({x for _, _, x in docs})
+    told = langid.identify(df, model).collect()
+    assert all(r.lang_pred == r.lang for r in told)
