@@ -4,8 +4,9 @@ Every page url is cut into host and path. Listed rules (host, path prefix) decid
 longest rule that fits wins. For the rest the host graph decides: personalised PageRank spreads
 trust from hosts whose pages rules allow along the links between hosts, and distrust from hosts
 whose pages rules block against the links (who links to bad hosts is suspect). Both walks run in
-one table, a fixed number of rounds, each a join of the weighted edges with the current mass and
-an aggregation by host; a host is blocked if its distrust exceeds its trust.
+one table, each round a join of the weighted edges with the current mass and an aggregation by
+host, until the mass has settled and no further host is reached; a host is blocked if its distrust
+exceeds its trust.
 
 Edges are counted per pair of hosts before they are shuffled, so a hot host costs one row per
 neighbour. Mass and edges are written to the shared checkpoint folder.
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from navbuckets.llm.common import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: a walk has settled when a round changes less than this of the mass (each walk starts with 1); what
+#: is then missing is at most ``damping / (1 - damping)`` times as much (under 6e-6)
+TOLERANCE = 1e-6
 #: an absolute link; its host ends as a url's does, or at the quote
 LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*+://([^/?#"'\s>]++)"""
 
@@ -59,12 +63,13 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
             .select("host", "path", F.col("b.rule").alias("rule"), F.when(F.col("b.block"), "block").otherwise("allow").alias("verdict")))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) over ``links(src, dst, n)`` from ``seeds(host, trust, distrust)``.
 
     ``seeds`` hold non-negative weights; each column is scaled to a total of 1 and returns to its
     seeds with probability ``1 - damping``. Links of a host to itself do not count. Mass at hosts
-    without a way out is lost, which lowers all scores alike. Hosts without mass are left out.
+    without a way out is lost, which lowers all scores alike. Hosts without mass are left out. ``rounds`` sets a fixed number of rounds;
+    without it they go on until a round reaches no further host and changes under ``TOLERANCE``.
     """
     edges = links.where("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(
@@ -76,16 +81,23 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
     start = materialize(start.join(F.broadcast(totals), "kind")  # two rows
                         .select("kind", "host", (F.col("m") / F.col("total")).alias("m")).where("m > 0"))
     mass = start
-    for _ in range(rounds):
+    done = 0
+    while done != rounds:
         moved = (mass.join(ways.withColumnRenamed("src", "host"), ["kind", "host"])
                  .select("kind", F.col("dst").alias("host"), (F.col("m") * F.col("w") * damping).alias("m")))
         back = start.select("kind", "host", (F.col("m") * (1 - damping)).alias("m"))
-        mass = materialize(moved.union(back).groupBy("kind", "host").agg(F.sum("m").alias("m")))
+        step = moved.union(back).withColumn("was", F.lit(None).cast("double")).union(mass.select("kind", "host", F.lit(0.0), "m"))
+        step = materialize(step.groupBy("kind", "host").agg(F.sum("m").alias("m"), F.sum("was").alias("was")))
+        mass, done = step.drop("was"), done + 1
+        if rounds is None:
+            change = step.agg(F.sum(F.abs(F.col("m") - F.coalesce("was", F.lit(0.0)))).alias("mass"), F.count_if(F.col("was").isNull()).alias("hosts")).first()
+            if not change["hosts"] and (change["mass"] or 0.0) <= TOLERANCE:
+                break
     part = [F.sum(F.when(F.col("kind") == k, F.col("m")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return mass.groupBy("host").agg(*part)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 12, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int | None = None, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) per row of ``pages(page_id, url, html)``.
 
     A page without a rule is blocked if its host's distrust is above ``ratio`` times its trust; hosts

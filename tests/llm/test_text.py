@@ -143,3 +143,14 @@ def test_links_in_pages_spread_trust(spark):
     rules = spark.createDataFrame([("good.org", "/", True), ("bad.org", "/", False)], "host string, path string, allow boolean")
     got = {r.page_id: r.verdict for r in urlfilter.judge_urls(pages, rules).collect()}
     assert got == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow"}
+
+
+def test_propagation_reaches_hosts_far_from_a_seed(spark):
+    """A chain of links longer than the 12 rounds there once were ends at a blocked host."""
+    n = 15
+    edges = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(n)], "src string, dst string, n long")
+    start = spark.createDataFrame([(f"h{n}", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: r.distrust for r in urlfilter.propagate(edges, start).collect()}
+    assert len(got) == n + 1
+    for i in range(n + 1):
+        assert got[f"h{i:02}"] == pytest.approx(0.15 * 0.85 ** (n - i))
