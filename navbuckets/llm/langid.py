@@ -10,7 +10,7 @@ a batched matrix product: presence bits x landmarks, then x class weights.
 The best margin says which language is nearest, not whether any is near: one-versus-rest targets
 sum to 2 - K, so with K languages the best score of any text whatever is about 1 / K or more. That
 is told by *familiarity* instead: the share of a text's longest n-grams that are common in the sample
-of the language told, against a bound per language calibrated on rows held out of the count.
+of some language (a text may mix learned ones), against a bound per language calibrated on rows held out of the count.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ WIDTH = 1 << BITS
 NGRAMS = (1, 2, 3)
 ROWS = 128  # texts per presence matrix
 COMMON = 0.01  # an n-gram is common in a language if this share of its sampled rows (two at least) holds it
-LOSS = 0.001  # share of a language's held-out rows that may lie below its bound of familiarity
+LOSS, MARGIN = 0.001, 0.75  # a bound is MARGIN times the familiarity that all but LOSS of the held-out rows reach
 LEAST = 10  # a language with fewer held-out rows has no bound: it rejects nothing
 
 
 def _spots(data: np.ndarray, offsets: np.ndarray):
-    """(size, index of the text, hashed position) of every n-gram, size by size; none spans two texts."""
+    """(size, start, index of the text, hashed position) of every n-gram, size by size; none spans two texts."""
     if not len(data):
         return
     lengths = np.diff(offsets)
@@ -48,14 +48,14 @@ def _spots(data: np.ndarray, offsets: np.ndarray):
         code = code[:m] * np.uint32(256) + low[size - 1:]
         spot = ((code + np.uint32(size << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         whole = left[:m] >= size
-        yield size, text[:m][whole], spot[whole]
+        yield size, np.flatnonzero(whole), text[:m][whole], spot[whole]
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """0/1 matrix (texts x hashed n-grams) of whole texts; n-grams never span two texts."""
     n = len(offsets) - 1
     flags = np.zeros(n * WIDTH, np.uint8)
-    for _, text, spot in _spots(data, offsets):
+    for _, _, text, spot in _spots(data, offsets):
         flags[text * WIDTH + spot] = 1
     return flags.reshape(n, WIDTH)
 
@@ -63,11 +63,15 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def familiarity(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(share of a text's longest n-grams that are common in row ``which`` of ``common``, their number)
     per text. Every occurrence counts, so the share does not fall with the text's length; shorter
-    n-grams are left out because noise in the same letters has them too."""
+    n-grams are left out because noise in the same letters has them too, and those with a digit because
+    numbers and keys belong to no language."""
     n = len(offsets) - 1
     hit, all_ = np.zeros(n), np.zeros(n)
-    for size, text, spot in _spots(data, offsets):
+    digit = (data >= 48) & (data <= 57)
+    for size, start, text, spot in _spots(data, offsets):
         if size == max(NGRAMS):
+            plain = ~np.any([digit[start + k] for k in range(size)], axis=0)
+            text, spot = text[plain], spot[plain]
             hit += np.bincount(text, common[which[text], spot], n)
             all_ += np.bincount(text, minlength=n)
     return hit / np.maximum(all_, 1), all_
@@ -114,7 +118,7 @@ class Model:
         feature = np.concatenate([self.kernel(bits[a:a + ROWS]) for a in range(0, len(bits), ROWS)]) @ root
         feature = np.hstack([feature, np.ones((len(feature), 1))])
         own = np.array([self.labels.index(x) for x in labels])
-        self.common = common_ngrams(bits, own, len(self.labels))
+        self.common = common_ngrams(bits, own, len(self.labels)).max(0, keepdims=True)
         target = np.where(own[:, None] == np.arange(len(self.labels)), 1.0, -1.0)
         # every language counts the same, however often it was drawn
         weight = 1.0 / np.bincount(own)[own]
@@ -136,7 +140,7 @@ class Model:
     def familiar(self, data: np.ndarray, offsets: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Whether texts are near the languages told. Three standard deviations of a share of
         so few n-grams are allowed for, so short texts go only if they are far off."""
-        share, n = familiarity(data, offsets, self.common, best)
+        share, n = familiarity(data, offsets, self.common, np.zeros(len(best), np.int64))
         bound = self.bounds[best]
         return share >= bound - 3 * np.sqrt(bound * (1 - bound) / np.maximum(n, 1))
 
@@ -173,21 +177,20 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 96, ridge: fl
 
 
 def _calibrate(model: Model, drawn: DataFrame, bits: np.ndarray, labels: list[str], half: np.ndarray) -> None:
-    """Set ``model.bounds`` from ``drawn(lang, text, draw)``: of each language the familiarity that all
-    but ``LOSS`` of its held-out rows reach; half their median at least, should rows be mislabelled."""
+    """Set ``model.bounds`` from ``drawn(lang, text, draw)``: of each language ``MARGIN`` times the
+    familiarity that all but ``LOSS`` of its held-out rows reach (texts that repeat a rare word lie lower
+    than any sample shows); half their median at least, should rows be mislabelled."""
     names = model.labels
     own = np.array([names.index(x) for x in labels])
     n = len(names)
-    shared = drawn.sparkSession.sparkContext.broadcast(  # row n * h + k: language k, counted without half h
-        np.concatenate([common_ngrams(bits[half != h], own[half != h], n) for h in (0, 1)]))
+    shared = drawn.sparkSession.sparkContext.broadcast(  # row h: counted without half h
+        np.stack([common_ngrams(bits[half != h], own[half != h], n).max(0) for h in (0, 1)]))
 
     def run(batches):
-        at = {x: k for k, x in enumerate(names)}
         for batch in batches:
             for block in _blocks(batch):
                 held = np.asarray(block.column("draw"), dtype=np.int64) % 2
-                which = np.array([at.get(x, 0) for x in block.column("lang").to_pylist()], np.int64) + n * held
-                share, _ = familiarity(*text_buffers(block.column("text")), shared.value, which)
+                share, _ = familiarity(*text_buffers(block.column("text")), shared.value, held)
                 yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(held), pa.array(share)], names=["lang", "half", "share"])
 
     seen = {(h, names[k]) for h in (0, 1) for k in np.unique(own[half != h])}  # the other half has rows
@@ -197,7 +200,7 @@ def _calibrate(model: Model, drawn: DataFrame, bits: np.ndarray, labels: list[st
             found[r["lang"]].append(r["share"])
     for k, x in enumerate(names):
         if len(found[x]) >= LEAST:
-            model.bounds[k] = max(np.quantile(found[x], LOSS), np.median(found[x]) / 2)
+            model.bounds[k] = max(MARGIN * np.quantile(found[x], LOSS), np.median(found[x]) / 2)
 
 
 def _packed(batches):
