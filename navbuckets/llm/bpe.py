@@ -1,7 +1,7 @@
 """10. Byte-level BPE by a tokenization automaton.
 
 The automaton's arcs carry tokens, and it accepts exactly the token sequences that BPE
-produces. It is compiled from the merge list by successive merge gadgets: the gadget of merge
+produces. It is the one that successive merge gadgets would build (none is built): the gadget of merge
 k, (a, b) -> c, takes the arc b out of the state behind a, adds the arc c beside a, and lets
 c lead where b led. A state is named by the token that leads to it; because a gadget copies a
 state minus one arc, a state is kept as its *history* - the tokens on its right edge, each with
@@ -126,8 +126,8 @@ class Automaton:
         self.units: dict[str, bytes] = {}
 
     def _compile(self, k: int, left: int, right: int, made: int) -> None:
-        """The gadget of merge k: from now on ``left`` is not followed by ``right``; ``made`` goes
-        beside ``left`` and takes over the way out of ``right``."""
+        """Note the rank of merge k, which stands for its gadget: no states or arcs are built here,
+        ``_clash`` compares ranks when an arc is asked for."""
         self.gadget[left * self.top + right] = k
         if self.parts[made] is None:
             self.parts[made] = (left, right)
