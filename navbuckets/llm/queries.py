@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navbuckets.llm import bpe, chat, langid, pii, tokencount, toxicity, urlfilter
+from navbuckets.llm import bpe, chat, langid, packing, pii, tokencount, toxicity, trie, urlfilter
 from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
 from navbuckets.llm.jaccard import similar_components
@@ -92,6 +92,16 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf, "conversations")).drop("enter", "leave")
+
+
+def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = packing.packed(table(spark, sf, "documents"), path, size=2048, end_id=1, keep=["doc_id"])
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 Q = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -103,6 +113,8 @@ Q = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_packing": op13_packing,
 }
 
 O = {  # noqa: E741
@@ -167,4 +179,36 @@ O = {  # noqa: E741
         r AS (SELECT doc_id AS id, doc_id AS reach FROM d UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.reach)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(reach) AS m FROM r GROUP BY id) ON id = d.doc_id""",
+    "op12_prefix_trie": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(text, '') AS text, sha256(coalesce(role, '') || chr(10) || coalesce(text, '')) AS digest
+          FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k FROM t),
+        c AS (
+          SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+              lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM p)),
+        s AS (
+          SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS d, digest, text
+          FROM (SELECT c.conv_id, 0 AS own, k, digest, text FROM c JOIN p ON p.conv_id = c.base AND k <= h
+                UNION ALL SELECT c.conv_id, 1, k, digest, text FROM c JOIN p ON p.conv_id = c.conv_id AND k > h)),
+        m AS (
+          SELECT conv_id, 0 AS d, '' AS path, NULL AS up, 0 AS w FROM c
+          UNION ALL
+          SELECT conv_id, d, path, left(path, 64 * (d - 1)), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+          FROM (SELECT conv_id, d, text, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM s)),
+        e AS (
+          SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends
+          FROM (SELECT conv_id, path, row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) AS r FROM m) WHERE r = 1 GROUP BY path),
+        n AS (SELECT path, any_value(up) AS up, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM m GROUP BY path, d),
+        k AS (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.path),
+        x AS (SELECT DISTINCT a.path AS top, b.path FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+        y AS (SELECT top, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.w)::BIGINT AS saved_tokens
+              FROM x JOIN v USING (path) GROUP BY top)
+        SELECT v.conv_id, v.d::BIGINT AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+               sha256(coalesce(ends, '')) AS ends_sha256
+        FROM v JOIN y ON y.top = v.path LEFT JOIN n o ON o.path = v.up AND v.d > 0 LEFT JOIN e ON e.path = v.path""",
 }
