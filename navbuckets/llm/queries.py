@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navbuckets.llm import bpe, chat, langid, packing, pii, tokencount, toxicity, trie, urlfilter
+from navbuckets.llm import bpe, chat, langid, lexical, packing, pii, tokencount, toxicity, trie, urlfilter
 from navbuckets.llm.common import crc_mod, table
 from navbuckets.llm.decontam import contamination
 from navbuckets.llm.jaccard import similar_components
@@ -92,6 +92,10 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
+
+
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf, "conversations")).drop("enter", "leave")
 
@@ -113,6 +117,7 @@ Q = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op11_lexical_search": op11_lexical_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_packing": op13_packing,
 }
@@ -179,6 +184,25 @@ O = {  # noqa: E741
         r AS (SELECT doc_id AS id, doc_id AS reach FROM d UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.reach)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(reach) AS m FROM r GROUP BY id) ON id = d.doc_id""",
+    "op11_lexical_search": """
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        i AS (
+          SELECT DISTINCT r, item_id, unnest(w) AS term
+          FROM (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM benchmark)),
+        z AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+        f AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf
+              FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY r, term),
+        g AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+              FROM f, z GROUP BY term, n_docs),
+        s AS (
+          SELECT i.r AS item, i.item_id, f.r, f.doc_id,
+                 sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+          FROM i JOIN f USING (term) JOIN g USING (term), z GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50""",
     "op12_prefix_trie": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(text, '') AS text, sha256(coalesce(role, '') || chr(10) || coalesce(text, '')) AS digest

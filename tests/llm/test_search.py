@@ -1,12 +1,14 @@
 """Operators 1, 3 and 6 against brute force, with nulls, empties, ties and repeats."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from navbuckets.llm import decontam, jaccard
+from navbuckets.llm import decontam, jaccard, lexical
 from navbuckets.llm.topk import exact_topk, quantized
 
 
@@ -190,3 +192,67 @@ def test_texts_of_one_id_are_one_node(spark):
     assert rows(got.where("doc_id IS NOT NULL"), "doc_id", "n_shingles", "component_id") == sorted(
         [(2, 2, 2), (3, 2, 2), (5, 2, 2), (5, 2, 2), (5, 0, 2), (6, 2, 6), (7, 2, 6)])
     assert rows(jaccard.deduplicated(df, 3, 90, 100).where("doc_id IS NOT NULL"), "doc_id") == [(2,), (6,)]
+
+
+# --- 11. ranked lexical search ----------------------------------------------------------------
+def brute_search(docs, items, k):
+    found = [(d, lexical.terms(t)) for d, t in docs]
+    found = [(d, w) for d, w in found if w]
+    n_docs, total = len(found), sum(len(w) for _, w in found)
+    df = Counter(t for _, w in found for t in set(w))
+    out = []
+    for item, text in items:
+        scored = []
+        for d, w in found:
+            tf, m = Counter(w), 50 + 50 * len(w) * n_docs // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * tf[t] // (1000 * tf[t] + 20 * m))
+                        for t in set(lexical.terms(text)) if t in tf)
+            if score > 0:
+                scored.append((-score, d is not None, d or 0, d))
+        out += [(item, r, d, -s) for r, (s, _, _, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("words,seeds,pairs", [(1 << 21, 1 << 14, 1 << 20), (40, 60, 64)])
+def test_lexical_search_equals_brute_force(spark, monkeypatch, words, seeds, pairs):
+    rnd = random.Random(12)
+    vocabulary = [f"w{int(rnd.paretovariate(0.6)) % 400}" for _ in range(3000)] + ["Äb", "x1", "A"]
+    docs = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 3, 20, 60])))) for i in range(400)]
+    docs += [(1000 + i, docs[7][1]) for i in range(120)]  # ties beyond k
+    docs += [(7, docs[9][1]), (None, docs[7][1].upper()), (2000, None), (2001, ""), (2002, "-- ,"), (2003, "w1 " * 3000)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 4, 15])))) for i in range(30)]
+    items += [(50, docs[7][1]), (50, "w1"), (51, None), (52, ""), (53, "nowhere"), (None, "x1 äB ÄB")]
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
+    monkeypatch.setattr(lexical, "DOC_ROWS", 100)
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("rank", F.lit("clash"))
+    got = rows(lexical.ranked_search(d, b, 10, words, seeds), "item_id", "rank", "doc_id", "score")
+    assert got == brute_search(docs, items, 10)
+
+
+def test_lexical_search_of_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    assert rows(lexical.ranked_search(d, b), "item_id", "rank", "doc_id") == [(1, 1, 1)]
+    for left, right in ((d.limit(0), b), (d, b.limit(0)), (d.where("doc_id = 2"), b), (d, b.select("item_id", F.lit("").alias("text")))):
+        assert lexical.ranked_search(left, right).collect() == []
+
+
+def test_bounds_of_the_trees_hold():
+    rnd = np.random.default_rng(4)
+    sizes = rnd.integers(0, 12, 70)
+    term = np.concatenate([np.sort(rnd.choice(40, n, replace=False)) for n in sizes])
+    start = np.append(0, np.cumsum(sizes))
+    tree = lexical.Tree(lexical.Rows(start, term, rnd.integers(1, 99, len(term))), 40)
+    assert sorted(tree.order.tolist()) == list(range(70))
+    for level in range(1, len(tree.levels)):
+        for node in range(len(tree.levels[level])):
+            of, kids = tree.children(level, np.array([node]))
+            top = np.zeros(40, np.int64)
+            for kid in kids:
+                at = slice(tree.levels[level - 1].start[kid], tree.levels[level - 1].start[kid + 1])
+                np.maximum.at(top, tree.levels[level - 1].term[at], tree.levels[level - 1].value[at])
+            own = slice(tree.levels[level].start[node], tree.levels[level].start[node + 1])
+            dense = np.zeros(40, np.int64)
+            dense[tree.levels[level].term[own]] = tree.levels[level].value[own]
+            assert (dense == top).all()
