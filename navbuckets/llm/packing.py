@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from navbuckets.llm.common import extended
 from navbuckets.llm.textkernel import pieces
-from navbuckets.llm.units import UNIT, Memo, library
+from navbuckets.llm.units import WordCoder, library_coder
 
 #: bounds of a group: documents and tokens
 GROUP_DOCS = 4096
@@ -120,29 +120,12 @@ def _powers(pieces_: list, total: int) -> Iterator[list]:
             yield taken
 
 
-class Coder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizer's own library."""
+_CODERS: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str):
-        self.library = library(path)
-        self.memo = Memo(self._learn, weight=len)
 
-    def _learn(self, units: list[str]) -> list[bytes]:
-        coded = self.library.encode_batch_fast(units, add_special_tokens=False) if units else []
-        return [np.array(e.ids, "<u4").tobytes() for e in coded]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [UNIT.findall(t) for t in texts]
-        ids = iter(self.memo.values([u for units in cut for u in units]))
-        return [b"".join([next(ids) for _ in units]) for units in cut]
-
-
-_CODERS: dict[str, Coder] = {}
-
-
-def _coder(path: str) -> Coder:
+def _coder(path: str) -> WordCoder:
     if path not in _CODERS:
-        _CODERS[path] = Coder(path)
+        _CODERS[path] = library_coder(path)
     return _CODERS[path]
 
 
