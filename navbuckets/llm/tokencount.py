@@ -1,6 +1,7 @@
 """8. Token counts by overlap resynchronisation.
 
-Texts are encoded by the tokenizer's own library. A huge text is cut into chunks that overlap;
+Texts are encoded by the tokenizer's own library, each distinct pre-split word once while it is
+remembered (units.py). A huge text is cut into chunks that overlap;
 all chunks are encoded with offsets, and neighbours are spliced inside their overlap at a
 *proven stable* common boundary: a place where both encodings have a token boundary and where
 white space follows a character that is not white space. No pre-split match (byte-level and
@@ -13,8 +14,6 @@ holds one chunk batch.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from navbuckets.llm.common import extended
 from navbuckets.llm.textkernel import pieces
+from navbuckets.llm.units import library, library_coder
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 8
@@ -32,18 +32,12 @@ class JsonCoder:
     """A tokenizers file: byte-level BPE, or BPE behind a pre-tokenizer that splits at white space."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.spaces = " \n\t\r"
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        if self.library.pre_tokenizer is None:
-            raise ValueError("without a pre-tokenizer no boundary is proven stable")
+        self.library = library(path)
+        self.words = library_coder(path, count=True)
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.words.encode(texts)
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """(start, end) code points of the tokens of each text."""
