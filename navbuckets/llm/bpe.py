@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +30,12 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from navbuckets.llm.common import extended
 from navbuckets.llm.textkernel import pieces
+from navbuckets.llm.units import WordCoder, byte_alphabet
 
-#: fixed value: Unicode white space
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: a text falls into such units whatever stands around them: a white-space run with the
-#: non-space run behind it. Before white space that follows a non-space character every
-#: match of byte-level pre-splitting ends, and no match looks further back.
-UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-MEMO = 150_000
-_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
-
-
-def byte_alphabet() -> dict[str, int]:
-    """Printable stand-ins of the 256 bytes in byte-level vocabularies: printable Latin-1 stands
-    for itself, the other bytes take the characters from 256 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: arcs remembered at most (decided again when asked for later)
+ARCS = 450_000
+#: words of more bytes are walked by themselves: they would hold up the words beside them
+LONG = 256
 
 
 class Transitions:
@@ -123,7 +113,8 @@ class Automaton:
         self.table = Transitions()  # the arcs decided so far, for batched lookups
         self.presplit = ByteLevel(add_prefix_space=False, use_regex=True)
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.units: dict[str, bytes] = {}
+        self.long_arcs: dict[int, bool] = {}
+        self.coder = WordCoder(spec, self._words, self._whole, b"".join, len)
 
     def _compile(self, k: int, left: int, right: int, made: int) -> None:
         """Note the rank of merge k, which stands for its gadget: no states or arcs are built here,
@@ -187,7 +178,7 @@ class Automaton:
         if len(unknown):
             fresh = {k: int(self.arc(*divmod(k, self.top))) for k in unknown.tolist()}
             self.arcs |= fresh
-            if len(self.arcs) > 3 * MEMO:
+            if len(self.arcs) > ARCS:
                 self.arcs = fresh
             if 2 * len(self.arcs) > len(self.table.key) or self.arcs is fresh:
                 self.table.build(self.arcs)
@@ -198,6 +189,38 @@ class Automaton:
                 out = np.array([int(self.arc(*divmod(k, self.top))) for k in keys.tolist()])
         return out > 0
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Tokens of one long word: the same walk, position by position, in time linear in its length."""
+        n = len(word)
+        last, came = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        trie, emit, known, top = self.trie, self.emit, self.long_arcs, self.top
+        for i in range(n):
+            u = last[i]
+            if i and u < 0:
+                continue
+            node = 0
+            for j in range(i, n):
+                node = trie.get(node << 8 | word[j])
+                if node is None:
+                    break
+                v = emit[node]
+                if v is None or last[j + 1] >= 0:
+                    continue
+                if i:
+                    ok = known.get(u * top + v)
+                    if ok is None:
+                        if len(known) > ARCS:
+                            known.clear()
+                        ok = known[u * top + v] = self.arc(u, v)
+                    if not ok:
+                        continue
+                last[j + 1], came[j + 1] = v, i
+        out, at = [], n
+        while at > 0:
+            out.append(last[at])
+            at = came[at]
+        return np.array(out[::-1], "<u4")
+
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Tokens of pre-split words: the accepted paths, found for all words together."""
         if not words:
@@ -240,57 +263,38 @@ class Automaton:
         order = np.lexsort((turn, owner))
         return np.split(tokens[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Encodings of units. Units of plain text are split together: their borders are stable."""
-        parts: list[tuple[int, str]] = []
-        out = [[] for _ in units]
-        plain = []
-        for n, unit in enumerate(units):
-            if self.apart is not None and self.apart.search(unit):
-                for p in self.apart.split(unit):
-                    if p in self.special:
-                        parts.append((n, p))
-                    else:
-                        parts += [(n, word) for word in self.split(p)]
-            elif unit[0] in _SPACES and unit[-1] not in _SPACES:
-                plain.append(n)
-            else:  # the start of a text or white space at its end: nothing stands beside it
-                parts += [(n, word) for word in self.split(unit)]
-        ends = np.cumsum([len(units[n]) for n in plain])
-        found = self.split("".join([units[n] for n in plain]))
-        place = np.searchsorted(ends, np.cumsum([len(f) for f in found]), side="left")
-        parts += zip([plain[k] for k in place], found, strict=True)
-        fresh = sorted({word for _, word in parts if word not in self.special})
-        ids = {}
-        # long words go in small groups, so that the positions held at once stay bounded
-        raw = [word.encode() for word in fresh]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Encodings of pre-split words, in groups of bounded size."""
+        raw = [w.encode() for w in words]
+        out = [b""] * len(raw)
         order = sorted(range(len(raw)), key=lambda k: len(raw[k]))
         group, held = [], 0
         for k in [*order, None]:
-            if group and (k is None or held + len(raw[k]) > 1 << 21):
+            long = k is not None and len(raw[k]) > LONG
+            if group and (k is None or long or held + len(raw[k]) > 1 << 21):
                 for g, e in zip(group, self.encode_words([raw[x] for x in group]), strict=True):
-                    ids[fresh[g]] = e.tobytes()
+                    out[g] = e.tobytes()
                 group, held = [], 0
-            if k is not None:
+            if long:
+                out[k] = self.encode_long(raw[k]).tobytes()
+            elif k is not None:
                 group.append(k)
                 held += len(raw[k])
-        for n, word in parts:
-            out[n].append(self.special[word].to_bytes(4, "little") if word in self.special else ids[word])
-        return {unit: b"".join(o) for unit, o in zip(units, out, strict=True)}
+        return out
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        """Encodings of units by the library's own pre-splitter; special tokens are split off first."""
+        cut: list[list[str]] = []
+        for unit in units:
+            parts = self.apart.split(unit) if self.apart is not None else [unit]
+            cut.append([w for p in parts for w in ([p] if p in self.special else self.split(p))])
+        fresh = sorted({w for words in cut for w in words if w not in self.special})
+        ids = dict(zip(fresh, self._words(fresh), strict=True)) | {w: i.to_bytes(4, "little") for w, i in self.special.items()}
+        return [b"".join([ids[w] for w in words]) for words in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of texts as little-endian unsigned 32-bit integers."""
-        units = [UNIT.findall(t) for t in texts]
-        if len(self.units) > MEMO:
-            self.units.clear()
-        known = self.units
-        fresh = sorted({u for us in units for u in us if u not in known})
-        learned = self._learn(fresh)
-        known |= {u: e for u, e in learned.items() if len(u) < 64}
-        learned = {u: e for u, e in learned.items() if len(u) >= 64}
-        if learned:
-            return [b"".join([known[u] if len(u) < 64 else learned[u] for u in us]) for us in units]
-        return [b"".join([known[u] for u in us]) for us in units]
+        return self.coder.encode(texts)
 
     def decode(self, ids: bytes) -> str:
         """The text of token ids, by emitting the labels of their arcs."""
@@ -338,3 +342,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, extended(encoded, decoded="string"))
+
+
+def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one map, so a worker holds one automaton: the columns ``keep`` (all)
+    with ``ids``, ``n_tokens`` and ``decoded``. A null text is an empty one."""
+    made = ("ids", "n_tokens", "decoded")
+    keep = [c for c in keep or docs.columns if c not in made]
+
+    def run(batches):
+        machine = automaton(path)
+        for batch in batches:
+            for piece in pieces(batch):
+                ids = machine.encode([t or "" for t in piece.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(c) for c in keep] + [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                                       pa.array([machine.decode(x) for x in ids], pa.string())], names=[*keep, *made])
+
+    schema = extended(docs.select(*keep), ids="binary", n_tokens="bigint", decoded="string")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

@@ -87,7 +87,7 @@ def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path, keep=["doc_id"]), path)
+    coded = bpe.round_trip(table(spark, sf, "documents"), path, keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -154,3 +154,26 @@ def test_propagation_reaches_hosts_far_from_a_seed(spark):
     assert len(got) == n + 1
     for i in range(n + 1):
         assert got[f"h{i:02}"] == pytest.approx(0.15 * 0.85 ** (n - i))
+
+
+def test_long_words_and_forgotten_words(spark):
+    machine, library = bpe.automaton(PATH), Tokenizer.from_file(PATH)
+    rnd = random.Random(14)
+    odd = ["".join(rnd.choice("abcXYZ019+/=") for _ in range(30000)), "字" * 9000, "é" * 3000, "ab " * 400, "x" * bpe.LONG, "x" * (bpe.LONG + 1)]
+    for text, ids in zip(odd, machine.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    held, machine.coder.memo.limit = machine.coder.memo.limit, 1000  # every call starts a new generation
+    many = texts(15, 200)
+    for at in range(0, 200, 20):
+        for text, ids in zip(many[at:at + 20], machine.encode([t or "" for t in many[at:at + 20]]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert len(machine.coder.memo.young) < 2000
+    machine.coder.memo.limit = held
+
+
+def test_one_map_round_trip(spark):
+    docs = texts(16, 200)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("decoded", F.lit("clash")).repartition(2)
+    one, two = bpe.round_trip(df, PATH), bpe.decode(bpe.encode(df.drop("decoded"), PATH), PATH)
+    assert sorted(map(tuple, one.select(*two.columns).collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+    assert bpe.round_trip(df.limit(0), PATH).collect() == []
