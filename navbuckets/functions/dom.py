@@ -2,14 +2,21 @@
 
 A page's HTML is cleaned (comments, script and style removed) and cut once into tokens at each
 '<' outside quoted attribute values. Token k (1-based ``pos``) is ``name attrs>text``; an opening tag gives ``tag``, a closing
-tag gives ``close``. Each opening tag becomes an *element* whose range ``[pos, end)``
-is found by nesting per tag name:
+tag gives ``close``. Elements whose content is text (``textarea``, ``title``, ``noscript``, ...) are one token.
 
-* per-name depth levels come from two sorts (ranks of opens and closes), so the
-  matching close of an open is the next entry with the same (name, level);
-* an open without a matching close ends at the next token of the same name
-  (so an unclosed ``<p>`` ends at the next ``<p``), or at the end of the document;
-* void tags (``br``, ``img``, ``input`` ...) hold no content.
+Each opening tag becomes an *element*. One fold over the tokens keeps the stack of open elements
+and gives every element its range ``[pos, end)`` in tokens, its parent ``up`` and whether it is hidden:
+
+* a closing tag ends the nearest open element of its name and everything open inside it; it is
+  ignored where a table cell or the like stands between (``CLOSE_SCOPE``);
+* an opening tag first ends what it implies the end of (``IMPLIED_ENDS``: ``<li>`` an open ``li`` of
+  the same list, a block an open ``p``, ...), so an unclosed element ends with its parent at the latest;
+* void tags (``br``, ``img``, ``input`` ...) hold no content and are never open;
+* formatting elements are not reopened and nothing is moved out of tables.
+
+The fold also tells for each token whether its text is rendered (not below a hidden element) and
+counts the rendered characters before it. A range's text is then a slice of the page's pieces, made
+only when a rule asks for it, so memory follows the page and not its depth.
 
 Everything stays inside one row: no explode, no shuffle, so the same code serves
 batch and streaming. Lambdas never read an outer array that Catalyst could inline
@@ -23,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navbuckets.functions.css import hidden, rule_map
 from navbuckets.functions.text import ascii_lower, decode_entities, py_strip
 
 # ---------------------------------------------------------------------------
@@ -31,7 +39,10 @@ CLEAN_RE = r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style
 # A token: markup whose quoted values may hold < and >, and the text behind it; markup that does
 # not end so is cut at the next <. Possessive loops: long tags need no stack.
 _QUOTED = r"""(?:(?:"[^"]*+"|'[^']*+')[^"'<>]*+)*+"""
-TOKEN_RE = r"""<(?:[A-Za-z/!?][^"'<>]*+""" + _QUOTED + r""">)?[^<]*+"""
+# Elements whose content is text up to their own closing tag.
+RAW_TEXT_TAGS = ["textarea", "title", "noscript", "noembed", "noframes", "iframe", "xmp"]
+_RAW = (r"""(?:(?i)(""" + "|".join(RAW_TEXT_TAGS) + r"""))(?=[\s/>])[^"'<>]*+""" + _QUOTED + r""">[\s\S]*?(?=</(?i)\1[\s/>]|\z)""")
+TOKEN_RE = r"""<(?:""" + _RAW + r"""|[A-Za-z/!?][^"'<>]*+""" + _QUOTED + r""">)?[^<]*+"""
 HEAD_RE = r"""^[A-Za-z/!?][^"'<>]*+""" + _QUOTED + ">"
 TAG_RE = r"^([A-Za-z][^\s/>]*)"
 CLOSE_RE = r"^/([A-Za-z][^\s/>]*)"
@@ -41,18 +52,45 @@ LOOSE_TEXT_RE = r"(?s)^[^>]*>(.*)"
 MARKUP_START_RE = r"^[A-Za-z/!?]"
 ATTR_PAIR_RE = r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 QUOTED_RE = r""""[^"]*"|'[^']*'"""
+SPACES_RE = "[\\s\u00a0]+"
 HIDDEN_NAME_RE = r"(?i)(^|\s)hidden(\s|=|/|$)"
-HIDDEN_STYLE_RE = r"(?i)display\s*:\s*none|visibility\s*:\s*hidden"
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
              "param", "source", "track", "wbr"]
 BLOCK_TAGS = ["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt",
               "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
               "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section",
               "table", "tbody", "td", "th", "thead", "tr", "ul"]
-# Tags whose texts are computed eagerly (besides elements with a class or id).
-TEXT_TAGS = ["a", "button", "span", "div", "nav", "ul", "footer", "body"]
-# Tags whose first text child the rules read.
-FIRST_TEXT_TAGS = ["a", "button", "span", "div"]
+# Elements that a browser never shows, and those whose content alone it does not show.
+HIDDEN_TAGS = ["head", "title", "noscript", "template", "noframes", "noembed"]
+MASKED_TAGS = ["iframe"]
+# Which open elements an opening tag ends: (tags, names ended, names that shield outer ones).
+# The standard's optional end tags and button/table/list scopes.
+SCOPE = ["table", "td", "th", "caption", "object", "template", "button", "applet", "marquee"]
+P_ENDING = ["address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption",
+            "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p",
+            "pre", "search", "section", "summary", "table", "ul"]
+IMPLIED_ENDS = [
+    (P_ENDING, ["p"], SCOPE),
+    (["li"], ["li", "p"], ["ul", "ol", "menu", *SCOPE]),
+    (["dd", "dt"], ["dd", "dt", "p"], ["dl", *SCOPE]),
+    (["option"], ["option"], ["select", "datalist"]),
+    (["optgroup"], ["option", "optgroup"], ["select", "datalist"]),
+    (["td", "th"], ["td", "th"], ["table", "template"]),
+    (["tr"], ["tr", "caption", "colgroup"], ["table", "template"]),
+    (["thead", "tbody", "tfoot"], ["tr", "thead", "tbody", "tfoot", "caption", "colgroup"], ["table", "template"]),
+    (["a"], ["a"], SCOPE),
+    (["button"], ["button"], [x for x in SCOPE if x != "button"]),
+    (["body"], ["head"], ["template"]),
+]
+# What shields outer elements of its name from a closing tag.
+TABLE_PARTS = ["table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"]
+CLOSE_SCOPE = [
+    (["table"], ["template"]),
+    (TABLE_PARTS[1:], ["table", "template"]),
+    (["li"], ["ul", "ol", "menu", *SCOPE]),
+    *[([x], [y for y in SCOPE if y != x]) for x in ("button", "object", "applet", "marquee")],
+]
+HEAD_CONTENT = ["title", "meta", "link", "base", "basefont", "bgsound", "noscript", "noframes", "template", "script", "style"]
 # Attributes the rules read, exposed as element fields.
 ATTR_FIELDS = {"cls": "class", "id": "id", "aria": "aria-label", "href": "href", "rel": "rel",
                "typ": "type", "dai": "data-automation-id", "role": "role", "style": "style"}
@@ -95,12 +133,30 @@ def fence(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once (a lambda's argument is bound, an expression would
+    be repeated at each use)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def clean_html(html: Column) -> Column:
     return F.regexp_replace(html, CLEAN_RE, "")
 
 
-def tokens(clean: Column) -> Column:
-    """ARRAY<STRUCT<pos, tag, close, attrs, txt, sep, rtxt>> in document order."""
+#: by a token's ``rule`` (from 1): what shields outer elements, and what an opening tag ends
+SHIELDS = [*[s for _, s in CLOSE_SCOPE], SCOPE, *[s for _, _, s in IMPLIED_ENDS]]
+ENDS = [[], *[[] for _ in CLOSE_SCOPE], *[e for _, e, _ in IMPLIED_ENDS]]
+
+
+def _table(lists: list[list[str]]) -> Column:
+    """Lists of names as one constant."""
+    return F.array(*[F.array(*[F.lit(n) for n in names]).cast("array<string>") for names in lists])
+
+
+def tokens(clean: Column, raw: bool = False) -> Column:
+    """ARRAY<STRUCT<pos, tag, close, attrs, txt, sep, nb, rule[, raw]>> in document order. ``nb`` counts the
+    characters of ``txt`` that are no white space; ``rule`` says which of ``SHIELDS`` (and, for an opening
+    tag, of ``ENDS``) holds for the tag, 0: it ends nothing; ``raw`` is the token as written."""
 
     def tok(t: Column, i: Column) -> Column:
         first = i == 0
@@ -118,194 +174,231 @@ def tokens(clean: Column) -> Column:
             close.alias("close"),
             F.when(first, F.lit("")).otherwise(attrs).alias("attrs"),
             decode_entities(raw_txt).alias("txt"),
-            F.when(tag.isin(BLOCK_TAGS) | close.isin(BLOCK_TAGS), F.lit("\n")).otherwise(F.lit("")).alias("sep"),
+            *([t.alias("raw")] if raw else []),
         )
 
-    def with_rtxt(x: Column) -> Column:  # rendered piece (separator + text), built once per token
-        return x.withField("rtxt", F.concat(x["sep"], x["txt"]))
+    def classed(x: Column) -> Column:
+        tag, close = x["tag"], x["close"]
+        rule = F.when(close != "", reduce(lambda c, r: c.when(close.isin(r[1][0]), r[0] + 2), enumerate(CLOSE_SCOPE[1:]),
+                                          F.when(close.isin(CLOSE_SCOPE[0][0]), 1)).otherwise(len(CLOSE_SCOPE) + 1))
+        for k, (tags, _, _) in enumerate(IMPLIED_ENDS):
+            rule = rule.when(tag.isin(tags), len(CLOSE_SCOPE) + 2 + k)
+        return F.struct(
+            *[x[f].alias(f) for f in ("pos", "tag", "close", "attrs", "txt", *(["raw"] if raw else []))],
+            F.when(tag.isin(BLOCK_TAGS) | close.isin(BLOCK_TAGS), F.lit("\n")).otherwise(F.lit("")).alias("sep"),
+            F.length(F.regexp_replace(x["txt"], SPACES_RE, "")).alias("nb"),
+            rule.otherwise(0).alias("rule"))
 
     cut = F.concat(F.array(F.regexp_extract(clean, "^[^<]*", 0)), F.transform(
         F.regexp_extract_all(clean, F.lit(TOKEN_RE), F.lit(0)), lambda t: F.substring(t, F.lit(2), F.length(t))))
-    return F.transform(F.transform(cut, tok), with_rtxt)
+    return F.transform(F.transform(cut, tok), classed)
 
 
 def _unquote_value(v: Column) -> Column:
     """Attribute value without its surrounding quotes, entities decoded."""
     quoted = v.startswith('"') | v.startswith("'")
-    return decode_entities(F.when(quoted, F.regexp_replace(v, r"""^["']|["']$""", "")).otherwise(v))
+    return decode_entities(F.when(quoted, F.regexp_replace(v, r"""^["']|["']$""", "")).otherwise(v), attribute=True)
+
+
+#: tokens that the fold takes together: what it emits is appended once a block, so appending
+#: costs n * n / BLOCK and not n * n
+BLOCK = 128
+_FLOW = "array<struct<before:int,all:int,on:boolean,brk:boolean>>"
+_ENDED = "array<struct<idx:int,up:int,end:int,ft:int,under:boolean>>"
+_OPEN = "array<struct<idx:int,up:int,ft:int,under:boolean,cover:boolean>>"
+
+
+def _fold(toks: str, hides: str) -> Column:
+    """The open-element stack over the tokens: STRUCT<flow (per token), ended (per element, as they end), n>.
+
+    State: ``names`` and ``open`` (the stack, innermost first), ``n`` (elements so far), ``w`` (rendered
+    characters so far, white space left out), ``l`` (all characters of texts) and what was emitted. Reads ``toks`` and ``hides`` (per
+    element) inside lambdas: ``pin`` them."""
+    def place(names: Column, name: Column) -> Column:
+        return F.array_position(names, name).cast("int")
 
+    def n_ended(a: Column, t: Column) -> Column:
+        """How many innermost open elements the token ends."""
+        def looked_up(ends: Column) -> Column:
+            def within(shield: Column) -> Column:
+                return F.array_max(F.transform(ends, lambda x: let(place(a["names"], x), lambda p: F.when(p < shield, p).otherwise(0))))
 
-def with_dom(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add ``_toks`` (token array), ``_n`` and ``els`` (element array) to each row.
+            far = F.array_max(F.transform(ends, lambda x: place(a["names"], x)))
+            shields = F.element_at(_table(SHIELDS), t["rule"])
+            nearest = F.coalesce(F.array_min(F.filter(F.transform(shields, lambda x: place(a["names"], x)), lambda p: p > 0)),
+                                 F.lit(1 << 30))
+            return F.when(F.coalesce(far, F.lit(0)) > 0, let(nearest, within)).otherwise(0)
 
-    Element struct: pos, end, tag, attrs, cls, id, aria, href, rel, typ, dai, role, style,
-    first_text, own_hidden, full_text, text (null where no rule reads them), cw (class words),
-    displayed.
+        ends = F.when(t["close"] != "", F.array(t["close"])).otherwise(F.element_at(_table(ENDS), t["rule"]))
+        implied = F.when(t["rule"] > 0, let(ends, looked_up)).otherwise(0)
+        # the head ends before the first thing that cannot stand in it
+        body_tag = (t["tag"] != "") & ~t["tag"].isin(HEAD_CONTENT + ["head"]) & (F.try_element_at(a["names"], F.lit(1)) == "head")
+        return F.when(F.coalesce(body_tag, F.lit(False)), F.lit(1)).otherwise(implied)
+
+    def step(a: Column, t: Column) -> Column:
+        def popped(k: Column) -> Column:
+            return let(F.struct(
+                F.when(k == 0, a["names"]).otherwise(F.slice(a["names"], k + 1, F.size(a["names"]))).alias("names"),
+                F.when(k == 0, a["open"]).otherwise(F.slice(a["open"], k + 1, F.size(a["open"]))).alias("open"),
+                F.slice(a["open"], F.lit(1), k).alias("gone")), pushed)
+
+        def pushed(s: Column) -> Column:
+            top = F.try_element_at(s["open"], F.lit(1))
+            under = F.coalesce(top["cover"], F.lit(False))
+            is_open = t["tag"] != ""
+            has_text = t["txt"] != ""
+            idx = a["n"] + 1
+            hid = F.when(is_open, F.element_at(hides, idx)).otherwise(F.lit(False))
+            stays = is_open & ~t["tag"].isin(VOID_TAGS)
+            cover = under | hid | t["tag"].isin(MASKED_TAGS)
+            up = F.coalesce(top["idx"], F.lit(0))
+            me = F.struct(idx.alias("idx"), up.alias("up"), F.when(has_text, t["pos"]).otherwise(0).alias("ft"), under.alias("under"), cover.alias("cover"))
+            first = F.coalesce(top["ft"] == 0, F.lit(False)) & has_text
+            open_ = F.when(stays, F.concat(F.array(me), s["open"])).when(
+                first, F.concat(F.array(top.withField("ft", t["pos"])), F.slice(s["open"], 2, F.size(s["open"])))).otherwise(s["open"])
+            on = ~F.when(stays, cover).otherwise(under)
+            # a line break goes with the element that the tag opens or ends
+            brk = ~F.when(is_open, cover).otherwise(F.coalesce(F.try_element_at(s["gone"], F.lit(-1))["cover"], under))
+            gone = F.transform(s["gone"], lambda x: F.struct(x["idx"].alias("idx"), x["up"].alias("up"), t["pos"].alias("end"),
+                                                             x["ft"].alias("ft"), x["under"].alias("under")))
+            alone = F.when(is_open & ~stays, F.array(F.struct(idx.alias("idx"), up.alias("up"), (t["pos"] + 1).alias("end"), F.lit(0).alias("ft"),
+                                                              under.alias("under")))).otherwise(F.array().cast(_ENDED))
+            return F.struct(
+                F.when(stays, F.concat(F.array(t["tag"]), s["names"])).otherwise(s["names"]).alias("names"),
+                open_.alias("open"),
+                F.when(is_open, idx).otherwise(a["n"]).alias("n"),
+                (a["w"] + F.when(on, t["nb"]).otherwise(0)).alias("w"),
+                (a["l"] + F.length(t["txt"])).alias("l"),
+                F.concat(a["flow"], F.array(F.struct(a["w"].alias("before"), a["l"].alias("all"), on.alias("on"), brk.alias("brk")))).alias("flow"),
+                F.when(F.size(gone) + F.size(alone) == 0, a["ended"]).otherwise(F.concat(a["ended"], gone, alone)).alias("ended"))
+
+        return let(n_ended(a, t), popped)
+
+    def state(a: Column | None, keep_out: bool) -> Column:
+        empty = {"names": "array<string>", "open": _OPEN, "flow": _FLOW, "ended": _ENDED}
+        fields = []
+        for f in ("names", "open", "n", "w", "l", "flow", "ended"):
+            fresh = a is None or (not keep_out and f in ("flow", "ended"))
+            value = (F.array().cast(empty[f]) if f in empty else F.lit(0)) if fresh else a[f]
+            fields.append(value.alias(f))
+        return F.struct(*fields)
+
+    def block(a: Column, start: Column) -> Column:
+        done = F.aggregate(F.slice(toks, start, F.lit(BLOCK)), state(a, False), step)
+        return let(done, lambda b: F.struct(*[b[f].alias(f) for f in ("names", "open", "n", "w", "l")],
+                                            F.concat(a["flow"], b["flow"]).alias("flow"), F.concat(a["ended"], b["ended"]).alias("ended")))
+
+    def finish(a: Column) -> Column:  # what is still open ends with the document
+        rest = F.transform(a["open"], lambda x: F.struct(x["idx"].alias("idx"), x["up"].alias("up"), (F.size(toks) + 1).alias("end"),
+                                                         x["ft"].alias("ft"), x["under"].alias("under")))
+        return F.struct(F.concat(a["flow"], F.array(F.struct(a["w"].alias("before"), a["l"].alias("all"), F.lit(False).alias("on"), F.lit(False).alias("brk")))).alias("flow"),
+                        F.array_sort(F.concat(a["ended"], rest)).alias("ended"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(toks), F.lit(BLOCK)), state(None, False), block, finish)
+
+
+def with_dom(df: DataFrame, html_col: str = "html", raw: bool = False) -> DataFrame:
+    """Add ``_toks`` (token array), ``_rend`` (rendered piece per token) and ``els`` (element array) to each row.
+
+    Element struct: pos, end, idx (place among the elements, from 1), up (its parent's idx, 0: none), tag,
+    attrs, cls, id, aria, href, rel, typ, dai, role, style, first_text, cw (class words), own_hidden,
+    displayed, n_vis (rendered characters, white space left out), n_all (characters of all texts).
+    Texts: ``full_text_of``, ``text_of``; with ``raw`` also ``outer_html``.
     """
     # a missing snapshot is an empty document (no elements): the page falls back
-    d = keep(df.withColumn("_toks", tokens(clean_html(F.coalesce(F.col(html_col), F.lit(""))))), "_toks")
-    d = d.withColumn("_n", F.size("_toks"))
-
-    # Nesting per tag name: ranks of opens and closes give a depth level per entry.
-    keyed = F.transform(
-        F.filter("_toks", lambda t: (t["tag"] != "") | (t["close"] != "")),
-        lambda t: F.struct(
-            F.when(t["tag"] != "", t["tag"]).otherwise(t["close"]).alias("nm"),
-            t["pos"].alias("pos"),
-            (t["tag"] != "").alias("is_open"),
-        ),
-    )
-    d = keep(d.withColumn("_keyed", keyed), "_keyed")
-
-    def ranked(is_open: bool) -> Column:
-        part = F.filter("_keyed", (lambda x: x["is_open"]) if is_open else (lambda x: ~x["is_open"]))
-        return F.transform(F.array_sort(part), lambda x, r: F.struct(
-            x["nm"].alias("nm"), x["pos"].alias("pos"), x["is_open"].alias("is_open"), r.alias("r")))
-
-    d = keep(d.withColumn("_comb", F.array_sort(F.concat(ranked(True), ranked(False)))), "_comb")
-    d = d.withColumn("_comb", F.transform("_comb", lambda x, k: F.struct(
-        x["nm"].alias("nm"), x["pos"].alias("pos"), x["is_open"].alias("is_open"),
-        F.when(x["is_open"], x["r"] * 2 + 1 - k).otherwise(k - x["r"] * 2).alias("lvl"))))
-    d = keep(d, "_comb")
-    # Next entry of the same name in document order (fallback end of an unmatched open).
-    lev = F.zip_with(
-        "_comb",
-        F.slice("_comb", 2, F.greatest(F.size("_comb") - 1, F.lit(0))),
-        lambda a, b: F.struct(
-            a["nm"].alias("nm"), a["lvl"].alias("lvl"), a["pos"].alias("pos"), a["is_open"].alias("is_open"),
-            F.when(b["nm"] == a["nm"], b["pos"]).otherwise(F.lit(None).cast("int")).alias("fb"),
-        ),
-    )
-    d = keep(d.withColumn("_lev", F.array_sort(lev)), "_lev")  # by (nm, lvl, pos)
-    ends = F.zip_with(
-        "_lev",
-        F.slice("_lev", 2, F.greatest(F.size("_lev") - 1, F.lit(0))),
-        lambda a, b: F.struct(
-            a["pos"].alias("pos"),
-            a["is_open"].alias("is_open"),
-            F.when((b["nm"] == a["nm"]) & (b["lvl"] == a["lvl"]) & ~b["is_open"], b["pos"])
-            .otherwise(a["fb"]).alias("m"),
-        ),
-    )
-    # Ends of the opens, back in document order (same order as the opening tokens).
-    d = d.withColumn("_ends", F.array_sort(F.transform(
-        F.filter(ends, lambda e: e["is_open"]), lambda e: F.struct(e["pos"].alias("pos"), e["m"].alias("m")))))
-    d = keep(d, "_ends")
-
-    opens = F.filter("_toks", lambda t: t["tag"] != "")
-    base = F.zip_with(opens, "_ends", lambda t, e: F.struct(
-        t["pos"].alias("pos"),
-        F.when(t["tag"].isin(VOID_TAGS), t["pos"] + 1)
-        .otherwise(F.coalesce(e["m"], F.col("_n") + 1)).alias("end"),
-        t["tag"].alias("tag"),
-        t["attrs"].alias("attrs"),
-        t["txt"].alias("first_text"),
+    d = df.withColumn("_css", rule_map(F.coalesce(F.col(html_col), F.lit(""))))
+    d = keep(d.withColumn("_toks", tokens(clean_html(F.coalesce(F.col(html_col), F.lit(""))), raw)), "_toks")
+    base = F.transform(F.filter("_toks", lambda t: t["tag"] != ""), lambda t: F.struct(
+        t["pos"].alias("pos"), t["tag"].alias("tag"), t["attrs"].alias("attrs"),
         F.when(F.length(t["attrs"]) > 1, F.zip_with(  # '' or '/': no attributes to parse
             F.transform(F.regexp_extract_all(t["attrs"], F.lit(ATTR_PAIR_RE), 1), lambda s: F.lower(s)),
             F.transform(F.regexp_extract_all(t["attrs"], F.lit(ATTR_PAIR_RE), 2), _unquote_value),
             lambda k, v: F.struct(k.alias("k"), v.alias("v")),
         )).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("pairs"),
     ))
-    d = keep(d.withColumn("_els0", pin(base, "_ends", "_toks")), "_els0")
+    d = keep(d.withColumn("_els0", base), "_els0")
 
     def attr(e: Column, name: str) -> Column:
-        return F.try_element_at(F.filter(e["pairs"], lambda p: p["k"] == name), F.lit(1))["v"]
+        return F.when(F.size(e["pairs"]) > 0, F.try_element_at(F.filter(e["pairs"], lambda p: p["k"] == name), F.lit(1))["v"])
+
+    d = keep(d.withColumn("_els1", F.transform("_els0", lambda e: F.struct(
+        e["pos"].alias("pos"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
+        *[attr(e, a).alias(f) for f, a in ATTR_FIELDS.items()]))), "_els1")
+    # (the second reference to the rules keeps them built once per row, see ``pin``)
+    d = d.withColumn("_css", F.when(F.size("_css") > -2, F.col("_css")))
+    d = keep(d.withColumn("_hides", F.when(F.coalesce(F.size("_css"), F.lit(0)) > -2, F.transform(
+        "_els1", lambda e: e["tag"].isin(HIDDEN_TAGS) | _own_hidden(e, F.col("_css"))))), "_hides")
+    d = d.withColumn("_fold", pin(_fold("_toks", "_hides"), "_toks", "_hides"))
+    d = d.withColumn("_flow", F.col("_fold.flow")).withColumn("_ended", F.col("_fold.ended"))
+    d = keep(d, "_flow", "_ended")
+    d = keep(d.withColumn("_rend", F.zip_with("_toks", F.slice("_flow", F.lit(1), F.size("_toks")), lambda t, f: F.concat(
+        F.when(f["brk"], t["sep"]).otherwise(F.lit("")), F.when(f["on"], t["txt"]).otherwise(F.lit(""))))), "_rend")
+
+    def element(e: Column, x: Column) -> Column:
+        hidden = F.element_at("_hides", x["idx"])
+        def between(f: str) -> Column:
+            return F.element_at("_flow", x["end"])[f] - F.element_at("_flow", e["pos"])[f]
 
-    els1 = F.transform("_els0", lambda e: F.struct(
-        e["pos"].alias("pos"), e["end"].alias("end"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
-        *[attr(e, a).alias(f) for f, a in ATTR_FIELDS.items()],
-        e["first_text"].alias("first_text"),
-        _own_hidden(e["attrs"], attr(e, "style"), attr(e, "type")).alias("own_hidden"),
-    ))
-    d = keep(d.withColumn("_els1", els1), "_els1")
-    # Texts only for elements a rule can read (the rest on demand: ``full_text_of``/``text_of``).
-    els2 = F.transform("_els1", lambda e: e.withField(
-        "full_text", F.when(needs_text(e), full_text_of(e))).withField(
-        "text", F.when(needs_text(e), text_of(e))).withField(
-        "cw", F.split(F.coalesce(e["cls"], F.lit("")), r"\s+")).withField(
-        "first_text", F.when(e["tag"].isin(FIRST_TEXT_TAGS) & (e["first_text"] == ""), first_child_text(e)).otherwise(e["first_text"])))
-    d = keep(d.withColumn("_els1", pin(els2, "_toks")), "_els1")
-    d = d.withColumn("_hid", F.transform(F.filter("_els1", lambda e: e["own_hidden"]),
-                                         lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"))))
-    d = keep(d, "_hid")
-    # Covered by a hidden range (h.pos < pos < h.end)? Covering ranges are counted with two
-    # sorts -- (#starts before pos) - (#ends at or before pos) -- in O((n + h) log(n + h)).
-    d = d.withColumn("_hcov", F.when(F.size("_hid") > 0, _covered_counts("_els1", "_hid")))
-    plain = F.transform("_els1", lambda e: e.withField("displayed", ~e["own_hidden"]))
-    counted = F.zip_with("_els1", "_hcov", lambda e, c: e.withField("displayed", ~e["own_hidden"] & (c == 0)))
-    els = F.when(F.col("_hcov").isNull(), plain).otherwise(counted)
-    d = keep(d.withColumn("els", pin(els, "_hid", "_els1")), "els")
-    d = d.drop("_keyed", "_comb", "_lev", "_ends", "_els0", "_els1", "_hid", "_hcov")
+        return F.struct(
+            e["pos"].alias("pos"), x["end"].alias("end"), x["idx"].alias("idx"), x["up"].alias("up"), e["tag"].alias("tag"),
+            e["attrs"].alias("attrs"), *[e[f].alias(f) for f in ATTR_FIELDS],
+            F.when(x["ft"] > 0, F.element_at("_toks", x["ft"])["txt"]).otherwise(F.lit("")).alias("first_text"),
+            F.split(e["cls"], r"\s+").alias("cw"),
+            hidden.alias("own_hidden"), (~hidden & ~x["under"]).alias("displayed"), between("before").alias("n_vis"),
+            between("all").alias("n_all"))
+
+    els = F.zip_with("_els1", "_ended", element)  # both in document order
+    d = keep(d.withColumn("els", pin(els, "_els1", "_ended", "_toks", "_hides", "_flow")), "els")
+    d = d.drop("_css", "_els0", "_els1", "_hides", "_fold", "_flow", "_ended")
     return d.withColumn("els", fence(F.col("els")))
 
 
-def _covered_counts(els: str, hid: str) -> Column:
-    """Per element (in document order): how many hidden ranges strictly cover its position."""
-    def ranks(boundary: str, boundary_first: bool) -> Column:
-        # kinds order entries at the same position: element before a start (strict start),
-        # an end before the element (a range ending at pos does not cover it)
-        bk, ek = (0, 1) if boundary_first else (1, 0)
-        mixed = F.array_sort(F.concat(
-            F.transform(hid, lambda h: F.struct(h[boundary].alias("p"), F.lit(bk).alias("k"))),
-            F.transform(els, lambda e: F.struct(e["pos"].alias("p"), F.lit(ek).alias("k")))))
-        at = F.filter(F.transform(mixed, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"))),
-                      lambda x: x["k"] == ek)
-        return F.transform(at, lambda x, j: x["i"] - j)  # boundaries sorted before element j
-
-    return F.zip_with(ranks("pos", False), ranks("end", True), lambda s, e: s - e)
-
-
-def _own_hidden(attrs: Column, style: Column, kind: Column) -> Column:
-    """A ``hidden`` attribute (its name, outside quoted values), an inline style that hides, or
-    ``type=hidden``."""
-    names = F.regexp_replace(attrs, QUOTED_RE, "''")
-    return (F.length(attrs) > 1) & (names.rlike(HIDDEN_NAME_RE) | F.coalesce(style.rlike(HIDDEN_STYLE_RE), F.lit(False))
-                                    | F.coalesce(F.lower(F.trim(kind)) == "hidden", F.lit(False)))
-
-
-def first_child_text(e: Column, toks: str = "_toks") -> Column:
-    """The first text child of an element whose opening tag has no text right behind it: the first
-    token of its range with text at the element's own depth. Reads ``toks``: ``pin`` it."""
-    inner = F.slice(toks, e["pos"] + 1, F.greatest(e["end"] - e["pos"] - 1, F.lit(0)))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("found"))
-
-    def step(a: Column, t: Column) -> Column:
-        depth = a["depth"] + F.when((t["tag"] != "") & ~t["tag"].isin(VOID_TAGS), 1).when(t["close"] != "", -1).otherwise(0)
-        return F.struct(depth.alias("depth"), F.when(a["found"].isNull() & (depth == 0) & (t["txt"] != ""), t["txt"])
-                        .otherwise(a["found"]).alias("found"))
-
-    return F.coalesce(F.aggregate(inner, start, step)["found"], F.lit(""))
-
-
-def needs_text(e: Column) -> Column:
-    """Elements whose texts the rules read: interactive tags, containers by tag, the body, and
-    anything with a class or id (class/id-based containers)."""
-    return e["tag"].isin(TEXT_TAGS) | e["cls"].isNotNull() | e["id"].isNotNull()
+def _own_hidden(e: Column, rules: Column) -> Column:
+    """Hidden by a ``hidden`` attribute (its name, outside quoted values), an inline style, a rule of
+    the page's stylesheets, or ``type=hidden``."""
+    attrs = e["attrs"]
+    by_attribute = F.when(F.length(attrs) > 1, F.regexp_replace(attrs, QUOTED_RE, "''").rlike(HIDDEN_NAME_RE)).otherwise(F.lit(False))
+    styled = hidden(e["tag"], F.split(F.coalesce(e["cls"], F.lit("")), r"\s+"), F.coalesce(e["id"], F.lit("")), F.coalesce(e["style"], F.lit("")),
+                    by_attribute, rules)
+    return styled | F.coalesce(F.lower(F.trim(e["typ"])) == "hidden", F.lit(False))
 
 
 def full_text_of(e: Column, toks: str = "_toks") -> Column:
     """``textContent``: the text of every token in the element's range. Reads ``toks``
     inside a lambda: the caller's projection must ``pin`` it."""
-    rng = F.slice(toks, e["pos"], e["end"] - e["pos"])
-    return F.array_join(F.transform(rng, lambda t: t["txt"]), "")
+    return F.array_join(F.transform(F.slice(toks, e["pos"], e["end"] - e["pos"]), lambda t: t["txt"]), "")
+
+
+def text_of(e: Column, rend: str = "_rend") -> Column:
+    """Rendered text, hidden parts left out: block-level boundaries become newlines; stripped. Reads
+    ``rend``: ``pin`` it."""
+    return py_strip(F.array_join(F.slice(rend, e["pos"], e["end"] - e["pos"]), ""))
 
 
-def text_of(e: Column, toks: str = "_toks") -> Column:
-    """Rendered text: block-level boundaries become newlines; stripped."""
-    inner = F.slice(toks, e["pos"] + 1, e["end"] - e["pos"] - 1)
-    return py_strip(F.concat(e["first_text"], F.array_join(F.transform(inner, lambda t: t["rtxt"]), "")))
+def outer_html(e: Column, limit: int, toks: str = "_toks") -> Column:
+    """The first ``limit`` characters of the element's markup in the cleaned page, from its opening tag
+    to its closing one. Reads ``toks``: ``pin`` it."""
+    # every token has a character at least, so no more than ``limit`` tokens are needed
+    inner = F.transform(F.slice(toks, e["pos"], F.least(e["end"] - e["pos"], F.lit(limit))), lambda t: F.concat(F.lit("<"), t["raw"]))
+    own_close = F.concat(F.lit("</"), e["tag"], F.lit(">"))
+    closed = F.coalesce(F.try_element_at(toks, e["end"])["close"] == e["tag"], F.lit(False)) & ~e["tag"].isin(VOID_TAGS)
+    own = F.element_at(toks, e["pos"])["raw"]
+    head = F.coalesce(F.nullif(F.regexp_extract(own, HEAD_RE, 0), F.lit("")), F.regexp_extract(own, "^[^>]*>?", 0))
+    markup = F.when(e["tag"].isin(VOID_TAGS), F.concat(F.lit("<"), head)).otherwise(
+        F.concat(F.array_join(inner, ""), F.when(closed, own_close).otherwise(F.lit(""))))
+    return F.substring(markup, 1, limit)
 
 
-def with_texts(els: str = "els", toks: str = "_toks") -> Column:
-    """``els`` with both texts filled for every element (audit tables)."""
-    return pin(F.transform(els, lambda e: e.withField("full_text", F.coalesce(e["full_text"], full_text_of(e, toks)))
-                           .withField("text", F.coalesce(e["text"], text_of(e, toks)))), toks)
+def with_texts(els: str = "els", toks: str = "_toks", rend: str = "_rend") -> Column:
+    """``els`` with ``full_text`` and ``text`` for every element (audit tables)."""
+    return pin(F.transform(els, lambda e: e.withField("full_text", full_text_of(e, toks)).withField("text", text_of(e, rend))), toks, rend)
 
 
 def body_text(els: str = "els", toks: str = "_toks") -> Column:
-    """``document.body.textContent``: full text of the first ``body`` element, else all text."""
-    body = F.try_element_at(F.filter(els, lambda e: e["tag"] == "body"), F.lit(1))["full_text"]
-    return F.coalesce(body, F.array_join(F.transform(toks, lambda t: t["txt"]), ""))
+    """``document.body.textContent``: full text of the first ``body`` element, else all text. Reads
+    ``toks``: ``pin`` it."""
+    body = F.try_element_at(F.filter(els, lambda e: e["tag"] == "body"), F.lit(1))
+    return F.when(body.isNotNull(), full_text_of(body, toks)).otherwise(F.array_join(F.transform(toks, lambda t: t["txt"]), ""))
 
 
 def alow(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import with_dom, with_texts
+from navbuckets.functions.dom import TOKEN_RE, clean_html, full_text_of, pin, text_of, with_dom, with_texts
 from navbuckets.operators.rules import (
     INTERACTIVE_TAGS, add_rule_columns, container_name, r4_container, r8_container,
 )
@@ -22,25 +22,30 @@ def elements(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
 
 
 def element_count(pages: DataFrame) -> DataFrame:
-    """Static element count per page (opening tags after cleaning)."""
-    d = with_dom(pages.select("page_id", "html"))
-    return d.select("page_id", F.size("els").alias("n_elements"))
+    """Static element count per page (opening tags after cleaning): the tags are cut, no
+    element is built."""
+    cut = F.regexp_extract_all(clean_html(F.coalesce(F.col("html"), F.lit(""))), F.lit(TOKEN_RE), F.lit(0))
+    return pages.select("page_id", F.size(F.filter(cut, lambda t: t.rlike("^<[A-Za-z]"))).alias("n_elements"))
 
 
 def interactive_elements(pages: DataFrame) -> DataFrame:
-    """a/button/span elements with their texts and display flag."""
-    return elements(pages).filter(F.col("tag").isin(INTERACTIVE_TAGS))
+    """a/button/span elements with their texts and display flag; texts of other elements are not made."""
+    d = with_dom(pages.select("page_id", "html"))
+    found = F.transform(F.filter("els", lambda e: e["tag"].isin(INTERACTIVE_TAGS)), lambda e: F.struct(
+        e["pos"].alias("pos"), e["tag"].alias("tag"), e["first_text"].alias("first_text"), full_text_of(e).alias("full_text"),
+        text_of(e).alias("text"), e["displayed"].alias("displayed")))
+    return d.select("page_id", F.inline(pin(found, "els", "_toks", "_rend")))
 
 
 def containers(pages: DataFrame) -> DataFrame:
     """Elements that are range-text (R4) or number-group (R8) containers."""
     d = with_dom(pages.select("page_id", "html"))
     c = F.filter("els", lambda e: r4_container(e) | r8_container(e))
-    d = d.select("page_id", F.transform(c, lambda e: F.struct(
+    c = F.transform(c, lambda e: F.struct(
         e["pos"].alias("pos"), e["tag"].alias("tag"), container_name(e).alias("name"),
         r4_container(e).alias("range_container"), r8_container(e).alias("number_container"),
-        e["displayed"].alias("displayed"), F.length(e["text"]).alias("text_len"))).alias("c"))
-    return d.select("page_id", F.inline("c"))
+        e["displayed"].alias("displayed"), F.length(text_of(e)).alias("text_len")))
+    return d.select("page_id", F.inline(pin(c, "els", "_rend")))
 
 
 def links(pages: DataFrame) -> DataFrame:

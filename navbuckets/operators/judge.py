@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import full_text_of, pin, text_of
+from navbuckets.functions.dom import outer_html, pin, text_of
 from navbuckets.functions.text import py_strip
 
 # The branch choices, the URL-only vocabulary and reason texts.
@@ -73,32 +73,27 @@ def _snippet_container(e: Column) -> Column:
 
 
 def snippet(els: str = "els") -> Column:
-    """P10: last 30 interactive elements per paginator container (else the body),
-    each as '<tag attrs>text' cut at 300 plus the parent text cut at 50; cut at 3500."""
-    indexed = F.transform(els, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    conts = F.filter(indexed, lambda x: _snippet_container(x["e"]))
-    body = F.filter(indexed, lambda x: x["e"]["tag"] == "body")
+    """P10: last 30 interactive elements per paginator container (else the body), each as its outer
+    markup cut at 300 plus the rendered text of its parent cut at 50; cut at 3500."""
+    conts = F.filter(els, _snippet_container)
+    body = F.slice(F.filter(els, lambda e: e["tag"] == "body"), F.lit(1), F.lit(1))
     chosen = F.when(F.size(conts) > 0, conts).otherwise(body)
 
     def item(e: Column) -> Column:
-        parent = F.try_element_at(F.filter(els, lambda q: (q["pos"] < e["pos"]) & (e["pos"] < q["end"])), F.lit(-1))
-        html = F.substring(F.concat(F.lit("<"), e["tag"], e["attrs"], F.lit(">"),
-                                    F.coalesce(e["full_text"], full_text_of(e))), 1, SNIPPET_HTML_CAP)
-        ptext = F.when(parent.isNotNull(), F.coalesce(parent["text"], text_of(parent)))
-        return F.concat(html, F.lit(" (Parent: "),
-                        F.substring(F.coalesce(ptext, F.lit("")), 1, SNIPPET_PARENT_CAP), F.lit(")"))
-
-    def per_container(x: Column) -> Column:
+        parent = F.when(e["up"] > 0, text_of(F.element_at(els, e["up"])))
+        return F.concat(outer_html(e, SNIPPET_HTML_CAP), F.lit(" (Parent: "),
+                        F.substring(F.coalesce(parent, F.lit("")), 1, SNIPPET_PARENT_CAP), F.lit(")"))
+
+    def per_container(c: Column) -> Column:
         # the elements inside a container are the next m elements after it, m = opening tags
         # in its token range: a slice, not a scan of the whole page
-        c = x["e"]
         m = F.size(F.filter(F.slice("_toks", c["pos"] + 1, c["end"] - c["pos"] - 1), lambda t: t["tag"] != ""))
-        inside = F.filter(F.slice(els, x["i"] + 2, m), lambda e: e["tag"].isin(SNIPPET_TAGS))
+        inside = F.filter(F.slice(els, c["idx"] + 1, m), lambda e: e["tag"].isin(SNIPPET_TAGS))
         last = F.slice(inside, F.greatest(F.size(inside) - SNIPPET_LAST_N + 1, F.lit(1)), SNIPPET_LAST_N)
         return F.array_join(F.transform(last, item), "\n")
 
     return pin(F.substring(F.array_join(F.transform(chosen, per_container), CONTAINER_SEPARATOR), 1,
-                           SNIPPET_TOTAL_CAP), els, "_toks")
+                           SNIPPET_TOTAL_CAP), els, "_toks", "_rend")
 
 
 # What each answer means, for the prompt (own wording).

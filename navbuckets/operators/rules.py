@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import alow, body_text, keep, pin, text_of
-from navbuckets.functions.text import first_match, has_one_and_two, py_strip
+from navbuckets.functions.dom import alow, body_text, full_text_of, keep, let, pin, text_of
+from navbuckets.functions.text import first_match, found_in, has_one_and_two, py_strip
 
 # ---------------------------------------------------------------------------
 # Rule vocabularies, in the order the rules try them.
@@ -33,6 +33,7 @@ RANGE_PATTERNS = [
 NEXT_SYMBOLS = [">", "→", "›", "‹", "←", "➜"]
 PAGESELECT_KEYWORDS = ["first", "last"]
 PAGESELECT_SYMBOLS = ["»", ">>", "«", "<<"]
+TEXT_SYMBOLS = [*NEXT_SYMBOLS, *PAGESELECT_SYMBOLS]
 LOADMORE_KEYWORDS = [
     "load more", "show more", "view more", "see more", "load all",
     "show all", "view all", "see all", "more jobs", "more results",
@@ -42,6 +43,8 @@ LOADMORE_KEYWORDS = [
 LINK_NEXT_TEXTS = [">", "→", "›", "➜"]
 LINK_PAGE_TEXTS = ["first", "last", "»", ">>", "«", "<<"]
 LINK_PAGE_HREF_RE = r"[?&](page|p)=[0-9]+|/page/[0-9]+"
+# Characters of a link's text that are looked for where it has no address.
+LINK_TEXT_CUT = 20
 # Containers: R4 (range text) and R8 (number group).
 R4_CONTAINER_TAGS = ["nav", "footer"]
 R4_CONTAINER_CLASS_WORDS = ["pagination", "pager", "results", "result-count", "paginationShell",
@@ -70,7 +73,7 @@ def _s(c: Column) -> Column:
 
 def class_word(e: Column, word: str) -> Column:
     """CSS ``.word``: a whole class token (case-sensitive); ``e.cw`` holds the split class."""
-    return F.array_contains(e["cw"], word)
+    return F.coalesce(F.array_contains(e["cw"], word), F.lit(False))
 
 
 def platform_selector(e: Column, sel: str) -> Column:
@@ -86,9 +89,9 @@ def platform_selector(e: Column, sel: str) -> Column:
     return preds[sel]
 
 
-def link_label(e: Column) -> Column:
-    """Rule-based link tagging of an anchor with an href -> 'NEXT' | 'PAGE' | null."""
-    ltxt = F.lower(py_strip(_s(e["full_text"])))
+def link_label(e: Column, ltxt: Column) -> Column:
+    """Rule-based link tagging of an anchor with an href -> 'NEXT' | 'PAGE' | null. ``ltxt``: its
+    stripped, lower-cased text."""
     is_link = (e["tag"] == "a") & e["href"].isNotNull()
     nxt = (F.lower(_s(e["rel"])).rlike(r"(^|\s)next(\s|$)")
            | F.lower(_s(e["cls"])).contains("next")
@@ -133,15 +136,21 @@ def range_regex() -> str:
 
 def add_rule_columns(d, els: str = "els", toks: str = "_toks"):
     """Add the lean arrays the rules scan: ``_iels`` (a/button/span) and ``_links``."""
-    iels = F.transform(F.filter(els, lambda e: e["tag"].isin(INTERACTIVE_TAGS)), lambda e: F.struct(
-        e["pos"].alias("pos"), e["tag"].alias("tag"), e["displayed"].alias("displayed"),
-        alow(e["first_text"]).alias("ft"), alow(e["aria"]).alias("ar"), _s(e["aria"]).alias("aria"),
-        _s(e["full_text"]).alias("full"), _s(e["first_text"]).alias("first"),
-        F.lower(_s(e["full_text"])).contains("top").alias("top"),
-        e["cls"].alias("cls"), e["dai"].alias("dai"), e["href"].alias("href"),
-        link_label(e).alias("label"), F.lower(py_strip(_s(e["full_text"]))).alias("ltxt"),
-    ))
-    d = keep(d.withColumn("_iels", iels), "_iels")
+    def interactive(e: Column) -> Column:
+        """An element's texts are read once, for what the rules ask of them; they are not kept."""
+        def read(x: Column) -> Column:
+            ltxt = F.lower(py_strip(x["full"]))
+            return F.struct(
+                e["pos"].alias("pos"), e["tag"].alias("tag"), e["displayed"].alias("displayed"),
+                alow(e["first_text"]).alias("ft"), alow(e["aria"]).alias("ar"), _s(e["aria"]).alias("aria"),
+                F.filter(F.array(*[F.lit(s) for s in TEXT_SYMBOLS]), lambda s: x["full"].contains(s)).alias("syms"),
+                F.lower(x["seen"]).contains("top").alias("top"), e["href"].alias("href"),
+                link_label(e, ltxt).alias("label"), F.when(e["tag"] == "a", ltxt).alias("ltxt"))
+
+        return let(F.struct(full_text_of(e, toks).alias("full"), text_of(e).alias("seen")), read)
+
+    iels = F.transform(F.filter(els, lambda e: e["tag"].isin(INTERACTIVE_TAGS)), interactive)
+    d = keep(d.withColumn("_iels", pin(iels, toks, "_rend")), "_iels")
     d = keep(d.withColumn("_lmels", F.transform(F.filter(els, lambda e: e["tag"].isin("a", "button")), lambda e: F.struct(
         e["pos"].alias("pos"), e["tag"].alias("tag"), e["displayed"].alias("displayed"),
         alow(e["first_text"]).alias("ft")))), "_lmels")
@@ -150,18 +159,35 @@ def add_rule_columns(d, els: str = "els", toks: str = "_toks"):
         F.filter("_iels", lambda x: (x["tag"] == "a") & x["displayed"] & x["href"].isNotNull()), lambda x: x["href"]))
     d = keep(d, "_lk0", "_anch")
     visible = F.zip_with("_lk0", _href_matches("_lk0", "_anch"), lambda l, c: l.withField("visible", c > 0))
-    if "_ext_links" in d.columns:  # precomputed tagged links replace R0/R1
-        visible = F.coalesce(F.col("_ext_links"), F.array().cast(
-            "array<struct<pos:int,label:string,ltxt:string,href:string,visible:boolean>>"))
-        d = keep(d.withColumn("_links", visible), "_links")
+    if "_ext_links" in d.columns:  # precomputed tagged links replace R0, and R1 where they say what is displayed
+        d = keep(d.withColumn("_lk1", F.coalesce(F.col("_ext_links"), F.array().cast(
+            "array<struct<pos:int,label:string,ltxt:string,href:string,visible:boolean>>"))), "_lk1")
+        d = _seen_by_text(d, els)
+        told = F.zip_with("_lk1", _href_matches("_lk1", "_anch"), lambda l, c: l.withField("visible", F.coalesce(
+            l["visible"], F.when(F.length(_s(l["href"])) > 0, c > 0).otherwise(
+                (F.instr(l["ltxt"], "'") == 0) & F.array_contains("_seen", F.substring(l["ltxt"], 1, LINK_TEXT_CUT))))))
+        d = keep(d.withColumn("_links", pin(told, "_lk1", "_anch", "_seen")), "_links").drop("_lk1", "_seen")
     else:
         d = keep(d.withColumn("_links", pin(visible, "_lk0", "_anch")), "_links")
     d = d.withColumn("_range_text", F.lower(F.array_join(
-        F.transform(F.filter(els, r4_container), lambda e: _s(e["full_text"])), " ")))
-    d = d.withColumn("_body_text", F.lower(body_text(els, toks)))
+        F.transform(F.filter(els, r4_container), lambda e: full_text_of(e, toks)), " ")))
+    d = d.withColumn("_range_text", pin(F.col("_range_text"), toks)).withColumn("_body_text", pin(F.lower(body_text(els, toks)), toks))
     return d.drop("_lk0", "_anch")
 
 
+def _seen_by_text(d, els: str):
+    """``_seen``: the first characters of links without an address (``_lk1``, display not told) that stand in
+    the first text of a displayed element."""
+    asked = F.array_distinct(F.transform(F.filter("_lk1", lambda l: l["visible"].isNull() & (F.length(_s(l["href"])) == 0)),
+                                         lambda l: F.substring(l["ltxt"], 1, LINK_TEXT_CUT)))
+    shown = F.filter(els, lambda e: e["displayed"])
+    hay = F.array_join(F.transform(shown, lambda e: F.concat(F.lit("\u0001"), e["first_text"])), "")
+    d = keep(d.withColumn("_asked", asked), "_asked")
+    d = d.withColumn("_hay", F.when(F.size("_asked") > 0, hay).otherwise(F.lit("")))
+    found = F.when((F.size("_asked") > 0) & (F.length("_hay") > 0), found_in(F.col("_asked"), F.col("_hay"), LINK_TEXT_CUT))
+    return keep(d.withColumn("_seen", F.coalesce(found, F.array().cast("array<string>"))), "_seen").drop("_asked", "_hay")
+
+
 def _href_matches(links: str, anchors: str) -> Column:
     """Per tagged link (in document order): how many displayed anchors share its href, counted
     with sorts -- (#anchors with href <= h) - (#anchors with href < h) -- not a links x anchors scan."""
@@ -214,7 +240,7 @@ def add_evidence(d, rule_set: str = "intended", els: str = "els"):
 
     def sym_hit(sym: str, aria: bool = True, top_filter: bool = True) -> Column:
         return F.exists(iels, lambda e: e["displayed"] & (~e["top"] if top_filter else F.lit(True))
-                        & (e["full"].contains(sym) | (e["aria"].contains(sym) if aria else F.lit(False))))
+                        & (F.array_contains(e["syms"], sym) | (e["aria"].contains(sym) if aria else F.lit(False))))
 
     vis = F.filter(links, lambda l: l["visible"])
     d = d.withColumn("_has_links", F.size(links) > 0) \
@@ -245,24 +271,24 @@ def add_evidence(d, rule_set: str = "intended", els: str = "els"):
         d = d.withColumn("_r7", F.when(~col("_p6"), first_match(
             [(s, sym_hit(s, aria=False, top_filter=False)) for s in PAGESELECT_SYMBOLS])))
         d = d.withColumn("_p7", col("_p6") | col("_r7").isNotNull())
-        r8_first = F.try_element_at(F.filter(els, lambda e: r8_container(e) & e["displayed"]
-                                             & (F.length(e["text"]) < R8_MAX_LEN) & has_one_and_two(e["text"])),
-                                    F.lit(1))
+        # the count of visible characters settles most elements without their text
+        def one_and_two(e: Column, limit: int) -> Column:
+            return F.when(e["n_vis"].between(2, limit - 1), let(
+                text_of(e), lambda t: (F.length(t) < limit) & has_one_and_two(t))).otherwise(F.lit(False))
+
+        r8_first = pin(F.try_element_at(F.filter(els, lambda e: r8_container(e) & e["displayed"] & one_and_two(e, R8_MAX_LEN)),
+                                        F.lit(1)), els, "_rend")
         d = d.withColumn("_r8f", F.when(~col("_p7"), r8_first))
         d = d.withColumn("_r8", F.when(col("_r8f").isNotNull(), container_name(col("_r8f"))))
         d = d.withColumn("_p8", col("_p7") | col("_r8").isNotNull())
 
-        def near(e: Column) -> Column:
-            up = F.filter(els, lambda q: (q["pos"] < e["pos"]) & (e["pos"] < q["end"]))
-            def ok(a: Column) -> Column:
-                t = F.coalesce(a["text"], text_of(a))
-                return (F.length(t) < R9_MAX_LEN) & has_one_and_two(t)
-
-            return F.coalesce(ok(F.try_element_at(up, F.lit(-1))), F.lit(False)) | F.coalesce(
-                ok(F.try_element_at(up, F.lit(-2))), F.lit(False))
-
-        r9_hit = pin(F.exists(els, lambda e: e["tag"].isin(NEIGHBOURHOOD_TAGS) & e["displayed"]
-                              & ((e["first_text"] == "1") | (e["full_text"] == "1")) & near(e)), els, "_toks")
+        # each parent and grandparent of a "1" is looked at once, however many it has
+        ones = F.filter(els, lambda e: e["tag"].isin(NEIGHBOURHOOD_TAGS) & e["displayed"] & (
+            (e["first_text"] == "1") | F.when(e["n_all"] == 1, full_text_of(e) == "1").otherwise(F.lit(False))))
+        d = keep(d.withColumn("_near", pin(F.array_distinct(F.transform(ones, lambda e: e["up"])), els, "_toks")), "_near")
+        d = keep(d.withColumn("_near", F.filter(F.array_distinct(F.concat("_near", F.transform(
+            F.filter("_near", lambda i: i > 0), lambda i: F.element_at(els, i)["up"]))), lambda i: i > 0)), "_near")
+        r9_hit = pin(F.exists("_near", lambda i: let(F.element_at(els, i), lambda q: one_and_two(q, R9_MAX_LEN))), els, "_rend", "_near")
         d = d.withColumn("_r9", F.when(col("_p8"), F.lit(False)).otherwise(F.coalesce(r9_hit, F.lit(False))))
         d = d.withColumn("_next", col("_n3") | col("_r5").isNotNull()).withColumn("_psel", col("_p8") | col("_r9"))
     sigs = [col("_sig1"),
@@ -310,10 +336,10 @@ def first_hits(iels: str = "_iels") -> Column:
         if rule == "R2":
             return lambda e: e["displayed"] & ~e["top"] & (e["ft"].contains(x) | e["ar"].contains(x))
         if rule == "R5":
-            return lambda e: e["displayed"] & ~e["top"] & (e["full"].contains(x) | e["aria"].contains(x))
+            return lambda e: e["displayed"] & ~e["top"] & (F.array_contains(e["syms"], x) | e["aria"].contains(x))
         if rule == "R6":
             return lambda e: e["displayed"] & (e["ft"].contains(x) | e["ar"].contains(x))
-        return lambda e: e["displayed"] & e["full"].contains(x)
+        return lambda e: e["displayed"] & F.array_contains(e["syms"], x)
 
     items = [F.struct(F.lit(r).alias("rule_id"), F.lit(x).alias("entry"),
                       F.array_min(F.transform(F.filter(iels, pred(r, x)), lambda e: e["pos"])).alias("first_pos"))

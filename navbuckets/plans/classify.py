@@ -22,7 +22,9 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
 
     ``keep`` lists extra input columns to carry (default: every column but the HTML).
     ``links(page_id[, frame_idx], pos, link_type, text, href, displayed)``: precomputed tagged
-    links that replace the rule-based tagging (R0) and its visibility check (R1).
+    links that replace the rule-based tagging (R0). Where ``displayed`` is null, R1 decides: a link with an
+    address is visible if a displayed anchor has it, one without if the first 20 characters of its
+    stripped, lower-cased text stand in the first text of a displayed element (never with an apostrophe).
     """
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
     src = spread(pages.select(*keep, html_col), partitions)
@@ -31,7 +33,7 @@ def page_evidence(pages: DataFrame, rule_set: str = "intended", keep: list[str]
         per_page = links.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
             F.col("pos").cast("int").alias("pos"), F.col("link_type").alias("label"),
             F.lower(py_strip(F.coalesce(F.col("text"), F.lit("")))).alias("ltxt"),
-            F.col("href").alias("href"), F.coalesce(F.col("displayed"), F.lit(False)).alias("visible")))).alias("_ext_links"))
+            F.col("href").alias("href"), F.col("displayed").cast("boolean").alias("visible")))).alias("_ext_links"))
         src = src.join(per_page, keys, "left")
     d = with_dom(src, html_col)
     d = add_rule_columns(d)

@@ -41,8 +41,44 @@ SELECTOR_CASES = [
 RANGE_CASES = ["Results 1 - 20 of 300", "Page 2 of 9", "1 - 20 of 300", "Items per page", "Jump to page"]
 NUMBER_CASES = ['<nav><span>1</span> <span>2</span></nav>', '<ul class="pager"><li>1</li> <li>2</li></ul>',
                 '<b><span>1</span> <span>2</span></b>', '<p><i><span>1</span></i> 2</p>']
+# Unclosed, hidden and text-only elements.
+NESTED_CASES = [
+    '<div><p hidden>x</div><a href="?page=2">Next</a>',
+    '<nav><span>1</span> <span style="display:none">2</span></nav>',
+    '<button>Next<span hidden> top</span></button><a href="?page=2">2</a>',
+    '<button>Next<b> stop</b></button>',
+    '<textarea><a href="?page=2">Next</a></textarea>',
+    '<ul hidden><li>a<li><a href="?page=2">Next</a></ul><a href="/page/3">3</a>',
+    '<ul><li>x<ul><li hidden>y</ul><li><a href="?page=2">Next</a></ul>',
+    '<table><tr><td hidden>x<td><a href="?page=2">2</a><tr><td>1</table>',
+    '<noscript><a href="?page=2">Next</a></noscript><template><button>Load more</button></template>',
+    '<div><span>1</div><span> 2</span>',
+    '<dl><dt hidden>1<dd>1<dd>2</dl>',
+    '<select><optgroup><option>1<option hidden>2<optgroup><option>3</select>',
+    '<table><tr><td></div><b>1</b> 2</table></nav>',
+    '<iframe src="/ad"><a href="?page=2">Next</a></iframe><a href="?x">a<a href="?y">b</a>',
+    '<div hidden><div><p>1<p>2</div></div><span><i>1</i></span>',
+]
+# Links and numbers hidden or shown by a page's own stylesheet.
+STYLE_CASES = [
+    '<style>.gone { display : none }</style><a class="x gone" href="?page=2">Next</a>',
+    '<style>#go, .y{visibility:hidden}</style><div id="go"><a href="?page=2">Next</a></div>',
+    '<style>a.gone{display:none}.gone{display:block}</style><a class="gone" href="?page=2">Next</a>',
+    '<style>.gone{display:none!important}a.gone.on{display:inline}</style><a class="on gone" href="?page=2">2</a>',
+    '<style>.gone{display:none}</style><a class="gone" style="display:inline" href="?page=2">Next</a>',
+    '<style>.gone{display:none !important;color:red}</style><a class="gone" style="display:inline" href="?page=2">Next</a>',
+    '<style>.show{display:block}</style><a class="show" hidden href="?page=2">Next</a>',
+    '<style>@media print{.gone{display:none}} /* .gone{display:none} */ nav .gone,.gone:hover,.gone[x]{display:none}</style><a class="gone" href="?page=2">Next</a>',
+    '<style>.a{display:none}.a{display:block}.b{visibility:collapse}</style><a class="a" href="?page=2">2</a><nav class="b"><i>1</i> 2</nav>',
+    '<style>*{visibility:visible}i{display:none}</style><nav>1 <i>2</i></nav><!-- <style>nav{display:none}</style> -->',
+]
+# Character references: one case per form.
+REFERENCE_CASES = ['<button>&#x203A;</button>', '<button>&#X203a;</button>', '<button>&#8250;</button>', '<button>&rsaquo;</button>',
+                   '<button>&RightArrow;</button>', '<button>&rarr</button>', '<button>&gt</button>', '<button>&gtx &notit; &amp;gt;</button>',
+                   '<button>&#155;</button>', '<button>&#x0;&#xD800;&#99999999;&#0062;</button>', '<a href="?page=2&gt=3&amp;x=&eacute;">&laquo</a>',
+                   '<nav>Results 1 &#x2013; 20&nbsp;of 300</nav>', '<i title="&quot;">&unknown; & &#; &#x;</i>']
 OVERLAY = (
-    MIXED + SELECTOR_CASES + NUMBER_CASES
+    MIXED + SELECTOR_CASES + NUMBER_CASES + NESTED_CASES + STYLE_CASES + REFERENCE_CASES
     + [f"<p>{t}</p>" for t in RANGE_CASES]
     + ["<span>" + t.replace("<", "&lt;") + "</span>" for t in dict.fromkeys([*rules.NEXT_KEYWORDS, *rules.NEXT_SYMBOLS, *rules.PAGESELECT_KEYWORDS, *rules.PAGESELECT_SYMBOLS])]
     + [f"<{tag}>{t.capitalize()}</{tag}>" for t in rules.LOADMORE_KEYWORDS for tag in ("button", "a")]
@@ -180,13 +216,30 @@ FROM (SELECT event_id, ts, user_id, event_type, value,
 """
 
 
+# A tagger's link table that differs from the library's own tagging: per page by page_id % 8 a link with an
+# address, without one (texts that stand on the page, lower-cased, long, quoted or nowhere), with and without
+# a display flag, two links, or none.
+_A_TEXT = "lower(trim(regexp_extract(html, '<li><a href=\"[^\"]*\">([a-z][^<]*)</a>', 1)))"
+_B_TEXT = "lower(substr(regexp_extract(html, '<b>[A-Z][^.]*[.] *([^<]*)', 1), 1, 30))"
+LINKS_SQL = f"""
+SELECT page_id, CAST(1 AS INT) AS pos, CASE page_id % 3 WHEN 0 THEN 'NEXT' ELSE 'PAGE' END AS link_type,
+       CASE page_id % 8 WHEN 1 THEN {_A_TEXT} WHEN 2 THEN 'load more' WHEN 3 THEN {_B_TEXT} WHEN 4 THEN 'visitor''s page' WHEN 5 THEN ''
+                        ELSE ' Next ' END AS text,
+       CASE page_id % 8 WHEN 6 THEN '?page=2' WHEN 7 THEN '/nowhere' WHEN 5 THEN '' END AS href,
+       CASE WHEN page_id % 16 >= 8 AND page_id % 8 <> 0 THEN NULL WHEN page_id % 8 = 0 THEN page_id % 5 = 0 ELSE NULL END AS displayed
+FROM pages WHERE page_id % 9 <> 8
+UNION ALL
+SELECT page_id, 2, 'NEXT', {_A_TEXT}, CAST(NULL AS STRING), CASE WHEN page_id % 4 = 1 THEN false END FROM pages WHERE page_id % 5 = 2
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...] = ("pages",)) -> DataFrame:
     """Run a fixture SQL text over the given tables (bound as DataFrame parameters, no views)."""
-    text = sql
+    text = sql.replace("{", "{{").replace("}", "}}")  # braces of the SQL text itself are no parameters
     kwargs = {}
     for t in tables:
         kwargs[f"t_{t}"] = table(spark, sf_dir, t)
@@ -216,6 +269,10 @@ def observations(spark, sf_dir):
     return derive(spark, sf_dir, OBSERVATIONS_SQL)
 
 
+def links(spark, sf_dir):
+    return derive(spark, sf_dir, LINKS_SQL)
+
+
 def verdicts(spark, sf_dir):
     return derive(spark, sf_dir, VERDICTS_SQL)
 

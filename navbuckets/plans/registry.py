@@ -99,7 +99,8 @@ def _page_of(row_id: str = "row_id"):
 @query("url_list_scan")
 def q_url_list_scan(spark, sf):
     path = scratch_path(spark, "url-list-csv")
-    fx.url_list(spark, sf).write.option("header", True).csv(path)
+    fx.url_list(spark, sf).repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("header", True) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     df = io.read_url_list(spark, path, columns=["row_id", "companyName", "companyUrl", "flow"])
     return io.assign_row_ids(df, "line_no")
 
@@ -288,7 +289,7 @@ def q_judge_queue(spark, sf):
 def q_judge_snippet(spark, sf):
     from navbuckets.functions.dom import with_dom
 
-    d = with_dom(_pages(spark, sf).select("page_id", "html"))
+    d = with_dom(_pages(spark, sf).select("page_id", "html"), raw=True)
     return d.select("page_id", judge.snippet().alias("snippet"))
 
 
@@ -430,9 +431,8 @@ def q_first_hit_per_rule(spark, sf):
 
 @query("classify_with_links")
 def q_classify_with_links(spark, sf):
-    """D4 with a precomputed links table (here: the audit link table of the same pages)."""
-    links = E.links(_pages(spark, sf)).select(
-        "page_id", "pos", "link_type", "text", "href", F.col("visible").alias("displayed"))
+    """D4 with a tagger's own links table, partly without addresses and without display flags."""
+    links = fx.links(spark, sf)
     res = classify_pages(_pages(spark, sf), observations=fx.observations(spark, sf),
                          verdicts=fx.verdicts(spark, sf), links=links)
     return res.select("page_id", "url", "branch", "bucket", "bucket_source", "reason")
@@ -451,7 +451,7 @@ def q_judge_prompt(spark, sf):
     from navbuckets.functions.dom import with_dom
 
     pages = _pages(spark, sf)
-    snip = with_dom(pages.select("page_id", "html")).select("page_id", judge.snippet().alias("snippet"))
+    snip = with_dom(pages.select("page_id", "html"), raw=True).select("page_id", judge.snippet().alias("snippet"))
     c = _classified(spark, sf, with_inputs=False).filter(F.col("bucket_source").isin("judge", "fallback"))
     j = c.join(snip, "page_id")
     return j.select("page_id", "branch",

@@ -76,7 +76,7 @@ def frames_from_srcdoc(pages: DataFrame) -> DataFrame:
     tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(IFRAME_RE), F.lit(0))).alias("frame_idx", "tag"))
     docs = tags.withColumn("raw", F.regexp_extract("tag", SRCDOC_RE, 1)).filter(F.length("raw") > 0)
     sub = docs.select("page_id", F.col("frame_idx").cast("int").alias("frame_idx"),
-                      decode_entities(F.substring(F.col("raw"), F.lit(2), F.length("raw") - 2)).alias("html"))
+                      decode_entities(F.substring(F.col("raw"), F.lit(2), F.length("raw") - 2), attribute=True).alias("html"))
     return main.unionByName(sub)
 
 

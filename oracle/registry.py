@@ -7,7 +7,7 @@ from oracle import pages_sql as P
 
 O = {}
 
-_EV = "WITH " + P.dom_ctes(P.pages_input(fx.OVERLAY_PAGES_SQL)) + "," + P.evidence_ctes("intended")
+_EV = "WITH RECURSIVE " + P.dom_ctes(P.pages_input(fx.OVERLAY_PAGES_SQL)) + "," + P.evidence_ctes("intended")
 
 O["classify_pages"] = (P.classify_sql(fx.OVERLAY_PAGES_SQL, fx.OBSERVATIONS_SQL, fx.VERDICTS_SQL)
                        + "\nSELECT page_id, url, branch, bucket, bucket_source, "
@@ -56,7 +56,10 @@ _ADM = (f"ua0 AS (SELECT *, {_blank('companyUrl')} AS blank FROM ul),\n"
         "WHEN row_id = min(row_id) OVER (PARTITION BY url_norm) THEN 'admitted' ELSE 'duplicate_in_input' END AS status "
         "FROM ua1)")
 
-O["url_list_scan"] = None  # rows-only (a CSV written and read back by Spark)
+# a CSV written in row order and read back: blank cells are null, blanks at a cell's ends stay, lines count from 0
+_CELL = "CASE WHEN {0} = '' THEN NULL ELSE {0} END AS {0}"
+O["url_list_scan"] = (f"WITH {_UL} SELECT CAST(row_id AS VARCHAR) AS row_id, " + ", ".join(
+    _CELL.format(c) for c in ("companyName", "companyUrl", "flow")) + ", row_number() OVER (ORDER BY row_id) - 1 AS line_no FROM ul")
 O["url_column_content"] = (
     f"WITH {_UL}, f AS (SELECT " + ", ".join(
         f"coalesce(bool_or(contains(CAST({c} AS VARCHAR), 'http')), false) AS {a}"
@@ -98,7 +101,7 @@ O["url_compare_key"] = (f"SELECT page_id, phase, regexp_replace(split_part(curre
                         f"FROM ({fx.OBSERVATIONS_SQL}) o")
 
 # --------------------------------------------------------------------------- elements
-_DOM = "WITH " + P.dom_ctes(P.pages_input(fx.OVERLAY_PAGES_SQL))
+_DOM = "WITH RECURSIVE " + P.dom_ctes(P.pages_input(fx.OVERLAY_PAGES_SQL))
 O["element_count"] = _DOM + ("\nSELECT p.page_id, CAST(count(e.pos) AS INTEGER) AS n_elements "
                              "FROM pg p LEFT JOIN el e ON e.rid = p.rid GROUP BY p.page_id")
 O["element_displayed"] = _DOM + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, tag, displayed FROM el"
@@ -116,14 +119,15 @@ O["visible_links"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos
 _IFRAME = r"""(?i)<iframe\b[^"'>]*(?:(?:"[^"]*"|'[^']*')[^"'>]*)*>"""
 _SRCDOC = r"""(?i)\ssrcdoc\s*=\s*("[^"]*"|'[^']*')"""
 _FRAMES = (f"SELECT page_id, -1 AS frame_idx, html FROM ({fx.FRAMED_PAGES_SQL}) fp UNION ALL "
-           f"SELECT page_id, CAST(frame_idx AS INTEGER), {decode('raw[2:-2]')} AS html FROM ("
+           f"SELECT page_id, CAST(frame_idx AS INTEGER), {decode('doc', True)} AS html FROM ("
+           f"SELECT page_id, frame_idx, raw[2:-2] AS doc, raw FROM ("
            f"SELECT page_id, frame_idx, regexp_extract(tag, {q(_SRCDOC)}, 1) AS raw FROM ("
            f"SELECT page_id, unnest(regexp_extract_all(html, {q(_IFRAME)})) AS tag, "
            f"generate_subscripts(regexp_extract_all(html, {q(_IFRAME)}), 1) - 1 AS frame_idx "
-           f"FROM ({fx.FRAMED_PAGES_SQL}) fq) y) x WHERE raw <> ''")
-O["frame_scan"] = _FRAMES
+           f"FROM ({fx.FRAMED_PAGES_SQL}) fq) y) z) x, em WHERE raw <> ''")
+O["frame_scan"] = f"WITH {P.EM} {_FRAMES}"
 O["frame_merge"] = (
-    "WITH " + P.dom_ctes(f"SELECT page_id * 1000 + frame_idx + 1 AS rid, page_id, frame_idx, html FROM ({_FRAMES}) fr")
+    "WITH RECURSIVE " + P.dom_ctes(f"SELECT page_id * 1000 + frame_idx + 1 AS rid, page_id, frame_idx, html FROM ({_FRAMES}) fr")
     + "," + P.evidence_ctes("intended") + """,
 fe AS (SELECT p.page_id, p.frame_idx, e.* FROM pg p JOIN ev e ON e.rid = p.rid),
 mn AS (SELECT * FROM fe WHERE frame_idx = -1),
@@ -173,7 +177,31 @@ O["judge_queue"] = _CLS0 + (
     f"\nSELECT page_id, url, branch, {q('How does this job listing reveal further results? Answer with one word from the list.' + chr(10))} || "
     f"CASE WHEN branch = 'structural' THEN {q(_OPT['structural'])} ELSE {q(_OPT['behavioral'])} END || "
     "'Evidence from ' || url || ': ' || all_msgs AS prompt FROM dec WHERE bucket_source IN ('judge', 'fallback')")
-O["judge_snippet"] = None  # rows-only
+_SN = ("""
+sc0 AS (SELECT rid, idx, pos, "end", tag IN ('nav', 'footer') OR coalesce(role, '') = 'navigation' OR """
+       + " OR ".join([P.class_word("cls", w) for w in ("pagination", "pager")]
+                     + [f"contains(coalesce(cls, ''), {q(x)})" for x in ("pagination", "paging")]) + """ AS paging, tag FROM el),
+sc1 AS (SELECT rid, idx, pos, "end" FROM sc0 WHERE paging
+        UNION ALL SELECT rid, arg_min(idx, pos), min(pos), arg_min("end", pos) FROM sc0
+        WHERE tag = 'body' AND rid NOT IN (SELECT rid FROM sc0 WHERE paging) GROUP BY rid),
+si0 AS (SELECT c.rid, c.idx AS cidx, c.pos AS cpos, e.*, row_number() OVER (PARTITION BY c.rid, c.idx ORDER BY e.pos DESC) AS back
+        FROM sc1 c LEFT JOIN el e ON e.rid = c.rid AND e.pos > c.pos AND e.pos < c."end" AND e.tag IN ('a', 'button', 'input', 'span')),
+sh AS (SELECT i.rid, i.cidx, i.idx, string_agg(t.whole, '' ORDER BY t.pos) AS inner_html FROM si0 i JOIN tk t ON t.rid = i.rid AND t.pos >= i.pos AND t.pos < i."end"
+       WHERE i.back <= 30 GROUP BY ALL),
+si AS (SELECT i.rid, i.cidx, i.cpos, i.pos, left(CASE WHEN i.tag IN """ + inlist(P.EMPTY_TAGS) + """ THEN '<' || regexp_extract(sh.inner_html[2:], """ + q(P.MARKUP) + """)
+              ELSE sh.inner_html || CASE WHEN z.close = i.tag THEN '</' || i.tag || '>' ELSE '' END END, 300)
+              || ' (Parent: ' || left(coalesce(u.text, ''), 50) || ')' AS item
+       FROM si0 i LEFT JOIN sh ON sh.rid = i.rid AND sh.cidx = i.cidx AND sh.idx = i.idx LEFT JOIN tk z ON z.rid = i.rid AND z.pos = i."end"
+       LEFT JOIN el u ON u.rid = i.rid AND u.idx = i.up WHERE i.back <= 30),
+sd AS (SELECT rid, cidx, cpos, coalesce(string_agg(item, chr(10) ORDER BY pos) FILTER (item IS NOT NULL), '') AS part FROM si GROUP BY ALL),
+sn AS (SELECT pg.page_id, left(coalesce(string_agg(part, chr(10) || '---CONTAINER---' || chr(10) ORDER BY cpos), ''), 3500) AS snippet
+       FROM pg LEFT JOIN sd ON sd.rid = pg.rid GROUP BY pg.page_id)""")
+O["judge_snippet"] = _DOM + "," + _SN + "\nSELECT page_id, snippet FROM sn"
+O["judge_prompt"] = _CLS0 + "," + _SN + (
+    f"\nSELECT page_id, branch, {q('How does this job listing reveal further results? Answer with one word from the list.' + chr(10))} || "
+    f"CASE WHEN branch = 'structural' THEN {q(_OPT['structural'])} ELSE {q(_OPT['behavioral'])} END || "
+    "'Evidence from ' || url || ': ' || all_msgs || chr(10) || 'Markup of its paging area:' || chr(10) || left(snippet, 3000) AS prompt "
+    "FROM dec JOIN sn USING (page_id) WHERE bucket_source IN ('judge', 'fallback')")
 O["judge_constrained"] = "WITH " + P.verdict_ctes(fx.VERDICTS_SQL) + "\nSELECT page_id, verdict_structural, verdict_behavioral FROM vd"
 _UV = f"""uv0 AS (SELECT page_id, arg_min(answer, attempt) AS answer FROM ({fx.VERDICTS_SQL}) v WHERE kind = 'url_only'
                GROUP BY page_id),
@@ -271,7 +299,8 @@ def _fh(rule, x):
 
 O["first_hit_per_rule"] = _EV + "\n" + " UNION ALL ".join(_fh(r, x) for r, x in _R.rule_entries())
 
-O["classify_with_links"] = O["classify_pages"]
+O["classify_with_links"] = (P.classify_sql(fx.OVERLAY_PAGES_SQL, fx.OBSERVATIONS_SQL, fx.VERDICTS_SQL, links_sql=fx.LINKS_SQL)
+                            + "\nSELECT page_id, url, branch, bucket, bucket_source, bucket || ' <- ' || all_msgs AS reason FROM dec")
 
 O["scroll_confirm_events"] = ("WITH " + P.measurement_ctes(fx.EVENT_OBSERVATIONS_SQL)
                               + f"\nSELECT page_id, CAST({_SCROLL} AS INTEGER) AS scroll_try FROM ms")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from conftest import page
 from navbuckets.operators.elements import elements
 
@@ -48,8 +50,8 @@ def test_page_is_tokenized_once_in_the_plan(spark):
     assert plan.count("^[^<]*,") == 1
 
 
-def test_many_hidden_ranges_use_counting_path(spark):
-    # > HIDDEN_SCAN_MAX hidden ranges: the sort-based coverage count must agree with the rule
+def test_many_hidden_ranges(spark):
+    # hidden ranges one after another and below each other
     hidden = "".join(f'<div style="display:none"><span>h{i}</span></div>' for i in range(40))
     html = page(hidden + '<div><span>shown</span></div><div hidden><p><a href="x">deep</a></p></div>')
     els = _els(spark, html)
@@ -57,3 +59,113 @@ def test_many_hidden_ranges_use_counting_path(spark):
     assert spans["shown"] is True and not any(spans[f"h{i}"] for i in range(40))
     assert [e["displayed"] for e in els if e["tag"] == "a"] == [False]
     assert all(e["displayed"] for e in els if e["tag"] in ("html", "body", "article"))
+
+
+def test_ranges_follow_the_stack_of_open_elements(spark):
+    def shape(html):
+        return [(e["tag"], e["full_text"], e["up"]) for e in _els(spark, html)]
+
+    # an unclosed element ends with its parent; list items, cells and paragraphs end each other
+    assert shape("<div><p>x<b>y</div>z") == [("div", "xy", 0), ("p", "xy", 1), ("b", "y", 2)]
+    assert shape("<ul><li>a<ul><li>b</ul><li>c</ul>") == [("ul", "abc", 0), ("li", "ab", 1), ("ul", "b", 2), ("li", "b", 3), ("li", "c", 1)]
+    assert shape("<table><tr><td>1<td>2<tr><td>3</table>") == [
+        ("table", "123", 0), ("tr", "12", 1), ("td", "1", 2), ("td", "2", 2), ("tr", "3", 1), ("td", "3", 5)]
+    assert shape("<p>a<div>b</div>") == [("p", "a", 0), ("div", "b", 0)]
+    # a closing tag does not reach out of a cell, and one without an open element is ignored
+    assert shape("<div><table><tr><td>a</div>b</table>c</div>")[0] == ("div", "abc", 0)
+    assert shape("</i><b>x</i>y</b>") == [("b", "xy", 0)]
+    # the head ends where the body begins, also without tags of its own
+    assert [e["displayed"] for e in _els(spark, "<html><head><title>t</title><p>x") if e["tag"] == "p"] == [True]
+    # text-only elements hold no tags
+    assert shape("<textarea><a>x</a></TEXTAREA ><i>y</i>") == [("textarea", "<a>x</a>", 0), ("i", "y", 0)]
+    assert _els(spark, "") == [] and _els(spark, "no tags & <") == []
+
+
+def test_ranges_equal_a_plain_stack_machine(spark):
+    import random
+
+    from navbuckets.functions import dom
+
+    def plain(tokens):
+        open_, out, n = [], {}, 0
+        scopes = {t: s for ts, s in dom.CLOSE_SCOPE for t in ts}
+        for k, (tag, close) in enumerate(tokens, 2):
+            ends, shield = ([close], scopes.get(close, dom.SCOPE)) if close else ([], [])
+            for tags, names, scope in dom.IMPLIED_ENDS:
+                if tag in tags and not ends:
+                    ends, shield = names, scope
+            inner = [name for name, _ in reversed(open_)]
+            place = {x: inner.index(x) + 1 for x in {*ends, *shield} if x in inner}
+            nearest = min([place[x] for x in shield if x in place], default=len(inner) + 1)
+            far = max([place[x] for x in ends if place.get(x, 1 << 30) < nearest], default=0)
+            for _ in range(far):
+                name, idx = open_.pop()
+                out[idx][1] = k
+            if tag:
+                n += 1
+                out[n] = [k, k + 1 if tag in dom.VOID_TAGS else None, open_[-1][1] if open_ else 0]
+                if tag not in dom.VOID_TAGS:
+                    open_.append((tag, n))
+        return {i: (p, e or len(tokens) + 2, u) for i, (p, e, u) in out.items()}
+
+    rnd = random.Random(3)
+    names = ["div", "p", "ul", "li", "table", "tr", "td", "span", "a", "button", "br", "dl", "dt", "dd", "option", "select", "tbody"]
+    pages = []
+    for i in range(60):
+        toks = [(rnd.choice(names), "") if rnd.random() < 0.6 else ("", rnd.choice(names)) for _ in range(rnd.choice([5, 40, 300]))]
+        pages.append((i, toks))
+    df = spark.createDataFrame([(i, "".join(f"<{t}>" if t else f"</{c}>" for t, c in toks)) for i, toks in pages], "page_id long, html string")
+    got = {}
+    for r in elements(df).select("page_id", "idx", "pos", "end", "up").collect():
+        got.setdefault(r.page_id, {})[r.idx] = (r.pos, r.end, r.up)
+    for i, toks in pages:
+        assert got.get(i, {}) == plain(toks), "".join(f"<{t}>" if t else f"</{c}>" for t, c in toks)
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+
+    from navbuckets.plans.classify import page_evidence
+
+    deep = "<div class='page'>" * 2000 + "word " * 24000 + "</div>" * 2000  # 120 KB below 2,000 elements
+    ones = "<body>" + "<p><i><span>1</span></i></p>" * 4000 + "</body>"
+    flat = "<body>" + "<span>1</span> " * 20000 + "</body>"
+    for html in (deep, ones, flat):
+        t = time.time()
+        ev = page_evidence(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()[0].ev
+        assert not ev.pageselect and time.time() - t < 60, time.time() - t
+
+
+def test_entities_in_one_pass(spark):
+    import html
+
+    from navbuckets.functions.text import decode_entities
+
+    texts = ["&amp;gt;", "&#x203A;&#X203a;&#8250;&#0008250", "&notit; &notin; &copy2 &nbsp;x", "&#0; &#x110000; &#xD800; &#128; &#159; &#129;",
+             "&unknown; a&b & &; &#; &#x; &#xg;", "plain", "", "&lt&gt&amp&quot", "&CounterClockwiseContourIntegral; &NotEqualTilde;", "&#99999999999999999999;", "a&amp"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", decode_entities(F.col("t")).alias("d")).collect():
+        want = html.unescape(r.t).replace("\u00a0", " ")
+        assert r.d == want.replace(html.unescape("&#129;"), "\x81"), r.t
+    held = spark.createDataFrame([("?a=1&lt=2&copy=3&amp;b&gt;&copy",)], "t string").select(decode_entities(F.col("t"), attribute=True)).first()[0]
+    assert held == "?a=1&lt=2&copy=3&b>©"
+
+
+def test_outer_markup(spark):
+    from navbuckets.functions.dom import outer_html, pin, with_dom
+
+    d = with_dom(spark.createDataFrame([(1, "<p id=a>x<b>y</b> &amp;<br>z<p>w")], "page_id long, html string"), raw=True)
+    got = d.select(pin(F.transform("els", lambda e: outer_html(e, 12)), "els", "_toks")).first()[0]
+    assert got == ["<p id=a>x<b>", "<b>y</b>", "<br>", "<p>w"]
+
+
+def test_cascade_of_stylesheet_rules(spark):
+    def shown(style, tag):
+        return [e["displayed"] for e in _els(spark, f"<style>{style}</style>{tag}x")][0]
+
+    assert not shown(".a{display:none}", "<i class='b a'>") and shown(".a{display:none}", "<i class='aa'>")
+    assert not shown("#k.a, i{visibility:hidden}", "<i>") and shown("b#k{display:none}", "<i id=k>")
+    assert shown(".a{display:none} i.a{display:block}", "<i class=a>") and not shown(".a{display:none!important} i.a{display:block}", "<i class=a>")
+    assert shown("i{display:none}", "<i style='display:inline'>") and not shown("i{display:none !important}", "<i style='display:inline'>")
+    assert shown("i{display:flex}", "<i hidden>") and not shown("i{color:red}", "<i hidden>")
+    assert shown("div i{display:none} i:hover{display:none} i[x]{display:none} @media print{i{display:none}} /*i{display:none}*/", "<i>")

@@ -23,6 +23,22 @@ def ev(spark, body):
     ("<span><i></i>Next</span>", {"r2": "next"}),
     ("<span><i>Next</i></span>", {"r2": None}),
     ("<nav>Results 1 &ndash; 20 of 300</nav>", {"r4": True}),
+    ('<div><p hidden>x</div><a href="?page=2">Next</a>', {"next": True, "r2": "next", "has_links": True}),
+    ('<nav><span>1</span> <span style="display:none">2</span></nav>', {"r8": None, "r9": False}),
+    ('<button>Next<span hidden> top</span></button><a href="?page=2">2</a>', {"r2": "next", "pageselect": True}),
+    ("<button>Next<b> top</b></button>", {"r2": None}),
+    ("<button>&#x203A;</button>", {"r5": "›"}),
+    ("<button>&#8250</button>", {"r5": "›"}),
+    ("<button>&gtx</button>", {"r2": ">"}),
+    ('<textarea><a href="?page=2">Next</a></textarea>', {"has_links": False, "next": False}),
+    ('<noscript><a href="?page=2">Next</a></noscript>', {"has_links": False}),
+    ('<iframe><a href="?page=2">Next</a></iframe>', {"has_links": False, "r2": None}),
+    ('<ul hidden><li><a href="?page=2">Next</a></ul>', {"has_links": True, "next": False}),
+    ('<ul><li hidden>x<li><a href="?page=2">Next</a></ul>', {"next": True}),
+    ('<table><tr><td hidden>x<td><a href="?page=2">2</a></table>', {"pageselect": True}),
+    ('<style>.gone{display:none}</style><a class="gone" href="?page=2">Next</a>', {"next": False, "has_links": True}),
+    ('<style>.gone{display:none}a.gone{display:inline}</style><a class="gone" href="?page=2">Next</a>', {"next": True}),
+    ('<style>@media print{a{display:none}}</style><a href="?page=2">Next</a>', {"next": True}),
     ("<p>a < b and c</p><a href='?page=2'>2</a>", {"has_links": True, "pageselect": True}),
 ])
 def test_markup(spark, body, expect):
