@@ -150,7 +150,8 @@ ENDS = [[], *[[] for _ in CLOSE_SCOPE], *[e for _, e, _ in IMPLIED_ENDS]]
 
 def _table(lists: list[list[str]]) -> Column:
     """Lists of names as one constant."""
-    return F.array(*[F.array(*[F.lit(n) for n in names]).cast("array<string>") for names in lists])
+    rows = ["array(" + ", ".join(f"'{n}'" for n in names) + ")" if names else "cast(array() as array<string>)" for names in lists]
+    return F.expr("array(" + ", ".join(rows) + ")")
 
 
 def tokens(clean: Column, raw: bool = False) -> Column:

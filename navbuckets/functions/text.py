@@ -53,7 +53,7 @@ def _code_point(ref: Column) -> Column:
     digits = F.regexp_replace(F.when(is_hex, F.substring(ref, F.lit(3), F.length(ref))).otherwise(F.substring(ref, F.lit(2), F.length(ref))), "^0+", "")
     number = F.when(F.length(digits) > 7, F.lit(1 << 30)).otherwise(
         F.coalesce(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"), F.lit(0)))
-    c1 = F.element_at(F.array(*[F.lit(n or 128 + i) for i, n in enumerate(C1_NUMBERS)]), F.greatest(F.least(number - 127, F.lit(32)), F.lit(1)))
+    c1 = F.element_at(F.expr("array(" + ", ".join(str(n or 128 + i) for i, n in enumerate(C1_NUMBERS)) + ")"), F.greatest(F.least(number - 127, F.lit(32)), F.lit(1)))
     valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     point = F.when(~valid, F.lit(0xFFFD)).when(number.between(128, 159), c1).otherwise(number)
     return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")

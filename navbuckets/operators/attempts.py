@@ -58,17 +58,22 @@ def is_error(bucket: Column, worker: bool = True) -> Column:
     return bucket.startswith("error:" if worker else "error")
 
 
-def resolve_attempts(attempts: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def resolve_attempts(attempts: DataFrame, verdicts: DataFrame | None = None, silence: str | None = None) -> DataFrame:
     """Per page the first successful outcome among the first three attempts; otherwise the
     URL-only judge verdict; otherwise 'error: timeout_max_retries' when the last attempt
     returned an error, or 'error: ' + message[:50] when it raised ('error: unknown' without one).
 
-    Output: page_id, bucket, bucket_source, n_attempts, last_error.
+    ``silence`` ends a page's run after so long a time without an attempt (by ``ts``): a later attempt
+    begins another run with a row of its own, told apart by ``started``, its first ``ts``.
+
+    Output: page_id, bucket, bucket_source, n_attempts, last_error[, started].
     """
     a = attempts.filter(F.col("attempt") <= MAX_ATTEMPTS)
     ok = F.col("outcome").isNotNull() & ~is_error(F.col("outcome"))
     last_err = F.when(F.col("outcome").isNotNull(), F.col("outcome")).otherwise(F.col("error_message"))
-    g = a.groupBy("page_id").agg(
+    runs = [] if silence is None else [F.session_window("ts", silence).alias("run")]
+    started = [] if silence is None else [F.col("run.start").alias("started")]
+    g = a.groupBy("page_id", *runs).agg(
         F.min(F.when(ok, F.struct("attempt", "outcome")))["outcome"].alias("success"),
         F.min(F.when(ok, F.col("attempt"))).alias("success_attempt"),
         F.max(F.struct("attempt", F.col("outcome").isNull().alias("raised"), "error_message",
@@ -88,4 +93,4 @@ def resolve_attempts(attempts: DataFrame, verdicts: DataFrame | None = None) ->
     source = (F.when(F.col("success").isNotNull(), F.concat(F.lit("attempt "), F.col("success_attempt").cast("string")))
               .when(F.col("judge_bucket").isNotNull(), F.col("judge_source")).otherwise(F.lit("error")))
     return g.select("page_id", bucket.alias("bucket"), source.alias("bucket_source"), "n_attempts",
-                    F.when(F.col("success").isNull(), last["err"]).alias("last_error"))
+                    F.when(F.col("success").isNull(), last["err"]).alias("last_error"), *started)

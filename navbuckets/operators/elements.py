@@ -57,16 +57,44 @@ def links(pages: DataFrame) -> DataFrame:
     return d.select("page_id", F.inline("l"))
 
 
+def _grams(text, sizes: list[int]):
+    """The distinct substrings of ``text`` of the given sizes ('' for size 0)."""
+    def of(n: int):
+        last = F.length(text) - n + 1
+        cut = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+        return F.array(F.lit("")) if n == 0 else F.coalesce(cut, F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+GRAM = 3
+
 
 def custom_rules(elements_df: DataFrame, rules: DataFrame) -> DataFrame:
     """User rules ``(rule_id, tag, needle)`` matched against displayed elements whose
-    ASCII-lower-cased first text contains the needle. An equi-join on ``tag`` (never a cross
-    join); Spark broadcasts the rule table only if its measured size allows it.
+    ASCII-lower-cased first text contains the needle.
+
+    Every needle is keyed by that of its three-letter substrings (of itself, if shorter) which the
+    fewest distinct texts of its tag hold, and texts by all of theirs, so the join by (tag, gram) meets few
+    pairs that the exact check rejects, however many rules there are and however common a tag is.
+    Distinct texts are matched once and joined back to their elements, so a text on every page is no hot
+    group of the match. Rules with a null tag or needle match nothing, an empty needle every element of its
+    tag; a repeated rule counts once.
 
     Output: page_id, rule_id, first_pos, n_hits (per page and rule)."""
     from navbuckets.functions.dom import alow
-
-    r = rules.select("rule_id", "tag", F.lower(F.col("needle")).alias("needle"))
-    e = elements_df.filter("displayed").select("page_id", "pos", "tag", alow(F.col("first_text")).alias("ft"))
-    j = e.join(r, "tag").filter(F.col("ft").contains(F.col("needle")))
-    return j.groupBy("page_id", "rule_id").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_hits"))
+    from navbuckets.session import materialize
+
+    r = rules.select("rule_id", "tag", F.lower(F.col("needle")).alias("needle")).where("tag is not null and needle is not null").distinct()
+    sizes = sorted(x.n for x in r.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct().collect())  # at most GRAM + 1
+    shown = materialize(elements_df.filter("displayed").select("page_id", "pos", "tag", alow(F.col("first_text")).alias("ft")))
+    texts = shown.select("tag", "ft").distinct()
+    keyed = materialize(texts.join(r.select("tag").distinct(), "tag", "left_semi").select(
+        "tag", "ft", F.explode(_grams(F.col("ft"), sizes or [0])).alias("gram")))
+    held = keyed.groupBy("tag", "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.filter(_grams(F.col("needle"), sizes or [0]), lambda g: F.length(g) == F.least(F.length("needle"), F.lit(GRAM)))
+    rarest = (r.select("*", F.explode(own).alias("gram")).join(held, ["tag", "gram"], "left").groupBy("rule_id", "tag", "needle")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("k"))
+              .where("k.n > 0").select("rule_id", "tag", "needle", F.col("k.gram").alias("gram")))
+    hits = keyed.join(rarest, ["tag", "gram"]).where(F.col("ft").contains(F.col("needle"))).select("tag", "ft", "rule_id", "needle")
+    return shown.join(hits, ["tag", "ft"]).groupBy("page_id", "rule_id").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_hits"))

@@ -170,6 +170,18 @@ def q_result_projection(spark, sf):
     return io.result_projection(_results(spark, sf), URL_COL)
 
 
+@query("result_sink")
+def q_result_sink(spark, sf):
+    """Two committed runs, one of them repeated, read back with the number of each row."""
+    path = scratch_path(spark, "results")
+    rows = io.result_projection(_attempt_results(spark, sf), URL_COL)
+    late = F.pmod(F.col("row_id"), F.lit(3)) == 0
+    io.commit_results(rows.where(~late), path, "a-first")
+    io.commit_results(rows.where(late).withColumn("bucket", F.lit("pending")), path, "b-late")
+    io.commit_results(rows.where(late), path, "b-late")  # replaces its own rows only
+    return io.read_results(spark, path, "row_id long, companyUrl string, bucket string")
+
+
 @query("result_full")
 def q_result_full(spark, sf):
     return _results(spark, sf).select("row_id", "companyName", URL_COL, F.col("bucket").alias("flow"))
@@ -374,6 +386,40 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(out).select("url_norm")
 
 
+@query("stream_first_rows")
+def q_stream_first_rows(spark, sf):
+    """T1 with the winning row, on a list whose later rows are read first."""
+    path = scratch_path(spark, "url-list")
+    urls = fx.url_list(spark, sf)
+    for part in (2, 0, 1):
+        urls.where(F.pmod(F.col("row_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+    out, ck = S.stream_folder(spark, "stream-first")
+    S.run_to_end(S.upsert_writer(S.first_rows_stream(S.file_stream(spark, path, urls.schema), URL_COL), out), None, ck)
+    return S.latest(spark, out, "url_norm")
+
+
+SILENCE = "1 day"
+
+
+@query("stream_runs")
+def q_stream_runs(spark, sf):
+    """T3 with an end: attempts in files by time; a last row far ahead closes every run."""
+    path = scratch_path(spark, "attempts")
+    log = fx.attempts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    span = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cut = [span.a + (span.b - span.a) * k / 3 for k in range(4)] if span.a else []
+    for k in range(len(cut) - 1):
+        part = log.where((F.col("ts") >= F.lit(cut[k])) & ((F.col("ts") < F.lit(cut[k + 1])) if k < 2 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    end = log.groupBy().agg(F.lit(None).cast("long").alias("page_id"), F.lit(1).alias("attempt"), F.lit("next").alias("outcome"),
+                            F.lit(None).cast("string").alias("error_message"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    end.select(log.columns).coalesce(1).write.mode("append").parquet(path)
+    out, ck = S.stream_folder(spark, "stream-runs")
+    runs = S.resolve_runs_stream(S.file_stream(spark, path, log.schema), fx.verdicts(spark, sf), SILENCE)
+    S.run_to_end(runs.writeStream.format("parquet").outputMode("append"), out, ck)
+    return spark.read.schema(runs.schema).parquet(out).where("page_id is not null")
+
+
 @query("stream_classify")
 def q_stream_classify(spark, sf):
     out, ck = S.stream_folder(spark, "stream-classify")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +95,80 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", row_id: str =
         w.format(fmt).save(path)
 
 
+def commit_results(df: DataFrame, path: str, run_id: str, row_id: str = "row_id") -> None:
+    """S8/S9 committed: the rows of one run, in order of ``row_id`` across and within its files, and a
+    manifest that names the files with their first row and number of rows, in that order.
+
+    Data files go to a folder of their own, which no reader knows until the manifest is written after
+    them, so a run that fails or is repeated never shows half of its rows. A repeated run writes a newer
+    manifest and thereby replaces its own rows only. What a failed or replaced run left is removed by
+    ``clean_results``. ``run_id``: letters, digits, '-' and '_'.
+    """
+    spark, folder = df.sparkSession, f"{path.rstrip('/')}/data/{run_id}-{uuid.uuid4().hex}"
+    write_results(df, folder, row_id=row_id)
+    done = spark.read.schema(df.schema).parquet(folder)
+    files = done.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(row_id).cast("string").alias("first_row"), F.count(F.lit(1)).alias("n"),
+                                                                         F.min(row_id).alias("first"))
+    listed = files.select(F.lit(run_id).alias("run_id"), F.lit(folder).alias("folder"), "file", "first_row", "n",
+                          F.row_number().over(Window.orderBy("first")).alias("ordinal"))  # one row a file
+    empty = spark.createDataFrame([(run_id, folder, None, None, 0, 0)], MANIFEST.rsplit(",", 1)[0])  # an empty run is a run too
+    versions = [int(r.version) for r in manifests(spark, path).where(F.col("run_id") == run_id).select("version").distinct().collect()]
+    listed.union(empty).withColumn("version", F.lit(max(versions, default=0) + 1)).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/manifest")
+
+
+MANIFEST = "run_id string, folder string, file string, first_row string, n long, ordinal int, version int"
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """All manifests written below ``path`` (one row per file and version); none if there are none yet."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def current_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of each run's newest manifest with ``before``, the number of rows ahead of each file:
+    runs by name, files in their order. One row a file."""
+    every = manifests(spark, path)
+    newest = every.groupBy("run_id").agg(F.max("version").alias("version"))
+    files = every.join(newest, ["run_id", "version"]).where("file is not null")
+    ahead = Window.orderBy("run_id", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+
+
+def read_results(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """O1: the committed rows (``columns``: their DDL) with ``run_id`` and ``line_no``, dense from 0 in the order
+    of runs, files and positions in a file: each row's number is its position in its file plus the
+    rows ahead of the file, so nothing is sorted. Only files of a newest manifest are read."""
+    files = current_files(spark, path)
+    folders = [r.folder for r in files.select("folder").distinct().collect()]  # one a run
+    if not folders:
+        return spark.createDataFrame([], f"{columns}, run_id string, line_no long")
+    rows = spark.read.schema(columns).parquet(*folders)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("__at"))
+    out = placed.join(F.broadcast(files.select("file", "run_id", "before")), "file")
+    return out.withColumn("line_no", F.col("before") + F.col("__at")).drop("file", "before", "__at")
+
+
+def clean_results(spark: SparkSession, path: str) -> list[str]:
+    """Remove the data folders that no newest manifest names (replaced and failed runs); not while a
+    run is being written. Returns their names."""
+    base = f"{path.rstrip('/')}/data"
+    kept = {r.folder for r in current_files(spark, path).select("folder").distinct().collect()}
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        return []
+    names = {f.rsplit("/", 1)[-1] for f in kept}
+    gone = [s.getPath() for s in fs.listStatus(jvm_path) if s.getPath().getName() not in names]
+    for p in gone:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in gone)
+
+
 def result_projection(results: DataFrame, url_col: str, row_id: str = "row_id") -> DataFrame:
     """The URL column renamed to ``companyUrl`` (original, unnormalized text) and ``bucket``."""
     r = results.withColumnRenamed(url_col, "companyUrl") if url_col != "companyUrl" else results
@@ -106,8 +183,6 @@ def assign_row_ids(df: DataFrame, col: str = "row_id") -> DataFrame:
     checkpoint, so a recomputation cannot renumber them); counts per split give each split's
     offset. Only the offsets -- one row per split -- are broadcast; no global sort, no
     single-task window over the rows. Without files behind ``df`` the partitions are the splits."""
-    from pyspark.sql import Window
-
     from navbuckets.session import materialize
 
     split = ["_file", "_start", "_pid"]

@@ -1,11 +1,14 @@
 """Structured Streaming versions.
 
-* T1 ``dedup_stream``: each normalized URL taken once (state by URL; optionally once per window).
+* T1 ``dedup_stream``: each normalized URL taken once (state by URL; optionally once per window);
+  ``first_rows_stream``: the winning row of each URL, as in batch, however the rows arrive.
 * T2 ``classify_stream``: the batch classifier on a stream of snapshots -- the evidence is a
   per-row projection, measurements/verdicts are stream-static joins.
 * T3 ``resolve_attempts_stream``: attempts resolved as they arrive by the batch operator's own
   aggregation, in update mode: a page's row is emitted anew whenever an attempt changes it, so
   pages with one or two attempts have a row too and late attempts correct it.
+  ``resolve_runs_stream`` ends a page's run after a stated silence instead: its row is emitted once,
+  its state is given up, and attempts that come too late are counted (``late_rows``).
 * T4 ``progress_stream``: per-micro-batch bucket counts, written idempotently by batch id.
 * T5: restart = the checkpoint location; ``availableNow`` runs end by themselves.
 """
@@ -59,6 +62,14 @@ def dedup_stream(stream: DataFrame, url_col: str, event_time: str | None = None,
     return d.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url_norm"])
 
 
+def first_rows_stream(stream: DataFrame, url_col: str, row_id: str = "row_id") -> DataFrame:
+    """T1 with W1's winner: per normalized URL the smallest ``row_id``, for update mode. A URL's row is
+    emitted again only when a smaller one arrives, so the newest row of each URL (``upsert_writer``,
+    ``latest``) is the batch result whatever the order of arrival. The state is one row per URL."""
+    d = stream.filter(~is_blank_url(F.col(url_col))).withColumn("url_norm", normalize_url(F.col(url_col)))
+    return d.groupBy("url_norm").agg(F.min(row_id).alias(row_id))
+
+
 def classify_stream(pages: DataFrame, observations: DataFrame | None = None,
                     verdicts: DataFrame | None = None) -> DataFrame:
     """Same operators as batch; the static inputs are joined per micro-batch."""
@@ -73,6 +84,26 @@ def resolve_attempts_stream(attempts: DataFrame, verdicts: DataFrame | None = No
     return att.resolve_attempts(attempts, verdicts)
 
 
+def resolve_runs_stream(attempts: DataFrame, verdicts: DataFrame | None = None, silence: str = "1 day",
+                        delay: str = "1 hour") -> DataFrame:
+    """T3 with an end: a page's run of attempts (``ts``) is over when ``silence`` has passed since its last
+    one; then its row is emitted (append mode) and its state is dropped, so the state holds only the
+    runs open within ``silence`` and ``delay`` of the newest attempt. ``delay`` is how far out of order attempts may
+    come; older ones are left out and counted by ``late_rows``. Without late rows the result is that of
+    ``resolve_attempts(..., silence=silence)`` for all runs that are over."""
+    return att.resolve_attempts(attempts.withWatermark("ts", delay), verdicts, silence)
+
+
+def late_rows(query) -> int:
+    """Input rows that a finished stream left out because they came behind the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def open_state(query) -> list[int]:
+    """Rows in the state after each micro-batch of a finished stream."""
+    return [sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress]
+
+
 def upsert_writer(updates: DataFrame, path: str):
     """Update-mode rows, each micro-batch in its own folder (a retried batch overwrites itself)."""
 

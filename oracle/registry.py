@@ -268,6 +268,25 @@ O = {k: v for k, v in O.items() if v is not None}
 # --------------------------------------------------------------------------- streaming (stream result = batch result)
 O["stream_dedup"] = (f"WITH {_UL} SELECT DISTINCT {_norm('companyUrl')} AS url_norm FROM ul "
                      f"WHERE NOT {_blank('companyUrl')}")
+O["stream_first_rows"] = (f"WITH {_UL} SELECT {_norm('companyUrl')} AS url_norm, min(row_id) AS row_id FROM ul "
+                          f"WHERE NOT {_blank('companyUrl')} GROUP BY ALL")
+O["result_sink"] = _AR + (",\nrl AS (SELECT row_id, companyUrl, bucket, CASE WHEN row_id % 3 = 0 THEN 'b-late' ELSE 'a-first' END AS run_id FROM rs)\n"
+                          "SELECT row_id, companyUrl, bucket, run_id, row_number() OVER (ORDER BY run_id, row_id) - 1 AS line_no FROM rl")
+# runs of attempts: a row a day or more behind the one before it (of its page) begins another
+_RUNS = f"""rr0 AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY page_id ORDER BY ts) + INTERVAL 1 DAY AS apart FROM ({fx.ATTEMPTS_SQL}) a0 WHERE attempt <= 3),
+rr AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ts) AS run FROM rr0),
+rg AS (SELECT page_id, run, min(ts) AS started, CAST(count(*) AS INTEGER) AS n_attempts,
+         arg_min(outcome, attempt) FILTER (WHERE outcome IS NOT NULL AND NOT starts_with(outcome, 'error:')) AS success,
+         min(attempt) FILTER (WHERE outcome IS NOT NULL AND NOT starts_with(outcome, 'error:')) AS success_attempt FROM rr GROUP BY page_id, run),
+rx AS (SELECT page_id, run, outcome IS NULL AS raised, error_message, coalesce(outcome, error_message) AS err FROM rr
+       QUALIFY row_number() OVER (PARTITION BY page_id, run ORDER BY attempt DESC) = 1)"""
+O["stream_runs"] = f"""WITH {_UV}, {_RUNS}
+SELECT g.page_id, g.n_attempts, g.started, CASE WHEN success IS NULL THEN l.err END AS last_error,
+       CASE WHEN success IS NOT NULL THEN success WHEN uv.judge_bucket IS NOT NULL THEN uv.judge_bucket
+            WHEN l.raised THEN coalesce('error: ' || substring(l.error_message, 1, 50), 'error: unknown') ELSE 'error: timeout_max_retries' END AS bucket,
+       CASE WHEN success IS NOT NULL THEN 'attempt ' || CAST(success_attempt AS VARCHAR) WHEN uv.judge_bucket IS NOT NULL THEN uv.judge_source
+            ELSE 'error' END AS bucket_source
+FROM rg g JOIN rx l ON l.page_id = g.page_id AND l.run = g.run LEFT JOIN uv ON uv.page_id = g.page_id"""
 O["stream_classify"] = O["classify_pages"]
 O["stream_results"] = _CLS + "\nSELECT page_id, bucket FROM dec WHERE length(bucket) > 0"
 O["stream_attempts"] = O["resolve_attempts"]

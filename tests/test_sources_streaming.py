@@ -150,3 +150,65 @@ def test_stream_dedup_takes_each_url_once_over_hours_and_files(spark, monkeypatc
     monkeypatch.setattr(registry, "_stage_parquet", staged)
     got = sorted(r.url_norm for r in registry.Q["stream_dedup"](spark, "unused").collect())
     assert got == ["https://a", "https://b", "https://c", "https://late"]
+
+
+def test_runs_end_after_a_silence_and_late_rows_are_counted(spark):
+    from navbuckets.operators.attempts import resolve_attempts
+    from navbuckets.streaming import stream as S
+
+    import datetime as dt
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    files = [[(p, 1, None, "timed out", day(d, p % 5)) for p in range(20 * d, 20 * d + 20)] for d in range(12)]
+    files[1].append((3, 2, "next", None, day(0, 20)))     # a second attempt of an open run
+    files[6].append((3, 3, "loadmore", None, day(6, 1)))  # the page again: another run
+    on_time = [r for f in files for r in f]
+    files[8].append((5, 2, "next", None, day(0, 6)))      # far behind the watermark
+    files.append([(None, 1, "next", None, day(60))])      # closes every run
+    schema = "page_id long, attempt int, outcome string, error_message string, ts timestamp"
+    path = tempfile.mkdtemp(prefix="nb-runs-") + "/log"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    out, ck = S.stream_folder(spark, "runs")
+    runs = S.resolve_runs_stream(S.file_stream(spark, path, spark.createDataFrame([], schema).schema), None, "1 day", "1 hour")
+    q = S.run_to_end(runs.writeStream.format("parquet").outputMode("append"), out, ck)
+    got = sorted(map(tuple, spark.read.schema(runs.schema).parquet(out).where("page_id is not null").collect()))
+    assert got == sorted(map(tuple, resolve_attempts(spark.createDataFrame(on_time, schema), silence="1 day").collect()))
+    assert len(got) == 241 and [r[1:4] for r in got if r[0] == 3] == [("loadmore", "attempt 3", 1), ("next", "attempt 2", 2)]
+    assert S.late_rows(q) == 1
+    assert max(S.open_state(q)) <= 70  # a few days' runs, not all 241
+
+
+def test_first_rows_whatever_the_order_of_arrival(spark):
+    from navbuckets.operators.admission import url_admission
+    from navbuckets.streaming import stream as S
+
+    rows = [(5, "https://a"), (1, " https://a "), (3, "b"), (9, "https://b"), (0, None), (7, "c"), (2, "https://c")]
+    path = tempfile.mkdtemp(prefix="nb-first-") + "/log"
+    df = spark.createDataFrame(rows, "row_id long, companyUrl string")
+    for part in ([5, 9, 0], [1, 7], [3, 2]):
+        df.where(F.col("row_id").isin(part)).coalesce(1).write.mode("append").parquet(path)
+    out, ck = S.stream_folder(spark, "first")
+    S.run_to_end(S.upsert_writer(S.first_rows_stream(S.file_stream(spark, path, df.schema), "companyUrl"), out), None, ck)
+    want = url_admission(df, "companyUrl").where("status = 'admitted'").select("url_norm", "row_id")
+    assert sorted(map(tuple, S.latest(spark, out, "url_norm").select("url_norm", "row_id").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_committed_results_replace_their_own_run_only(spark):
+    import pytest
+
+    base = tempfile.mkdtemp(prefix="nb-sink-") + "/r"
+    ddl = "row_id long, bucket string"
+    assert io.read_results(spark, base, ddl).collect() == []
+    rows = lambda a, b, v: spark.range(a, b).select(F.col("id").alias("row_id"), F.lit(v).alias("bucket")).repartition(4)
+    io.commit_results(rows(0, 100, "x"), base, "one")
+    io.commit_results(rows(500, 700, "old"), base, "two")
+    with pytest.raises(Exception, match="broken"):  # fails before its manifest: nothing of it is seen
+        io.commit_results(rows(500, 700, "bad").withColumn("bucket", F.when(F.col("row_id") > 600, F.raise_error(F.lit("broken"))).otherwise("bad")), base, "two")
+    assert io.read_results(spark, base, ddl).where("bucket = 'old'").count() == 200
+    io.commit_results(rows(500, 650, "new"), base, "two")
+    io.commit_results(rows(0, 0, "none"), base, "zero")
+    got = sorted((r.line_no, r.run_id, r.row_id, r.bucket) for r in io.read_results(spark, base, ddl).collect())
+    assert got == [(i, "one", i, "x") for i in range(100)] + [(100 + i, "two", 500 + i, "new") for i in range(150)]
+    assert len(io.clean_results(spark, base)) >= 2 and io.read_results(spark, base, ddl).count() == 250
+    io.commit_results(rows(0, 0, "none"), base, "one")  # an empty repetition empties its run
+    assert io.read_results(spark, base, ddl).select("run_id").distinct().collect()[0][0] == "two"
