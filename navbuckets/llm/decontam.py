@@ -48,7 +48,11 @@ class TestBlock:
         self.need = np.minimum(lengths, window)  # words of a match that make a window, by item
         joined = " ".join(w for ws in self.words for w in ws).encode()
         hashes = Words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), ALNUM_WORDS).hashes
-        self.vocab, ids = np.unique(hashes, return_inverse=True)
+        self.vocab, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        every = [w for ws in self.words for w in ws]
+        self.spelled = [every[i] for i in at]
+        if len(set(every)) != len(self.spelled):
+            raise ValueError("two words of the test set have one hash")
         self.flat = ids.astype(np.int64) + 1
         self.first = np.concatenate([[0], np.cumsum(lengths)])
         self.item = np.repeat(np.arange(len(items)), lengths)
@@ -192,6 +196,79 @@ def shard_matches(piece: pa.RecordBatch, block: TestBlock):
     return counts, [x[ok] for x in (row, suffix, length, where)]
 
 
+def window_intervals(ids, stop, block: TestBlock):
+    """For every test suffix that is a window (or a whole shorter item) and occurs: the suffixes, the
+    intervals ``[lo, hi)`` of their locations, and the suffix array's positions."""
+    at, run = suffix_array(ids, stop, block)
+    suffix = np.flatnonzero(block.left >= block.need[block.item]) if len(block.flat) else np.zeros(0, np.int64)
+    lo, hi = np.zeros(len(suffix), np.int64), np.full(len(suffix), len(at), np.int64)
+    out = [np.zeros(0, np.int64)] * 3
+    n, depth = len(ids), 0
+    while len(suffix) and len(at):
+        want = block.flat[suffix + depth]
+        ends = []
+        for upper in (False, True):
+            a, b = lo.copy(), hi.copy()
+            while (go := a < b).any():
+                mid = (a + b) >> 1
+                p = at[np.where(go, mid, 0)]
+                word = np.where(run[p] > depth, ids[np.minimum(p + depth, n - 1)], 0)
+                right = go & ((word <= want) if upper else (word < want))
+                a, b = np.where(right, mid + 1, a), np.where(go & ~right, mid, b)
+            ends.append(a)
+        hit = ends[0] < ends[1]
+        suffix, lo, hi = suffix[hit], ends[0][hit], ends[1][hit]
+        depth += 1
+        done = block.need[block.item[suffix]] == depth
+        out = [np.append(x, y[done]) for x, y in zip(out, (suffix, lo, hi), strict=True)]
+        suffix, lo, hi = suffix[~done], lo[~done], hi[~done]
+    return at, *out
+
+
+def shard_hits(piece: pa.RecordBatch, block: TestBlock):
+    """The word counts of a shard's texts, and for every text with a hit its covered intervals (starts and
+    ends in turn) and the numbers of the items that occur.
+
+    Windows with the same words share one interval of locations, which is marked once, so a text and an
+    item that repeat a word cost their lengths and not the product. Every covered word is compared with
+    the test word its hash stood for; a word that only shared a hash becomes foreign and the shard is
+    searched again."""
+    words = Words(*text_buffers(piece.column("text")), ALNUM_WORDS)
+    counts = np.diff(words.first)
+    if not len(words.hashes) or not len(block.flat):
+        return counts, {}
+    ids, stop = block.word_ids(words.hashes), np.repeat(words.first[1:], counts)
+    texts = piece.column("text")
+    while True:
+        at, suffix, lo, hi = window_intervals(ids, stop, block)
+        if not len(suffix):
+            return counts, {}
+        item = block.item[suffix]
+        group, of = np.unique(np.stack([lo, hi, block.need[item]]), axis=1, return_inverse=True)
+        of = of.reshape(-1)
+        edge, pairs = np.zeros(len(ids) + 1, np.int64), []
+        order = np.argsort(of, kind="stable")
+        parts = np.split(item[order], np.cumsum(np.bincount(of))[:-1])
+        for (a, b, need), found in zip(group.T.tolist(), parts, strict=True):
+            where = at[a:b]  # distinct positions
+            edge[where] += 1
+            edge[where + need] -= 1
+            rows = np.unique(np.searchsorted(words.first, where, side="right") - 1)
+            items = np.unique(found)
+            pairs.append(np.stack([np.repeat(rows, len(items)), np.tile(items, len(rows))]))
+        on = np.cumsum(edge[:-1]) > 0
+        row, item = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        out, false_ = {}, []
+        for r, names in zip(np.unique(row).tolist(), np.split(item, np.flatnonzero(np.diff(row)) + 1), strict=True):
+            first, last = int(words.first[r]), int(words.first[r + 1])
+            mine, own = np.flatnonzero(on[first:last]), words_of(texts[r].as_py())
+            false_ += [first + k for k, i in zip(mine.tolist(), ids[first + mine].tolist(), strict=True) if own[k] != block.spelled[i - 1]]
+            out[r] = (np.flatnonzero(np.diff(np.concatenate([[0], on[first:last].astype(np.int8), [0]]))), names)
+        if not false_:
+            return counts, out
+        ids[false_] = 0
+
+
 def item_blocks(items: DataFrame, window: int, block_words: int = BLOCK_WORDS):
     """The test set in blocks of bounded size, streamed through the driver one at a time. An
     item of more words than a block is cut into overlapping parts that hold all its windows."""
@@ -237,16 +314,6 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     return out
 
 
-def _covered(where: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """Merged (start, end) intervals of the covered words of one text."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, where, 1)
-    np.add.at(edge, where + length, -1)
-    on = np.cumsum(edge[:-1]) > 0
-    turn = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-    return turn
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
 
@@ -264,13 +331,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_wor
             block = shared.value
             for batch in batches:
                 for piece in pieces(batch):
-                    counts, (row, suffix, length, where) = shard_matches(piece, block)
+                    counts, hits = shard_hits(piece, block)
                     spans, names = [None] * len(counts), [None] * len(counts)
-                    order = np.argsort(row, kind="stable")
-                    rows, start = np.unique(row[order], return_index=True)
-                    for r, part in zip(rows, np.split(order, start[1:]), strict=False):  # no rows: one empty part
-                        spans[r] = _covered(where[part], length[part], int(counts[r])).tolist()
-                        names[r] = sorted({block.ids[i] for i in np.unique(block.item[suffix[part]])} - {None})
+                    for r, (turns, found) in hits.items():
+                        spans[r] = turns.tolist()
+                        names[r] = sorted({block.ids[i] for i in found} - {None})
                     yield pa.RecordBatch.from_arrays([
                         piece.column("doc_id"), piece.column("row"), pa.array(counts, pa.int64()),
                         pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
@@ -313,9 +378,18 @@ def _merge_spans(column: str):
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the rows that contain a window of the test set; all columns kept."""
-    key = F.monotonically_increasing_id()
-    marked = docs.withColumn("__row", key)
-    bad = contamination(marked.drop("doc_id").withColumnRenamed("__row", "doc_id").select("doc_id", "text"), items, window)
-    bad = bad.where("contaminated").select(F.col("doc_id").alias("__row"))
-    return marked.join(bad, "__row", "left_anti").drop("__row")
+    """``docs`` without the rows that contain a window of the test set; all columns and the order of
+    rows kept. One map per block of test items drops the rows where they are: nothing is shuffled."""
+    out = docs
+    for block in item_blocks(items, window):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for piece in pieces(batch):
+                    keep = np.ones(piece.num_rows, bool)
+                    keep[list(shard_hits(piece, shared.value)[1])] = False
+                    yield piece.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -23,7 +23,9 @@ ones (up to ``SMALL`` members) by a join, larger ones as blocks of sketches insi
 inside a component cannot change it, so the components are those of all links.
 
 Small sides are broadcast only after they have been counted (``BROADCAST_ROWS`` narrow rows, or
-``BROADCAST_BYTES`` of sketches); beyond that the same joins shuffle.
+``BROADCAST_BYTES`` of sketches); beyond that the same joins shuffle. Part keys then pass a bitmap of
+``FILTER_WORDS`` words first, in which every bucket has set a bit, so that most keys without a bucket
+stay where they are made; what passes is joined exactly.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from navbuckets.llm.textkernel import SPACE_WORDS, Words, mix, pieces, text_buff
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+FILTER_WORDS = 1 << 20  # 64-bit words of the bitmap of buckets, 8 MB whatever the input
 BLOCK = 256
 SMALL = 32  # buckets of up to so many members are paired by a join, at most SMALL / 2 rows a member
 _U = np.uint64
@@ -173,10 +176,28 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
     return _map_sets(docs, size, row, "doc_id long, n long, f1 long, f2 long")
 
 
-def _keys(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """(key, rep): a row per part of each document. Cheaper to make again than to store."""
+def bucket_bitmap(buckets: DataFrame) -> np.ndarray:
+    """``FILTER_WORDS`` words in which the bit of every ``key`` of ``buckets`` is set (keys are hashes, so
+    their lowest bits name a place). One row a word at most reaches the driver."""
+    word = F.shiftrightunsigned("key", 6).bitwiseAND(FILTER_WORDS - 1)
+    rows = buckets.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[np.asarray(rows.column("word"), np.int64)] = np.asarray(rows.column("bits"), np.int64)
+    return out.view(_U)
+
+
+def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    u = keys.view(_U)
+    return bitmap[(u >> _U(6)) & _U(len(bitmap) - 1)] >> (u & _U(63)) & _U(1) == 1
+
+
+def _keys(docs: DataFrame, size: int, bands: Bands, bitmap=None) -> DataFrame:
+    """(key, rep): a row per part of each document, only those that may be in the (broadcast) ``bitmap``
+    if there is one. Cheaper to make again than to store."""
     def row(ids, sets):
-        made = [parts(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
+        made = [np.unique(parts(s, bands)) if len(s) else np.zeros(0, np.int64) for s in sets]
+        if bitmap is not None:
+            made = [m[may_hold(bitmap.value, m)] for m in made]
         return {"key": np.concatenate(made), "rep": np.repeat(np.asarray(ids, dtype=np.int64), [len(m) for m in made])}
 
     return _map_sets(docs, size, row, "key long, rep long")
@@ -301,10 +322,15 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         known = known.dropDuplicates(["doc_id", "text"])
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     reps = _small(reps, reps.count())
-    keys = _keys(known.join(reps, "doc_id", "left_semi"), size, bands)
+    chosen = known.join(reps, "doc_id", "left_semi")
+    keys = _keys(chosen, size, bands)
     buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high"))
                           .where("m > 1 AND low < high"))
-    members = materialize(keys.join(_small(buckets.select("key", "low"), buckets.count()), "key").select("key", "low", "rep").distinct())
+    n_buckets = buckets.count()
+    if n_buckets > BROADCAST_ROWS:
+        keys = _keys(chosen, size, bands, docs.sparkSession.sparkContext.broadcast(bucket_bitmap(buckets)))
+    members = keys.join(_small(buckets.select("key", "low"), n_buckets), "key").select("key", "low", "rep")
+    members = materialize(members.distinct() if repeated else members)  # else a set makes a key once
     # every set meets first the smallest member with which it shares most buckets
     shared = members.where("rep > low").groupBy("rep", "low").agg(F.count("*").alias("c"))
     star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", -F.col("low"))).alias("a")).select("a", F.col("rep").alias("b"))

@@ -194,6 +194,21 @@ def test_texts_of_one_id_are_one_node(spark):
     assert rows(jaccard.deduplicated(df, 3, 90, 100).where("doc_id IS NOT NULL"), "doc_id") == [(2,), (6,)]
 
 
+def test_repeated_words_and_long_texts_stay_linear(spark):
+    import time
+
+    docs = [(1, "a " * 60000), (2, "b " + "a " * 9 + "b"), (3, "a " * 15 + "b"), (4, "x " * 400000 + " ".join(f"w{i}" for i in range(40)))]
+    items = [(1, "a " * 2000), (2, "A"), (3, " ".join(f"w{i}" for i in range(10, 60))), (4, "a " * 9 + "b")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    t = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(d, b).collect()}
+    assert got == {1: (60000, 60000, 2), 2: (11, 10, 2), 3: (16, 16, 3), 4: (400040, 30, 1)}
+    assert time.time() - t < 60
+    kept = decontam.decontaminated(d.union(d.select(F.lit(9), F.lit("b b"), "n_hit").limit(1)), b)
+    assert [r.doc_id for r in kept.collect()] == [9] and kept.columns == d.columns
+
+
 # --- 11. ranked lexical search ----------------------------------------------------------------
 def brute_search(docs, items, k):
     found = [(d, lexical.terms(t)) for d, t in docs]
@@ -256,3 +271,18 @@ def test_bounds_of_the_trees_hold():
             dense = np.zeros(40, np.int64)
             dense[tree.levels[level].term[own]] = tree.levels[level].value[own]
             assert (dense == top).all()
+
+
+def test_buckets_beyond_a_broadcast_pass_the_bitmap(spark, monkeypatch):
+    """The plan for many buckets gives the same components; the bitmap lets every bucket's keys through."""
+    rnd = random.Random(21)
+    base = [" ".join(f"w{rnd.randint(0, 300)}" for _ in range(rnd.choice([6, 40, 120]))) for _ in range(40)]
+    docs = [(i, " ".join(w if rnd.random() > 0.02 else "z" for w in base[i % 40].split())) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = rows(jaccard.similar_components(df, 3, 80, 100), "doc_id", "n_shingles", "component_id")
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "FILTER_WORDS", 1 << 6)
+    assert rows(jaccard.similar_components(df, 3, 80, 100), "doc_id", "n_shingles", "component_id") == want
+    keys = spark.createDataFrame([(int(x),) for x in np.random.default_rng(3).integers(-2**63, 2**63, 500)], "key long")
+    bitmap = jaccard.bucket_bitmap(keys)
+    assert jaccard.may_hold(bitmap, np.array([r.key for r in keys.collect()], np.int64)).all()
