@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from navbuckets.llm.common import extended
+from navbuckets.llm.common import extended, materialize
 from navbuckets.llm.textkernel import ALNUM_WORDS, HashTable, Words, byte_class, pieces, text_buffers
 
 #: fixed value: lengths in bytes of the word prefixes that are features
@@ -77,47 +77,40 @@ class Model:
         return -np.expm1(-np.bincount(s.text, self.hazard(s), minlength=s.texts))
 
 
-def train(bags, steps: int = 300, rate: float = 0.1, l1: float = 5e-5, min_docs: int = 4) -> Model:
-    """``bags``: (label 0/1, weight, features of all sentences, features by sentence). Features in
-    fewer than ``min_docs`` bags have no weight. Adam on the noisy-or likelihood; after each
-    step a soft threshold holds features without evidence at zero."""
-    bags = list(bags)
+def likelihood(w: np.ndarray, bias: float, word: np.ndarray, sentence: np.ndarray, bag: np.ndarray, label: np.ndarray,
+               weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """The noisy-or loss and its gradient (the bias last). ``word, sentence``: the features of the
+    sentences, one entry each; ``bag``: the document of each sentence; ``label, weight``: by document.
+
+    A document's hazard is the sum of log(1 + e^z) over its sentences' logits z, so that
+    P(clean) = e^-hazard; the loss is the weighted sum of hazards of clean documents and of
+    -log(1 - e^-hazard) of toxic ones."""
+    z = bias + np.bincount(sentence, w[word], minlength=len(bag))
+    total = np.bincount(bag, np.logaddexp(0, z), minlength=len(label))
+    grown = np.maximum(np.expm1(np.minimum(total, 50)), 1e-6)
+    loss = float((weight * np.where(label > 0, np.log1p(1 / grown), total)).sum())
+    dz = (weight * np.where(label > 0, -1 / grown, 1.0))[bag] / (1 + np.exp(-z))
+    return loss, np.append(np.bincount(word, dz[sentence], minlength=len(w)), dz.sum())
+
+
+def train(bags, hashes: np.ndarray, steps: int = 300, rate: float = 0.1, l1: float = 5e-5) -> Model:
+    """``bags``: (label 0/1, weight, features of all sentences as places in ``hashes``, features by
+    sentence). Adam on the noisy-or likelihood; after each step a soft threshold holds features
+    without evidence at zero."""
     if not bags:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
     label = np.array([b[0] for b in bags], np.float64)
     weight = np.array([b[1] for b in bags], np.float64)
     weight /= weight.sum()
-    # rare features go before anything is sorted: a bucket's document count bounds its features
-    room = np.zeros(1 << 22, np.int32)
-    for b in bags:
-        room[np.unique(b[2] & np.uint64(len(room) - 1))] += 1
-    sizes = np.concatenate([b[3] for b in bags]).astype(np.int64)
+    sizes = np.concatenate([b[3] for b in bags])
     bag = np.repeat(np.arange(len(bags)), [len(b[3]) for b in bags])
-    kept, sentence, base = [], [], 0
-    for b in bags:
-        often = room[b[2] & np.uint64(len(room) - 1)] >= min_docs
-        kept.append(b[2][often])
-        sentence.append(np.repeat(np.arange(base, base + len(b[3])), b[3])[often])
-        base += len(b[3])
-    hashes, word = np.unique(np.concatenate(kept), return_inverse=True)
-    sentence = np.concatenate(sentence)
-    seen = np.unique(bag[sentence] * len(hashes) + word) % max(1, len(hashes))
-    vocab = np.flatnonzero(np.bincount(seen, minlength=len(hashes)) >= min_docs)
-    slot = np.full(len(hashes), -1)
-    slot[vocab] = np.arange(len(vocab))
-    used = slot[word] >= 0
-    word, sentence = slot[word[used]], sentence[used]
+    word, sentence = np.concatenate([b[2] for b in bags]).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     share = float(np.clip((weight * label).sum(), 1e-4, 0.5))
     bias = float(np.log(share / max(1.0, len(sizes) / len(bags))))
-    w = np.zeros(len(vocab))
+    w = np.zeros(len(hashes))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(sentence, w[word], minlength=len(sizes))
-        total = np.bincount(bag, np.logaddexp(0, z), minlength=len(bags))
-        # d loss / d total: 1 for a clean bag, -1 / (e^total - 1) for a toxic one
-        slope = weight * np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0)
-        dz = slope[bag] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(word, dz[sentence], minlength=len(w)), dz.sum())
+        grad = likelihood(w, bias, word, sentence, bag, label, weight)[1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         step = rate / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
@@ -126,43 +119,69 @@ def train(bags, steps: int = 300, rate: float = 0.1, l1: float = 5e-5, min_docs:
         w = np.sign(w) * np.maximum(np.abs(w) - l1 * step[:-1], 0)
         bias -= move[-1]
     kept = np.flatnonzero(w)
-    return Model(hashes[vocab[kept]], w[kept], bias)
+    return Model(hashes[kept], w[kept], bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 24 << 20, max_features: int = 1 << 18,
+        min_docs: int = 4) -> Model:
     """Train from ``labels(doc_id, toxic)`` on a bounded sample: about ``per_class`` labelled ids of
-    each class by the hash of the id (at most twice as many), weighted back to the classes'
-    true shares, so that scores keep the natural rate. An id with several labels takes the
-    largest; null labels and ids are not used. No labels give a model that scores 0."""
+    each class by the hash of the id (at most ``4 * per_class`` ids), weighted back to the classes'
+    true shares, so that scores keep the natural rate. Of the drawn documents, in the order of
+    that hash, those are used whose texts have ``max_bytes`` together, none of more than an eighth of
+    it, so the driver's memory does not follow the texts' lengths. Features are the ``max_features`` most frequent of
+    those in at least ``min_docs`` documents, counted by Spark; only their numbers reach the driver.
+
+    An id with several labels takes the largest, one with several texts the smallest text (null:
+    empty); null labels and ids are not used. No labels give a model that scores 0."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return train([])
+        return train([], np.zeros(0, np.uint64))
     spread = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
     share = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, int(min(1.0, per_class / n) * spread))])
     ids = known.where(draw < share[F.col("toxic")]).orderBy(draw, "doc_id").limit(4 * per_class)
+    text = F.coalesce("text", F.lit(""))
+    sample = (docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")  # at most 4 * per_class ids
+              .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).where(F.octet_length("text") <= max_bytes // 8))
+    sample = materialize(sample)
+    before = Window.orderBy(draw, "doc_id")  # one narrow row an id
+    used = sample.select("doc_id", F.sum(F.octet_length("text")).over(before).alias("bytes")).where(F.col("bytes") <= max_bytes)
+    sample = materialize(sample.join(F.broadcast(used.select("doc_id")), "doc_id"))
+
+    def distinct(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                s = Sentences(*text_buffers(piece.column("text")))
+                of, what = s.features()
+                pair = np.unique(np.stack([s.text[of].astype(np.uint64), what]), axis=1) if len(of) else np.zeros((2, 0), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64))], names=["feature"])
+
+    often = (sample.select("text").mapInArrow(distinct, "feature long").groupBy("feature").agg(F.count("*").alias("n"))
+             .where(F.col("n") >= min_docs).orderBy(F.col("n").desc(), "feature").limit(max_features))
+    hashes = np.sort(np.array([r["feature"] for r in often.select("feature").collect()], np.int64).view(np.uint64))
+    table = docs.sparkSession.sparkContext.broadcast(HashTable(hashes))
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
                 s = Sentences(*text_buffers(piece.column("text")))
-                of, what = s.features()
+                of, what = s.features(table.value)
                 size = np.bincount(of, minlength=len(s.first)).astype(np.int32)
                 edge = np.searchsorted(s.text, np.arange(s.texts + 1))
                 at = np.append(0, np.cumsum(size))[edge]
+                numbers = what.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("toxic"),
-                     pa.array([what[at[i]:at[i + 1]].tobytes() for i in range(s.texts)], pa.binary()),
+                     pa.array([numbers[at[i]:at[i + 1]].tobytes() for i in range(s.texts)], pa.binary()),
                      pa.array([size[edge[i]:edge[i + 1]].tobytes() for i in range(s.texts)], pa.binary())],
                     names=["toxic", "words", "counts"])
 
-    bags = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 4 * per_class ids
-            .select("toxic", "text").limit(8 * per_class).mapInArrow(run, "toxic int, words binary, counts binary"))
-    drawn = [(r["toxic"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in bags.collect()]
+    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, words binary, counts binary").collect()
+    drawn = [(r["toxic"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows]
     got = {c: sum(1 for b in drawn if b[0] == c) for c in sizes}
-    return train((y, sizes[y] / got[y], w, c) for y, w, c in drawn)
+    return train([(y, sizes[y] / got[y], w, c) for y, w, c in drawn], hashes)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
