@@ -7,6 +7,8 @@ of a task follows the piece size, or the longest single text, never the partitio
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 21
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+_LIBC = _LIBC if hasattr(_LIBC, "malloc_trim") else None
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +50,14 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what an earlier stage left in
+    their arenas would count beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES):
     """Zero-copy slices of a batch with at most ``limit`` text bytes (or one longer row)."""
     n = batch.num_rows
@@ -59,6 +71,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 class Words:
