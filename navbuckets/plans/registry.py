@@ -224,6 +224,14 @@ def q_link_labels(spark, sf):
     return E.links(_pages(spark, sf)).select("page_id", "pos", "link_type", "href", "text")
 
 
+@query("link_sequence")
+def q_link_sequence(spark, sf):
+    """R0 by sequence: all links of a page labelled together."""
+    from navbuckets.operators.tagging import tag_links
+
+    return tag_links(_pages(spark, sf))
+
+
 @query("visible_links")
 def q_visible_links(spark, sf):
     return E.links(_pages(spark, sf)).select("page_id", "pos", "link_type", "visible")

@@ -115,6 +115,29 @@ O["containers"] = _DOM + (f"\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos
 O["link_labels"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, label AS link_type, href, ltxt AS text FROM lk"
 O["visible_links"] = _EV + "\nSELECT rid AS page_id, CAST(pos AS INTEGER) AS pos, label AS link_type, visible FROM lk"
 
+# The links of a page labelled together: the best path to each label of each link, all pages a link at a time.
+from navbuckets.operators import tagging as _TG  # noqa: E402
+
+_NEXT, _PAGE = inlist(P.rules.LINK_NEXT_TEXTS), inlist(P.rules.LINK_PAGE_TEXTS)
+_MARKS = {"always": "true", "rel_next": "regexp_matches(lower(coalesce(rel, '')), '(^|\\s)next(\\s|$)')",
+          "says_next": "(contains(lower(coalesce(cls, '')), 'next') OR contains(lower(coalesce(aria, '')), 'next'))",
+          "text_next": f"(starts_with(t, 'next') OR t IN {_NEXT})", "text_number": "regexp_matches(t, '^[0-9]{1,4}$')",
+          "text_jump": f"t IN {_PAGE}", "paged_address": f"regexp_matches(href, {q(P.rules.LINK_PAGE_HREF_RE)})"}
+_EMIT = "[" + ", ".join(" + ".join(f"CASE WHEN {_MARKS[f]} THEN {w[y]} ELSE 0 END" for f, w in _TG.WEIGHTS.items()) for y in range(3)) + "]"
+_STEP = "[" + ", ".join("list_sort([" + ", ".join(
+    f"{{'s': {-t[y]} - best[{x + 1}].s, 'x': {x}}}" for x, t in enumerate(_TG.TRANSITIONS)) + "])[1]" for y in range(3)) + "]"
+O["link_sequence"] = _DOM + f""",
+vl AS (SELECT rid, pos, href, t, {_EMIT} AS emit, row_number() OVER (PARTITION BY rid ORDER BY pos) AS k
+       FROM (SELECT *, lower({strip('full_text')}) AS t FROM el WHERE tag = 'a' AND href IS NOT NULL)),
+vt AS (SELECT rid, 1::BIGINT AS k, [{{'s': emit[1], 'p': [0]}}, {{'s': emit[2], 'p': [1]}}, {{'s': emit[3], 'p': [2]}}] AS best FROM vl WHERE k = 1
+       UNION ALL
+       SELECT v.rid, v.k, [{", ".join(f"{{'s': v.emit[{y + 1}] - step[{y + 1}].s, 'p': list_append(best[step[{y + 1}].x + 1].p, {y})}}" for y in range(3))}]
+       FROM (SELECT *, {_STEP} AS step FROM vt) w JOIN vl v ON v.rid = w.rid AND v.k = w.k + 1),
+vb AS (SELECT rid, list_sort([{{'s': -best[1].s, 'y': 0}}, {{'s': -best[2].s, 'y': 1}}, {{'s': -best[3].s, 'y': 2}}])[1].y AS y, best
+       FROM vt QUALIFY row_number() OVER (PARTITION BY rid ORDER BY k DESC) = 1)
+SELECT l.rid AS page_id, CAST(l.pos AS INTEGER) AS pos, ['OTHER', 'PAGE', 'NEXT'][best[y + 1].p[l.k] + 1] AS link_type, href, t AS text
+FROM vl l JOIN vb ON vb.rid = l.rid"""
+
 # --------------------------------------------------------------------------- frames
 _IFRAME = r"""(?i)<iframe\b[^"'>]*(?:(?:"[^"]*"|'[^']*')[^"'>]*)*>"""
 _SRCDOC = r"""(?i)\ssrcdoc\s*=\s*("[^"]*"|'[^']*')"""
