@@ -51,8 +51,10 @@ LOOSE = {
               r"(?<![0-9A-Za-z])\(?0[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
               r"(?<![0-9A-Za-z])(?:\+|00)[0-9]{1,3}(?:[\x20.-]\(?[0-9]{1,4}\)?){2,5}(?![0-9])"],
 }
-#: what a text must hold for the kind's patterns to be tried
-HINT = {"email": "@|[\\[({\\x20]at[\\])}\\x20]", "ip": r"[0-9][\]\)]?\x20?[.,\[(]", "card": r"[0-9][\x20.-]?[0-9]", "phone": r"[0-9][\x20().-]*+[0-9]"}
+#: what a text must hold for the base rule's pattern, and for the generators', to be tried
+HINT = {"email": ["@", r"@|(?:[\[({]at[\])}]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9]|\x20?[\[({]dot[\])}]|\x20dot\x20)"],
+        "ip": [r"[0-9]\.[0-9]", r"[0-9][\]\)]?\x20?[.,\[(]"], "card": [r"[0-9][\x20-]?[0-9]", r"[0-9]{4}[\x20.-]?[0-9]{4}"],
+        "phone": [r"\+[0-9]", r"[0-9][\x20().-]*+[0-9]"]}
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|address", "card": "card|visa|credit|pay", "phone": "phone|call|tel|mobile|fax"}
 SIDE = 24  # characters of context on either side
 _SPAN = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
@@ -173,7 +175,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     empty = F.array().cast("array<string>")
     names = {f"{kind}_{i}": (kind, p) for kind in KINDS for i, p in enumerate([BASE[kind], *LOOSE[kind]])}
-    out = out.withColumns({f"__m_{n}": F.when(F.col("__text").rlike(HINT[kind]), F.regexp_extract_all("__text", F.lit(p), F.lit(0))).otherwise(empty)
+    out = out.withColumns({f"__m_{n}": F.when(F.col("__text").rlike(HINT[kind][n[-1] != "0"]), F.regexp_extract_all("__text", F.lit(p), F.lit(0))).otherwise(empty)
                            for n, (kind, p) in names.items()})
     out = out.withColumns({f"__p_{n}": cut_at("__text", f"__m_{n}", p) for n, (_, p) in names.items()}).drop(*[f"__m_{n}" for n in names])
     out = out.withColumns({f"__s_{n}": find_spans(f"__p_{n}") for n in names}).drop(*[f"__p_{n}" for n in names])
