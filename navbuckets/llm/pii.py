@@ -183,11 +183,17 @@ def with_spans(docs: DataFrame) -> DataFrame:
     cands = {}
     for kind in KINDS:
         own = [n for n, (k, _) in names.items() if k == kind]
-        every = F.concat(*[F.transform(F.col(f"__s_{n}"), _described(kind, n.endswith("_0"))) for n in own])
+        every = F.concat(*[F.transform(F.filter(F.col(f"__s_{n}"), _plausible(kind)), _described(kind, n.endswith("_0"))) for n in own])
         cands[f"__cand_{kind}"] = F.when(sum((F.size(f"__s_{n}") for n in own), F.lit(0)) > 0, every).otherwise(F.array().cast(_CAND))
     return out.withColumns(cands).drop(*[f"__s_{n}" for n in names])
 
 
+def _plausible(kind: str):
+    """Numbers of other lengths are no candidates (the base patterns match every short number)."""
+    low, high = {"card": (13, 19), "phone": (7, 18)}.get(kind, (0, 1 << 30))
+    return lambda s: F.length(digits(s["m"])).between(low, high)
+
+
 def _passes(kind: str):
     return lambda s: check(kind, s["m"])
 
@@ -229,7 +235,7 @@ def with_overlaps(spans: DataFrame) -> DataFrame:
 class Boosted:
     """Boosted two-level trees over the bits of all kinds, and a calibrated threshold per kind."""
 
-    def __init__(self, counts: list[tuple[int, int, int, bool]], rounds: int = 32, rate: float = 0.3, precision: float = 0.95):
+    def __init__(self, counts: list[tuple[int, int, int, bool]], rounds: int = 32, rate: float = 0.3, precision: float = 0.85):
         """``counts``: (bits, positives, negatives, held out)."""
         seen = [c[:3] for c in counts if not c[3]]
         pos, neg = sum(p for _, p, _ in seen), sum(n for _, _, n in seen)
@@ -250,7 +256,7 @@ class Boosted:
 
     @staticmethod
     def _lowest(held: list[tuple], precision: float, chance: float = 1.0) -> float | None:
-        """The lowest score from which on the held-out candidates are precise enough; None if
+        """The lowest score above 0 from which on the held-out candidates are precise enough; None if
         there is none, or no negative to tell. Of those that are selected later only such with
         evidence stay; ``chance`` negatives have it by chance for each one without it."""
         if not any(h[3] for h in held):
@@ -259,7 +265,7 @@ class Boosted:
         ranked = sorted(held, key=lambda x: (-x[0], x[1]))
         for i, (s, _, p, n) in enumerate(ranked):
             good, bad = good + p, bad + n
-            if (i + 1 == len(ranked) or ranked[i + 1][0] < s) and good and good - chance * bad >= precision * good:
+            if (i + 1 == len(ranked) or ranked[i + 1][0] < s) and s > 0 and good and good - chance * bad >= precision * good:
                 found = s
         return found
 
