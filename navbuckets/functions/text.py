@@ -96,21 +96,30 @@ def has_one_and_two(c: Column) -> Column:
     return c.rlike(ISOLATED_ONE) & c.rlike(ISOLATED_TWO)
 
 
+#: needles of a text that are looked for one by one; more share one sort
+FEW_NEEDLES = 32
+
+
 def found_in(needles: Column, hay: Column, longest: int) -> Column:
-    """Those of ``needles`` (array; none longer than ``longest``) that ``hay`` contains. The suffixes of
-    ``hay``, cut at ``longest``, are sorted together with the needles: a needle is contained if the suffix
-    sorted next behind it begins with it. One sort serves all needles."""
-    chars = F.split(hay, "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, i, F.lit(longest)), ""))
-    merged = F.array_sort(F.concat(F.transform(needles, lambda n: F.struct(n.alias("s"), F.lit(0).alias("k"))),
-                                   F.transform(F.array_distinct(suffixes), lambda x: F.struct(x.alias("s"), F.lit(1).alias("k")))))
-    start = F.struct(F.lit("").alias("after"), F.array().cast("array<string>").alias("found"))
-
-    def step(a: Column, x: Column) -> Column:  # from the last to the first
-        return F.when(x["k"] == 1, F.struct(x["s"].alias("after"), a["found"].alias("found"))).when(
-            a["after"].startswith(x["s"]), F.struct(a["after"].alias("after"), F.concat(a["found"], F.array(x["s"])).alias("found"))).otherwise(a)
-
-    return F.aggregate(F.reverse(merged), start, step)["found"]
+    """Those of ``needles`` (array; none longer than ``longest``) that ``hay`` contains, last first. A few are
+    looked for one by one. For more the suffixes of ``hay``, cut at ``longest``, are sorted together with
+    the needles: a needle is contained if the suffix sorted next behind it begins with it. One sort serves
+    all needles."""
+    def sorted_in(chars: Column) -> Column:  # bound, or the text would be split again for every suffix
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, i, F.lit(longest)), ""))
+        merged = F.array_sort(F.concat(F.transform(needles, lambda n: F.struct(n.alias("s"), F.lit(0).alias("k"))),
+                                       F.transform(F.array_distinct(suffixes), lambda x: F.struct(x.alias("s"), F.lit(1).alias("k")))))
+        start = F.struct(F.lit("").alias("after"), F.array().cast("array<string>").alias("found"))
+
+        def step(a: Column, x: Column) -> Column:  # from the last to the first
+            return F.when(x["k"] == 1, F.struct(x["s"].alias("after"), a["found"].alias("found"))).when(
+                a["after"].startswith(x["s"]), F.struct(a["after"].alias("after"), F.concat(a["found"], F.array(x["s"])).alias("found"))).otherwise(a)
+
+        return F.aggregate(F.reverse(merged), start, step)["found"]
+
+    by_sort = F.element_at(F.transform(F.array(F.split(hay, "")), sorted_in), 1)
+    one_by_one = F.reverse(F.array_sort(F.element_at(F.transform(F.array(hay), lambda h: F.filter(needles, lambda n: h.contains(n))), 1)))
+    return F.when(F.size(needles) <= FEW_NEEDLES, one_by_one).otherwise(by_sort)
 
 
 def first_match(cands: list[tuple[str, Column]]) -> Column:
