@@ -27,10 +27,13 @@ from navbuckets.session import ensure_dir, scratch_path
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
-def pages_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The driver's pages file as a file stream (other tables in the folder are skipped)."""
-    return (spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", "pages.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+def pages_stream(spark: SparkSession, sf_dir: str, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """The driver's pages table, one file or a folder of files, as a file stream. A micro-batch takes files
+    of about ``bytes_per_trigger`` in all: each one joins the whole static inputs, so their number must
+    follow the bytes of the pages and not the number of files."""
+    # as a pattern: a stream takes a plain path for a folder
+    return (spark.readStream.schema(PAGES_SCHEMA).option("maxBytesPerTrigger", bytes_per_trigger)
+            .parquet(f"{sf_dir.rstrip('/')}/pages.parque[t]"))
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
