@@ -1,16 +1,18 @@
 """2. Language identification with string kernels.
 
 Kernel: the blended spectrum of byte n-grams (n = 1 to 3, A-Z lower-cased) as presence bits
-in ``2**BITS`` hashed positions, normalised: k(x, z) = |x and z| / sqrt(|x| |z|). A bounded
-sample of labelled documents gives the Nystrom landmarks and trains one-versus-rest kernel
-ridge regression on the Nystrom features. Executors turn the sampled texts into fixed-size
-bit vectors (4 KiB each, whatever the text's length); only those reach the driver. Scoring is
+in ``2**BITS`` hashed positions, normalised: k(x, z) = |x and z| / sqrt(|x| |z|). A few
+labelled documents of each language are the Nystrom landmarks (the axes of the features; nothing is
+counted or estimated from them), and every labelled document trains the one-versus-rest kernel
+ridge regression on the Nystrom features: tasks add up products of kernel values, whose sums meet
+per row of the matrix in a shuffle, so the driver gets one matrix of the landmarks' number squared. Scoring is
 a batched matrix product: presence bits x landmarks, then x class weights.
 
 The best margin says which language is nearest, not whether any is near: one-versus-rest targets
 sum to 2 - K, so with K languages the best score of any text whatever is about 1 / K or more. That
-is told by *familiarity* instead: the share of a text's longest n-grams that are common in the sample
+is told by *familiarity* instead: the share of a text's longest n-grams that are common in the documents
 of some language (a text may mix learned ones), against a bound per language calibrated on rows held out of the count.
+Both take every labelled document, too.
 """
 
 from __future__ import annotations
@@ -26,29 +28,31 @@ from navbuckets.llm.textkernel import LOWER, pieces, text_buffers
 BITS = 15
 WIDTH = 1 << BITS
 NGRAMS = (1, 2, 3)
-ROWS = 128  # texts per presence matrix
-COMMON = 0.01  # an n-gram is common in a language if this share of its sampled rows (two at least) holds it
+ROWS = 64  # texts per presence matrix
+SPAN = 1 << 18  # bytes whose n-grams are looked at together, and about the bytes of a matrix's texts
+SUMS = 64  # counts of n-grams (256 KiB a language) that a task holds before it hands them on
+COMMON = 0.01  # an n-gram is common in a language if this share of its rows (two at least) holds it
 LOSS, MARGIN = 0.001, 0.75  # a bound is MARGIN times the familiarity that all but LOSS of the held-out rows reach
 LEAST = 10  # a language with fewer held-out rows has no bound: it rejects nothing
 
 
 def _spots(data: np.ndarray, offsets: np.ndarray):
-    """(size, start, index of the text, hashed position) of every n-gram, size by size; none spans two texts."""
-    if not len(data):
-        return
-    lengths = np.diff(offsets)
-    low = LOWER[data].astype(np.uint32)
-    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    left = np.repeat(offsets[1:], lengths) - np.arange(len(data))
-    code = np.zeros(len(data), np.uint32)
-    for size in NGRAMS:
-        m = len(data) - size + 1
-        if m <= 0:
-            break
-        code = code[:m] * np.uint32(256) + low[size - 1:]
-        spot = ((code + np.uint32(size << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-        whole = left[:m] >= size
-        yield size, np.flatnonzero(whole), text[:m][whole], spot[whole]
+    """(size, start, index of the text, hashed position) of every n-gram, span by span and size by size; none
+    spans two texts."""
+    for at in range(0, len(data), SPAN):
+        low = LOWER[data[at:at + SPAN + max(NGRAMS) - 1]].astype(np.uint32)
+        lengths = np.diff(np.clip(offsets, at, at + len(low)))
+        text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        left = np.repeat(offsets[1:] - at, lengths) - np.arange(len(low))
+        code = np.zeros(len(low), np.uint32)
+        for size in NGRAMS:
+            if len(low) < size:
+                break
+            code = code[:len(low) - size + 1] * np.uint32(256) + low[size - 1:]
+            m = min(len(code), SPAN)
+            spot = ((code[:m] + np.uint32(size << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+            whole = left[:m] >= size
+            yield size, at + np.flatnonzero(whole), text[:m][whole], spot[whole]
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,7 +60,7 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     flags = np.zeros(n * WIDTH, np.uint8)
     for _, _, text, spot in _spots(data, offsets):
-        flags[text * WIDTH + spot] = 1
+        flags[text.astype(np.int64) * WIDTH + spot] = 1
     return flags.reshape(n, WIDTH)
 
 
@@ -77,31 +81,31 @@ def familiarity(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, which
     return hit / np.maximum(all_, 1), all_
 
 
-def common_ngrams(bits: np.ndarray, own: np.ndarray, languages: int) -> np.ndarray:
-    """0/1 matrix (languages x hashed n-grams): those that enough rows of the language hold."""
-    out = np.zeros((languages, WIDTH), np.uint8)
-    for k in range(languages):
-        rows = bits[own == k]
-        if len(rows):
-            out[k] = rows.sum(0, dtype=np.int64) >= max(min(2, len(rows)), COMMON * len(rows))
-    return out
+def common_from(rows):
+    """How many of ``rows`` rows of a language must hold an n-gram that is common in it."""
+    return max(min(2, rows), COMMON * rows)
 
 
 def _blocks(batch: pa.RecordBatch):
-    for piece in pieces(batch):
+    for piece in pieces(batch, limit=SPAN):
         for at in range(0, piece.num_rows, ROWS):
             yield piece.slice(at, ROWS)
 
 
 class Model:
-    """Landmark bits, their norms and the class weights of the Nystrom ridge regression."""
+    """Landmark bits, their norms and the class weights of the Nystrom ridge regression.
 
-    def __init__(self, bits: np.ndarray, labels: list[str], landmarks: int, ridge: float):
+    ``bits`` and ``labels`` give the landmarks and, unless ``train`` is false, the training rows
+    (else ``solve`` takes the sums of all of them)."""
+
+    def __init__(self, bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, train: bool = True):
         self.labels = sorted(set(labels))
         self.bounds = np.zeros(len(self.labels))
+        self.common = np.zeros((1, WIDTH), np.uint8)
+        self.ridge = ridge
         if not self.labels:
             return
-        # landmarks: the same number from each language as far as they go, one at least, in sample order
+        # landmarks: the same number from each language as far as they go, one at least, in the order given
         turn = {}
         rank = []
         for lab in labels:
@@ -114,17 +118,29 @@ class Model:
         k_mm = self.kernel(bits[chosen]).astype(np.float64)
         value, vector = np.linalg.eigh(k_mm)
         keep = value > 1e-6 * value[-1]
-        root = vector[:, keep] / np.sqrt(value[keep])
-        feature = np.concatenate([self.kernel(bits[a:a + ROWS]) for a in range(0, len(bits), ROWS)]) @ root
-        feature = np.hstack([feature, np.ones((len(feature), 1))])
-        own = np.array([self.labels.index(x) for x in labels])
-        self.common = common_ngrams(bits, own, len(self.labels)).max(0, keepdims=True)
-        target = np.where(own[:, None] == np.arange(len(self.labels)), 1.0, -1.0)
-        # every language counts the same, however often it was drawn
-        weight = 1.0 / np.bincount(own)[own]
-        gram = feature.T @ (feature * weight[:, None]) + ridge * np.eye(feature.shape[1])
-        solved = np.linalg.solve(gram, feature.T @ (target * weight[:, None]))
-        self.weights = (root @ solved[:-1]).astype(np.float32)
+        self.root = vector[:, keep] / np.sqrt(value[keep])
+        if train:
+            own = np.array([self.labels.index(x) for x in labels])
+            weight = 1.0 / np.bincount(own)  # every language counts the same, however many rows it has
+            blocks = [self.products(bits[a:a + ROWS], own[a:a + ROWS], weight) for a in range(0, len(bits), ROWS)]
+            self.solve(sum(g for g, _ in blocks), sum(m for _, m in blocks))
+
+    def products(self, bits: np.ndarray, own: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted sums over rows of the languages ``own``: products of kernel values (and 1) among
+        each other, and the values by language."""
+        values = np.hstack([self.kernel(bits).astype(np.float64), np.ones((len(bits), 1))])
+        weighted = values * weight[own][:, None]
+        by_language = np.zeros((len(weight), values.shape[1]))
+        np.add.at(by_language, own, weighted)
+        return values.T @ weighted, by_language
+
+    def solve(self, products: np.ndarray, by_language: np.ndarray) -> None:
+        """Class weights from the sums of ``products`` over all rows; targets are 1 for a row's own language, else -1."""
+        root = np.zeros((len(self.root) + 1, self.root.shape[1] + 1))
+        root[:-1, :-1], root[-1, -1] = self.root, 1
+        gram = root.T @ products @ root + self.ridge * np.eye(root.shape[1])
+        solved = np.linalg.solve(gram, root.T @ (2 * by_language - by_language.sum(0)).T)
+        self.weights = (self.root @ solved[:-1]).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)
 
     def kernel(self, bits: np.ndarray) -> np.ndarray:
@@ -147,60 +163,134 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 96, ridge: float = 1e-3,
         max_rows: int = 8000, bounds: bool = False) -> Model:
-    """Train on a bounded sample of ``docs(doc_id, text, lang)``: of each language about ``per_language``
-    rows by the hash of their ids, at most twice as many. Every lang value is learned: with so many
-    that this would be more than ``max_rows``, there are fewer rows of each, but one at least, which
-    is also a landmark. Rows with a null lang or text, or without a letter, are not used. No rows
-    give a model without languages.
-
-    ``bounds`` calibrates the bounds of familiarity, by a second pass over the sampled texts: each
-    half of a language's rows is held against the n-grams common in the other half."""
-    usable = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    """Train on every row of ``docs(doc_id, text, lang)`` that has a lang and a text with a letter. Every
+    lang value is learned, and counts the same however many rows it has. Only the landmarks are chosen: of
+    each language the first by the hash of their ids among about ``per_language`` rows, fewer where
+    that would be more than ``max_rows`` in all, but one at least. No rows give a model without languages.
+
+    ``bounds`` also counts the n-grams common in each language and calibrates the bounds of familiarity,
+    by a second pass over all rows: each half of a language's rows is held against the n-grams common in
+    the other half."""
     spread = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min(draw).alias("first")).collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(
+        "lang", "text", draw.alias("draw"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min("draw").alias("first"), F.sum(F.col("draw") % 2).alias("odd")).collect()
     if not sizes:
         return Model(np.zeros((0, WIDTH), np.uint8), [], landmarks, ridge)
     each = max(1, min(per_language, max_rows // len(sizes)))
     share = [(r["lang"], max(int(min(1.0, each / r["rows"]) * spread), r["first"] + 1)) for r in sizes]
     share = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))
-    drawn = usable.select("lang", "text", draw.alias("draw")).join(share, "lang").where("draw < share").select("lang", "text", "draw")
+    drawn = usable.join(share, "lang").where("draw < share").select("lang", "text", "draw")
     sample = drawn.mapInArrow(_packed, "lang string, draw long, bits binary")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
-    rows = sample.withColumn("rank", rank).where(F.col("rank") <= 2 * each).collect()
+    rows = sample.withColumn("rank", rank).where(F.col("rank") <= min(2 * each, landmarks)).collect()
     rows.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
     bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.uint8)
-    model = Model(bits.reshape(len(rows), WIDTH), [r["lang"] for r in rows], landmarks, ridge)
+    model = Model(bits.reshape(len(rows), WIDTH), [r["lang"] for r in rows], landmarks, ridge, train=False)
+    del bits, rows
+    by_half = {r["lang"]: (r["rows"] - r["odd"], r["odd"]) for r in sizes}
+    halves = np.array([by_half[x] for x in model.labels], np.int64)
+    common = _train(model, usable, halves, bounds)
     if bounds:
-        _calibrate(model, drawn, bits, [r["lang"] for r in rows], np.array([r["draw"] % 2 for r in rows]))
+        model.common = common.max(0, keepdims=True)
+        _calibrate(model, usable, halves, common[:2])
     return model
 
 
-def _calibrate(model: Model, drawn: DataFrame, bits: np.ndarray, labels: list[str], half: np.ndarray) -> None:
-    """Set ``model.bounds`` from ``drawn(lang, text, draw)``: of each language ``MARGIN`` times the
-    familiarity that all but ``LOSS`` of its held-out rows reach (texts that repeat a rare word lie lower
-    than any sample shows); half their median at least, should rows be mislabelled."""
+def _train(model: Model, usable: DataFrame, halves: np.ndarray, counts: bool) -> np.ndarray:
+    """Solve ``model`` over all rows of ``usable(lang, text, draw)``. With ``counts`` the n-grams common in
+    some language are returned, 0/1 in three rows: counted without half 0, without half 1, over all."""
+    spark = usable.sparkSession
     names = model.labels
-    own = np.array([names.index(x) for x in labels])
-    n = len(names)
-    shared = drawn.sparkSession.sparkContext.broadcast(  # row h: counted without half h
-        np.stack([common_ngrams(bits[half != h], own[half != h], n).max(0) for h in (0, 1)]))
+    n, m = len(names), model.marks.shape[1] + 1
+    shared = spark.sparkContext.broadcast((model, {x: k for k, x in enumerate(names)}, 1.0 / halves.sum(1)))
+
+    def batch_of(rows: list):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["key", "sums"])
+
+    def partial(batches):
+        """Sums of a task: row k of the products (key k), values of language k (m + k), counts of language k (-1 - k)."""
+        model, place, weight = shared.value
+        products, values, held = None, {}, {}
+        for batch in batches:
+            for block in _blocks(batch):
+                flags = presence(*text_buffers(block.column("text")))
+                own = np.array([place[x] for x in block.column("lang").to_pylist()])
+                seen, local = np.unique(own, return_inverse=True)
+                p, v = model.products(flags, local, weight[seen])
+                products = p if products is None else products + p
+                for k, row in zip(seen.tolist(), v, strict=True):
+                    values[k] = values.get(k, 0) + row
+                if counts:
+                    odd = np.asarray(block.column("draw"), dtype=np.int64) % 2
+                    for k in seen.tolist():
+                        mine = np.stack([flags[(own == k) & (odd == h)].sum(0, dtype=np.int32) for h in (0, 1)])
+                        held[k] = held[k] + mine if k in held else mine
+                    if len(held) >= SUMS:
+                        yield from (batch_of([(-1 - k, c)]) for k, c in held.items())
+                        held = {}
+        if products is not None:
+            yield batch_of([*enumerate(products), *[(m + k, v) for k, v in values.items()]])
+        yield from (batch_of([(-1 - k, c)]) for k, c in held.items())
+
+    def total(batches):
+        """One sum per key; counts of n-grams end as bits that say which are common."""
+        found = {}
+        for batch in batches:
+            for key, part in zip(batch.column("key").to_pylist(), batch.column("sums"), strict=True):
+                part = np.frombuffer(part.as_buffer(), np.int32 if key < 0 else np.float64)
+                if key in found:
+                    found[key] += part
+                else:
+                    found[key] = part.astype(np.int64 if key < 0 else np.float64)
+        for key, value in found.items():
+            if key < 0:
+                even, odd = value.reshape(2, WIDTH)
+                rows = halves[-1 - key]
+                value = np.packbits(np.stack([(c >= common_from(r)) & (r > 0) for c, r in (
+                    (odd, rows[1]), (even, rows[0]), (even + odd, rows.sum()))]), axis=1)
+            yield batch_of([(key, value)])
+
+    products, by_language, common = np.zeros((m, m)), np.zeros((n, m)), np.zeros((3, WIDTH // 8), np.uint8)
+    kind = "key long, sums binary"
+    for r in usable.mapInArrow(partial, kind).repartition("key").mapInArrow(total, kind).collect():
+        if r["key"] < 0:
+            common |= np.frombuffer(r["sums"], np.uint8).reshape(3, WIDTH // 8)
+        elif r["key"] < m:
+            products[r["key"]] = np.frombuffer(r["sums"])
+        else:
+            by_language[r["key"] - m] = np.frombuffer(r["sums"])
+    model.solve(products, by_language)
+    return np.unpackbits(common, axis=1)
+
+
+def _calibrate(model: Model, usable: DataFrame, halves: np.ndarray, common: np.ndarray) -> None:
+    """Set ``model.bounds`` from all rows of ``usable(lang, text, draw)``: of each language ``MARGIN`` times the
+    familiarity that all but ``LOSS`` of its held-out rows reach (texts that repeat a rare word lie lower
+    than any count shows); half their median at least, should rows be mislabelled. ``common``: row h was
+    counted without half h. Familiarity is rounded to 1/10000, so its exact quantiles need few values."""
+    shared = usable.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for batch in batches:
             for block in _blocks(batch):
                 held = np.asarray(block.column("draw"), dtype=np.int64) % 2
                 share, _ = familiarity(*text_buffers(block.column("text")), shared.value, held)
-                yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(held), pa.array(share)], names=["lang", "half", "share"])
-
-    seen = {(h, names[k]) for h in (0, 1) for k in np.unique(own[half != h])}  # the other half has rows
-    found = {x: [] for x in names}
-    for r in drawn.mapInArrow(run, "lang string, half long, share double").collect():
-        if (r["half"], r["lang"]) in seen:
-            found[r["lang"]].append(r["share"])
-    for k, x in enumerate(names):
-        if len(found[x]) >= LEAST:
-            model.bounds[k] = max(MARGIN * np.quantile(found[x], LOSS), np.median(found[x]) / 2)
+                yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(held), pa.array(np.round(share, 4))], names=["lang", "half", "share"])
+
+    told = usable.mapInArrow(run, "lang string, half long, share double").groupBy("lang", "half", "share").agg(F.count("*").alias("n"))
+    found = {}
+    # a half is held out only if the language has rows in the other one
+    seen = {x: [rows[1 - h] > 0 for h in (0, 1)] for x, rows in zip(model.labels, halves.tolist(), strict=True)}
+    pairs = usable.sparkSession.createDataFrame([(x, h) for x, s in seen.items() for h in (0, 1) if s[h]] or [("", 2)], "lang string, half long")
+    for r in told.join(F.broadcast(pairs), ["lang", "half"]).groupBy("lang").agg(
+            F.sum("n").alias("n"), F.percentile("share", F.array(F.lit(LOSS), F.lit(0.5)), F.col("n")).alias("at")).collect():
+        found[r["lang"]] = r
+    for k, x in enumerate(model.labels):
+        if x in found and found[x]["n"] >= LEAST:
+            low, median = found[x]["at"]
+            model.bounds[k] = max(MARGIN * low, median / 2)
 
 
 def _packed(batches):
