@@ -501,13 +501,12 @@ def q_scroll_confirm_events(spark, sf):
 
 @query("judge_prompt")
 def q_judge_prompt(spark, sf):
-    """J2 + P10: the full prompt (signals and the page snippet cut at 3,000) for ambiguous pages."""
-    from navbuckets.functions.dom import with_dom
-
-    pages = _pages(spark, sf)
-    snip = with_dom(pages.select("page_id", "html"), raw=True).select("page_id", judge.snippet().alias("snippet"))
-    c = _classified(spark, sf, with_inputs=False).filter(F.col("bucket_source").isin("judge", "fallback"))
-    j = c.join(snip, "page_id")
+    """J2 + P10: the full prompt (signals and the page snippet cut at 3,000) for ambiguous pages, whose snippets
+    are those of all pages of their id. Both come from one element model."""
+    c = classify_pages(_pages(spark, sf).where("page_id is not null"), snippet=True)
+    asked = F.when(F.col("bucket_source").isin("judge", "fallback"), F.struct("branch", "url", "signals"))
+    by_id = c.groupBy("page_id").agg(F.collect_list(asked).alias("c"), F.collect_list(F.struct("snippet")).alias("s"))
+    j = by_id.select("page_id", "s", F.inline("c")).select("page_id", "branch", "url", "signals", F.inline("s"))
     return j.select("page_id", "branch",
                     judge.prompt(F.col("url"), F.col("signals"), F.col("snippet"), F.col("branch")).alias("prompt"))
 
