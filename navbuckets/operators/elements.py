@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navbuckets.functions.dom import TOKEN_RE, clean_html, full_text_of, pin, text_of, with_dom, with_texts
+from navbuckets.functions.dom import TOKEN_RE, clean_html, fence, full_text_of, pin, text_of, with_dom, with_texts
 from navbuckets.operators.rules import (
     INTERACTIVE_TAGS, add_rule_columns, container_name, r4_container, r8_container,
 )
@@ -51,9 +51,10 @@ def containers(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """R0 + R1: labelled links ``(page_id, pos, link_type, href, text, displayed, visible)``."""
     d = add_rule_columns(with_dom(pages.select("page_id", "html")))
-    d = d.select("page_id", F.transform("_links", lambda l: F.struct(
+    # fenced: the explode's own filter on its array would build the elements a second time
+    d = d.select("page_id", fence(F.transform("_links", lambda l: F.struct(
         l["pos"].alias("pos"), l["label"].alias("link_type"), l["href"].alias("href"), l["ltxt"].alias("text"),
-        l["displayed"].alias("displayed"), l["visible"].alias("visible"))).alias("l"))
+        l["displayed"].alias("displayed"), l["visible"].alias("visible")))).alias("l"))
     return d.select("page_id", F.inline("l"))
 
 
