@@ -202,8 +202,8 @@ def _unquote_value(v: Column) -> Column:
 
 
 #: tokens that the fold takes together: what it emits is appended once a block, so appending
-#: costs n * n / BLOCK and not n * n
-BLOCK = 128
+#: costs n * n / BLOCK and not n * n; within a block each step copies up to BLOCK
+BLOCK = 32
 _FLOW = "array<struct<before:int,all:int,on:boolean,brk:boolean>>"
 _ENDED = "array<struct<idx:int,up:int,end:int,ft:int,under:boolean>>"
 _OPEN = "array<struct<idx:int,up:int,ft:int,under:boolean,cover:boolean>>"
@@ -234,7 +234,9 @@ def _fold(toks: str, hides: str) -> Column:
         implied = F.when(t["rule"] > 0, let(ends, looked_up)).otherwise(0)
         # the head ends before the first thing that cannot stand in it
         body_tag = (t["tag"] != "") & ~t["tag"].isin(HEAD_CONTENT + ["head"]) & (F.try_element_at(a["names"], F.lit(1)) == "head")
-        return F.when(F.coalesce(body_tag, F.lit(False)), F.lit(1)).otherwise(implied)
+        # most closing tags end the innermost element, which nothing shields (but a template itself)
+        innermost = (t["close"] != "") & (t["close"] != "template") & (F.try_element_at(a["names"], F.lit(1)) == t["close"])
+        return F.when(innermost, F.lit(1)).when(F.coalesce(body_tag, F.lit(False)), F.lit(1)).otherwise(implied)
 
     def step(a: Column, t: Column) -> Column:
         def popped(k: Column) -> Column:
