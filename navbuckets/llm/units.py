@@ -15,7 +15,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable
-from itertools import chain
 
 #: fixed value: Unicode white space
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,22 +35,21 @@ class Memo:
         self.old: dict = {}
         self.held = 0
 
-    def values(self, strings: list[str]) -> list:
+    def fill(self, gaps: list[tuple[list, int, str]]) -> None:
+        """Put the values of strings that are not in the young generation into (list, place)."""
+        if not gaps:
+            return
         young, old, weight = self.young, self.old, self.weight
-        out = list(map(young.get, strings))
-        gaps = [i for i, v in enumerate(out) if v is None]
-        if gaps:
-            new = {strings[i] for i in gaps}
-            known = {u: old[u] for u in new if u in old}
-            unknown = sorted(new.difference(known))
-            known.update(zip(unknown, self.learn(unknown), strict=True))
-            young.update(known)
-            self.held += sum([ENTRY + len(u) + weight(v) for u, v in known.items()])
-            for i in gaps:
-                out[i] = known[strings[i]]
-            if self.held > self.limit:
-                self.old, self.young, self.held = young, {}, 0
-        return out
+        new = {u for _, _, u in gaps}
+        known = {u: old[u] for u in new if u in old}
+        unknown = sorted(new.difference(known))
+        known.update(zip(unknown, self.learn(unknown), strict=True))
+        young.update(known)
+        self.held += sum([ENTRY + len(u) + weight(v) for u, v in known.items()])
+        for values, i, u in gaps:
+            values[i] = known[u]
+        if self.held > self.limit:
+            self.old, self.young, self.held = young, {}, 0
 
 
 #: fixed values: letters whose class, lower case and composed form no Unicode version differs in
@@ -120,12 +118,21 @@ class WordCoder:
         return out
 
     def encode(self, texts: list[str]) -> list:
-        cut = [self.keys(t) for t in texts]
-        values = self.memo.values(list(chain.from_iterable(cut)))
-        out, at = [], 0
-        for keys in cut:
-            out.append(self.join(values[at:at + len(keys)]))
-            at += len(keys)
+        """Text by text, so that a text's words are looked up while they are in the processor's cache; those
+        not remembered are learned together."""
+        get, out, open_, gaps = self.memo.young.get, [], [], []
+        for n, text in enumerate(texts):
+            keys = self.keys(text)
+            values = list(map(get, keys))
+            if None in values:
+                gaps += [(values, i, keys[i]) for i, v in enumerate(values) if v is None]
+                open_.append(n)
+                out.append(values)
+            else:
+                out.append(self.join(values))
+        self.memo.fill(gaps)
+        for n in open_:
+            out[n] = self.join(out[n])
         return out
 
 
