@@ -88,9 +88,9 @@ def test_judge_prompt_builds_one_element_model(spark, monkeypatch):
     for module in (dom, classify):
         monkeypatch.setattr(module, "with_dom", lambda *a, **k: calls.append(1) or real(*a, **k))
     sf = tempfile.mkdtemp(prefix="nb-twice-")
-    rows = [(16, "https://a.example/1", page("<p>one</p>")), (16, "https://a.example/1b", page("<p>two</p>")), (None, "https://a.example/0", page("x"))]
+    rows = [(16, "https://a.example/1", page("<span>zebra</span>")), (16, "https://a.example/1b", page("<span>quokka</span>")), (None, "https://a.example/0", page("x"))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
-    out = [(r.page_id, "one" in r.prompt, "two" in r.prompt, "/1b" in r.prompt) for r in Q["judge_prompt"](spark, sf).collect()]
+    out = [(r.page_id, "zebra" in r.prompt, "quokka" in r.prompt, "/1b" in r.prompt) for r in Q["judge_prompt"](spark, sf).collect()]
     assert len(calls) == 1
     assert sorted(out) == sorted((16, first, not first, b) for first in (True, False) for b in (True, False))
 
